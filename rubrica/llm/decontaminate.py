@@ -217,6 +217,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k:
     )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents without any benchmark passage; columns stay as they are."""
+    safe = {c: f"kept_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    found = decontaminate(docs.withColumnsRenamed(safe), benchmark, keep_text=True).where("not contaminated")
+    return found.select(*[F.col(safe.get(c, c)).alias(c) for c in docs.columns])
+
+
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
