@@ -74,21 +74,20 @@ def bisect_alpha(totals: dict[str, int], *, max_repeats: float | None = None, ta
     return lo / GRID
 
 
-def plan(docs: DataFrame, *, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, budget: int | None = None) -> DataFrame:
-    """(name, quota, whole, rest, total): whole passes over each source and the tokens of the last one."""
-    got = docs.groupBy(named().alias("name")).agg(F.sum(tokens()).alias("total")).collect()
+def plan(rows: DataFrame, *, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, budget: int | None = None) -> DataFrame:
+    """(name, quota, whole, rest, total): whole passes over each source and the tokens of the last one.
+
+    A row per source, made on the driver, so it is small enough to broadcast.
+    """
+    got = rows.groupBy("name").agg(F.sum("n_tokens").alias("total")).collect()
     totals = {r["name"]: r["total"] for r in got if r["total"]}
-    rows = [(r["name"], 0, 1, 0, 0) for r in got if not r["total"]]
+    parts = [(r["name"], 0, 1, 0, 0) for r in got if not r["total"]]
     if totals:
         alpha = bisect_alpha(totals, max_repeats=max_repeats, target_entropy=target_entropy, budget=budget)
         for name, times in repeats(totals, alpha, budget).items():
             quota = math.floor(totals[name] * times + 1e-6)
-            rows.append((name, quota, quota // totals[name], quota % totals[name], totals[name]))
-    return docs.sparkSession.createDataFrame(rows, "name string, quota long, whole long, rest long, total long").coalesce(1)
-
-
-def slim(docs: DataFrame, extra: list[str] = ()) -> DataFrame:
-    return docs.select("doc_id", "source", named().alias("name"), tokens().alias("n_tokens"), *extra)
+            parts.append((name, quota, quota // totals[name], quota % totals[name], totals[name]))
+    return rows.sparkSession.createDataFrame(parts, "name string, quota long, whole long, rest long, total long").coalesce(1)
 
 
 def stops(rows: DataFrame, shares: DataFrame) -> DataFrame:
@@ -99,15 +98,16 @@ def stops(rows: DataFrame, shares: DataFrame) -> DataFrame:
 
 
 def staged_rows(docs: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
-    shares = stage(plan(docs, **how), "shares")
-    return stage(slim(docs).join(shares, "name"), "slim"), shares
+    rows = stage(docs.select("doc_id", "source", named().alias("name"), tokens().alias("n_tokens")), "slim")
+    shares = stage(plan(rows, **how), "shares")
+    return rows.join(F.broadcast(shares), "name"), shares
 
 
 def schedule(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, source, pass, block, n_tokens, start): every use of every document, whole mixture."""
     rows, shares = staged_rows(docs, **how)
     stop = stops(rows, shares)
-    uses = rows.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole")))).withColumn("key", order_key(F.col("pass"))).join(stop, "name", "left")
+    uses = rows.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole")))).withColumn("key", order_key(F.col("pass"))).join(F.broadcast(stop), "name", "left")
     uses = uses.where((F.col("pass") < F.col("whole")) | ((F.col("rest") > 0) & F.coalesce(F.col("key") < F.col("stop"), F.lit(True))))
     placed = running(uses, "name", ["pass", "key"], "n_tokens")
     block = F.when(F.col("quota") > 0, F.least(F.expr(f"start * {BLOCKS} div greatest(quota, 1)"), F.lit(BLOCKS - 1))).otherwise(0)
@@ -118,7 +118,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents, each as often as the mixture uses it; columns stay as they are."""
     rows, shares = staged_rows(docs, **how)
     limits = shares.join(stops(rows, shares), "name", "left").select(F.col("name").alias("__name"), F.col("whole").alias("__whole"), F.col("rest").alias("__rest"), F.col("stop").alias("__stop"))
-    keyed = docs.join(limits, named() == F.col("__name"))
+    keyed = docs.join(F.broadcast(limits), named() == F.col("__name"))
     again = (F.col("__rest") > 0) & F.coalesce(order_key(F.col("__whole")) < F.col("__stop"), F.lit(True))
     times = (F.col("__whole") + again.cast("long")).cast("int")
     return keyed.withColumn("__use", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
