@@ -10,9 +10,10 @@ or the plain Jaccard similarity of their shingles, reaches the threshold. (Withi
 the shared shingles are common and the edits rare, so TF-IDF weights alone would tear such groups.)
 
 Equal texts are one node from the start. In each bucket all members are compared with its most popular
-member; buckets that still hold several components then get 4, 16, 64, ... more centres until every pair
-across components was compared, so no candidate link between different texts is lost, while a group that is
-already one component costs no further pairs.
+member. In buckets that still hold several components, a text's shingles that occur in no other such text
+bound its similarity to all of them: most are ruled out at once. The rest get 4, 64, 1024, ... more centres
+until every pair across components that the bound allows was compared, so no candidate link between
+different texts is lost, while a group that is already one component costs no further pairs.
 
 Defined results: each null text is a class of its own; wordless texts (the empty one too) are duplicates of
 equal texts only; repeated rows belong to one class; class_id is the least doc_id of the class (null if
@@ -33,6 +34,7 @@ from rubrica.llm.graph import components
 
 SHINGLE, THRESHOLD, BANDS, ROWS, BUCKET_BITS = 5, 0.8, 10, 3, 20
 LOW = np.uint64((1 << 44) - 1)
+MEASURES = ("count", "weight", "count_in", "weight_in")
 
 
 def shingles(column: pa.Array, hasher: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,23 +206,62 @@ class NearDuplicates:
         centres = buckets.groupBy("band").agg(F.max(F.struct("popular", "node"))["node"].alias("x"))
         pairs = stage(ordered(buckets.select("band", F.col("node").alias("y")).join(centres, "band").where("x != y")), "pairs")
         edges = stage(self.verified(pairs, texts), "links")
+        labels = components(edges)
+        open_ = stage(self.open_members(buckets, labels), "open")
+        if open_.isEmpty():
+            return labels
+        open_ = stage(open_.join(self.shareable(open_, texts), "node"), "open")
         compared, width = pairs, 4
         while True:
-            labels = components(edges)
-            now = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("band", "node", "label")
-            spread = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo != hi")
-            open_ = stage(now.join(spread.select("band", "n"), "band"), "open")
-            largest = open_.agg(F.max("n")).first()[0]
+            now = stage(self.open_members(open_.drop("label", "n"), labels), "open")
+            largest = now.agg(F.max("n")).first()[0]
             if largest is None:
                 return labels
-            chosen = open_.where(F.pmod(F.xxhash64("band", "node", F.lit(width)), F.col("n")) < width).select("band", F.col("node").alias("x"), F.col("label").alias("of_x"))
-            crossing = open_.select("band", F.col("node").alias("y"), F.col("label").alias("of_y")).join(chosen, "band").where("of_x != of_y")
-            more = stage(ordered(crossing).join(compared, ["a", "b"], "left_anti"), "pairs")
+            chosen = now.where(F.pmod(F.xxhash64("band", "node", F.lit(width)), F.col("n")) < width)
+            chosen = chosen.select("band", *[F.col(c).alias(f"{c}_x") for c in ("node", "label", *MEASURES)])
+            crossing = now.select("band", *[F.col(c).alias(f"{c}_y") for c in ("node", "label", *MEASURES)]).join(chosen, "band")
+            crossing = crossing.where(F.col("label_x") != F.col("label_y")).where(self.can_link("count", "count_in") | self.can_link("weight", "weight_in"))
+            more = stage(ordered(crossing.select(F.col("node_x").alias("x"), F.col("node_y").alias("y"))).join(compared, ["a", "b"], "left_anti"), "pairs")
             found = stage(self.verified(more, texts), "links")
             edges, compared = edges.union(found), compared.union(more)
+            labels = components(edges)
             if width >= largest:
-                return components(edges)
-            width *= 4
+                return labels
+            width *= 16
+
+    def open_members(self, buckets: DataFrame, labels: DataFrame) -> DataFrame:
+        """The rows of buckets that hold several components, with label and bucket size n."""
+        now = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        spread = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo != hi")
+        return now.join(spread.select("band", "n"), "band")
+
+    def shareable(self, members: DataFrame, texts: DataFrame) -> DataFrame:
+        """(node, count, weight, count_in, weight_in) of the members that can have a link at all.
+
+        *_in is the part of a text's shingles that occurs in another member too. No overlap exceeds it, so
+        the similarity to a text of size n is at most in / (size + n - in).
+        """
+        values, idf, threshold = self.values, self.idf, self.threshold
+
+        def spread(batches):
+            hasher = Words(values)
+            for whole in batches:
+                for batch in slices(whole, "text", 1 << 19):
+                    rows, keys, tf = shingles(batch.column("text"), hasher)
+                    weight = tf * idf.value[(keys & np.uint64(len(idf.value) - 1)).astype(np.int64)].astype(float)
+                    yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(rows)), pa.array(keys.astype(np.int64)), pa.array(weight)], ["node", "key", "w"])
+
+        found = texts.join(members.select("node").distinct(), "node", "left_semi").mapInArrow(spread, "node binary, key long, w double")
+        found = stage(found, "shingles")
+        common = found.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key", F.lit(1).alias("common"))
+        inside = lambda c: F.sum(F.when(F.col("common").isNotNull(), c).otherwise(F.lit(0)))
+        sizes = found.join(common, "key", "left").groupBy("node").agg(F.count("*").alias("count"), F.sum("w").alias("weight"), inside(F.lit(1)).alias("count_in"), inside(F.col("w")).alias("weight_in"))
+        return sizes.where((F.col("count_in") >= threshold * F.col("count")) | (F.col("weight_in") >= (threshold - 1e-9) * F.col("weight")))
+
+    def can_link(self, size: str, inner: str):
+        """Neither text's shareable part rules out the threshold."""
+        reach = lambda a, b: F.col(f"{inner}_{a}") * (1 + 1 / self.threshold) - F.col(f"{size}_{a}") >= F.col(f"{size}_{b}") - 1e-6
+        return reach("x", "y") & reach("y", "x")
 
     def classes(self) -> DataFrame:
         """(doc_id, node, label, class_id): a null text has no label and its own doc_id as class."""
