@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from rubrica.llm import decontaminate, langid, mixing, neardup, sharding
+from rubrica.llm import decontaminate, langid, mainpage, maxent, mixing, mpeg, neardup, quality, sharding, substrings
 
 QUERIES = {
+    "op1_lm_score": maxent.op1_lm_score,
+    "op2_media": mpeg.op2_media,
+    "op3_quality": quality.op3_quality,
     "op4_language_id": langid.op4_language_id,
+    "op5_substring_dedup": substrings.op5_substring_dedup,
+    "op6_html": mainpage.op6_html,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_sharding": sharding.op8_sharding,
     "op9_mixing": mixing.op9_mixing,
