@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rubrica.functions.scalars import hamming
-
-PLACE = F.struct("ord", "pos")
+from rubrica.plans.staging import stage
 
 
 def exact(images: DataFrame) -> DataFrame:
@@ -53,18 +52,18 @@ def near_pairs(images: DataFrame, threshold: int) -> DataFrame:
     return full.where("a_ord < b_ord or (a_ord = b_ord and a_pos < b_pos)").drop("pa", "pb")
 
 
-def greedy(images: DataFrame, threshold: int, max_rounds: int = 40) -> DataFrame:
+def greedy(images: DataFrame, threshold: int) -> DataFrame:
     """(submission, ord, flagged): the sequential scan, in which a submission's photos are remembered only
     while it has no duplicate. Only submissions tied by equal or near hashes are folded, one component a task."""
     near = near_pairs(images, threshold).select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b"))
     same = exact(images).where("sha256 is not null").groupBy("sha256").agg(F.min("ord").alias("a"), F.collect_set("ord").alias("all")).select("a", F.explode("all").alias("b"))
-    edges = near.union(same).where("a != b").distinct()
+    edges = stage(near.union(same).where("a != b").distinct(), "edges")
     twice = images.groupBy("ord", "sha256").count().where("count > 1 and sha256 is not null").select("ord").distinct()
     label = images.select("ord").distinct().withColumn("c", F.col("ord"))
     both = edges.union(edges.select("b", "a")).toDF("a", "b")
-    for _ in range(max_rounds):
+    while True:
         seen = both.join(label.withColumnRenamed("ord", "b"), "b").groupBy("a").agg(F.min("c").alias("s"))
-        new = label.join(seen, label["ord"] == seen["a"], "left").select("ord", "c", F.least("c", F.coalesce("s", "c")).alias("n")).checkpoint()
+        new = stage(label.join(seen, label["ord"] == seen["a"], "left").select("ord", "c", F.least("c", F.coalesce("s", "c")).alias("n")), "labels")
         label = new.select("ord", F.col("n").alias("c"))
         if new.where("n != c").isEmpty():
             break
@@ -95,7 +94,3 @@ def against_target(images: DataFrame, sha256: str, phash: str, threshold: int) -
 
 def first_images(images: DataFrame) -> DataFrame:
     return images.groupBy("submission").agg(F.min_by("sha256", F.struct("ord", "pos")).alias("sha256"))
-
-
-def seen_before(images: DataFrame) -> Window:
-    return Window.partitionBy("sha256").orderBy("ord", "pos")

@@ -22,9 +22,10 @@ def verdict(answer: Column, keys: dict[str, str]) -> Column:
     """A struct of flags: a line belongs to the first key it contains, the last line of a key counts."""
     lines = F.split(F.coalesce(answer, F.lit("")), "\n")
     owner = lambda line: F.coalesce(*[F.when(line.contains(k), n) for k, n in keys.items()])
+    of = lambda name: F.filter(lines, lambda line: owner(line) == F.lit(name))
     fields = []
     for name in keys.values():
-        own = F.filter(lines, lambda line, name=name: owner(line) == name)
+        own = of(name)
         last = F.try_element_at(own, F.lit(-1))
         rest = F.regexp_replace(F.regexp_extract(last, r"(?s)^[^:]*:(.*)$", 1), r"^\s+|\s+$", "")
         if name == "reasoning":

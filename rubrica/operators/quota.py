@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from rubrica.config import EngineConfig
 
 
+def micros():
+    return F.unix_micros(F.col("ts").cast("timestamp"))
+
+
 def granted(calls: DataFrame, max_calls: int = 5) -> DataFrame:
     """calls(id, idx, step): refusals only follow exhaustion, so the first max_calls of an id are granted."""
     w = Window.partitionBy("id").orderBy("idx", "step")
@@ -22,15 +26,15 @@ def budget_summary(calls: DataFrame, max_calls: int = 5) -> DataFrame:
 
 def rolling(log: DataFrame, key: str, seconds: int = 60) -> DataFrame:
     """log(key, ts) with the events of the last `seconds`, the present one too."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000, 0)
+    w = Window.partitionBy(key).orderBy(micros()).rangeBetween(-seconds * 1_000_000, 0)
     return log.withColumn("in_window", F.count("*").over(w))
 
 
 def open_loop_delay(log: DataFrame, key: str, limit: int, tokens: str) -> DataFrame:
     """Seconds each observed call would wait, without feedback of the waits on later calls."""
-    t = F.unix_micros("ts") / 1e6
+    t = micros() / 1e6
     w = Window.partitionBy(key).orderBy("ts", "event_id")
-    spread = Window.partitionBy(key).orderBy(F.unix_micros("ts")).rangeBetween(-60_000_000, -1)
+    spread = Window.partitionBy(key).orderBy(micros()).rangeBetween(-60_000_000, -1)
     factor = F.when(F.col(tokens) > 2000, 1.2).when(F.col(tokens) > 1000, 1.1).otherwise(1.0)
     since = t - F.lag(t).over(w)
     full = (F.greatest(F.min(t).over(spread) + 60 - t, F.lit(0.0)) + 0.1) * factor
