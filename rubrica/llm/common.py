@@ -45,7 +45,7 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     """Write df to the shared folder and read it again: lineage ends there and survives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/rubrica-{label}-{uuid.uuid4().hex}"
-    writer = df.write
+    writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
