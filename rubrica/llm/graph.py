@@ -25,3 +25,18 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
         if new.where("old != label").isEmpty():
             return labels
+
+
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels of components() once edges(a, b) are added; a node without a label is a component of its own.
+
+    Only the graph of the components that new edges join is traversed, not the edges known before.
+    """
+    if edges.isEmpty():
+        return labels
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+    joined = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    least = components(joined.distinct()).select(F.col("node").alias("label"), F.col("label").alias("least"))
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    fresh = ends.join(labels, "node", "left_anti").withColumn("label", F.col("node"))
+    return stage(labels.unionByName(fresh).join(least, "label", "left").select("node", F.coalesce("least", "label").alias("label")), "labels")

@@ -11,7 +11,7 @@ the shared shingles are common and the edits rare, so TF-IDF weights alone would
 
 Equal texts are one node from the start. In each bucket all members are compared with its most popular
 member. In buckets that still hold several components, a text's shingles that occur in no other such text
-bound its similarity to all of them: most are ruled out at once. The rest get 4, 64, 1024, ... more centres
+bound its similarity to all of them: most are ruled out at once. The rest get 16, 1024, 65536, ... more centres
 until every pair across components that the bound allows was compared, so no candidate link between
 different texts is lost, while a group that is already one component costs no further pairs.
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rubrica.llm.common import VECTOR_SCHEMA, Words, alnum_bytes, byte_table, flat_text, grams, mix, slices, stage, sum_vectors, table, task_id, vector_rows, whole_grams
-from rubrica.llm.graph import components
+from rubrica.llm.graph import components, merged
 
 SHINGLE, THRESHOLD, BANDS, ROWS, BUCKET_BITS = 5, 0.8, 10, 3, 20
 LOW = np.uint64((1 << 44) - 1)
@@ -205,13 +205,12 @@ class NearDuplicates:
         ordered = lambda df: df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         centres = buckets.groupBy("band").agg(F.max(F.struct("popular", "node"))["node"].alias("x"))
         pairs = stage(ordered(buckets.select("band", F.col("node").alias("y")).join(centres, "band").where("x != y")), "pairs")
-        edges = stage(self.verified(pairs, texts), "links")
-        labels = components(edges)
+        labels = components(stage(self.verified(pairs, texts), "links"))
         open_ = stage(self.open_members(buckets, labels), "open")
         if open_.isEmpty():
             return labels
         open_ = stage(open_.join(self.shareable(open_, texts), "node"), "open")
-        compared, width = pairs, 4
+        compared, width = pairs, 16
         while True:
             now = stage(self.open_members(open_.drop("label", "n"), labels), "open")
             largest = now.agg(F.max("n")).first()[0]
@@ -223,11 +222,10 @@ class NearDuplicates:
             crossing = crossing.where(F.col("label_x") != F.col("label_y")).where(self.can_link("count", "count_in") | self.can_link("weight", "weight_in"))
             more = stage(ordered(crossing.select(F.col("node_x").alias("x"), F.col("node_y").alias("y"))).join(compared, ["a", "b"], "left_anti"), "pairs")
             found = stage(self.verified(more, texts), "links")
-            edges, compared = edges.union(found), compared.union(more)
-            labels = components(edges)
+            compared, labels = compared.union(more), merged(labels, found)
             if width >= largest:
                 return labels
-            width *= 16
+            width *= 64
 
     def open_members(self, buckets: DataFrame, labels: DataFrame) -> DataFrame:
         """The rows of buckets that hold several components, with label and bucket size n."""

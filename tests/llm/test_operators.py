@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from rubrica.llm import decontaminate, langid, mainpage, maxent, mixing, mpeg, neardup, quality, sharding, substrings
+from rubrica.llm import decontaminate, graph, langid, mainpage, maxent, mixing, mpeg, neardup, quality, sharding, substrings
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, items string"
 BASE = "the quick brown fox jumps over the lazy dog and runs far away from every hunter in the old dark forest tonight"
@@ -185,3 +185,14 @@ def test_pipeline(spark, tmp_path):
         sizes.append(docs.count())
     assert sizes[0] >= sizes[1] >= sizes[2] <= sizes[3] == sizes[4]
     assert docs.select(F.max("shard")).first()[0] == 7
+
+
+def test_merged_components(spark):
+    """Adding links step by step gives the components of all links, ones between new nodes included."""
+    known, new = [(1, 2), (2, 3), (5, 6), (8, 9), (20, 21)], [(3, 5), (9, 10), (11, 12), (6, 1), (30, 20)]
+    frame = lambda pairs: spark.createDataFrame(pairs, "a int, b int")
+    for first in (known, []):
+        got = graph.merged(graph.components(frame(first)), frame(new))
+        want = graph.components(frame(first + new))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {r["node"]: r["label"] for r in graph.merged(graph.components(frame(known)), frame(new)).collect()}[6] == 1
