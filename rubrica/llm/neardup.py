@@ -12,8 +12,11 @@ the shared shingles are common and the edits rare, so TF-IDF weights alone would
 Equal texts are one node from the start. In each bucket all members are compared with its most popular
 member. In buckets that still hold several components, a text's shingles that occur in no other such text
 bound its similarity to all of them: most are ruled out at once. The rest get 16, 1024, 65536, ... more centres
-until every pair across components that the bound allows was compared, so no candidate link between
-different texts is lost, while a group that is already one component costs no further pairs.
+until every pair across components that the bounds allow was compared, so no candidate link between
+different texts is lost, while a group that is already one component costs no further pairs. A pair's bound
+adds to the shingles that each text has alone a parity sketch of the others: two sketches differ in at most
+as many bits as the texts have differing shingles, so a pair it rules out has no link. The bound is exact at
+every length; it rules out little once texts differ in many more shingles than the sketch has bits (512).
 
 Defined results: each null text is a class of its own; wordless texts (the empty one too) are duplicates of
 equal texts only; repeated rows belong to one class; class_id is the least doc_id of the class (null if
@@ -23,6 +26,7 @@ all are null); an empty table gives no rows. Extra columns are ignored by classe
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,9 @@ from rubrica.llm.graph import components, merged
 
 SHINGLE, THRESHOLD, BANDS, ROWS, BUCKET_BITS = 5, 0.8, 10, 3, 20
 LOW = np.uint64((1 << 44) - 1)
-MEASURES = ("count", "weight", "count_in", "weight_in")
+SKETCH_WORDS = 8
+SKETCH = tuple(f"sketch{i}" for i in range(SKETCH_WORDS))
+MEASURES = ("count", "weight", "count_in", "weight_in", *SKETCH)
 
 
 def shingles(column: pa.Array, hasher: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -234,10 +240,10 @@ class NearDuplicates:
         return now.join(spread.select("band", "n"), "band")
 
     def shareable(self, members: DataFrame, texts: DataFrame) -> DataFrame:
-        """(node, count, weight, count_in, weight_in) of the members that can have a link at all.
+        """(node, *MEASURES) of the members that can have a link at all.
 
         *_in is the part of a text's shingles that occurs in another member too. No overlap exceeds it, so
-        the similarity to a text of size n is at most in / (size + n - in).
+        the similarity to a text of size n is at most in / (size + n - in). SKETCH holds their parities.
         """
         values, idf, threshold = self.values, self.idf, self.threshold
 
@@ -253,13 +259,21 @@ class NearDuplicates:
         found = stage(found, "shingles")
         common = found.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key", F.lit(1).alias("common"))
         inside = lambda c: F.sum(F.when(F.col("common").isNotNull(), c).otherwise(F.lit(0)))
-        sizes = found.join(common, "key", "left").groupBy("node").agg(F.count("*").alias("count"), F.sum("w").alias("weight"), inside(F.lit(1)).alias("count_in"), inside(F.col("w")).alias("weight_in"))
+        bit = F.expr("shiftleft(1L, cast(key & 63 as int))")
+        parity = [F.bit_xor(F.when(F.col("common").isNotNull() & F.expr(f"(key >> 6) & {SKETCH_WORDS - 1} = {i}"), bit).otherwise(F.lit(0))).alias(c) for i, c in enumerate(SKETCH)]
+        sizes = found.join(common, "key", "left").groupBy("node").agg(F.count("*").alias("count"), F.sum("w").alias("weight"), inside(F.lit(1)).alias("count_in"), inside(F.col("w")).alias("weight_in"), *parity)
         return sizes.where((F.col("count_in") >= threshold * F.col("count")) | (F.col("weight_in") >= (threshold - 1e-9) * F.col("weight")))
 
     def can_link(self, size: str, inner: str):
-        """Neither text's shareable part rules out the threshold."""
+        """Neither text's shareable part rules out the threshold, nor does what the two certainly differ in.
+
+        Sets of sizes m and n that differ in d have the similarity (m + n - d) / (m + n + d); no weight is below 1.
+        """
         reach = lambda a, b: F.col(f"{inner}_{a}") * (1 + 1 / self.threshold) - F.col(f"{size}_{a}") >= F.col(f"{size}_{b}") - 1e-6
-        return reach("x", "y") & reach("y", "x")
+        both, shared = (F.col(f"{c}_x") + F.col(f"{c}_y") for c in (size, inner))
+        bits = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in SKETCH])
+        close = both - shared + bits <= both * ((1 - self.threshold) / (1 + self.threshold)) + 1e-6
+        return reach("x", "y") & reach("y", "x") & close
 
     def classes(self) -> DataFrame:
         """(doc_id, node, label, class_id): a null text has no label and its own doc_id as class."""

@@ -56,6 +56,29 @@ def test_near_duplicates(docs, none):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["0", "3", "4", "5", "6", "7", "None", "None"] and kept.columns == docs.columns
 
 
+def test_large_near_copy_group_equals_all_pairs(spark):
+    """Copies with 0 to 12 replaced words: the classes are the components of every link among all pairs."""
+    import random
+
+    rng, base = random.Random(5), [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice([0, 1, 2, 3, 4, 6, 8, 12])):
+            words[at] = rng.choice(base + [f"new{i}"])
+        texts.append(" ".join(words))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    operator = neardup.NearDuplicates(frame)
+    hasher, idf = neardup.Words(operator.values), operator.idf.value
+    of = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if of[a] != of[b] and (texts[a] == texts[b] or neardup.similarity(texts[a], texts[b], idf, hasher) >= neardup.THRESHOLD):
+            lo, hi = sorted((of[a], of[b]))
+            of = [lo if x == hi else x for x in of]
+    assert {r.doc_id: r.class_id for r in operator.classes().collect()} == dict(enumerate(of))
+    assert 3 < len(set(of)) < 100
+
+
 def test_language(docs, none, spark):
     rows = [(i, ("der hund und die katze schlafen" if i % 2 else "the dog and the cat are sleeping") + f" x{i}", "de" if i % 2 else "en", "s") for i in range(60)]
     known = spark.createDataFrame([(*r, 1, 0.5, "x") for r in rows], SCHEMA)
