@@ -17,6 +17,7 @@ sorts first; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -25,13 +26,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubrica.llm.common import VECTOR_SCHEMA, crc_mod, stage, sum_vectors, table, task_id, vector_rows
+from rubrica.llm.common import VECTOR_SCHEMA, crc_mod, slices, stage, sum_vectors, table, task_id, vector_rows
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 PER_LANG, ROUNDS, CACHE, LONGEST = 1500, 3, 400_000, 32
 UNKNOWN = 1e-8
+#: Bytes of text whose words are held at a time; a longer single text is a step of its own.
+TEXT_BYTES = 1 << 22
 
 
 def load_pieces(path: str = VOCABULARY) -> list[str]:
@@ -149,29 +152,30 @@ class LanguageModel:
         def run(batches):
             langs, pieces, p = shared.value
             lattice, ids, logs = Lattice(pieces), {}, np.zeros((0, len(langs)))
-            for batch in batches:
-                lists = [words_of(t) for t in batch.column("text").to_pylist()]
-                for words in lists:
-                    for w in set(words).difference(ids):
-                        ids[w] = len(ids)
-                new = list(ids)[len(logs) :]
-                if new:
-                    logs = np.concatenate([logs, lattice.log_words(new, p)])
-                pred, score = [], []
-                for words in lists:
-                    if not words or not langs:
-                        pred.append("und")
-                        score.append(0.0)
-                        continue
-                    total = logs[[ids[w] for w in words]].sum(0)
-                    total = np.exp(total - total.max())
-                    best = int(total.argmax())
-                    pred.append(langs[best])
-                    score.append(float(total[best] / total.sum()))
-                columns = [batch.column(c) for c in keep]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
-                if len(ids) > CACHE:
-                    ids, logs = {}, np.zeros((0, len(langs)))
+            for whole in batches:
+                for batch in slices(whole, "text", TEXT_BYTES):
+                    lists = [words_of(t) for t in batch.column("text").to_pylist()]
+                    for words in lists:
+                        for w in set(words).difference(ids):
+                            ids[w] = len(ids)
+                    new = list(itertools.islice(ids, len(logs), None))
+                    if new:
+                        logs = np.concatenate([logs, lattice.log_words(new, p)])
+                    pred, score = [], []
+                    for words in lists:
+                        if not words or not langs:
+                            pred.append("und")
+                            score.append(0.0)
+                            continue
+                        total = logs[[ids[w] for w in words]].sum(0)
+                        total = np.exp(total - total.max())
+                        best = int(total.argmax())
+                        pred.append(langs[best])
+                        score.append(float(total[best] / total.sum()))
+                    columns = [batch.column(c) for c in keep]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+                    if len(ids) > CACHE:
+                        ids, logs = {}, np.zeros((0, len(langs)))
 
         schema = ", ".join(f"`{c}` {fields[c]}" for c in keep) + ", lang_pred string, score double"
         return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
