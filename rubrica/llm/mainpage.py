@@ -5,10 +5,12 @@ within menus, headers, footers, sidebars, notices, adverts, forms and comment se
 class or id) weigh nothing and are never kept, and where the page marks its article (article, or main
 without one) everything outside it counts as such. Weights are summed over sliding windows of lines. A run starts
 at a surge (a window sum that leaves zero and reaches the threshold) and ends at a dive (a window of no weight);
-the text between the first surge and the last dive of the heaviest run group is kept.
+lines outside the runs are not kept.
 
-Short paragraphs at the edge of a run stay: a run is widened to all weighted lines that touch it. Runs are joined
-if no more than a window of weightless lines divides them; on a marked article all runs count.
+Short paragraphs at the edge of a run stay: a run is widened to all weighted lines that touch it. The marking is a
+weight: each line with text of its own in a marked article weighs SURGE more, so it surges by itself, and a dive there
+is a window of links. Links before the first or after the last run of the article stay unless they fill a window.
+An article of links alone has no surge and stays whole.
 
 Defined results: a null, empty or textless page has empty text and 0 characters; unclosed elements end with their
 parent or at the next block; repeated rows give a row each; an empty table gives no rows; extra columns are
@@ -173,16 +175,19 @@ def main_text(page: str | None) -> str:
     in_article = [line for line in lines if line[3] and line[2]]
     article = bool(in_article)
     kept = [line[2] and (line[3] or not article) for line in lines]
-    weights = [len(t) - linked if k and linked < 0.5 * len(t) else 0 for (t, linked, _, _), k in zip(lines, kept, strict=True)]
-    runs = surges(weights, surge=1 if article else SURGE)
-    if not runs:
-        return "\n".join(t for (t, _, _, _), k in zip(lines, kept, strict=True) if k) if article else ""
-    if not article:
-        runs = [max(runs, key=lambda r: (r[2], -r[0]))]
-    first, end = runs[0][0], runs[-1][1]
-    if article:  # everything in the marked article, short and linked lines too
-        first, end = 0, len(lines)
-    return "\n".join(lines[i][0] for i in range(first, end) if kept[i])
+    if article:
+        lines, kept = in_article, [True] * len(in_article)
+    weights = [len(t) - linked + SURGE * article if k and linked < 0.5 * len(t) else 0 for (t, linked, _, _), k in zip(lines, kept, strict=True)]
+    runs = [(first, end) for first, end, _ in surges(weights)]
+    if article:
+        runs = runs or [(0, len(lines))]
+        if runs[0][0] < WINDOW:
+            runs[0] = (0, runs[0][1])
+        if len(lines) - runs[-1][1] < WINDOW:
+            runs[-1] = (runs[-1][0], len(lines))
+    else:
+        runs = [r[:2] for r in [max(surges(weights), key=lambda r: (r[2], -r[0]), default=None)] if r]
+    return "\n".join(lines[i][0] for first, end in runs for i in range(first, end) if kept[i])
 
 
 def extract(pages: DataFrame) -> DataFrame:

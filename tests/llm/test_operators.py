@@ -162,6 +162,15 @@ def test_pages(spark):
     assert mainpage.extract(rows.limit(0)).isEmpty()
 
 
+def test_surges_choose_lines_of_marked_pages():
+    """A window of links is a dive inside <article> too; fewer links, and an article of links alone, stay."""
+    links = lambda n: "<ul>" + "".join(f"<li><a href={i}>Link {i}</a></li>" for i in range(n)) + "</ul>"
+    body = "<article><h1><a href=x>Title</a></h1><p>One.</p>{}<p>Two.</p>{}</article>"
+    assert mainpage.main_text(body.format(links(4), links(3))) == "Title\nOne.\nTwo."
+    assert mainpage.main_text(body.format(links(2), links(1))) == "Title\nOne.\nLink 0\nLink 1\nTwo.\nLink 0"
+    assert mainpage.main_text(f"<main>{links(3)}</main>") == "Link 0\nLink 1\nLink 2"
+
+
 def test_substrings(spark, none):
     passage = " ".join(f"Word{i} goes here and there again." for i in range(12))
     rows = [(3, f"Own start one.\n{passage}\nOwn end three."), (1, f"Else entirely.\n{passage}"), (2, None), (4, ""), (5, "A. B. C."), (6, "A. B. C."), (1, f"Else entirely.\n{passage}")]
