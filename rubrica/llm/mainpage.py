@@ -5,9 +5,11 @@ within menus, headers, footers, sidebars, notices, adverts, forms and comment se
 class or id) weigh nothing and are never kept, and where the page marks its article (article, or main
 without one) everything outside it counts as such. Weights are summed over sliding windows of lines. A run starts
 at a surge (a window sum that leaves zero and reaches the threshold) and ends at a dive (a window of no weight);
-lines outside the runs are not kept.
+lines outside the runs are not kept. Dropped lines are no distance: windows and runs reach across them.
 
-Short paragraphs at the edge of a run stay: a run is widened to all weighted lines that touch it. The marking is a
+Short paragraphs at the edge of a run stay: a run is widened to all weighted lines that touch it. Without a marked
+article the heaviest run names the container (the innermost one of CONTAINERS around all its lines), and every run in
+it that surges is kept, with the short ones between them; if no window reaches SURGE, any text surges. The marking is a
 weight: each line with text of its own in a marked article weighs SURGE more, so it surges by itself, and a dive there
 is a window of links. Links before the first or after the last run of the article stay unless they fill a window.
 An article of links alone has no surge and stays whole.
@@ -32,6 +34,7 @@ WINDOW, SURGE = 3, 40
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+CONTAINERS = frozenset("article body center div html main td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math object xmp noembed noframes".split())
 DROPPED = RAW | frozenset("nav header footer aside form button select option menu dialog fieldset label head audio video canvas".split())
@@ -63,19 +66,21 @@ def unwanted(name: str, raw: str, depth_in_article: bool) -> bool:
     return any(w != "header" or not depth_in_article for w in found)
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, link characters, kept, inside a marked article) of each line."""
-    lines: list[tuple[str, int, bool, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, bool, bool, tuple[int, ...]]]:
+    """(text, link characters, kept, inside a marked article, open containers) of each line."""
+    lines: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []
     stack: list[tuple[str, bool]] = []
+    opened: list[tuple[int, int]] = []  # place in the stack and number of each open container
     text: list[str] = []
-    linked = 0
+    linked = numbers = 0
     dropped = marked = links = 0
 
     def flush() -> None:
         nonlocal linked
         joined = SPACE.sub(" ", html.unescape("".join(text))).strip()
         if joined:
-            lines.append((joined, linked, not dropped, marked > 0))
+            within = opened[:-1] if opened and opened[-1][0] == len(stack) - 1 else opened  # a div that holds only this line is its block
+            lines.append((joined, linked, not dropped, marked > 0, tuple(number for _, number in within)))
         text.clear()
         linked = 0
 
@@ -83,6 +88,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         nonlocal dropped, marked, links
         while len(stack) > upto:
             name, bad = stack.pop()
+            if opened and opened[-1][0] == len(stack):
+                opened.pop()
             dropped -= bad
             marked -= name in ("article", "main")
             links -= name == "a"
@@ -137,6 +144,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if m[3].rstrip().endswith("/") and name not in BLOCKS:
             continue
+        if name in CONTAINERS:
+            numbers += 1
+            opened.append((len(stack), numbers))
         stack.append((name, bad))
         dropped += bad
         marked += name in ("article", "main")
@@ -168,26 +178,36 @@ def surges(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> list
     return runs
 
 
+def shared(paths: list[tuple[int, ...]]) -> tuple[int, ...]:
+    """The containers that all lines are in."""
+    low, high = min(paths), max(paths)
+    return low[: next((i for i, (x, y) in enumerate(zip(low, high, strict=False)) if x != y), min(len(low), len(high)))]
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    lines = lines_of(page)
-    in_article = [line for line in lines if line[3] and line[2]]
+    lines = [line for line in lines_of(page) if line[2]]
+    in_article = [line for line in lines if line[3]]
     article = bool(in_article)
-    kept = [line[2] and (line[3] or not article) for line in lines]
-    if article:
-        lines, kept = in_article, [True] * len(in_article)
-    weights = [len(t) - linked + SURGE * article if k and linked < 0.5 * len(t) else 0 for (t, linked, _, _), k in zip(lines, kept, strict=True)]
-    runs = [(first, end) for first, end, _ in surges(weights)]
+    lines = in_article or lines
+    weights = [len(t) - linked + SURGE * article if linked < 0.5 * len(t) else 0 for t, linked, *_ in lines]
+    surged = surges(weights) or surges(weights, surge=1)
+    runs = [(first, end) for first, end, _ in surged]
     if article:
         runs = runs or [(0, len(lines))]
         if runs[0][0] < WINDOW:
             runs[0] = (0, runs[0][1])
         if len(lines) - runs[-1][1] < WINDOW:
             runs[-1] = (runs[-1][0], len(lines))
-    else:
-        runs = [r[:2] for r in [max(surges(weights), key=lambda r: (r[2], -r[0]), default=None)] if r]
-    return "\n".join(lines[i][0] for first, end in runs for i in range(first, end) if kept[i])
+    elif runs:
+        paths = [line[4] for line in lines]
+        first, end, _ = max(surged, key=lambda r: (r[2], -r[0]))
+        inside = shared(paths[first:end])
+        within = lambda r: all(p[: len(inside)] == inside for p in paths[r[0] : r[1]])
+        reach = [r for r in runs if within(r)]
+        runs = [r[:2] for r in surges(weights, surge=1) if reach[0][0] <= r[0] and r[1] <= reach[-1][1] and within(r)]
+    return "\n".join(lines[i][0] for first, end in runs for i in range(first, end))
 
 
 def extract(pages: DataFrame) -> DataFrame:

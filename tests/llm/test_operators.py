@@ -171,6 +171,18 @@ def test_surges_choose_lines_of_marked_pages():
     assert mainpage.main_text(f"<main>{links(3)}</main>") == "Link 0\nLink 1\nLink 2"
 
 
+def test_unmarked_articles_stay_whole():
+    """Dropped blocks, lists of links and shortness take no paragraph of an article that no element marks."""
+    said = [f"Paragraph {i} of the article says something of its own." for i in range(6)]
+    paragraphs = lambda a, b: "".join(f"<p>{t}</p>" for t in said[a:b])
+    related = "<ul{}>" + "".join(f"<li><a href={i}>Elsewhere {i}</a></li>" for i in range(3)) + "</ul>"
+    other = "<div><p>Another block beyond it which has a text as long as this.</p></div>"
+    for between in (related.format(" class=related"), related.format(""), "<div class=ad><p>Buy.</p><p>Now.</p><p>It is cheap and good.</p></div>"):
+        page = f"<body><div>{related.format('')}</div><div>{paragraphs(0, 2)}{between}<p>Short.</p>{between}{paragraphs(2, 6)}</div><div>{related.format('')}</div>{other}</body>"
+        assert mainpage.main_text(page) == "\n".join([*said[:2], "Short.", *said[2:]])
+    assert mainpage.main_text("<body><nav><a href=x>Home</a></nav><p>Back soon.</p></body>") == "Back soon."
+
+
 def test_substrings(spark, none):
     passage = " ".join(f"Word{i} goes here and there again." for i in range(12))
     rows = [(3, f"Own start one.\n{passage}\nOwn end three."), (1, f"Else entirely.\n{passage}"), (2, None), (4, ""), (5, "A. B. C."), (6, "A. B. C."), (1, f"Else entirely.\n{passage}")]
