@@ -1,81 +1,93 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into units: sentences (ended by . ! ? and white space, or by a line break), those of more than
-MAX_WORDS words cut after every MAX_WORDS words. Every run of RUN consecutive units of at least MIN_CHARS
-characters is hashed; runs are compared over all documents, and every unit covered by a run that occurred
-before (by doc_id, then row, then position) is removed. Runs are hashed without the white space between units.
-A passage of over 50 words has at least RUN whole units, wherever it stands between unit ends.
+A text is cut into units: sentences (ended by . ! ? and white space, or by a line break), those of more
+than MAX_WORDS words cut after every MAX_WORDS words. White space is
+that of ASCII. A run is the fewest consecutive units that are RUN at least, hold MIN_CHARS characters and LEAST words,
+where a unit counts as SENTENCE words at least (so three sentences suffice, pieces of sentences need LEAST words);
+it is taken from each unit on and up to each unit, so every stretch of units that is long enough is covered. Runs are
+hashed by their words and compared over all documents; every unit covered by a run that occurred before (by doc_id,
+then row, then position) is removed.
 
 Counting is combined before the shuffle, so a passage in a third of all rows costs one row a task; marks go
 back by a join that Spark may split.
 
-Defined results: null stays null, texts of fewer than RUN units are left alone, and so are all texts if nothing
+Defined results: null stays null, texts too short for a run are left alone, and so are all texts if nothing
 repeats; repeated rows lose all repeated runs but in the first row; null ids come first; an empty table gives no
 rows; extra columns are ignored by remove_repeats(); texts are taken whole.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubrica.llm.common import ROOT, mix, stage, table
-
-RUN, MAX_WORDS, MIN_CHARS = 3, 16, 40
-BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
-WORD = re.compile(r"\S+")
-
-
-def units_of(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the units of a text, without the white space around them."""
-    out, at = [], 0
-
-    def cut(a: int, b: int) -> None:
-        if text.count(" ", a, b) < MAX_WORDS and text.find("\t", a, b) < 0:
-            out.append((a, b))
-            return
-        words = [m.span() for m in WORD.finditer(text, a, b)]
-        out.extend((words[i][0], words[min(i + MAX_WORDS, len(words)) - 1][1]) for i in range(0, len(words), MAX_WORDS))
-
-    for m in BREAK.finditer(text):
-        if m.start() > at:
-            cut(at, m.start())
-        at = m.end()
-    if at < len(text):
-        cut(at, len(text))
-    return out
-
-
-def runs_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first unit) of every run that counts."""
-    units = units_of(text)
-    n = len(units) - RUN + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    h = np.array([xxhash.xxh3_64_intdigest(text[a:b]) for a, b in units], np.uint64)
-    size = np.cumsum([0, *(b - a for a, b in units)])
-    total = np.zeros(n, np.uint64)
-    for j in range(RUN):
-        total = total * ROOT + h[j : n + j]
-    at = np.flatnonzero(size[RUN:] - size[:-RUN] >= MIN_CHARS)
-    return mix(total)[at].view(np.int64), at.astype(np.int32)
-
-
-def cut(text: str, starts: list[int]) -> tuple[str, int, int]:
-    """The text without the units covered by the runs at these units; units in all, units removed."""
-    units = units_of(text)
-    gone = {u for s in starts for u in range(s, s + RUN)}
-    kept, out = [i for i in range(len(units)) if i not in gone], []
-    for i, j in zip(kept, [*kept[1:], None][: len(kept)], strict=True):
-        a, b = units[i]
-        gap = "" if j is None else text[b : units[i + 1][0]] if j == i + 1 else "\n" if "\n" in text[b : units[j][0]] else " "
-        out.append(text[a:b] + gap)
-    return "".join(out), len(units), len(gone)
+from rubrica.llm.common import Words, byte_table, flat_text, mix, slices, space_bytes, stage, table
+
+RUN, MIN_CHARS, MAX_WORDS, LEAST, SENTENCE = 3, 40, 16, 20, 7
+SPAN_BITS = 6  # a run has MIN_CHARS units at most
+
+
+class Units:
+    """Units and runs of the rows of a slice."""
+
+    def __init__(self) -> None:
+        values = byte_table(space_bytes(), 5)
+        values[65:91] = np.random.default_rng(6).integers(1, 2**63, 26, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.words = Words(values)
+        self.ends = np.isin(np.arange(256), list(b".!?"))
+
+    def __call__(self, column: pa.Array) -> None:
+        self.data, offsets = flat_text(column)
+        self.hashes, starts, ends, first, counts = self.words.hashes(self.data, offsets)
+        n = len(starts)
+        lines = np.cumsum(self.data == 10)
+        stop = self.ends[self.data[ends - 1]]
+        if n > 1:
+            stop[:-1] |= lines[starts[1:]] > lines[ends[:-1] - 1]
+        stop[(first + counts - 1)[counts > 0]] = True
+        sentence = np.cumsum(stop) - stop
+        place = np.arange(n) - np.searchsorted(sentence, sentence)
+        self.last = np.flatnonzero(stop | (place % MAX_WORDS == MAX_WORDS - 1))  # last word of each unit
+        self.first = np.append(0, self.last[:-1] + 1)[: len(self.last)]
+        self.starts, self.ends_at = starts[self.first], ends[self.last]
+        self.row_first = np.searchsorted(self.first, first)
+        self.row_counts = np.diff(np.append(self.row_first, len(self.first)))
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, row, first unit in the row and number of units) of every run."""
+        n = len(self.first)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(self.row_counts)), self.row_counts)
+        low, high = self.row_first[row], (self.row_first + self.row_counts)[row]
+        chars = np.append(0, np.cumsum(self.ends_at - self.starts))
+        words = np.append(0, np.cumsum(np.maximum(self.last - self.first + 1, SENTENCE)))
+        unit = np.arange(n)
+        end = np.maximum(np.maximum(np.searchsorted(chars, chars[:-1] + MIN_CHARS), np.searchsorted(words, words[:-1] + LEAST)), unit + RUN)
+        begin = np.minimum(np.minimum(np.searchsorted(chars, chars[1:] - MIN_CHARS, "right"), np.searchsorted(words, words[1:] - LEAST, "right")) - 1, unit + 1 - RUN)
+        on, back = end <= high, begin >= low
+        back[back] &= end[begin[back]] != unit[back] + 1  # that run is taken from its first unit on
+        a, b = np.concatenate([unit[on], begin[back]]), np.concatenate([end[on], unit[back] + 1])
+        sums = np.append(np.uint64(0), np.cumsum(mix(self.hashes) * self.words.powers[: len(self.hashes)]))
+        from_, to = self.first[a], self.last[b - 1] + 1
+        h = mix((sums[to] - sums[from_]) * self.words.inverses[from_] + (to - from_).astype(np.uint64))
+        return h.view(np.int64), row[a], (a - low[a]) << SPAN_BITS | (b - a)
+
+    def without(self, r: int, runs: list[int]) -> tuple[str, int]:
+        """The text of a row without the units of these runs; the number of units removed."""
+        base, n = int(self.row_first[r]), int(self.row_counts[r])
+        gone = np.zeros(n, bool)
+        for x in runs:
+            gone[x >> SPAN_BITS : (x >> SPAN_BITS) + (x & (1 << SPAN_BITS) - 1)] = True
+        kept = np.flatnonzero(~gone).tolist()
+        starts, ends, data, out = self.starts, self.ends_at, self.data, []
+        for i, j in zip(kept, [*kept[1:], None][: len(kept)], strict=True):
+            a, b = starts[base + i], ends[base + i]
+            gap = b"" if j is None else bytes(data[b : starts[base + j]])
+            out.append(bytes(data[a:b]) + (gap if j is None or j == i + 1 else b"\n" if b"\n" in gap else b" "))
+        return b"".join(out).decode(), int(gone.sum())
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
@@ -94,20 +106,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = with_row_key(docs)
 
     def emit(batches):
-        for batch in batches:
-            owners, hashes, places = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                if text:
-                    h, at = runs_of(text)
-                    owners.append(np.full(len(h), i))
-                    hashes.append(h)
-                    places.append(at)
-                if sum(map(len, hashes)) > 500_000 or i + 1 == batch.num_rows:
-                    take = pa.array(np.concatenate(owners) if owners else np.zeros(0, np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), batch.column("doc_id").take(take), batch.column("uid").take(take), pa.array(np.concatenate(places))], ["h", "doc_id", "uid", "at"])
-                    owners, hashes, places = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-
-    runs = rows.mapInArrow(emit, f"h long, doc_id {id_type}, uid long, at int")
+        units = Units()
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                units(batch.column("text"))
+                h, row, at = units.runs()
+                for i in range(0, len(h), 500_000):
+                    take = pa.array(row[i : i + 500_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 500_000]), batch.column("doc_id").take(take), batch.column("uid").take(take), pa.array(at[i : i + 500_000])], ["h", "doc_id", "uid", "at"])
+
+    runs = rows.mapInArrow(emit, f"h long, doc_id {id_type}, uid long, at long")
     least = F.min(F.struct("doc_id", "uid", "at"))
     repeated = runs.groupBy("h").agg(least.alias("first"), F.count("*").alias("n")).where("n > 1").select("h", F.col("first.uid").alias("first_uid"), F.col("first.at").alias("first_at"))
     repeated = stage(repeated, "repeated")
@@ -115,10 +123,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     marks = stage(marks.groupBy("uid").agg(F.collect_list("at").alias("starts")), "marks")
 
     def remove(batches):
-        for batch in batches:
-            got = [(None, 0, 0) if t is None else cut(t, s or []) for t, s in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True)]
-            got = [(t if not n else c, u, n) for (c, u, n), t in zip(got, batch.column("text").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())], ["doc_id", "text", "n_units", "n_removed"])
+        units = Units()
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                units(batch.column("text"))
+                texts, removed = batch.column("text").to_pylist(), [0] * batch.num_rows
+                for i, runs in enumerate(batch.column("starts").to_pylist()):
+                    if runs:
+                        texts[i], removed[i] = units.without(i, runs)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(units.row_counts.astype(np.int64)), pa.array(removed, pa.int64())], ["doc_id", "text", "n_units", "n_removed"])
 
     return rows.join(marks, "uid", "left").select("doc_id", "text", "starts").mapInArrow(remove, f"doc_id {id_type}, text string, n_units long, n_removed long")
 

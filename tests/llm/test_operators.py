@@ -192,6 +192,18 @@ def test_substrings(spark, none):
     assert substrings.remove_repeats(none).isEmpty()
 
 
+def removed_of(spark, *texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.text for r in substrings.remove_repeats(frame).collect()}
+
+
+def test_repeats_of_short_sentences_are_removed(spark):
+    """A passage of one-word sentences goes wholly, though three of them are under MIN_CHARS."""
+    passage = " ".join(f"Q{i}x!!" for i in range(50))
+    got = removed_of(spark, f"Begin with own words here.\n{passage}\nAnd own end.", f"Other lead in.\n{passage}\nOther end.")
+    assert got[1] == "Other lead in.\nOther end."
+
+
 def test_quality(spark, docs, none):
     good = [(i, f"The plain sentence number {i} reads well and ends here. " * 3) for i in range(200)]
     bad = [(i + 200, f"zz### {i}%%% qq!!! ZZZ!! $$$ " * 12) for i in range(60)]
