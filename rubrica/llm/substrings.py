@@ -1,13 +1,16 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into units: sentences (ended by . ! ? and white space, or by a line break), those of more
-than MAX_WORDS words cut after every MAX_WORDS words. White space is
+A text is cut into units: sentences (ended by . ! ? and white space, or by a line break), those of WINDOW words or
+more also cut at content-defined places: after the word of least hash in every window of WINDOW words. White space is
 that of ASCII. A run is the fewest consecutive units that are RUN at least, hold MIN_CHARS characters and LEAST words,
 where a unit counts as SENTENCE words at least (so three sentences suffice, pieces of sentences need LEAST words);
 it is taken from each unit on and up to each unit, so every stretch of units that is long enough is covered. Runs are
 hashed by their words and compared over all documents; every unit covered by a run that occurred before (by doc_id,
 then row, then position) is removed.
 
+Cuts inside a passage depend on its own words from its first to its last whole window, so a passage of 50 words has
+more than RUN whole units in common with its copy, wherever it stands: its ends lose at most WINDOW words each.
+
 Counting is combined before the shuffle, so a passage in a third of all rows costs one row a task; marks go
 back by a join that Spark may split.
 
@@ -25,10 +28,25 @@ from pyspark.sql import functions as F
 
 from rubrica.llm.common import Words, byte_table, flat_text, mix, slices, space_bytes, stage, table
 
-RUN, MIN_CHARS, MAX_WORDS, LEAST, SENTENCE = 3, 40, 16, 20, 7
+RUN, MIN_CHARS, WINDOW, LEAST, SENTENCE = 3, 40, 10, 20, 7
 SPAN_BITS = 6  # a run has MIN_CHARS units at most
 
 
+def minima(hashes: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+    """True at the word of least hash (the last of equal ones) of each window that lies in one sentence."""
+    out, n = np.zeros(len(hashes), bool), len(hashes) - WINDOW + 1
+    if n > 0:
+        least, at = hashes[:n].copy(), np.zeros(n, np.int64)
+        for j in range(1, WINDOW):
+            here = hashes[j : n + j]
+            less = here <= least
+            least[less] = here[less]
+            at[less] = j
+        whole = sentence[:n] == sentence[WINDOW - 1 :]
+        out[(at + np.arange(n))[whole]] = True
+    return out
+
+
 class Units:
     """Units and runs of the rows of a slice."""
 
@@ -48,8 +66,7 @@ class Units:
             stop[:-1] |= lines[starts[1:]] > lines[ends[:-1] - 1]
         stop[(first + counts - 1)[counts > 0]] = True
         sentence = np.cumsum(stop) - stop
-        place = np.arange(n) - np.searchsorted(sentence, sentence)
-        self.last = np.flatnonzero(stop | (place % MAX_WORDS == MAX_WORDS - 1))  # last word of each unit
+        self.last = np.flatnonzero(stop | minima(self.hashes, sentence))  # last word of each unit
         self.first = np.append(0, self.last[:-1] + 1)[: len(self.last)]
         self.starts, self.ends_at = starts[self.first], ends[self.last]
         self.row_first = np.searchsorted(self.first, first)

@@ -204,6 +204,17 @@ def test_repeats_of_short_sentences_are_removed(spark):
     assert got[1] == "Other lead in.\nOther end."
 
 
+def test_repeats_behind_other_lead_ins_are_removed(spark):
+    """51 words repeated inside a long sentence lose all but a window at each end, wherever they stand."""
+    passage = [f"p{i * 7919 % 1009}" for i in range(51)]
+    texts = [" ".join([f"a{n}x{i}" for i in range(n)] + passage + [f"z{n}x{i}" for i in range(20)]) for n in range(24)]
+    got = removed_of(spark, *texts)
+    assert got[0] == texts[0]
+    for n in range(1, 24):
+        left = got[n].split()
+        assert sum(w in passage for w in left) <= 2 * substrings.WINDOW and {w for w in texts[n].split() if w not in passage} <= set(left)
+
+
 def test_quality(spark, docs, none):
     good = [(i, f"The plain sentence number {i} reads well and ends here. " * 3) for i in range(200)]
     bad = [(i + 200, f"zz### {i}%%% qq!!! ZZZ!! $$$ " * 12) for i in range(60)]
