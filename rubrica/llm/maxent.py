@@ -7,9 +7,9 @@ class 0 to itself. Within a class, bias features only: P(w | class) = (c + 1) /
 
 Counts c cover every training document. Words are counted as 64-bit hashes per block of documents, joined with
 their global counts, and scoring meets each block with the counts of its own words only, so no vocabulary is
-broadcast. The class weights are trained on one position in SAMPLE of every training document, so what is
-gathered grows with the corpus: each task descends from the shared weights over its share of the positions,
-and the weights are averaged by their number, for EPOCHS rounds. Scoring works on numpy batches of sparse features.
+broadcast. The class clusters and weights are learned from every position of every training document: features are
+computed again from the staged texts in each pass, so none are stored. Each task descends from the shared weights over
+its share of the positions, and the weights are averaged by their number, for EPOCHS rounds. Scoring works on numpy batches of sparse features.
 
 Defined results: a null or empty text has one token, its end; held_out is false for a null id, which is not learned
 from; without training text all scores are 0; repeated rows give a row each, equal texts equal scores; an empty
@@ -25,12 +25,11 @@ from pyspark.sql import functions as F
 
 from rubrica.llm.common import VECTOR_SCHEMA, Words, byte_table, crc_mod, flat_text, mix, slices, space_bytes, stage, sum_vectors, table, task_id, vector_rows
 
-BLOCK_BYTES, SAMPLE, EPOCHS, CLASSES = 24 << 20, 8, 3, 32
+BLOCK_BYTES, EPOCHS, CLASSES = 24 << 20, 3, 32
 ENDINGS, CONTEXTS, TABLE, TABLES = 4096, 256, 4096, 5
 END_ENDING = ENDINGS
 RESERVED = np.uint64(0x5851F42D4C957F2D)
 PER_TASK = 500_000
-POSITION = 2 + TABLES  # ending of the word, ending of the last word, features
 
 
 class Tokens:
@@ -94,7 +93,7 @@ def blocked(docs: DataFrame) -> DataFrame:
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """Per block and task: (block, h, ending, n) of its words, and blobs of training positions."""
+    """Per block and task: (block, h, ending, n) of its words, staged."""
 
     def run(batches):
         tokens, held, block, seen = Tokens(), [], None, 0
@@ -110,7 +109,7 @@ def counted(rows: DataFrame) -> DataFrame:
         def out(block, got):
             keys, e, total = got
             m = len(keys)
-            return pa.RecordBatch.from_arrays([pa.array([block] * m, pa.int64()), pa.array(keys.view(np.int64)), pa.array(e), pa.array(total), pa.nulls(m, pa.binary())], ["block", "h", "ending", "n", "positions"])
+            return pa.RecordBatch.from_arrays([pa.array([block] * m, pa.int64()), pa.array(keys.view(np.int64)), pa.array(e), pa.array(total)], ["block", "h", "ending", "n"])
 
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
@@ -121,28 +120,27 @@ def counted(rows: DataFrame) -> DataFrame:
                         yield out(block, flush())
                         held, seen = [], 0
                     block, part = ids[a], batch.slice(a, b - a)
-                    hashes, endings, last, features, is_end, lengths = tokens(part.column("text"))
+                    hashes, endings, _, _, _, lengths = tokens(part.column("text"))
                     train = np.repeat(part.column("train").to_numpy(zero_copy_only=False).astype(bool), lengths)
-                    chosen = np.flatnonzero(train & (mix(hashes + np.arange(len(hashes), dtype=np.uint64)) % np.uint64(SAMPLE) == 0))
                     keys, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
                     held.append((keys, np.bincount(inverse, weights=train, minlength=len(keys)).astype(np.int64), endings[at]))
                     seen += len(keys)
                     if seen > 1_500_000:
                         k, e, t = flush()
                         held, seen = [(k, t, e)], len(k)
-                    if len(chosen):
-                        table_ = np.concatenate([endings[chosen, None], last[chosen, None], features[chosen] % TABLE], axis=1).astype(np.uint16)
-                        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([len(chosen)]), pa.array([table_.tobytes()], pa.binary())], ["block", "h", "ending", "n", "positions"])
         if held:
             yield out(block, flush())
 
-    return stage(rows.mapInArrow(run, "block long, h long, ending int, n long, positions binary"), "counted")
+    return stage(rows.mapInArrow(run, "block long, h long, ending int, n long"), "counted")
 
 
-def positions_of(batch: pa.RecordBatch) -> np.ndarray:
-    x = np.frombuffer(b"".join(batch.column("positions").to_pylist()), np.uint16).reshape(-1, POSITION).astype(np.int32)
-    x[:, 2:] += np.arange(TABLES, dtype=np.int32) * TABLE
-    return x
+def positions_of(batches):
+    """(endings, endings of the last words, features) of all positions of the texts, slice by slice."""
+    tokens = Tokens()
+    for whole in batches:
+        for batch in slices(whole, "text", 1 << 19):
+            _, endings, last, features, _, _ = tokens(batch.column("text"))
+            yield endings, last, features
 
 
 def learn_classes(samples: DataFrame, parts: int, classes: int = CLASSES) -> np.ndarray:
@@ -151,9 +149,8 @@ def learn_classes(samples: DataFrame, parts: int, classes: int = CLASSES) -> np.
 
     def count(batches):
         total = np.zeros(size, np.int64)
-        for batch in batches:
-            x = positions_of(batch)
-            total += np.bincount(x[:, 0].astype(np.int64) * CONTEXTS + x[:, 1] % CONTEXTS, minlength=size)
+        for endings, last, _ in positions_of(batches):
+            total += np.bincount(endings.astype(np.int64) * CONTEXTS + last % CONTEXTS, minlength=size)
         yield vector_rows(task_id(), total)
 
     seen = sum_vectors(samples.mapInArrow(count, VECTOR_SCHEMA), parts, size, "int64").reshape(-1, CONTEXTS)[:ENDINGS].astype(float)
@@ -208,16 +205,15 @@ def train(samples: DataFrame, parts: int, classes: np.ndarray, prior: np.ndarray
             w, squares, n, held = shared.value.copy(), np.zeros(shared.value.shape, np.float32), 0, []
 
             def step():
-                x = np.concatenate(held)
+                own, x = np.concatenate([e for e, _ in held]), np.concatenate([f for _, f in held])
                 held.clear()
-                descend(w, classes[x[:, 0]], x[:, 2:], squares, 0.3 / (1 + epoch))
+                descend(w, classes[own], x, squares, 0.3 / (1 + epoch))
                 return len(x)
 
-            for batch in batches:
-                x = positions_of(batch)
-                for i in range(0, len(x), 1 << 15):
-                    held.append(x[i : i + (1 << 15)])
-                    if sum(map(len, held)) >= 1 << 15:
+            for endings, _, features in positions_of(batches):
+                for i in range(0, len(endings), 1 << 15):
+                    held.append((endings[i : i + (1 << 15)], features[i : i + (1 << 15)]))
+                    if sum(len(e) for e, _ in held) >= 1 << 15:
                         n += step()
             if held:
                 n += step()
@@ -235,17 +231,14 @@ def score(docs: DataFrame) -> DataFrame:
     id_type = dict(docs.dtypes)["doc_id"]
     spark: SparkSession = docs.sparkSession
     rows = blocked(docs)
-    parts = counted(rows)
-    words = parts.where("h is not null").select("block", "h", "ending", "n")
+    words = counted(rows)
     vocabulary = words.groupBy("h").agg(F.sum("n").alias("c"), F.first("ending").alias("ending")).where("c > 0")
     vocabulary = stage(vocabulary, "vocabulary")
     by_ending = {r["ending"]: (r["n"], r["v"]) for r in vocabulary.groupBy("ending").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}  # at most ENDINGS + 1 rows
     total, distinct = sum(n for n, _ in by_ending.values()), sum(v for _, v in by_ending.values())
-    samples = parts.where("positions is not null").select("positions", "n")
-    n_samples = samples.agg(F.sum("n")).first()[0] or 0
-    if n_samples:
-        n_tasks = max(1, n_samples // PER_TASK)
-        samples = samples.select("positions").coalesce(n_tasks)
+    if total:
+        n_tasks = max(1, total // PER_TASK)
+        samples = rows.where("train").select("text").coalesce(n_tasks)
         classes = learn_classes(samples, n_tasks)
     else:
         classes = np.append(np.ones(ENDINGS, np.int64), 0)
@@ -254,7 +247,7 @@ def score(docs: DataFrame) -> DataFrame:
         n_class[classes[ending]] += n
         v_class[classes[ending]] += v
     prior = (n_class + 1) / (n_class + 1).sum()
-    weights = train(samples, n_tasks, classes, prior) if n_samples else np.zeros((TABLES * TABLE + 1, CLASSES), np.float32)
+    weights = train(samples, n_tasks, classes, prior) if total else np.zeros((TABLES * TABLE + 1, CLASSES), np.float32)
     model = spark.sparkContext.broadcast((classes, weights, n_class, v_class))
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:

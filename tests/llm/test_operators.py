@@ -238,6 +238,23 @@ def test_lm(docs, none):
     assert len(got) == len(ROWS) and maxent.score(none).isEmpty()
 
 
+def test_lm_learns_from_every_position(spark, monkeypatch):
+    """The class model sees each training token once a pass, as many as are counted, in short documents too."""
+    rows = spark.createDataFrame([(i, f"ab{i} cd ef") for i in range(40)], "doc_id long, text string").coalesce(1)
+    seen = []
+    learn = maxent.learn_classes
+
+    def spy(samples, parts, *how):
+        totals = maxent.sum_vectors
+        monkeypatch.setattr(maxent, "sum_vectors", lambda *a: seen.append(got := totals(*a)) or got)
+        return learn(samples, parts, *how)
+
+    monkeypatch.setattr(maxent, "learn_classes", spy)
+    tokens = maxent.score(rows).first().train_tokens
+    assert tokens == 4 * sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(40))
+    assert seen[0].sum() == tokens and [v[-1] for v in seen[1:]] == [tokens] * maxent.EPOCHS
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
