@@ -1,89 +1,164 @@
-"""Duplicate photos. images: (submission, ord, pos, key, sha256, phash), first means least (ord, pos)."""
+"""Duplicate photos. images: (submission, ord, pos, key, sha256, phash, path); first means least (ord, pos).
+
+greedy() has the answer of a sequential scan in which a photo is remembered only while its submission has no duplicate. Whether a photo repeats a
+remembered one depends on earlier photos only, so photos are settled in rounds: one that has a remembered neighbour before it is a duplicate, one that
+has no neighbour before it that may still be remembered is none. Neighbours meet through tables of the earliest photo of each content, hash, and
+hash within a directory, so a photo that a third of all submissions share costs one row in each of them, and no group is gathered in one task.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from functools import reduce
+from itertools import combinations
+from math import comb
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rubrica.functions.scalars import hamming
-from rubrica.plans.staging import stage
+from rubrica.functions.scalars import hamming, hash_bits, unequal_nibbles
+from rubrica.plans.staging import drop, stage
+
+
+def first_holder(images: DataFrame, by: list[str]) -> DataFrame:
+    """images with the submission that first held their bytes (within the columns `by`); null for the first itself."""
+    first = images.where("sha256 is not null").groupBy(*by).agg(F.min(F.struct("ord", "pos", "submission")).alias("first"))
+    is_first = (F.col("first.ord") == F.col("ord")) & (F.col("first.pos") == F.col("pos"))
+    return images.join(first, by, "left").withColumn("holder", F.when(~is_first, F.col("first.submission"))).drop("first")
 
 
 def exact(images: DataFrame) -> DataFrame:
     """Each image with the submission that first held its bytes; null for the first itself."""
-    first = images.where("sha256 is not null").groupBy("sha256").agg(F.min(F.struct("ord", "pos", "submission")).alias("first"))
-    joined = images.join(first, "sha256", "left")
-    is_first = (F.col("first.ord") == F.col("ord")) & (F.col("first.pos") == F.col("pos"))
-    return joined.withColumn("holder", F.when(~is_first, F.col("first.submission"))).drop("first")
+    return first_holder(images, ["sha256"])
 
 
 def in_directory(images: DataFrame) -> DataFrame:
     """As exact(), but only images of one directory key count."""
-    first = images.where("sha256 is not null").groupBy("key", "sha256").agg(F.min(F.struct("ord", "pos", "submission")).alias("first"))
-    joined = images.join(first, ["key", "sha256"], "left")
-    is_first = (F.col("first.ord") == F.col("ord")) & (F.col("first.pos") == F.col("pos"))
-    return joined.withColumn("holder", F.when(~is_first, F.col("first.submission"))).drop("first")
+    return first_holder(images, ["key", "sha256"])
 
 
-def blocks(threshold: int, length: int = 16) -> list[tuple[int, int]]:
-    """threshold + 1 pieces of a hash: two hashes within the threshold agree on one of them at least."""
-    n = threshold + 1
-    sizes = [length // n + (i < length % n) for i in range(n)]
-    return [(sum(sizes[:i]) + 1, s) for i, s in enumerate(sizes)]
+def blocks(threshold: int, pieces: int, length: int = 16) -> list[list[tuple[int, int]]]:
+    """Cut a hash into `pieces`; two hashes within the threshold agree on pieces - threshold of them at least.
 
+    Every choice of that many pieces, as (first character, size) each.
+    """
+    sizes = [length // pieces + (i < length % pieces) for i in range(pieces)]
+    spans = [(sum(sizes[:i]) + 1, s) for i, s in enumerate(sizes)]
+    return [list(c) for c in combinations(spans, pieces - threshold)]
 
-def near_pairs(images: DataFrame, threshold: int) -> DataFrame:
-    """(a_ord, a_pos, b_ord, b_pos, distance) of different hashes within the threshold, a before b.
 
-    Equal hashes are one row of the candidate join; pieces of two characters or fewer tell little apart, so
-    beyond 15 (no piece) the join would be no hash join and is refused.
+def best_blocks(threshold: int, n: int, length: int = 16) -> list[list[tuple[int, int]]]:
+    """The blocking of n hashes that costs least: rows of the candidate join plus the pairs expected of it."""
+
+    def cost(pieces: int) -> float:
+        chars = (length // pieces) * (pieces - threshold)
+        return comb(pieces, threshold) * (n + n * n / 16**chars)
+
+    return blocks(threshold, min(range(threshold + 1, length + 1), key=cost), length)
+
+
+def near_hashes(images: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, distance), a < b: all pairs of different hashes within the threshold.
+
+    Hashes meet in an equi-join on choices of their pieces, which loses no pair; how many pieces follows from the number of
+    hashes. Beyond a threshold of 15 of 16 characters everything matches; that is refused.
     """
     if threshold > 15:
         raise ValueError("a threshold above 15 of 16 characters matches everything")
-    hashes = images.where("phash is not null").select("phash").distinct()
-    piece = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.substring("phash", a, n).alias("v")) for i, (a, n) in enumerate(blocks(threshold))]))
-    cut = hashes.select("phash", piece.alias("k")).select("phash", "k.i", "k.v")
-    pairs = cut.alias("a").join(cut.alias("b"), ["i", "v"]).where("a.phash < b.phash").select(F.col("a.phash").alias("pa"), F.col("b.phash").alias("pb")).distinct()
-    close = pairs.withColumn("distance", hamming(F.col("pa"), F.col("pb"))).where(F.col("distance") <= threshold)
-    both = close.union(close.select(F.col("pb").alias("pa"), F.col("pa").alias("pb"), "distance"))
-    side = lambda x: images.select(F.col("ord").alias(f"{x}_ord"), F.col("pos").alias(f"{x}_pos"), F.col("submission").alias(f"{x}_submission"), F.col("phash").alias(f"p{x}"))
-    full = both.join(side("a"), "pa").join(side("b"), "pb")
-    return full.where("a_ord < b_ord or (a_ord = b_ord and a_pos < b_pos)").drop("pa", "pb")
+    hashes = stage(images.where("phash is not null").select("phash").distinct().withColumn("bits", hash_bits(F.col("phash"))), "hashes")
+    chosen = best_blocks(threshold, hashes.count())
+    keys = [F.concat(F.lit(f"{i}:"), *[F.substring("phash", a, n) for a, n in spans]) for i, spans in enumerate(chosen)]
+    cut = hashes.select("phash", "bits", F.explode(F.array(*keys)).alias("k"))
+    side = lambda x: cut.select("k", F.col("phash").alias(x), F.col("bits").alias(f"bits_{x}"))
+    quick = unequal_nibbles(F.col("bits_a"), F.col("bits_b"))
+    distance = F.when(F.col("bits_a").isNotNull() & F.col("bits_b").isNotNull(), quick).otherwise(hamming(F.col("a"), F.col("b")))
+    pairs = side("a").join(side("b"), "k").where("a < b").select("a", "b", distance.alias("distance"))
+    return pairs.where(F.col("distance") <= threshold).distinct()
 
 
-def greedy(images: DataFrame, threshold: int) -> DataFrame:
-    """(submission, ord, flagged): the sequential scan, in which a submission's photos are remembered only
-    while it has no duplicate. Only submissions tied by equal or near hashes are folded, one component a task."""
-    near = near_pairs(images, threshold).select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b"))
-    same = exact(images).where("sha256 is not null").groupBy("sha256").agg(F.min("ord").alias("a"), F.collect_set("ord").alias("all")).select("a", F.explode("all").alias("b"))
-    edges = stage(near.union(same).where("a != b").distinct(), "edges")
-    twice = images.groupBy("ord", "sha256").count().where("count > 1 and sha256 is not null").select("ord").distinct()
-    label = images.select("ord").distinct().withColumn("c", F.col("ord"))
-    both = edges.union(edges.select("b", "a")).toDF("a", "b")
+def near_pairs(images: DataFrame, threshold: int) -> DataFrame:
+    """(a_ord, a_pos, b_ord, b_pos, distance) of images with different hashes within the threshold, a before b."""
+    close = near_hashes(images, threshold)
+    both = close.union(close.select("b", "a", "distance"))
+    side = lambda x: images.select(F.col("ord").alias(f"{x}_ord"), F.col("pos").alias(f"{x}_pos"), F.col("submission").alias(f"{x}_submission"), F.col("phash").alias(x))
+    full = both.join(side("a"), "a").join(side("b"), "b")
+    return full.where("a_ord < b_ord or (a_ord = b_ord and a_pos < b_pos)").drop("a", "b")
+
+
+def tied(images: DataFrame, close: DataFrame) -> DataFrame:
+    """The images that share bytes, hash and directory, or a near hash with another one: only they can be duplicates.
+
+    Each carries its place `at` (ord, pos) and `who`, what a message tells of it.
+    """
+    rows = images.where("sha256 is not null").withColumn("at", F.struct("ord", "pos")).withColumn("who", F.struct("submission", "path"))
+    repeated = images.where("sha256 is not null").groupBy("sha256").count().where("count > 1").select("sha256")
+    same = images.where("sha256 is not null and phash is not null").groupBy("key", "phash").count().where("count > 1").select("key", "phash")
+    near = close.select(F.col("a").alias("phash")).union(close.select("b")).distinct()
+    mark = lambda df, name: df.withColumn(name, F.lit(True))
+    marked = rows.join(mark(repeated, "t1"), "sha256", "left").join(mark(same, "t2"), ["key", "phash"], "left").join(mark(near, "t3"), "phash", "left")
+    return marked.where("t1 or t2 or t3").select("submission", "ord", "pos", "key", "sha256", "phash", "at", "who")
+
+
+def before(state: DataFrame, by: list[str], name: str) -> DataFrame:
+    """(by, seen, may): the earliest remembered image of each group, and the earliest that may still be."""
+    some = state.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by]))
+    groups = some.groupBy(*by).agg(F.min(F.when(F.col("kept"), F.struct("at", "who"))).alias(f"{name}_seen"), F.min(F.when(F.col("kept").isNull(), F.col("at"))).alias(f"{name}_may"))
+    return groups
+
+
+def nearest(groups: DataFrame, edges: DataFrame, by: list[str], name: str) -> DataFrame:
+    """groups of before(by phash) seen from each hash of edges (phash, other, distance): what is near to it."""
+    seen = F.when(F.col(f"{name}_seen").isNotNull(), F.struct(F.col(f"{name}_seen.at").alias("at"), F.col(f"{name}_seen.who").alias("who"), "distance"))
+    joined = edges.join(groups.withColumnRenamed("phash", "other"), "other")
+    return joined.groupBy(*by).agg(F.min(seen).alias(f"{name}_seen"), F.min(f"{name}_may").alias(f"{name}_may"))
+
+
+def greedy_messages(images: DataFrame, threshold: int) -> DataFrame:
+    """(submission, ord, messages) of the submissions with duplicates: what each of their photos repeats, in order of the scan."""
+    close = stage(near_hashes(images, threshold), "close")
+    edges = close.select(F.col("a").alias("phash"), F.col("b").alias("other"), "distance").union(close.select("b", "a", "distance"))
+    rows = stage(tied(images, close), "tied")
+    hashes = rows.where("phash is not null").select("phash").distinct()
+    loops = edges.union(hashes.select("phash", F.col("phash").alias("other"), F.lit(0).alias("distance")))
+    state = rows.withColumn("hit", F.lit(None).cast("boolean")).withColumn("kept", F.lit(None).cast("boolean"))
+    old, done = None, False
     while True:
-        seen = both.join(label.withColumnRenamed("ord", "b"), "b").groupBy("a").agg(F.min("c").alias("s"))
-        new = stage(label.join(seen, label["ord"] == seen["a"], "left").select("ord", "c", F.least("c", F.coalesce("s", "c")).alias("n")), "labels")
-        label = new.select("ord", F.col("n").alias("c"))
-        if new.where("n != c").isEmpty():
+        content = before(state, ["sha256"], "content")
+        hashed = nearest(before(state, ["phash"], "hash"), edges, ["phash"], "hash")
+        placed = nearest(before(state, ["key", "phash"], "place"), loops, ["key", "phash"], "place")
+        seen = state.join(content, "sha256", "left").join(hashed, "phash", "left").join(placed, ["key", "phash"], "left")
+        earlier: dict[str, Column] = {n: F.coalesce(F.col(f"{n}_seen.at") < F.col("at"), F.lit(False)) for n in ("content", "hash", "place")}
+        found = earlier["content"] | earlier["hash"] | earlier["place"]
+        open_ = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"{n}_may") < F.col("at"), F.lit(False)) for n in earlier])
+        hit = F.coalesce("hit", F.when(found, True).when(~open_, False))
+        keep = [F.when(earlier[n], F.col(f"{n}_seen")).alias(f"{n}_seen") for n in earlier]
+        settled = seen.select("submission", "ord", "pos", "key", "sha256", "phash", "at", "who", hit.alias("hit"), *keep)
+        # A photo is remembered if no photo of its submission up to it is a duplicate.
+        own = settled.groupBy("submission", "ord").agg(F.min(F.when(F.col("hit"), F.col("pos"))).alias("first_hit"), F.min(F.when(F.col("hit").isNull(), F.col("pos"))).alias("first_open"))
+        kept = F.when(F.coalesce(F.col("pos") >= F.col("first_hit"), F.lit(False)), False).when(F.coalesce(F.col("pos") >= F.col("first_open"), F.lit(False)), None).otherwise(True)
+        now = settled.join(own, ["submission", "ord"]).withColumn("kept", kept.cast("boolean")).drop("first_hit", "first_open")
+        now = stage(now, "settled")
+        if old is not None:
+            drop(old)
+        if done:  # the last round names the first holders, with all photos settled
             break
-    tied = label.join(edges.select(F.col("a").alias("ord")).union(edges.select("b")).union(twice).distinct(), "ord", "left_semi")
-    rows = images.where("sha256 is not null").join(tied, "ord").select("c", "submission", "ord", "pos", "sha256", "phash")
-
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, out = {}, {}
-        for r in pdf.sort_values(["ord", "pos"]).itertuples():
-            flagged = out.get((r.submission, r.ord), False)
-            hit = r.sha256 in seen or any(p and r.phash and p != r.phash and len(p) == len(r.phash) and sum(x != y for x, y in zip(p, r.phash, strict=True)) <= threshold for p in seen.values())
-            flagged = flagged or hit
-            out[r.submission, r.ord] = flagged
-            if not flagged:
-                seen[r.sha256] = r.phash
-        return pd.DataFrame([(s, o, f) for (s, o), f in out.items()], columns=["submission", "ord", "flagged"])
-
-    folded = rows.groupBy("c").applyInPandas(fold, "submission long, ord long, flagged boolean")
-    everyone = images.select("submission", "ord").distinct()
-    return everyone.join(folded.select("ord", "flagged"), "ord", "left").select("submission", "ord", F.coalesce("flagged", F.lit(False)).alias("flagged"))
+        done = now.where("hit is null").isEmpty()
+        old, state = now, now.drop("content_seen", "hash_seen", "place_seen")
+    content = F.concat(F.lit("Image identical to submission "), F.col("content_seen.who.submission").cast("string"), F.lit(" (SHA256 match)"))
+    place = F.concat(
+        F.lit("Image similar to file in directory (pHash match (similarity score: "), F.format_string("%.1f", F.col("place_seen.distance").cast("double")), F.lit(")): "), F.col("place_seen.who.path")
+    )
+    near = F.concat(
+        F.lit("Image similar to submission "), F.col("hash_seen.who.submission").cast("string"), F.lit(" (pHash distance: "), F.col("hash_seen.distance").cast("string"), F.lit(f", threshold: {threshold})")
+    )
+    texts = F.when(F.col("content_seen").isNotNull(), F.array(content)).otherwise(F.array_compact(F.array(place, near)))
+    told = now.where("hit").select("submission", "ord", "pos", texts.alias("texts"))
+    return told.groupBy("submission", "ord").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "texts"))), lambda x: x["texts"])).alias("messages"))
+
+
+def greedy(images: DataFrame, threshold: int) -> DataFrame:
+    """(submission, ord, flagged) of every submission with images, by the sequential scan."""
+    found = greedy_messages(images, threshold).select("submission", "ord", F.lit(True).alias("flagged"))
+    return images.select("submission", "ord").distinct().join(found, ["submission", "ord"], "left").select("submission", "ord", F.coalesce("flagged", F.lit(False)).alias("flagged"))
 
 
 def against_target(images: DataFrame, sha256: str, phash: str, threshold: int) -> DataFrame:

@@ -1,57 +1,268 @@
-"""Judges behind one protocol, their answers as columns, one call for each distinct prompt."""
+"""Judges behind one protocol: prompts, calls with limits and a fallback, answers as columns.
+
+A provider is a function of (prompt, image bytes or None) that returns a text, or raises. judged() asks every distinct prompt once, from at
+most `max_concurrent` tasks, each with its share of the request limit; answers are written before they are joined back, so neither a
+second action nor a retried task of a later stage pays for a call again. Answers of earlier runs are taken from a cache table.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import random
+import re
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rubrica.config import EngineConfig, effective_limit
+from rubrica.functions import scalars as S
+from rubrica.functions.normalize import SPACES, strip
+from rubrica.operators.quota import Admission, Breaker
+from rubrica.plans.staging import exists, stage
+
+Provider = Callable[[str, bytes | None], str]
 # Answer keys, in order of trial on a line.
-PDF_KEYS = {"TITLE_MATCH:": "title_match", "EXPERT_DETAILS:": "expert_details", "LEARNING_OUTCOMES_ALIGN:": "learning_outcomes", "OBJECTIVES_MATCH:": "objectives", "PARTICIPANTS_VALID:": "participants", "REASONING:": "reasoning"}
-IMAGE_KEYS = {"HAS_BANNER:": "has_banner", "BANNER_TEXT_MATCHES:": "banner_text_matches", "IS_REAL_EVENT:": "is_real_event", "MODE_MATCHES:": "mode_matches", "PARTICIPANT_COUNT:": "participant_count", "HAS_15_PLUS_PARTICIPANTS:": "has_15_plus", "REASONING:": "reasoning"}
+PDF_KEYS = {
+    "TITLE_MATCH:": "title_match", "EXPERT_DETAILS:": "expert_details", "LEARNING_OUTCOMES_ALIGN:": "learning_outcomes",
+    "OBJECTIVES_MATCH:": "objectives", "PARTICIPANTS_VALID:": "participants", "REASONING:": "reasoning",
+}
+IMAGE_KEYS = {
+    "HAS_BANNER:": "has_banner", "BANNER_TEXT_MATCHES:": "banner_text_matches", "IS_REAL_EVENT:": "is_real_event", "MODE_MATCHES:": "mode_matches",
+    "PARTICIPANT_COUNT:": "participant_count", "HAS_15_PLUS_PARTICIPANTS:": "has_15_plus", "REASONING:": "reasoning",
+}
+CONSISTENCY_KEYS = {"TITLE_MATCH:": "title_match", "OBJECTIVES_MATCH:": "objectives", "LEARNING_MATCH:": "learning_outcomes", "PARTICIPANTS_VALID:": "participants"}
+REVIEW_KEYS = {
+    "TITLE_MATCH:": "title_match", "OBJECTIVES_MATCH:": "objectives", "LEARNING_MATCH:": "learning_outcomes", "EXPERT_DETAILS:": "expert_details",
+    "PARTICIPANTS_VALID:": "participants", "THEME_ALIGNMENT:": "theme_alignment", "REASONING:": "reasoning",
+}
+TEXT_FIELDS, NUMBER_FIELDS = {"reasoning"}, {"participant_count"}
+
+
+# --- answers ---
 
 
 def says_yes(answer: Column) -> Column:
     return F.coalesce(F.upper(answer).contains("YES"), F.lit(False))
 
 
+def line_pattern(keys: list[str], i: int, line: str) -> str:
+    """The last line that holds keys[i] and none of the keys before it, as one pattern; `line` matches the line itself."""
+    key = re.escape(keys[i])
+    earlier = "|".join(map(re.escape, keys[:i]))
+    return rf"(?s)^(?:.*\n)?{f'(?![^\n]*(?:{earlier}))' if earlier else ''}(?=[^\n]*{key}){line}(?=\n|\z)"
+
+
 def verdict(answer: Column, keys: dict[str, str]) -> Column:
-    """A struct of flags: a line belongs to the first key it contains, the last line of a key counts."""
-    lines = F.split(F.coalesce(answer, F.lit("")), "\n")
-    owner = lambda line: F.coalesce(*[F.when(line.contains(k), n) for k, n in keys.items()])
-    of = lambda name: F.filter(lines, lambda line: owner(line) == F.lit(name))
-    fields = []
-    for name in keys.values():
-        own = of(name)
-        last = F.try_element_at(own, F.lit(-1))
-        rest = F.regexp_replace(F.regexp_extract(last, r"(?s)^[^:]*:(.*)$", 1), r"^\s+|\s+$", "")
-        if name == "reasoning":
-            value = F.coalesce(rest, F.lit(""))
-        elif name == "participant_count":
-            counts = F.filter(F.transform(own, lambda x: F.regexp_replace(F.regexp_extract(x, r"(?s)^[^:]*:(.*)$", 1), r"^\s+|\s+$", "").try_cast("int")), lambda x: x.isNotNull())
-            value = F.coalesce(F.try_element_at(counts, F.lit(-1)), F.lit(0))
+    """A struct of flags: a line belongs to the first key it contains, the last line of a key counts.
+
+    The count is that of the last line whose text between its first two colons is a whole number, else 0. Where every line begins with its key and
+    has no other colon, as answers should, the lines are found by plain search; patterns serve the rest.
+    """
+    names, fields = list(keys), []
+    simple = answer.rlike(rf"\A(?:(?:{'|'.join(map(re.escape, names))})[^\n:]*(?:\n|\z))*\z")
+    for i, (key, name) in enumerate(keys.items()):
+        if name in NUMBER_FIELDS:
+            found = F.regexp_extract(answer, line_pattern(names, i, r"[^\n:]*:[^\S\n]*([+-]?\d+)[^\S\n]*(?::[^\n]*)?"), 1)
+            value = F.when(answer.contains(key), F.coalesce(found.try_cast("int"), F.lit(0))).otherwise(0)
         else:
-            value = F.coalesce(F.upper(last).contains("YES"), F.lit(False))
+            text = name in TEXT_FIELDS
+            quick = F.substring_index(F.substring_index(answer, key, -1), "\n", 1)
+            slow = F.regexp_extract(answer, line_pattern(names, i, r"[^\n:]*:([^\n]*)" if text else r"([^\n]*)"), 1)
+            line = F.when(~answer.contains(key), "").when(simple, quick).otherwise(slow)
+            value = F.coalesce(strip(line), F.lit("")) if text else says_yes(line)
         fields.append(value.alias(name))
     return F.struct(*fields)
 
 
-def stub_judge(prompt: str) -> str:
-    """The default judge: a fixed function of the prompt."""
+# --- prompts ---
+
+
+def given(c: Column, default: str = "not given") -> Column:
+    return F.when(c.isNull() | (c == ""), default).otherwise(c)
+
+
+def asked(task: str, facts: dict[str, Column], keys: dict[str, str] | None = None) -> Column:
+    """A prompt: the task, the named facts, and the lines that an answer must have."""
+    parts = [F.lit(task)]
+    for name, value in facts.items():
+        parts += [F.lit(f"\n{name}: "), value]
+    how = "\nAnswer with one word, YES or NO."
+    if keys:
+        kind = lambda n: "a short reason" if n in TEXT_FIELDS else "a whole number" if n in NUMBER_FIELDS else "YES or NO"
+        how = "\nAnswer in these lines only:\n" + "\n".join(f"{k} {kind(n)}" for k, n in keys.items())
+    return F.concat(*parts, F.lit(how))
+
+
+def theme_prompt(title: Column, objectives: Column, outcomes: Column, theme: Column) -> Column:
+    """Null for an empty theme: such a row fails without a call."""
+    facts = {"Theme": theme, "Title": title, "Objectives": objectives, "Learning outcomes": outcomes}
+    return F.when(theme != "", asked("Do the title, the objectives and the learning outcomes of this event fit its theme?", facts))
+
+
+def pdf_prompt(body: Column, title: Column, objectives: Column, outcomes: Column, participants: Column, config: EngineConfig = EngineConfig()) -> Column:
+    """One call for all five rules of a report, on the first text_chars characters; null without text."""
+    facts = {
+        "Expected title": given(title), "Expected objectives": given(objectives), "Expected learning outcomes": given(outcomes),
+        "Expected participants": given(participants.cast("string"), "15 at least"), "Report": F.substring(body, 1, config.text_chars),
+    }
+    return F.when(body != "", asked("Hold the report of this event against what is expected of it. Similar meaning suffices; 15 participants are needed.", facts, PDF_KEYS))
+
+
+def image_prompt(mode: Column, title: Column, theme: Column) -> Column:
+    facts = {"Expected mode": given(F.lower(mode)), "Title": given(title), "Theme": given(theme)}
+    return asked("Say what this photograph of the event shows: a banner, a real activity, the mode (online or offline), and how many people.", facts, IMAGE_KEYS)
+
+
+def consistency_prompt(body: Column, title: Column, objectives: Column, outcomes: Column, participants: Column, config: EngineConfig = EngineConfig()) -> Column:
+    """The narrower question of four flags, on the first legacy_text_chars characters."""
+    facts = {"Title": given(title), "Objectives": given(objectives), "Learning outcomes": given(outcomes), "Participants": given(participants.cast("string")), "Report": F.substring(body, 1, config.legacy_text_chars)}
+    return F.when(body != "", asked("Is the report consistent with these facts?", facts, CONSISTENCY_KEYS))
+
+
+def review_prompt(body: Column, title: Column, objectives: Column, outcomes: Column, theme: Column, config: EngineConfig = EngineConfig()) -> Column:
+    """The wider question of six flags and a reason, on the first legacy_text_chars characters."""
+    facts = {"Title": given(title), "Objectives": given(objectives), "Learning outcomes": given(outcomes), "Theme": given(theme), "Report": F.substring(body, 1, config.legacy_text_chars)}
+    return F.when(body != "", asked("Review the report against these facts and the theme.", facts, REVIEW_KEYS))
+
+
+# --- calls ---
+
+
+def limited(message: str, fallback: bool = False) -> bool:
+    """Whether an error message tells of a rate limit."""
+    return any(mark in message.lower() for mark in (S.FALLBACK_MARKS if fallback else S.PRIMARY_MARKS))
+
+
+def wait_after(message: str, attempt: int, fallback: bool = False) -> float:
+    """Python twin of scalars.backoff()."""
+    if not limited(message, fallback):
+        return 1.0
+    for pattern in S.FALLBACK_DELAYS if fallback else S.PRIMARY_DELAYS:
+        found = re.search(pattern, message, re.I)
+        if found and (delay := float(found[1]) + 0.5 * fallback) > 0:
+            return delay if fallback else max(delay, 5.0)
+    return min(2.0 * 2**attempt, 60.0)
+
+
+@dataclass
+class Client:
+    """One provider with its breaker, limiter and retries, and another client to fall back to."""
+
+    provider: Provider
+    config: EngineConfig = EngineConfig()
+    is_fallback: bool = False
+    fallback: Client | None = None
+    #: Tasks that share the request limit.
+    shares: int = 1
+    clock: Callable[[], float] = time.time
+    sleep: Callable[[float], None] = time.sleep
+    on_limit: Callable[[], None] | None = None
+
+    def __post_init__(self) -> None:
+        c = self.config
+        rpm = effective_limit(c.fallback_rpm, c.fallback_safety) if self.is_fallback else effective_limit(c.rpm, c.safety)
+        self.breaker = Breaker(c)
+        self.limiter = Admission(max(1, rpm // self.shares))
+        self.known: dict[str, str] = {}
+
+    def pause(self, prompt: str, image: bytes | None) -> None:
+        spread = random.uniform(self.config.jitter_low, self.config.jitter_high)
+        delay = self.limiter.delay(self.clock(), len(prompt) // 4 + 1000 * (image is not None)) * spread
+        if delay > 0:
+            self.sleep(delay)
+        self.limiter.record(self.clock())
+
+    def other(self, prompt: str, image: bytes | None) -> str | None:
+        return self.fallback.ask(prompt, None) if self.fallback and image is None else None
+
+    def ask(self, prompt: str, image: bytes | None = None) -> str | None:
+        """The answer, or null if no provider gives one; never raises for a failing provider."""
+        if image is None and prompt in self.known:
+            return self.known[prompt]
+        if not self.breaker.can_proceed(self.clock()):
+            return self.other(prompt, image)
+        self.pause(prompt, image)
+        for attempt in range(self.config.attempts):
+            if attempt and not self.breaker.can_proceed(self.clock()):
+                return self.other(prompt, image)
+            try:
+                answer = self.provider(prompt, image)
+            except Exception as error:  # any failure of a provider is data, not a failure of the job
+                message, last = str(error), attempt == self.config.attempts - 1
+                if limited(message, self.is_fallback):
+                    self.breaker.record(self.clock(), "limit")
+                    if not self.breaker.can_proceed(self.clock()):
+                        return self.other(prompt, image)
+                    if self.on_limit:
+                        self.on_limit()
+                    self.sleep(wait_after(message, attempt, self.is_fallback))
+                    self.pause(prompt, image)
+                elif not (last and self.is_fallback):
+                    self.sleep(1.0)
+                if last:
+                    if self.is_fallback:
+                        self.breaker.record(self.clock(), "limit" if limited(message, True) else "error")
+                    return self.fallback.ask(prompt, None) if self.fallback else None
+                continue
+            if not answer:
+                return None
+            answer = answer.strip(SPACES)
+            self.breaker.record(self.clock(), "success")
+            if image is None:
+                self.known[prompt] = answer
+            return answer
+        return None
+
+
+def stub_judge(prompt: str, image: bytes | None = None) -> str:
+    """The default provider: a fixed function of the prompt."""
     return "YES" if int(hashlib.sha256(prompt.encode()).hexdigest()[:8], 16) % 2 == 0 else "NO"
 
 
-def judged(df: DataFrame, prompt: str, judge: Callable[[str], str] = stub_judge, answer: str = "answer") -> DataFrame:
-    """df with the judge's answer; each distinct prompt is asked once, null and empty ones never."""
-    keys = df.where((F.col(prompt) != "")).select(F.col(prompt).alias("__prompt")).distinct()
+def stub_verdicts(prompt: str, image: bytes | None = None) -> str:
+    """A fixed function of the prompt that answers every key that the prompt asks for."""
+    seed = hashlib.sha256(prompt.encode() + (image or b"")).digest()
+    names = [k for keys in (PDF_KEYS, IMAGE_KEYS, CONSISTENCY_KEYS, REVIEW_KEYS) for k in keys if f"\n{k} " in prompt]
+    if not names:
+        return stub_judge(prompt)
+    value = lambda i, k: str(seed[i] % 40) if k == "PARTICIPANT_COUNT:" else "fixed" if k == "REASONING:" else ("YES", "NO")[seed[i] % 2]
+    return "\n".join(f"{k} {value(i, k)}" for i, k in enumerate(dict.fromkeys(names)))
+
+
+def judged(df: DataFrame, prompt: str, provider: Provider = stub_judge, answer: str = "answer", *, image: str | None = None, fallback: Provider | None = None, config: EngineConfig = EngineConfig(), cache: str | None = None) -> DataFrame:
+    """df with the answer to each row's prompt (and image, a binary column); null and empty prompts are never asked, failed ones have no answer.
+
+    cache is a folder of answers (key, answer) of text prompts: known ones are read from it, new ones appended to it.
+    """
+    kept, names = [F.col(f"`{c}`") for c in df.columns], {"key": "judge_key", "said": "judge_said"}
+    while any(n in df.columns for n in names.values()):
+        names = {k: f"{v}_" for k, v in names.items()}
+    key, said = names["key"], names["said"]
+    content = F.lit("") if image is None else F.coalesce(F.sha2(F.col(f"`{image}`"), 256), F.lit(""))
+    keyed = df.withColumn(key, F.when(F.col(f"`{prompt}`") != "", F.sha2(F.concat_ws("|", F.col(f"`{prompt}`"), content), 256)))
+    picture = F.lit(None).cast("binary") if image is None else F.col(f"`{image}`")
+    wanted = keyed.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(f"`{prompt}`").alias("prompt"), picture.alias("image"))
+    wanted = wanted.groupBy("key").agg(F.first("prompt").alias("prompt"), F.first("image").alias("image"))
+    known = None
+    if cache and exists(df.sparkSession, cache):
+        known = df.sparkSession.read.schema("key string, answer string").parquet(cache).dropDuplicates(["key"])
+        wanted = wanted.join(known, "key", "left_anti")
+    tasks = config.max_concurrent
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        second = Client(fallback, replace(config), is_fallback=True, shares=tasks) if fallback else None
+        client = Client(provider, config, fallback=second, shares=tasks)
         for pdf in batches:
-            pdf["__answer"] = [judge(p) for p in pdf["__prompt"]]
-            yield pdf
+            got = [client.ask(p, None if i is None else bytes(i)) for p, i in zip(pdf["prompt"], pdf["image"], strict=True)]
+            yield pd.DataFrame({"key": pdf["key"], "answer": pd.Series(got, dtype=object)})
 
-    answers = keys.mapInPandas(ask, "__prompt string, __answer string")
-    return df.join(answers, F.col(prompt) == F.col("__prompt"), "left").drop("__prompt").withColumnRenamed("__answer", answer)
+    fresh = stage(wanted.repartition(tasks, "key").mapInPandas(ask, "key string, answer string"), "answers")
+    if cache:
+        fresh.where("answer is not null").write.mode("append").parquet(cache)
+    answers = fresh if known is None else fresh.unionByName(known)
+    answers = answers.select(F.col("key").alias(key), F.col("answer").alias(said))
+    return keyed.join(answers, key, "left").select(*kept, F.col(said).alias(answer))

@@ -1,7 +1,9 @@
-"""Levels by hours and duration texts."""
+"""Levels by hours, event types and duration texts."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,14 @@ from rubrica.functions.normalize import no_nan
 
 # Hour range of each level.
 LEVELS = [(1, 2.0, 4.0), (2, 5.0, 8.0), (3, 9.0, 18.0), (4, 19.0, float("inf"))]
+# Event types of each level.
+EVENT_TYPES = {
+    1: ["Expert Talk", "Mentoring Session", "Exposure Visit"],
+    2: ["Seminar", "Workshop", "Conference", "Exposure Visit", "Panel Discussion", "Roundtable Discussion", "Networking Event"],
+    3: ["Boot Camp", "Workshop", "Exhibition/ Startup Showcase", "Demo Day", "Competition", "Hackathons", "Conference"],
+    4: ["Challenge", "Tech/ E-Fest", "Hackathon", "Competition", "Workshop", "Boot Camp", "Exhibition/ Startup Showcase"],
+}
+# Words taken out of a duration, in this order.
 UNITS = ["hours", "hour", "hrs", "hr", "minutes", "minute", "mins", "min", "h", "m"]
 
 
@@ -19,6 +29,14 @@ def level_of(hours: Column) -> Column:
     return out
 
 
+def level_by_type(event_type: Column, hours: Column, types: dict[int, list[str]] = EVENT_TYPES) -> Column:
+    """The first level that has both the event type and the hours; null if none has."""
+    h, out = no_nan(hours), F
+    for level, lo, hi in LEVELS:
+        out = out.when(event_type.isin(types[level]) & (h >= lo) & (h <= hi), level)
+    return out
+
+
 def level_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LEVELS, "level int, lo double, hi double").coalesce(1)
 
@@ -39,10 +57,8 @@ def in_level(level: Column, hours: Column) -> Column:
 
 def parse_hours(duration: Column) -> Column:
     """First number once unit words are taken out, one after the other; units are not converted."""
-    s = F.lower(duration)
-    for unit in UNITS:
-        s = F.replace(s, F.lit(unit), F.lit(""))
-    return F.regexp_extract(s, r"(\d+\.?\d*)", 1).try_cast("double")
+    bare = reduce(lambda s, unit: F.replace(s, F.lit(unit), F.lit("")), UNITS, F.lower(duration))
+    return F.regexp_extract(bare, r"(\d+\.?\d*)", 1).try_cast("double")
 
 
 def parse_hours_by_unit(duration: Column) -> Column:

@@ -1,263 +1,5 @@
 """All queries of the engine with their SQL for DuckDB."""
 
-from __future__ import annotations
+from rubrica.plans.queries import ORACLES, QUERIES, mapping, photos, quota, scoring
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from rubrica.functions import scalars as S
-from rubrica.operators import duplicates, judge, levels, mapping, quota, rules, score
-from rubrica.plans import bind, pipeline
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-WORDS = ["tion", "and"]  # words that the bound texts hold; the rubric's own lists are the defaults of the operators
-DAY = "https://storage.example.org/container"
-SUB = f"WITH s AS ({bind.DUCK_SUBMISSIONS})"
-IMG = f"WITH i AS ({bind.DUCK_IMAGES})"
-HOURS = "CASE WHEN h BETWEEN 2 AND 4 THEN 1 WHEN h BETWEEN 5 AND 8 THEN 2 WHEN h BETWEEN 9 AND 18 THEN 3 WHEN h >= 19 THEN 4 END"
-PARTS = "student_participants + faculty_participants"
-BASE = f"CASE WHEN event_driven IN (3, 4) THEN '{DAY}/uploads/institutes' ELSE '{DAY}' END"
-RESOLVED = "CASE WHEN {p} = '' THEN NULL WHEN {p} LIKE 'https://%' THEN {p} ELSE " + BASE + " || '/' || ltrim({p}, '/') END"
-PATHS = "concat_ws(',', " + ", ".join("CASE WHEN lower({p}) IN ('', '0', 'null', 'none', 'n/a') THEN NULL ELSE ".replace("{p}", p) + RESOLVED.replace("{p}", p) + " END" for p in ("photo1", "photo2")) + ")"
-
-
-def sub(name: str, oracle: str | None = None):
-    """A query over mapped submissions; h in the oracle is the duration in hours."""
-
-    def keep(fn):
-        QUERIES[name] = lambda spark, d: fn(bind.standard(spark, d))
-        if oracle:
-            ORACLES[name] = f"{SUB}, t AS (SELECT *, activity_duration AS h FROM s){"" if oracle.startswith(",") else " "}{oracle}"
-        return fn
-
-    return keep
-
-
-def query(name: str, oracle: str | None = None):
-    def keep(fn):
-        QUERIES[name] = fn
-        if oracle:
-            ORACLES[name] = oracle
-        return fn
-
-    return keep
-
-
-m = lambda field: F.col("m")[field]
-c = F.col
-
-# --- mapping ---
-sub("map_columns", "SELECT id, trim(activity_name) AS title, Objective AS objectives, benefit_learning AS learning_outcomes, event_theme AS theme, event_type, from_date AS event_date, financial_year AS year_type, session_type AS event_mode FROM t")(
-    lambda d: d.select("id", *[m(f).alias(f) for f in ("title", "objectives", "learning_outcomes", "theme", "event_type", "event_date", "year_type", "event_mode")])
-)
-sub("map_duration", "SELECT id, CAST(h AS VARCHAR) || 'h' AS duration FROM t")(lambda d: d.select("id", m("duration").alias("duration")))
-sub("participants_total", f"SELECT id, {PARTS} AS participants FROM t")(lambda d: d.select("id", m("participants").cast("int").alias("participants")))
-sub("derive_level", f"SELECT id, h AS hours, CAST({HOURS} AS INT) AS level FROM t")(lambda d: d.select("id", c("activity_duration").cast("double").alias("hours"), m("level").alias("level")))
-sub("level_range_join", "SELECT id, l.level FROM t LEFT JOIN (VALUES (1, 2.0, 4.0), (2, 5.0, 8.0), (3, 9.0, 18.0), (4, 19.0, 1e308)) l(level, lo, hi) ON h BETWEEN lo AND hi")(
-    lambda d: levels.level_join(d.withColumn("hours", c("activity_duration").cast("double")), "hours").select("id", "level")
-)
-TYPED = {1: ["Expert Talk", "Workshop"], 2: ["Seminar", "Workshop"], 3: ["Bootcamp", "Workshop"], 4: ["Hackathon"]}
-
-
-@sub("level_by_type", f"SELECT id, CAST(CASE WHEN event_type = 'Workshop' AND {HOURS} <= 3 THEN {HOURS} END AS INT) AS level FROM t")
-def level_by_type(d: DataFrame) -> DataFrame:
-    kinds = F.create_map(*[x for k, v in TYPED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    return d.select("id", F.when(F.array_contains(F.try_element_at(kinds, m("level")), m("event_type")), m("level")).alias("level"))
-
-
-sub("level_duration_match", f"SELECT id, coalesce({HOURS} = event_driven, false) AS matches FROM t")(lambda d: d.select("id", levels.in_level(c("event_driven"), c("activity_duration").cast("double")).alias("matches")))
-sub("parse_duration", "SELECT id, CASE WHEN id % 3 = 0 THEN floor(h) ELSE h END AS hours FROM t")(
-    lambda d: d.select("id", levels.parse_hours(F.when(c("id") % 3 == 0, F.concat(F.floor("activity_duration").cast("string"), F.lit(" hours 30 minutes"))).otherwise(m("duration"))).alias("hours"))
-)
-sub("parse_duration_minutes", "SELECT id, CASE WHEN id % 3 = 0 THEN floor(h) / 60 ELSE h END AS hours FROM t")(
-    lambda d: d.select("id", levels.parse_hours_by_unit(F.when(c("id") % 3 == 0, F.concat(F.floor("activity_duration").cast("string"), F.lit(" mins"))).otherwise(m("duration"))).alias("hours"))
-)
-sub("academic_year_norm", "SELECT id, CASE id % 5 WHEN 2 THEN '' WHEN 3 THEN '24' WHEN 4 THEN '2024-25' ELSE regexp_extract(from_date, '(\\d+)$', 1) || '-' || lpad(CAST((CAST(regexp_extract(from_date, '(\\d+)$', 1) AS INT) + 1) % 100 AS VARCHAR), 2, '0') END AS academic_year FROM t")(
-    lambda d: d.select("id", m("academic_year").alias("academic_year"))
-)
-sub("resolve_path", f"SELECT id, {RESOLVED.replace('{p}', 'report')} AS pdf_path FROM t")(lambda d: d.select("id", m("pdf_path").alias("pdf_path")))
-sub("image_paths", f"SELECT id, {PATHS} AS image_paths FROM t")(lambda d: d.select("id", m("image_paths").alias("image_paths")))
-sub("split_paths", f"SELECT id, len(list_filter(str_split({PATHS}, ','), lambda x: x <> '')) AS n, nullif(str_split({PATHS}, ',')[1], '') AS first FROM t")(
-    lambda d: d.withColumn("p", mapping.split_paths(m("image_paths"))).select("id", F.size("p").cast("long").alias("n"), F.try_element_at("p", F.lit(1)).alias("first"))
-)
-sub("level_backfill", f"SELECT id, CAST(coalesce(CASE WHEN id % 2 = 0 THEN event_driven END, {HOURS}) AS INT) AS level FROM t WHERE {HOURS} IS NOT NULL")(
-    lambda d: d.where(m("level").isNotNull()).select("id", F.coalesce(F.when(c("id") % 2 == 0, c("event_driven")), rules.level_rule(m("duration"), F.lit(None).cast("int"))["new_level"]).alias("level"))
-)
-sub("safe_filename", "SELECT id, regexp_replace(event_type, '[^\\p{L}\\p{N}_-]', '_', 'g') AS stem FROM t")(lambda d: d.select("id", S.safe_stem(m("event_type")).alias("stem")))
-sub("score_coercion", "SELECT id, coalesce(CAST(trunc(try_cast(CASE WHEN id % 3 = 0 THEN 'x' ELSE CAST(h AS VARCHAR) END AS DOUBLE)) AS INT), 0) AS score FROM t")(
-    lambda d: d.select("id", score.coerced(F.when(c("id") % 3 == 0, "x").otherwise(c("activity_duration").cast("string"))).alias("score"))
-)
-sub("pdf_title_fallback", "SELECT id, CASE WHEN id % 4 = 0 THEN 'Meta' WHEN length(trim(str_split(body, chr(10))[1])) BETWEEN 6 AND 199 THEN trim(str_split(body, chr(10))[1]) END AS title FROM t")(
-    lambda d: d.select("id", S.pdf_title(F.create_map(F.lit("Title"), F.when(c("id") % 4 == 0, "Meta").otherwise("")), c("body")).alias("title"))
-)
-query("scan_csv")(lambda spark, d: spark.read.parquet(f"{d}/nation.parquet"))
-ORACLES["scan_csv"] = "SELECT * FROM nation"
-query("scan_json_rows", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")(lambda spark, d: bind.load(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k")))
-query("stale_files", "SELECT event_id FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 1 DAY")(
-    lambda spark, d: (lambda e: e.join(F.broadcast(e.agg(F.max("ts").alias("now"))), c("ts") < c("now") - F.expr("interval 1 day")).select("event_id"))(bind.load(spark, d, "events"))
-)
-
-# --- rules ---
-sub("rule_theme", "SELECT id, event_theme <> '' AND id % 3 <> 1 AS passed FROM t")(lambda d: d.select("id", ((m("theme") != "") & pipeline.aligned_by_id()).alias("passed")))
-sub("rule_level", f"SELECT id, CAST({HOURS} IS NOT NULL AS BOOLEAN) AS passed, CASE WHEN {HOURS} IS NULL THEN 'Level missing and cannot be determined from duration ' || CAST(h AS VARCHAR) || 'h' ELSE '' END AS message FROM t")(
-    lambda d: d.withColumn("r", rules.level_rule(m("duration"), m("level"))).select("id", "r.passed", "r.message")
-)
-sub("rule_participants", f"SELECT id, {PARTS} > 15 AS passed FROM t")(lambda d: d.select("id", rules.participants_ok(m("participants")).alias("passed")))
-YEAR = "CASE WHEN financial_year = 'Financial' AND CAST(regexp_extract(from_date, '^(\\d+)/', 1) AS INT) < 4 THEN CAST(right(from_date, 4) AS INT) - 1 ELSE CAST(right(from_date, 4) AS INT) END"
-sub("rule_year", f"SELECT id, abs({YEAR} - 1996) <= 1 AS passed FROM t")(lambda d: d.select("id", rules.year_rule(m("event_date"), m("year_type"), 1996)["passed"].alias("passed")))
-sub("parse_date", "SELECT id, CAST(right(from_date, 4) || '-' || lpad(str_split(from_date, '/')[1], 2, '0') || '-' || lpad(str_split(from_date, '/')[2], 2, '0') AS DATE)::VARCHAR AS d FROM t")(lambda d: d.select("id", S.parse_date(m("event_date")).cast("string").alias("d")))
-query("fiscal_year", "SELECT o_orderkey AS id, CAST(year(o_orderdate) - CASE WHEN month(o_orderdate) < 4 THEN 1 ELSE 0 END AS INT) AS fy FROM orders")(lambda spark, d: bind.load(spark, d, "orders").select(c("o_orderkey").alias("id"), S.fiscal_year(c("o_orderdate")).alias("fy")))
-EMPTY = "coalesce(body = '', true)"
-sub("rule_pdf", f"SELECT id, CASE WHEN NOT {EMPTY} AND id % 2 = 0 THEN 7 ELSE 0 END + CASE WHEN NOT {EMPTY} AND (id % 3 = 0 OR regexp_matches(lower(body), 'tion|and')) THEN 7 ELSE 0 END + CASE WHEN NOT {EMPTY} AND id % 5 = 0 THEN 3 ELSE 0 END + CASE WHEN NOT {EMPTY} AND id % 7 = 0 THEN 3 ELSE 0 END + CASE WHEN NOT {EMPTY} AND id % 8 <> 0 THEN 5 ELSE 0 END AS points FROM t")(
-    lambda d: d.select("id", score.total(F.array(*rules.pdf_results(c("body"), judge.verdict(c("pdf_answer"), judge.PDF_KEYS), m("title"), WORDS))).alias("points"))
-)
-sub("rule_pdf_empty", f"SELECT id, {EMPTY} AS failed FROM t")(lambda d: d.select("id", (rules.pdf_results(c("body"), judge.verdict(c("pdf_answer"), judge.PDF_KEYS), m("title"))[0]["message"] == "PDF text not extracted").alias("failed")))
-query("rule_expert_keywords", "SELECT doc_id, regexp_matches(lower(text), 'tion|and') AS passed FROM documents")(lambda spark, d: bind.load(spark, d, "documents").select("doc_id", rules.has_words(c("text"), WORDS).alias("passed")))
-query("name_pattern", "SELECT doc_id, regexp_matches(text, '" + S.NAME_PATTERN + "') AS named FROM documents")(lambda spark, d: bind.load(spark, d, "documents").select("doc_id", F.col("text").rlike(S.NAME_PATTERN).alias("named")))
-sub("rule_image", "SELECT id, CASE WHEN id % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 3 ELSE 0 END + CASE WHEN id % 5 = 0 THEN 5 ELSE 0 END + CASE WHEN id % 7 = 0 THEN 4 ELSE 0 END AS points FROM t")(
-    lambda d: d.select("id", score.total(F.array(*rules.image_results(judge.verdict(c("image_answer"), judge.IMAGE_KEYS), m("event_mode")))).alias("points"))
-)
-query("geotag_any", f"{IMG} SELECT submission, bool_or(image % 3 = 0) AS geotag FROM i GROUP BY submission")(
-    lambda spark, d: bind.images(spark, d).groupBy("submission").agg(F.collect_list(F.struct((c("image") % 3 == 0).alias("has_geotag"))).alias("x")).select("submission", rules.geotag_any(c("x")).alias("geotag"))
-)
-sub("missing_assets", f"SELECT id, body IS NULL AS no_pdf, {PATHS} = '' AS no_images FROM t")(lambda d: d.select("id", c("body").isNull().alias("no_pdf"), (m("image_paths") == "").alias("no_images")))
-TOTAL = f"""v AS (SELECT *, {PATHS} AS paths, {EMPTY} AS empty, body IS NOT NULL AS has_pdf, {HOURS} AS level FROM t),
-r AS (SELECT *, CASE WHEN event_theme <> '' AND id % 3 <> 1 THEN 10 ELSE 0 END AS p1, CASE WHEN level IS NOT NULL THEN 11 ELSE 0 END AS p2, CASE WHEN {PARTS} > 15 THEN 12 ELSE 0 END AS p3,
-  CASE WHEN NOT empty AND id % 2 = 0 THEN 7 ELSE 0 END AS p4, CASE WHEN NOT empty AND (id % 3 = 0 OR regexp_matches(lower(body), '{'|'.join(rules.EXPERT_WORDS)}')) THEN 7 ELSE 0 END AS p5, CASE WHEN NOT empty AND id % 5 = 0 THEN 3 ELSE 0 END AS p6,
-  CASE WHEN NOT empty AND id % 7 = 0 THEN 3 ELSE 0 END AS p7, CASE WHEN NOT empty AND id % 8 <> 0 THEN 5 ELSE 0 END AS p8, paths <> '' AS has_images,
-  CASE WHEN id % 2 = 0 THEN 2 ELSE 0 END AS p9, CASE WHEN id % 3 = 0 THEN 3 ELSE 0 END AS p10, CASE WHEN id % 5 = 0 THEN 5 ELSE 0 END AS p11, CASE WHEN id % 7 = 0 THEN 4 ELSE 0 END AS p12 FROM v),
-z AS (SELECT *, p1 + p2 + p3 AS theme_p, CASE WHEN has_pdf THEN p4 + p5 + p6 + p7 + p8 ELSE 0 END AS pdf_p, CASE WHEN has_images THEN p9 + p10 + p11 + p12 ELSE 0 END AS image_p FROM r),
-y AS (SELECT *, theme_p + pdf_p + image_p + 15 AS score FROM z),
-x AS (SELECT *, CASE WHEN NOT has_pdf OR NOT has_images THEN 'Reopen' WHEN score >= 60 THEN 'Accepted' ELSE 'Rejected' END AS status FROM y)"""
-
-
-def scored(name: str, oracle: str | None = None):
-    def keep(fn):
-        QUERIES[name] = lambda spark, d: fn(pipeline.scored(bind.standard(spark, d)))
-        if oracle:
-            ORACLES[name] = f"{SUB}, t AS (SELECT *, activity_duration AS h FROM s), {TOTAL}{"" if oracle.startswith(",") else " "}{oracle}"
-        return fn
-
-    return keep
-
-
-ORD = [(i, k, n, p) for i, (k, n, p) in enumerate([(k, n, p) for k in ("theme", "pdf", "image") for n, p in rules.RULES[k]], 1)]
-LONG = "long AS (" + " UNION ALL ".join(
-    f"SELECT id, {i} AS ord, '{k}' AS category, '{n}' AS criterion, p{i} AS points, p{i} > 0 AS passed FROM x" + {"pdf": " WHERE has_pdf", "image": " WHERE has_images"}.get(k, "") for i, k, n, _ in ORD
-) + " UNION ALL SELECT id, 4, 'pdf', 'PDF Validation', 0, false FROM x WHERE NOT has_pdf UNION ALL SELECT id, 9, 'image', 'Image Validation', 0, false FROM x WHERE NOT has_images UNION ALL SELECT id, 13, 'similarity', 'Duplicate photo detection (filesystem)', 15, true FROM x)"
-scored("overall_score", "SELECT id, CAST(score AS INT) AS score FROM x")(lambda d: d.select("id", "score"))
-scored("status", "SELECT id, CAST(score AS INT) AS score, status FROM x")(lambda d: d.select("id", "score", "status"))
-scored("rules_long", f", {LONG} SELECT id, CAST(ord AS INT) AS ord, category, criterion, CAST(points AS INT) AS points, passed FROM long")(lambda d: pipeline.long(d).drop("message"))
-scored("rules_union", f", {LONG} SELECT id, count(*) AS n, sum(CAST(NOT passed AS INT)) AS n_failed FROM long GROUP BY id")(lambda d: d.select("id", F.size("results").cast("long").alias("n"), F.size(F.filter("results", lambda r: ~r["passed"])).cast("long").alias("n_failed")))
-scored("category_breakdown", f", {LONG} SELECT id, category, sum(points) AS points, count(*) FILTER (passed) AS n_passed, count(*) AS n_rules FROM long GROUP BY id, category")(lambda d: score.breakdown(pipeline.long(d)))
-scored("score_rollup", f", {LONG} SELECT category, criterion, sum(points) AS points, count(*) FILTER (passed) AS n_passed FROM long GROUP BY ROLLUP (category, criterion)")(lambda d: score.rollup(pipeline.long(d)))
-scored("batch_summary", "SELECT count(*) AS total, count(*) FILTER (status = 'Accepted') AS accepted, count(*) FILTER (status = 'Rejected') AS rejected, count(*) FILTER (status = 'Reopen') AS reopen, count(*) FILTER (status = 'Error') AS errors, avg(score) AS mean_score FROM x")(
-    lambda d: score.summary(d.withColumn("score", c("score").cast("string")))
-)
-MESSAGES = {
-    2: "'Level missing and cannot be determined from duration ' || CAST(h AS VARCHAR) || 'h'", 3: f"'Participants reported: ' || CAST({PARTS} AS VARCHAR) || ' (needs > 15)'",
-    5: "'Expert details not found in PDF'", 6: "'Learning outcomes in PDF do not align with expected outcomes'", 7: "'Objectives in PDF do not match expected objectives'", 8: "'PDF participant information does not match expected (needs 15+ participants)'",
-    9: "'Banner or poster not visible in images'", 10: "'Image does not depict a real event activity'", 11: "'Event mode in image does not match specified mode: ' || lower(session_type)", 12: "'15+ participants not visible in images'",
-}
-CANON = "concat_ws(' - ', CASE WHEN event_type LIKE '%Level%' THEN 'Level ' || regexp_extract(event_type, 'Level\\s+(\\S+)', 1) END, CASE WHEN event_type LIKE '%-%' THEN trim(regexp_extract(event_type, '^[^-]*-(.*)$', 1)) ELSE event_type END, CASE WHEN event_theme <> '' THEN 'on ' || event_theme END)"
-EXPECT = f"CASE WHEN event_driven IN (1, 2, 4) THEN {CANON} ELSE trim(activity_name) END"
-SEEN = "CASE WHEN trim(activity_name) = '' THEN 'Not provided' ELSE trim(activity_name) END"
-TITLE = f"""CASE WHEN event_driven IN (1, 2, 4) THEN 'Content does not match canonical event title. Expected: "' || {EXPECT} || '". Observed: "' || {SEEN} || '". Reason: not aligned'
-  ELSE 'Title/Objectives/Learning do not align with theme: ' || {EXPECT} || '. Observed: "' || {SEEN} || '". Reason: not aligned' END"""
-FIRST = f"CASE WHEN event_theme = '' THEN 'Theme missing — cannot validate alignment' ELSE {TITLE} END"
-PIECES = ", ".join(
-    "CASE WHEN " + {"pdf": "has_pdf AND ", "image": "has_images AND "}.get(k, "") + f"p{i} = 0 THEN '{n}: ' || " + (FIRST if i == 1 else f"CASE WHEN empty THEN 'PDF text not extracted' ELSE {MESSAGES.get(i, chr(39) + 'PDF title does not match expected: ' + chr(39) + ' || ' + EXPECT)} END" if k == "pdf" else MESSAGES[i]) + " END"
-    + (", CASE WHEN NOT has_pdf THEN 'PDF Validation: PDF file missing or could not be downloaded' END" if i == 8 else ", CASE WHEN NOT has_images THEN 'Image Validation: Event photos missing or invalid' END" if i == 12 else "")
-    for i, k, n, _ in ORD
-)
-scored("requirements_not_met", f"SELECT id, concat_ws('; ', {PIECES}) AS unmet FROM x")(lambda d: d.select("id", "unmet"))
-scored("enriched_output", f"SELECT id, event_driven, session_type, CAST(score AS INT) AS \"Overall Score\", status AS \"Status\", concat_ws('; ', {PIECES}) AS \"Requirements Not Met\" FROM x")(lambda d: pipeline.output(d, ["id", "event_driven", "id", "session_type"]))
-scored("ordered_output", "SELECT id, status, row_number() OVER (ORDER BY id) AS row_idx FROM x")(lambda d: d.select("id", "status", F.row_number().over(Window.orderBy("id")).cast("long").alias("row_idx")))
-sub("heuristic_score", f"SELECT id, CAST(CASE WHEN regexp_matches(lower(body), 'tion|and') THEN 7 ELSE 0 END + CASE WHEN {PATHS} <> '' THEN 2 ELSE 0 END + CASE WHEN {PARTS} > 15 THEN 12 ELSE 0 END + CASE WHEN {HOURS} IS NOT NULL THEN 11 ELSE 0 END + CASE WHEN event_theme <> '' AND benefit_learning <> '' THEN 5 ELSE 0 END AS INT) AS heuristic FROM t")(
-    lambda d: d.select("id", rules.heuristic_score(c("body"), F.size(mapping.split_paths(m("image_paths"))), m("participants"), m("level"), levels.parse_hours_by_unit(m("duration")), [m("theme"), m("objectives"), m("learning_outcomes")], WORDS).alias("heuristic"))
-)
-sub("canonical_title", f"SELECT id, {CANON} AS title FROM t")(lambda d: d.select("id", S.canonical_title(m("event_type"), m("theme")).alias("title")))
-sub("expected_title", f"SELECT id, {EXPECT} AS title FROM t")(lambda d: d.select("id", S.expected_title(c("event_driven"), m("event_type"), m("theme"), m("title")).alias("title")))
-sub("title_message", f"SELECT id, {TITLE} AS message FROM t")(lambda d: d.select("id", S.title_message(c("event_driven"), S.expected_title(c("event_driven"), m("event_type"), m("theme"), m("title")), m("title"), F.lit("not aligned")).alias("message")))
-
-# --- judge ---
-sub("judge_yes_no", "SELECT id, contains(upper(pdf_answer), 'YES') AS yes FROM t")(lambda d: d.select("id", judge.says_yes(c("pdf_answer")).alias("yes")))
-sub("parse_verdict", "SELECT id, id % 2 = 0 AS title_match, id % 3 = 0 AS expert_details, id % 5 = 0 AS learning_outcomes, id % 7 = 0 AS objectives, id % 8 <> 0 AS participants, CASE WHEN id % 8 = 0 THEN 'none: given' ELSE '' END AS reasoning FROM t")(
-    lambda d: d.withColumn("v", judge.verdict(c("pdf_answer"), judge.PDF_KEYS)).select("id", "v.*")
-)
-sub("parse_image_verdict", "SELECT id, id % 2 = 0 AS has_banner, false AS banner_text_matches, id % 3 = 0 AS is_real_event, id % 5 = 0 AS mode_matches, CAST(CASE WHEN id % 4 = 0 THEN 0 ELSE id % 40 END AS INT) AS participant_count, id % 7 = 0 AS has_15_plus, '' AS reasoning FROM t")(
-    lambda d: d.withColumn("v", judge.verdict(c("image_answer"), judge.IMAGE_KEYS)).select("id", "v.*")
-)
-sub("judge_dedupe", "SELECT event_theme AS theme, count(*) AS n, CASE WHEN event_theme = '' THEN -1 ELSE 1 - CAST(('0x' || substr(sha256(event_theme), 1, 8)) AS BIGINT) % 2 END AS yes FROM t GROUP BY event_theme")(
-    lambda d: judge.judged(d.select(m("theme").alias("theme")), "theme").groupBy("theme").agg(F.count("*").alias("n"), F.first(F.when(c("answer").isNotNull(), judge.says_yes(c("answer")).cast("int")).otherwise(-1)).cast("long").alias("yes"))
-)
-query("prompt_cache_key", "SELECT doc_id, sha256('model|' || substr(text, 1, 4000) || '|' || substr(sha256(text), 1, 16)) AS key FROM documents")(
-    lambda spark, d: bind.load(spark, d, "documents").select("doc_id", S.cache_key(F.lit("model"), F.substring("text", 1, 4000), F.substring(F.sha2("text", 256), 1, 16)).alias("key"))
-)
-query("content_hash", "SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5, substr(sha256(text), 1, 16) AS short FROM documents")(
-    lambda spark, d: bind.load(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"), F.substring(F.sha2("text", 256), 1, 16).alias("short"))
-)
-query("token_estimate", "SELECT doc_id, CAST(length(text) // 4 + 1000 * (doc_id % 2) AS BIGINT) AS tokens FROM documents")(lambda spark, d: bind.load(spark, d, "documents").select("doc_id", S.token_estimate(c("text"), c("doc_id") % 2).cast("long").alias("tokens")))
-query("text_prefix", "SELECT doc_id, substr(text, 1, 4000) AS prefix FROM documents")(lambda spark, d: bind.load(spark, d, "documents").select("doc_id", F.substring("text", 1, 4000).alias("prefix")))
-def messages(spark: SparkSession, d: str) -> DataFrame:
-    e = bind.load(spark, d, "events")
-    k = c("event_id")
-    text = F.when(k % 5 == 0, F.concat(F.lit("Please RETRY in "), (k % 60).cast("string"), F.lit(".5s"))).when(k % 5 == 1, "429 quota").when(k % 5 == 2, F.concat(F.lit("wait "), (k % 9).cast("string"), F.lit(" seconds"))).when(k % 5 == 3, "timeout").otherwise("retry_delay { seconds: 49 }")
-    return e.select("event_id", text.alias("message"), (k % 3).cast("int").alias("attempt"))
-
-
-DELAY = "CASE event_id % 5 WHEN 0 THEN CAST(event_id % 60 AS DOUBLE) + 0.5 WHEN 2 THEN CAST(event_id % 9 AS DOUBLE) WHEN 4 THEN 49.0 END"
-query("retry_delay", f"SELECT event_id, CAST({DELAY} AS DOUBLE) AS delay FROM events")(lambda spark, d: messages(spark, d).select("event_id", S.retry_delay(c("message")).alias("delay")))
-query("backoff_schedule", f"SELECT event_id, CASE WHEN {DELAY} IS NOT NULL THEN greatest({DELAY}, 5.0) ELSE least(2 * pow(2.0, event_id % 3), 60.0) END AS wait FROM events")(lambda spark, d: messages(spark, d).select("event_id", S.backoff(c("message"), c("attempt")).alias("wait")))
-query("classify_error", "SELECT event_id, event_id % 5 IN (0, 1, 4) AS rate_limited FROM events")(lambda spark, d: messages(spark, d).select("event_id", S.is_rate_limit(c("message")).alias("rate_limited")))
-
-# --- duplicates ---
-NEAR = 11
-PAIRS = f"pairs AS (SELECT a.ord AS a_ord, a.pos AS a_pos, b.ord AS b_ord, b.pos AS b_pos, CAST(hamming(a.phash, b.phash) AS INT) AS distance FROM i a JOIN i b ON (a.ord, a.pos) < (b.ord, b.pos) AND a.phash <> b.phash AND hamming(a.phash, b.phash) <= {NEAR})"
-query("hamming", f"{IMG} SELECT image, CAST(hamming(phash, (SELECT phash FROM i WHERE image = 0)) AS INT) AS distance FROM i")(
-    lambda spark, d: (lambda i: i.crossJoin(F.broadcast(i.where("image = 0").select(c("phash").alias("p0")))).select("image", S.hamming(c("phash"), c("p0")).alias("distance")))(bind.images(spark, d))
-)
-query("dup_exact", f"{IMG} SELECT image, CASE WHEN row_number() OVER w > 1 THEN first(submission) OVER w END AS holder FROM i WINDOW w AS (PARTITION BY sha256 ORDER BY ord, pos)")(lambda spark, d: duplicates.exact(bind.images(spark, d)).select("image", "holder"))
-query("dup_directory", f"{IMG} SELECT image, CASE WHEN row_number() OVER w > 1 THEN first(submission) OVER w END AS holder FROM i WINDOW w AS (PARTITION BY key, sha256 ORDER BY ord, pos)")(lambda spark, d: duplicates.in_directory(bind.images(spark, d)).select("image", "holder"))
-query("dup_near", f"{IMG}, {PAIRS} SELECT * FROM pairs")(lambda spark, d: duplicates.near_pairs(bind.images(spark, d), NEAR).select("a_ord", "a_pos", "b_ord", "b_pos", "distance"))
-
-
-@query("dup_target_scan", f"{IMG}, t AS (SELECT sha256 AS s, phash AS p FROM i WHERE image = 0) SELECT image, CASE WHEN sha256 = s THEN 'exact' WHEN hamming(phash, p) <= {NEAR} THEN 'similar' END AS match FROM i, t")
-def dup_target_scan(spark: SparkSession, d: str) -> DataFrame:
-    i = bind.images(spark, d)
-    target = i.where("image = 0").select("sha256", "phash").first()
-    return duplicates.against_target(i, target["sha256"], target["phash"], NEAR).select("image", "match")
-
-
-query("dup_greedy")(lambda spark, d: duplicates.greedy(bind.images(spark, d), NEAR))
-query("rule_duplicates", f"{IMG}, h AS (SELECT *, CASE WHEN row_number() OVER w > 1 THEN first(submission) OVER w END AS holder FROM i WINDOW w AS (PARTITION BY sha256 ORDER BY ord, pos)) SELECT submission, CAST(CASE WHEN count(holder) = 0 THEN 15 ELSE 0 END AS INT) AS points, coalesce(string_agg('Image identical to submission ' || holder || ' (SHA256 match)', '; ' ORDER BY pos), '') AS message FROM h GROUP BY submission")(
-    lambda spark, d: duplicates.exact(bind.images(spark, d))
-    .groupBy("submission").agg(F.array_compact(F.transform(F.array_sort(F.collect_list(F.struct("pos", "holder"))), lambda x: F.when(x["holder"].isNotNull(), F.concat(F.lit("Image identical to submission "), x["holder"].cast("string"), F.lit(" (SHA256 match)"))))).alias("messages"))
-    .withColumn("r", rules.duplicate_result(c("messages"))).select("submission", "r.points", "r.message")
-)
-query("first_image", f"{IMG} SELECT submission, arg_min(sha256, pos) AS sha256 FROM i GROUP BY submission")(lambda spark, d: duplicates.first_images(bind.images(spark, d)))
-query("file_stats", "SELECT source, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes, round(sum(strlen(text)) / 1048576, 2) AS mb FROM documents GROUP BY source")(
-    lambda spark, d: bind.load(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.round(F.sum(F.octet_length("text")) / 1048576, 2).alias("mb"))
-)
-
-# --- quota ---
-CALLS = "calls AS (SELECT id % 50 AS id, id AS idx, step FROM t, (VALUES (1), (2), (3)) v(step) WHERE step = 1 OR (step = 2 AND body IS NOT NULL) OR (step = 3 AND " + PATHS + " <> ''))"
-
-
-def calls(d: DataFrame) -> DataFrame:
-    steps = F.array_compact(F.array(F.lit(1), F.when(c("body").isNotNull(), 2), F.when(m("image_paths") != "", 3)))
-    return d.select((c("id") % 50).alias("id"), c("id").alias("idx"), F.explode(steps).alias("step"))
-
-
-sub("call_budget", f", {CALLS} SELECT id, idx, step, row_number() OVER (PARTITION BY id ORDER BY idx, step) <= 5 AS granted FROM calls")(lambda d: quota.granted(calls(d)))
-sub("budget_denied", f", {CALLS} SELECT step, count(*) AS denied FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY idx, step) AS rn FROM calls) WHERE rn > 5 GROUP BY step")(lambda d: quota.granted(calls(d)).where("not granted").groupBy("step").agg(F.count("*").alias("denied")))
-sub("budget_summary", f", {CALLS} SELECT id, least(count(*), 5) AS used, 5 AS max_calls, greatest(0, 5 - count(*)) AS remaining FROM calls GROUP BY id")(lambda d: quota.budget_summary(calls(d)))
-ROLL = "count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW)"
-query("rolling_rate", f"SELECT event_id, {ROLL} AS in_window FROM events")(lambda spark, d: quota.rolling(bind.load(spark, d, "events"), "user_id", 3600).select("event_id", "in_window"))
-query("available_quota", f"SELECT event_id, greatest(0, 3 - {ROLL}) AS available FROM events")(lambda spark, d: quota.rolling(bind.load(spark, d, "events"), "user_id", 3600).select("event_id", F.greatest(F.lit(0), 3 - c("in_window")).alias("available")))
-query("admission_delay")(lambda spark, d: quota.open_loop_delay(bind.load(spark, d, "events").withColumn("tokens", F.pmod("event_id", F.lit(3000))), "event_type", 140, "tokens").select("event_id", "delay"))
-query("error_rate_window", "SELECT user_id, time_bucket(INTERVAL 30 SECONDS, ts) AS window_start, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'error') / count(*) AS error_rate FROM events GROUP BY 1, 2")(
-    lambda spark, d: quota.error_rate(bind.load(spark, d, "events").withColumn("is_error", c("event_type") == "error"), "user_id")
-)
-query("circuit_breaker")(lambda spark, d: quota.breaker(bind.load(spark, d, "events").withColumn("is_error", c("event_type") == "error"), "user_id"))
+__all__ = ["ORACLES", "QUERIES", "mapping", "photos", "quota", "scoring"]

@@ -1,4 +1,4 @@
-"""Cutting lineage through the folder that all executors share."""
+"""Tables in the shared folder: cutting lineage, and global order without a global task."""
 
 from __future__ import annotations
 
@@ -7,15 +7,16 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder in local mode only."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder in local mode only."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.split("[")[0] == "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     root = tempfile.mkdtemp(prefix="rubrica-")
     atexit.register(shutil.rmtree, root, ignore_errors=True)
@@ -23,9 +24,49 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, of any store that Spark can read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = hadoop_path(spark, path)
+    return fs.exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = hadoop_path(spark, path)
+    fs.delete(p, True)
+
+
+def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there and survives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/rubrica-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that stage() wrote, once nothing reads them any more."""
+    for table in tables:
+        delete(table.sparkSession, table.staged_at)
+
+
+def numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+    """df with its 0-based place in the given order: range partitions, and the rows before each of them."""
+    tie, place, part, before = (f"{name}_{x}" for x in ("tie", "place", "part", "before"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tied = df.withColumn(tie, F.monotonically_increasing_id())
+    ranged = tied.repartitionByRange(n, *order, tie).sortWithinPartitions(*order, tie).drop(tie)
+    placed = stage(ranged.withColumn(place, F.monotonically_increasing_id()), "numbered")
+    partition = F.shiftright(place, 33)
+    sizes = placed.groupBy(partition.alias(part)).count()
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row per range partition
+    offsets = sizes.select(part, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias(before))
+    at = F.col(place).bitwiseAND(F.lit((1 << 33) - 1)) + F.col(before)
+    return placed.withColumn(part, partition).join(F.broadcast(offsets), part).withColumn(name, at).drop(part, place, before)

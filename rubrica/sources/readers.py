@@ -1,12 +1,21 @@
-"""Tables and files in, files out."""
+"""Tables and listings in: CSV, Excel, JSON rows, folders of images and results."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv as csv_format
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
+
+from rubrica.plans.staging import delete, exists, hadoop_path
 
-IMAGE_GLOB = "*.{jpg,jpeg,png,gif,bmp,tiff,webp}"
+IMAGE_GLOB = "*.{jpg,jpeg,png,gif,bmp,tiff,webp,JPG,JPEG,PNG,GIF,BMP,TIFF,WEBP}"
+# Cells that read as missing.
+NO_VALUE = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
 def is_utf8(spark: SparkSession, path: str) -> bool:
@@ -14,39 +23,81 @@ def is_utf8(spark: SparkSession, path: str) -> bool:
     return files.where(F.expr("not is_valid_utf8(cast(content as string))")).isEmpty()
 
 
+@pandas_udf(T.IntegerType())
+def n_cells(lines: pd.Series) -> pd.Series:
+    return lines.map(lambda line: len(next(csv_format.reader([line]))))
+
+
+def typed(df: DataFrame) -> DataFrame:
+    """Text columns as whole numbers or floats where all their values are such; one pass for all columns."""
+    if not df.columns:
+        return df
+    tests = {"w": r"^[+-]?\d{1,18}$", "f": r"^([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[+-]?inf)$"}
+    fits = [F.bool_and(F.col(f"`{c}`").rlike(p)).alias(f"{k}{i}") for i, c in enumerate(df.columns) for k, p in tests.items()]
+    got = df.agg(*fits).first()
+    kind = lambda i: "bigint" if got[f"w{i}"] else "double" if got[f"f{i}"] else "string"
+    return df.select(*[F.col(f"`{c}`").cast(kind(i)).alias(c) for i, c in enumerate(df.columns)])
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, encoding: str | None = None) -> DataFrame:
-    """A CSV batch: UTF-8, else Latin-1; quoted line breaks are kept; a batch without rows is an error."""
+    """A CSV batch: UTF-8, else Latin-1; quoted line breaks and rows too short are kept, cells of NO_VALUE are null.
+
+    Without a schema, columns of numbers are numbers. A batch without rows, or with a row that has more cells than the header, is a ValueError.
+    """
     encoding = encoding or ("UTF-8" if is_utf8(spark, path) else "ISO-8859-1")
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding)
-    df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+    if schema:
+        df = reader.schema(schema).csv(path)
+    else:
+        names = [re.sub("^﻿", "", n) for n in reader.csv(path).columns]
+        broken = "broken_line"
+        while broken in names:
+            broken += "_"
+        fields = T.StructType([T.StructField(n, T.StringType()) for n in [*names, broken]])
+        rows = reader.schema(fields).option("columnNameOfCorruptRecord", broken).csv(path)
+        cells = n_cells(broken) + F.least(F.lit(0), F.length(F.concat_ws("", *[F.col(f"`{n}`") for n in names])))  # a line is parsed only as far as its columns are used
+        if not rows.where(F.col(broken).isNotNull()).where(cells > len(names)).isEmpty():
+            raise ValueError(f"{path}: a row has more than {len(names)} cells")
+        filled = lambda n: F.when(~F.col(f"`{n}`").isin(NO_VALUE), F.col(f"`{n}`")).alias(n)
+        df = typed(rows.select(*map(filled, names)))
     if df.isEmpty():
         raise ValueError(f"{path} has no rows")
     return df
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet, read on the driver (needs pandas' Excel engine)."""
-    import pandas as pd
-
-    return spark.createDataFrame(pd.read_excel(path))
+    """The first sheet, read on the driver (needs pandas' Excel engine): a workbook is bounded by its format."""
+    df = pd.read_excel(path)
+    if df.empty:
+        raise ValueError(f"{path} has no rows")
+    return spark.createDataFrame(df)
 
 
 def read_json_rows(spark: SparkSession, rows: list[dict], schema: T.StructType | str) -> DataFrame:
+    """A batch given as a list of objects."""
     return spark.createDataFrame(rows, schema)
 
 
+def read_json_lines(lines: DataFrame, schema: str) -> DataFrame:
+    """A batch given as one object a row, in the column `value`."""
+    return lines.select(F.from_json("value", schema).alias("row")).select("row.*")
+
+
 def read_batch(spark: SparkSession, path: str, **how) -> DataFrame:
-    kind = path.rpartition(".")[2].lower()
+    """A batch by its extension. A missing path is a FileNotFoundError, an unknown kind a ValueError; a folder of CSV parts counts as a file."""
+    kind = path.rstrip("/").rpartition(".")[2].lower()
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
     if kind == "csv":
         return read_csv(spark, path, **how)
     if kind in ("xlsx", "xls"):
         return read_excel(spark, path)
-    raise ValueError(f"unsupported file type: {path}")
+    raise ValueError(f"unsupported file type: {path}; csv, xlsx and xls are read")
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", IMAGE_GLOB).load(folder)
-    return files.select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256"))
+    """(path, content, length, modificationTime) of the images below a folder."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", IMAGE_GLOB).load(folder)
 
 
 def catalogue(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,15 +106,32 @@ def catalogue(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.round(F.col("length") / 1048576, 2).alias("mb"), "modificationTime")
 
 
-def stale(files: DataFrame, now, max_age_s: int = 86400) -> DataFrame:
-    return files.where(F.unix_micros("modificationTime") < F.unix_micros(F.lit(now)) - max_age_s * 1_000_000)
+def result_path(spark: SparkSession, folder: str, name: str) -> str | None:
+    """The path of one result by its name, whose folders are ignored; null if there is no such file."""
+    base = re.split(r"[/\\]", name)[-1]
+    path = f"{folder.rstrip('/')}/{base}"
+    if base in ("", ".", ".."):
+        return None
+    p, fs = hadoop_path(spark, path)
+    return path if fs.exists(p) and fs.getFileStatus(p).isFile() else None
+
+
+def folder_stats(files: DataFrame, *by: str) -> DataFrame:
+    """Number and size of files (length), per group."""
+    return files.groupBy(*by).agg(F.count("*").alias("n"), F.sum("length").alias("bytes"), F.round(F.sum("length") / 1048576, 2).alias("mb"))
+
 
+def stale(files: DataFrame, now: Column, max_age_s: int = 86400) -> DataFrame:
+    return files.where(F.unix_micros("modificationTime") < F.unix_micros(now) - max_age_s * 1_000_000)
 
-def write_csv_bom(df: DataFrame, path: str) -> None:
-    """One UTF-8 CSV with a byte-order mark, rows streamed through the driver."""
-    import csv
 
-    with open(path, "w", newline="", encoding="utf-8-sig") as f:
-        out = csv.writer(f)
-        out.writerow(df.columns)
-        out.writerows(df.toLocalIterator())
+def expire(spark: SparkSession, folder: str, max_age_s: int | None = 86400, now_ms: int | None = None) -> int:
+    """Delete the files directly in a folder that are older than max_age_s (all of them for null); the number deleted."""
+    if not exists(spark, folder):
+        return 0
+    p, fs = hadoop_path(spark, folder)
+    now_ms = now_ms or spark._jvm.java.lang.System.currentTimeMillis()
+    old = [s.getPath().toString() for s in fs.listStatus(p) if s.isFile() and (max_age_s is None or now_ms - s.getModificationTime() > 1000 * max_age_s)]
+    for path in old:
+        delete(spark, path)
+    return len(old)

@@ -7,12 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rubrica.config import EngineConfig
 from rubrica.operators.quota import Breaker
 
-FIELDS = ("state", "opened", "window", "requests", "errors", "good")
-
 
 def rolling_rate(log: DataFrame, key: str, late: str = "1 minute") -> DataFrame:
     return log.withWatermark("ts", late).groupBy(key, F.window("ts", "60 seconds", "5 seconds")).agg(F.count("*").alias("calls"))
@@ -26,20 +25,58 @@ def first_seen(images: DataFrame, late: str = "1 day") -> DataFrame:
     return images.withWatermark("ts", late).dropDuplicatesWithinWatermark(["sha256"])
 
 
-def breaker(log: DataFrame, key: str, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """State of each key's breaker after each micro-batch; events are ordered within a batch."""
+def breaker(log: DataFrame, key: str, config: EngineConfig = EngineConfig(), late: str = "1 minute") -> DataFrame:
+    """(key, state, requests, errors) of each key's breaker after each micro-batch of log(key, ts, outcome).
+
+    Events are ordered within a batch. When the watermark passes the end of an open breaker's cooldown without a call, the key reads HALF_OPEN; a
+    key that is silent for a window and a cooldown loses its state, which a call after them would not have used.
+    """
+    keep = 1000 * int(config.breaker_window_s + config.breaker_cooldown_s)
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    def load(state: GroupState) -> Breaker:
         b = Breaker(config)
         if state.exists:
-            for name, value in zip(FIELDS, state.get, strict=True):
+            for name, value in zip(Breaker.FIELDS, state.get, strict=True):
                 setattr(b, name, value)
-        pdf = pd.concat(list(batches)).sort_values("ts")
-        for t, e in zip(pdf["ts"].astype("int64") / 1e9, pdf["is_error"], strict=True):
-            if b.can_proceed(t):
-                b.record(t, bool(e))
-        state.update(tuple(getattr(b, f) for f in FIELDS))
+        return b
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        b, now = load(state), state.getCurrentWatermarkMs()
+        if state.hasTimedOut:
+            if b.state == "OPEN" and b.can_proceed(now / 1000):
+                state.update(tuple(getattr(b, f) for f in Breaker.FIELDS))
+                state.setTimeoutTimestamp(now + keep)
+            else:
+                state.remove()
+        else:
+            pdf = pd.concat(list(batches)).sort_values("ts")
+            for t, outcome in zip(pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6, pdf["outcome"], strict=True):
+                if b.can_proceed(t):
+                    b.record(t, outcome)
+            state.update(tuple(getattr(b, f) for f in Breaker.FIELDS))
+            last = 1000 * int(pdf["ts"].max().timestamp())
+            state.setTimeoutTimestamp(max(now + 1, 1000 * int(b.until) if b.state == "OPEN" else last + keep))
         yield pd.DataFrame({key: [k[0]], "state": [b.state], "requests": [b.requests], "errors": [b.errors]})
 
     key_type = dict(log.dtypes)[key]
-    return log.groupBy(key).applyInPandasWithState(step, f"{key} {key_type}, state string, requests long, errors long", "state string, opened double, window double, requests long, errors long, good long", "update", "NoTimeout")
+    fields = "state string, until double, window double, requests long, errors long, good long"
+    timed = log.withWatermark("ts", late).groupBy(key)
+    return timed.applyInPandasWithState(step, f"{key} {key_type}, state string, requests long, errors long", fields, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def budget(calls: DataFrame, config: EngineConfig = EngineConfig(), late: str = "1 minute", keep_s: int = 86400) -> DataFrame:
+    """(id, idx, step, granted) of calls(id, idx, step, ts): a counter for each id, which expires keep_s after its last call."""
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat(list(batches)).sort_values(["idx", "step"])
+        used = state.get[0] if state.exists else 0
+        state.update((min(config.max_calls, used + len(pdf)),))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, 1000 * (int(pdf["ts"].max().timestamp()) + keep_s)))
+        yield pd.DataFrame({"id": pdf["id"], "idx": pdf["idx"], "step": pdf["step"], "granted": [used + i < config.max_calls for i in range(len(pdf))]})
+
+    types = dict(calls.dtypes)
+    schema = f"id {types['id']}, idx {types['idx']}, step {types['step']}, granted boolean"
+    return calls.withWatermark("ts", late).groupBy("id").applyInPandasWithState(step, schema, "used int", "append", GroupStateTimeout.EventTimeTimeout)

@@ -1,16 +1,19 @@
-"""Edge tables of the operators and the catalogue against DuckDB."""
+"""Edge tables of the operators, models of the folds, and the catalogue against DuckDB."""
+
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from rubrica.functions import scalars
-from rubrica.operators import duplicates, judge, levels, mapping, quota, rules
+from rubrica.config import EngineConfig, effective_limit
+from rubrica.functions import normalize, scalars
+from rubrica.operators import duplicates, judge, levels, mapping, quota, rules, score
 from rubrica.plans import bind, pipeline
+from rubrica.plans.staging import numbered, stage
 from verify import compare, connect
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"dup_greedy"}
 
 
 def column(spark, values, kind, fn):
@@ -19,88 +22,386 @@ def column(spark, values, kind, fn):
     return [r["x"] for r in df.select("i", fn(F.col("v")).alias("x")).orderBy("i").collect()]
 
 
+# --- values, levels, mapping ---
+
+
+def test_strip_and_numbers(spark):
+    assert column(spark, ["\t x \n", " y ", "", None], "string", normalize.strip) == ["x", "y", "", None]
+    assert column(spark, [" 22 ", "22.0", "+5", "", "1e3", None], "string", normalize.whole) == [22, None, 5, None, None, None]
+    assert column(spark, ["1e3", "1d", "1f", "inf", "x", None], "string", normalize.number) == [1000.0, None, None, float("inf"), None, None]
+
+
 def test_levels(spark):
     hours = [1.99, 2.0, 4.0, 4.5, 5.0, 8.0, 8.5, 9.0, 18.0, 18.5, 19.0, float("inf"), float("nan"), -3.0, None]
     assert column(spark, hours, "double", levels.level_of) == [None, 1, 1, None, 2, 2, None, 3, 3, None, 4, 4, None, None, None]
+    assert column(spark, hours, "double", lambda h: levels.level_by_type(F.lit("Workshop"), h)) == [None] * 4 + [2, 2, None, 3, 3, None, 4, 4, None, None, None]
 
 
 def test_durations(spark):
     texts = ["3.0h", "-3.0h", "180 minutes", "2h 30m", "1e+16h", "nanh", "", None]
     assert column(spark, texts, "string", levels.parse_hours) == [3.0, 3.0, 180.0, 2.0, 1.0, None, None, None]
-    assert column(spark, [3.0, 1e7, 1e16, 0.5, float("nan")], "double", mapping.duration_text) == ["3.0h", "10000000.0h", "1e+16h", "0.5h", "nanh"]
+    shown = lambda v: mapping.duration_text(v, F.lit(""))
+    assert column(spark, [3.0, 1e7, 1e16, 0.5, 1e-5, float("nan"), float("inf")], "double", shown) == ["3.0h", "10000000.0h", "1e+16h", "0.5h", "1e-05h", "nanh", "infh"]
 
 
 def test_academic_year(spark):
-    years = ["2024-25", "2024-2025", "2024", "202425", "1999", "2024-5", "24-25", "abcd", "24", None]
-    want = ["2024-25", "2024-25", "2024-25", "2024-25", "1999-00", "", "24-25", "", "24", ""]
-    assert column(spark, years, "string", lambda v: mapping.academic_year(v, F.lit(None).cast("string"))) == want
+    years = ["2024-25", "2024-2025", "2024", "202425", "1999", "2024-5", "24-25", "abcd", "24", " 2024-25 ", None]
+    want = ["2024-25", "2024-25", "2024-25", "2024-25", "1999-00", "", "24-25", "", "24", "2024-25", ""]
+    assert column(spark, years, "string", mapping.academic_year) == want
 
 
 def test_paths(spark):
     base = "https://storage.example.org/container"
-    got = column(spark, ["", "https://h/x", "http://h/x", "/a/b.pdf"], "string", lambda v: mapping.resolve_path(v, F.lit(3)))
+    got = column(spark, ["", "https://h/x", "http://h/x", " /a/b.pdf "], "string", lambda v: mapping.resolve_path(v, F.lit(3)))
     assert got == [None, "https://h/x", f"{base}/uploads/institutes/http://h/x", f"{base}/uploads/institutes/a/b.pdf"]
-    assert column(spark, ["a,b;c", "a;b", "0, N/A ,x"], "string", mapping.split_paths) == [["a", "b;c"], ["a", "b"], ["x"]]
+    assert column(spark, ["a,b;c", "a;b", "0, N/A ,x", ""], "string", mapping.split_paths) == [["a", "b;c"], ["a", "b"], ["x"], []]
+    assert column(spark, [" N/A ", "None", "p.jpg"], "string", lambda v: mapping.image_paths([v], F.lit(1))) == ["", "", f"{base}/p.jpg"]
+
+
+def mapped_one(spark, origin, schema, *values):
+    return mapping.mapped(spark.createDataFrame([values], schema), origin=origin).first()
+
+
+def test_mapping_takes_any_columns(spark):
+    """Absent columns, nulls of both origins, and numbers or texts in any column."""
+    bare = mapped_one(spark, "file", "other int", 1)
+    assert (bare.sid, bare.m_title, bare.m_year_type, bare.m_duration, bare.m_participants, bare.m_level, bare.driven, bare.canonical) == ("unknown", "", "Financial", "", 0, None, None, False)
+    assert bare.m_pdf_path == "" and bare.m_image_paths == "" and bare.broken is None and bare.directory == "None_None"
+    schema = "eventId string, activity_name string, activity_duration double, student_participants int, faculty_participants string, acadmic_year int, financial_year string, event_driven double, report string, photo1 string, photo2 string"
+    null = (None,) * 11
+    file, json = mapped_one(spark, "file", schema, *null), mapped_one(spark, "json", schema, *null)
+    assert (file.sid, file.m_title, file.m_duration, file.m_participants, file.m_year) == ("nan", "nan", "nanh", 0, "nan")
+    assert (json.sid, json.m_title, json.m_duration, json.m_participants, json.m_year) == ("None", "None", "", 0, "")
+    assert file.m_image_paths.endswith("/nan") and json.m_image_paths == "" and "'float'" in file.broken and "'NoneType'" in json.broken
+    full = mapped_one(spark, "file", schema, "e7", " A ", 3.0, 20, "", 2024, "2024-25", 2.0, "/r.pdf", "0", "p.jpg")
+    assert (full.sid, full.m_title, full.m_duration, full.m_level, full.m_participants, full.m_year, full.driven, full.canonical, full.directory) == ("e7", "A", "3.0h", 1, 20, "2024-25", 2, True, "2.0_2024")
+    text = mapped_one(spark, "json", "id int, activity_duration string, student_participants string, faculty_participants double, event_driven string", 5, "two", " 15 ", 7.9, "2")
+    assert (text.sid, text.m_duration, text.m_participants, text.driven, text.canonical) == ("5", "two", 22, 2, False)
+    pair = lambda a, b, kind="string": mapped_one(spark, "json", f"student_participants {kind}, faculty_participants {kind}", a, b).m_participants
+    assert [pair("22", "22"), pair("", "20"), pair("22.0", "1"), pair("16", None), pair(22.9, 0.0, "double"), pair(float("nan"), 20.0, "double")] == [44, 20, 0, 16, 22, 0]
+
+
+def test_titles(spark):
+    kinds = ["Level 1 - Expert Talk", "Workshop", "", "Level1 - Expert Talk", "Level", "Level 2 Level 3 - X"]
+    got = column(spark, kinds, "string", lambda v: scalars.canonical_title(v, F.lit("T")))
+    assert got == ["Level 1 - Expert Talk - on T", "Workshop - on T", " - on T", "Level 1 - Expert Talk - on T", "Level - on T", "Level 2 - X - on T"]
+
+
+def test_names(spark):
+    """Python's word boundary and white space, which take letters beyond ASCII for letters."""
+    import re
+
+    texts = ["Thshea Stteä", "éDr Who", "Professor Smith", "Miss Jane", "dr jane", "ÄB Cd", "x_Jane Doe", "A1 Bc", "Jane Doe", "", "Mr.Smith", "Prof. Smith"]
+    want = [any(re.search(p, t) is not None for p in scalars.NAME_PATTERNS) for t in texts]
+    assert column(spark, texts, "string", scalars.has_name) == want
+
+
+def test_names_of_files(spark):
+    assert column(spark, ["https://h/a/b.pdf?x=1", "https://h"], "string", scalars.download_name)[0] == "b.pdf"
+    assert len(column(spark, ["https://h"], "string", scalars.download_name)[0]) == 8
+
+
+# --- rules and the judge ---
 
 
 def test_level_rule(spark):
-    rows = [("3.0h", 1), ("4.5h", None), ("0.0h", None), ("-3.0h", None), ("180 minutes", None), ("nanh", None), ("infh", 4), ("3.0h", 2)]
-    df = spark.createDataFrame(rows, "d string, l int").withColumn("r", rules.level_rule(F.col("d"), F.col("l")))
-    assert [r["r"]["passed"] for r in df.collect()] == [True, False, False, True, True, False, False, True]
+    rows = [("3.0h", "1"), ("4.5h", None), ("0.0h", None), ("-3.0h", None), ("180 minutes", None), ("nanh", None), ("infh", "4"), ("3.0h", "2"), ("3.0h", "x"), ("3.0h", "9"), ("4.5h", "4")]
+    df = spark.createDataFrame(rows, "d string, l string").withColumn("h", levels.parse_hours(F.col("d"))).withColumn("r", rules.level_rule(F.col("d"), F.col("h"), F.col("l")))
+    got = [(r["r"]["passed"], r["r"]["message"]) for r in df.collect()]
+    assert [p for p, _ in got] == [True, False, False, True, True, False, False, True, False, False, False]
+    assert got[7][1] == "Level auto-corrected from 2 to 1 based on duration 3.0h" and got[9][1] == "Invalid level: 9. Valid levels are 1-4." and got[10][1].endswith("requirements (19+ hours)")
+
 
+def model_verdict(answer, keys):
+    """Line by line, as the protocol says."""
+    out = {n: "" if n == "reasoning" else 0 if n == "participant_count" else False for n in keys.values()}
+    for line in (answer or "").split("\n"):
+        line = line.strip()
+        key = next((k for k in keys if k in line), None)
+        if key == "REASONING:":
+            out["reasoning"] = line.split(":", 1)[1].strip()
+        elif key == "PARTICIPANT_COUNT:":
+            try:
+                out["participant_count"] = int(line.split(":")[1].strip())
+            except ValueError:
+                pass
+        elif key:
+            out[keys[key]] = "YES" in line.upper()
+    return out
 
-def test_parser(spark):
-    got = column(spark, ["TITLE_MATCH: yes", "TITLE_MATCH: NO (not YES)", None, "TITLE_MATCH: YES\nTITLE_MATCH: NO"], "string", lambda v: judge.verdict(v, judge.PDF_KEYS)["title_match"])
-    assert got == [True, True, False, False]
-    assert column(spark, ["PARTICIPANT_COUNT: ~20", "PARTICIPANT_COUNT: 7"], "string", lambda v: judge.verdict(v, judge.IMAGE_KEYS)["participant_count"]) == [0, 7]
+
+@pytest.mark.parametrize("keys", [judge.PDF_KEYS, judge.IMAGE_KEYS, judge.REVIEW_KEYS, judge.CONSISTENCY_KEYS])
+def test_parser_equals_its_model(spark, keys):
+    rng, names = random.Random(3), list(keys)
+    values = [" YES", " no", " NO (not YES)", "", " 7", " ~20", " 12: 3", ": : 4 :", " yes and REASONING: YES", "\tx\r"]
+    texts = ["\n".join(rng.choice(["", "x ", "  "]) + rng.choice([*names, "OTHER:"]) + rng.choice(values) for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    got = column(spark, [*texts, None], "string", lambda v: judge.verdict(v, keys))
+    assert [r.asDict() for r in got] == [model_verdict(t, keys) for t in [*texts, None]]
 
 
 def test_hamming_and_delays(spark):
     assert column(spark, ["ab12", "abz3", "abc"], "string", lambda v: scalars.hamming(v, F.lit("ab12"))) == [0, 2, None]
-    assert column(spark, ["retry in 49.42s", "retry in 1s", "x"], "string", lambda v: scalars.backoff(v, F.lit(2))) == [49.42, 5.0, 8.0]
-    assert column(spark, ["try again in 2s"], "string", lambda v: scalars.retry_delay(v, True)) == [2.5]
+    a = "0123456789abcdef"
+    assert column(spark, [a, "f" + a[1:], a[::-1], a.upper()], "string", lambda v: scalars.hamming(v, F.lit(a))) == [0, 1, 16, 6]
+    assert column(spark, ["retry in 49.42s", "retry in 1s", "quota", "x"], "string", lambda v: scalars.backoff(v, F.lit(2))) == [49.42, 5.0, 8.0, 1.0]
+    assert column(spark, ["rate limit: try again in 2s"], "string", lambda v: scalars.backoff(v, F.lit(0), True)) == [2.5]
+    assert judge.wait_after("retry in 1s", 2) == 5.0 and judge.wait_after("quota", 2) == 8.0 and judge.wait_after("429 try again in 2s", 0, True) == 2.5 and judge.wait_after("x", 1) == 1.0
+
+
+def test_score_of_any_text(spark):
+    assert column(spark, ["nan", "1e12", "x", "", "59.9", "-3", None], "string", score.coerced) == [0, 0, 0, 0, 59, -3, 0]
+
+
+class Clock:
+    def __init__(self):
+        self.now = 1000.0
+
+    def __call__(self):
+        return self.now
+
+    def sleep(self, seconds):
+        self.now += seconds
+
+
+def client(provider, clock, **how):
+    return judge.Client(provider, clock=clock, sleep=clock.sleep, **how)
+
+
+def test_client_retries_then_falls_back():
+    clock, said = Clock(), []
+
+    def broken(prompt, image):
+        said.append(prompt)
+        raise RuntimeError("429 quota, retry in 6s")
+
+    second = client(lambda p, i: " Yes \n", clock, is_fallback=True)
+    first = client(broken, clock, fallback=second)
+    assert first.ask("p") == "Yes" and len(said) == 3 and clock.now >= 1018
+    assert first.ask("q", b"image") == "Yes" and len(said) == 6  # asked without the image
+    assert client(broken, clock).ask("p") is None
+    known = client(lambda p, i: said.append(p) or "NO", clock)
+    before = len(said)
+    assert known.ask("same") == known.ask("same") == "NO" and len(said) == before + 1
+
+
+def test_open_breaker_sends_calls_to_the_fallback():
+    clock, said = Clock(), []
+
+    def broken(prompt, image):
+        said.append(prompt)
+        raise RuntimeError("rate limit")
+
+    config = EngineConfig(breaker_min_errors=2, breaker_min_requests=2, breaker_cooldown_s=1e6, breaker_window_s=1e6)
+    first = client(broken, clock, fallback=client(lambda p, i: "YES", clock, is_fallback=True), config=config)
+    assert first.ask("a") == "YES" and len(said) == 2
+    assert first.ask("b") == "YES" and len(said) == 2
+
 
+def test_judge_asks_once_and_survives_failures(spark, tmp_path):
+    log = str(tmp_path / "asked")
 
-def test_greedy_duplicates(spark):
-    far = ["0" * 16, "5" * 16, "9" * 16, "f" * 16]
-    rows = [(1, 1, 0, "x"), (1, 1, 1, "y"), (2, 2, 0, "x"), (2, 2, 1, "z"), (3, 3, 0, "z"), (4, 4, 0, "z"), (5, 5, 0, "q"), (5, 5, 1, "q")]
-    df = spark.createDataFrame([(*r, far["xyzq".index(r[3])]) for r in rows], "submission long, ord long, pos int, sha256 string, phash string")
-    got = {r["submission"]: r["flagged"] for r in duplicates.greedy(df, 5).collect()}
-    assert got == {1: False, 2: True, 3: False, 4: True, 5: True}
+    def ask(prompt, image):
+        with open(log, "a") as f:
+            f.write(prompt + "\n")
+        if prompt == "bad":
+            raise ValueError("broken")
+        return "YES"
+
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(["a", "b", "a", "", None, "bad", "a"])], "judge_key int, p string")
+    quick = EngineConfig(attempts=1, rpm=10**9, max_concurrent=2)
+    cache = str(tmp_path / "cache")
+    out = judge.judged(rows, "p", ask, config=quick, cache=cache)
+    for _ in range(2):
+        assert [r.answer for r in out.orderBy("judge_key").collect()] == ["YES", "YES", "YES", None, None, None, "YES"]
+    assert sorted(open(log).read().split()) == ["a", "b", "bad"] and out.columns == ["judge_key", "p", "answer"]
+    again = judge.judged(rows, "p", ask, config=quick, cache=cache)
+    assert [r.answer for r in again.orderBy("judge_key").collect()] == ["YES", "YES", "YES", None, None, None, "YES"]
+    assert sorted(open(log).read().split()) == ["a", "b", "bad", "bad"]
+
+
+# --- duplicates ---
+
+
+def scan(rows, threshold):
+    """The sequential scan: {submission: messages} of rows (submission, pos, key, sha, hash, path) in order."""
+    seen, cached, out = {}, {}, {}
+    apart = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True)) if len(a) == len(b) else 99
+    for s, _, key, sha, h, path in rows:
+        said = out.setdefault(s, [])
+        if sha is None:
+            continue
+        if sha in seen:
+            said.append(f"Image identical to submission {seen[sha][0]} (SHA256 match)")
+            continue
+        near = next(((p, apart(h, g)) for g, p in cached.get(key, {}).values() if h and g and apart(h, g) <= threshold), None)
+        if near:
+            said.append(f"Image similar to file in directory (pHash match (similarity score: {near[1]:.1f})): {near[0]}")
+        other = next(((who, apart(h, g)) for who, g in seen.values() if h and g and g != h and apart(h, g) <= threshold), None)
+        if other:
+            said.append(f"Image similar to submission {other[0]} (pHash distance: {other[1]}, threshold: {threshold})")
+        if not said:
+            seen[sha] = (s, h)
+            cached.setdefault(key, {})[sha] = (h, path)
+    return {s: m for s, m in out.items() if m}
+
+
+def photo_rows(rng, n, alphabet, contents):
+    rows = []
+    for s in range(n):
+        for pos in range(rng.choice([0, 1, 2, 2, 3])):
+            sha = None if rng.random() < 0.05 else f"s{rng.randrange(contents)}"
+            h = None if sha is None or hash(sha) % 11 == 0 else "".join(random.Random(sha).choice(alphabet) for _ in range(16))
+            rows.append((s, pos, rng.choice("kl"), sha, h, f"p{s}.{pos}"))
+    return rows
+
+
+@pytest.mark.parametrize("seed,n,alphabet,contents,threshold", [(1, 60, "ab", 40, 5), (2, 120, "abc", 25, 5), (3, 50, "ab", 400, 3), (4, 40, "abcdef0123", 15, 0), (5, 30, "ab", 30, 11)])
+def test_greedy_duplicates_equal_the_scan(spark, seed, n, alphabet, contents, threshold):
+    rows = photo_rows(random.Random(seed), n, alphabet, contents)
+    schema = "submission long, ord long, pos int, key string, sha256 string, phash string, path string"
+    df = spark.createDataFrame([(s, s, pos, k, sha, h, p) for s, pos, k, sha, h, p in rows], schema)
+    want = scan(rows, threshold)
+    assert {r["submission"]: r["messages"] for r in duplicates.greedy_messages(df, threshold).collect()} == want
+    if seed == 1:
+        assert {r["submission"]: r["flagged"] for r in duplicates.greedy(df, threshold).collect()} == {r[0]: r[0] in want for r in rows}
+
+
+def test_greedy_duplicates_of_the_survey(spark):
+    far = {"x": "0" * 16, "y": "5" * 16, "z": "9" * 16, "q": "f" * 16}
+    rows = [(1, 0, "x"), (1, 1, "y"), (2, 0, "x"), (2, 1, "z"), (3, 0, "z"), (4, 0, "z"), (5, 0, "q"), (5, 1, "q")]
+    df = spark.createDataFrame([(s, s, pos, "k", c, far[c], c) for s, pos, c in rows], "submission long, ord long, pos int, key string, sha256 string, phash string, path string")
+    assert {r["submission"]: r["flagged"] for r in duplicates.greedy(df, 5).collect()} == {1: False, 2: True, 3: False, 4: True, 5: True}
+    assert duplicates.greedy(df.limit(0), 5).isEmpty()
+
+
+def test_blocks_lose_no_pair():
+    """Every choice of hashes within the threshold agrees on one block at least, whatever the number of pieces."""
+    rng = random.Random(7)
+    for threshold in (0, 2, 5, 11):
+        for pieces in range(threshold + 1, 17):
+            chosen = duplicates.blocks(threshold, pieces)
+            for _ in range(20):
+                a = [rng.choice("0123") for _ in range(16)]
+                b = list(a)
+                for i in rng.sample(range(16), threshold):
+                    b[i] = "z"
+                assert any(all(a[s - 1 : s - 1 + n] == b[s - 1 : s - 1 + n] for s, n in spans) for spans in chosen)
+
+
+# --- quota ---
 
 
 def test_breaker():
     b = quota.Breaker()
-    for _ in range(19):
-        b.record(0.0, True)
+    for i in range(19):
+        b.record(i * 0.01, "limit")
     assert b.state == "CLOSED"
-    b.record(0.0, True)
-    assert b.state == "OPEN" and not b.can_proceed(5.0) and b.can_proceed(10.0)
-    b.record(10.0, False)
+    b.record(0.2, "limit")
+    assert b.state == "OPEN" and not b.can_proceed(5.0) and b.can_proceed(10.2)
+    b.record(10.2, "success")
     assert b.state == "HALF_OPEN"
-    b.record(10.0, False)
+    b.record(10.2, "success")
+    assert b.state == "CLOSED" and (b.requests, b.errors) == (22, 20)
+    b.record(10.3, "limit")  # the window still holds the errors: 21 of 23
+    assert b.state == "OPEN"
+    b = quota.Breaker()
+    for i in range(29):
+        b.record(i * 0.01, "limit" if i < 20 else "error")
+    assert b.state == "OPEN"
+    b = quota.Breaker()
+    for i in range(29):
+        b.record(i * 0.01, "success" if i < 9 else "limit")
     assert b.state == "CLOSED"
+    b.record(31.0, "success")
+    assert (b.requests, b.errors, b.window) == (0, 0, 31.0)
+    b.state, b.until = "OPEN", 40.0
+    assert b.can_proceed(41.0)
+    b.record(41.0, "error")
+    assert b.state == "OPEN" and b.until == 51.0
+
+
+def test_admission():
+    a = quota.Admission(3, 60.0)
+    waits = []
+    for now in (0.0, 1.0, 40.0, 45.0):
+        waits.append(round(a.delay(now, 1500), 6))
+        a.record(now)
+    assert waits == [0.0, round(19 * 1.1, 6), 0.0, round(15.1 * 1.1, 6)]
+    assert effective_limit(148, 0.98) == 140 and effective_limit(25, 0.8) == 20
+
+
+def test_rolling_counts_equal_a_window(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.choice("ab"), rng.choice([0, 5, 3600, 3595, 3660, 7200]) + rng.randrange(200)) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id int, k string, s int").select("event_id", "k", F.timestamp_seconds("s").alias("ts"))
+    want = {i: sum(k == k2 and s - 60 <= s2 <= s for _, k2, s2 in rows) for i, k, s in rows}
+    assert {r.event_id: r.in_window for r in quota.rolling(df, "k", 60).collect()} == want
+
+
+def test_budget_of_a_hot_id(spark):
+    rows = [(i % 7 == 0 and "hot" or f"i{i % 5}", i, s) for i in range(300) for s in (1, 2, 3)]
+    got = quota.granted(spark.createDataFrame(rows, "id string, idx int, step int")).collect()
+    want = {}
+    for key, idx, s in sorted(rows, key=lambda r: r[1:]):
+        want[key, idx, s] = sum(k[0] == key for k in want) < 5
+    assert {(r.id, r.idx, r.step): r.granted for r in got} == want
+
+
+# --- the pipeline ---
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def inputs(spark):
+    """An empty table with all columns that scoring takes, duplicates as a column of it."""
+    df = bind.standard(spark, SF).withColumns({"has_pdf": F.lit(True), "pdf_empty": F.lit(False), "pdf_expert": F.lit(False), "duplicate_messages": F.array(F.lit("x"))})
+    return spark.createDataFrame([], df.schema)
 
 
 def test_scoring_is_a_projection(spark):
-    df = pipeline.scored(bind.mapped(spark.createDataFrame([], bind.submissions(spark, SF).schema))).select("score", "unmet")
+    df = pipeline.scored(inputs(spark)).select("score", "unmet")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_scoring_copies_no_expression(spark):
+    """The plan of all scores stays small: what several rules use is computed once."""
+    df = pipeline.scored(bind.standard(spark, SF).withColumns({"has_pdf": F.lit(True), "pdf_empty": F.lit(False), "pdf_expert": F.lit(False)}))
+    assert len(plan_of(df.select("id", "status", "unmet"))) < 40_000 and len(plan_of(pipeline.long(df).drop("message"))) < 60_000
+
+
+def test_own_rules_and_switches(spark):
+    df = bind.with_reports(bind.standard(spark, SF).limit(30), spark, SF)
+    own = rules.Outcome(rules.Rule("own", 18, "Even", 5), F.col("id") % 2 == 0, F.lit("odd"))
+    out = pipeline.scored(df, EngineConfig(enable_year=True, enable_geotag=True, current_year=1996), [own])
+    kinds = {r.criterion for r in pipeline.long(out).collect()}
+    assert {"Even", "Year alignment (financial vs academic)", "GeoTag present"} <= kinds
+    plain = {r.criterion for r in pipeline.long(pipeline.scored(df)).collect()}
+    assert not {"Even", "Year alignment (financial vs academic)", "GeoTag present"} & plain
+
+
+def test_output_keeps_raw_names(spark):
+    raw = spark.createDataFrame([(1, "old", 5, "T")], "id int, status string, score int, activity_name string")
+    df = mapping.mapped(raw).withColumns({n: F.lit(False) for n in ("has_pdf", "pdf_empty", "pdf_expert")}).withColumns({"n_images": F.lit(0), **{f"{n}_answer": F.lit("NO") for n in ("theme", "pdf", "image")}})
+    out = pipeline.output(pipeline.scored(df), level=True)
+    assert out.columns == ["id", "status", "score", "activity_name", "Overall Score", "Status", "Requirements Not Met", "Level"]
+    assert tuple(out.first())[:6] == (1, "old", 5, "T", 15, "Reopen")
+
+
+def test_numbered(spark):
+    df = stage(spark.range(1000).select((F.col("id") * 7919 % 1009 % 300).alias("v")), "v")
+    got = numbered(df, ["v"], "place").orderBy("place").collect()
+    assert [r.place for r in got] == list(range(1000)) and [r.v for r in got] == sorted(i * 7919 % 1009 % 300 for i in range(1000))
+
+
 @pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if not n.startswith("op")))
 def test_catalogue(spark, name):
     assert compare(spark, connect(SF), name, entry.queries()[name], entry.oracle_sql()[name], SF) == ""
 
 
-def test_streaming_breaker(spark, tmp_path):
-    from rubrica.streaming import monitor
+def test_every_query_has_sql():
+    from rubrica.plans import catalog
 
-    rows = [("a", i, i < 20) for i in range(25)]
-    df = spark.createDataFrame(rows, "k string, s int, is_error boolean").select("k", F.timestamp_seconds("s").alias("ts"), "is_error")
-    df.write.parquet(str(tmp_path / "in"))
-    stream = monitor.breaker(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "k")
-    q = stream.writeStream.outputMode("update").format("memory").queryName("breaker_out").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert spark.sql("select state from breaker_out").first()[0] == "OPEN"
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
