@@ -6,11 +6,7 @@ operations over whole slices instead of per-document loops.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rubrica.plans.staging import drop, shared_dir, stage
+
 #: Bytes of text that one numpy step works on; a longer single text is a step of its own.
 SLICE_BYTES = 1 << 21
 
@@ -27,29 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one in local mode only."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="rubrica-")
-    atexit.register(shutil.rmtree, root, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there and survives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/rubrica-{label}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(column: str, m: int):
     """crc32 of the id as text, modulo m; null for a null id."""
     return F.crc32(F.col(column).cast("string")) % m
@@ -182,23 +157,29 @@ def vector_rows(part: int, vector: np.ndarray, chunk: int = 1 << 15) -> pa.Recor
     )
 
 
-def sum_vectors(df: DataFrame, parts: int, length: int, dtype: str, fan: int = 64) -> np.ndarray:
+def sum_vectors(df: DataFrame, parts: int, length: int, dtype: str, fan: int = 64, total: str | None = None) -> np.ndarray:
     """Sum the dense vectors of all tasks in a tree: no step gathers more than `fan` pieces of one chunk.
 
-    The result has `length` entries, a parameter of the caller that does not grow with the data.
+    The result has `length` entries of type `total`, a parameter of the caller that does not grow with the data. Pieces are added in order
+    of their parts, so sums of floats do not depend on the order of their arrival.
     """
+    kind, wide = dtype, total or dtype
+
+    def folder(kind: str):
+        def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            out = sum(np.frombuffer(v, kind).astype(wide) for v in pdf.sort_values("origin")["vec"])
+            return pd.DataFrame({"part": [key[1]], "chunk": [key[0]], "vec": [np.asarray(out, wide).tobytes()]})
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(v, dtype) for v in pdf["vec"])
-        return pd.DataFrame({"part": [key[1]], "chunk": [key[0]], "vec": [np.asarray(total, dtype).tobytes()]})
+        return fold
 
     while True:
         parts = -(-parts // fan)
-        df = df.groupBy("chunk", F.expr(f"part % {parts}").alias("part")).applyInPandas(fold, VECTOR_SCHEMA)
+        keyed = df.select(F.col("part").alias("origin"), "chunk", "vec", F.expr(f"part % {parts}").alias("part"))
+        df, kind = keyed.groupBy("chunk", "part").applyInPandas(folder(kind), VECTOR_SCHEMA), wide
         if parts == 1:
             break
     got = sorted((r["chunk"], r["vec"]) for r in df.select("chunk", "vec").collect())
-    return np.concatenate([np.frombuffer(v, dtype) for _, v in got]) if got else np.zeros(length, dtype)
+    return np.concatenate([np.frombuffer(v, wide) for _, v in got]) if got else np.zeros(length, wide)
 
 
 def task_id() -> int:
@@ -206,6 +187,3 @@ def task_id() -> int:
 
     return TaskContext.get().partitionId()
 
-
-def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)

@@ -5,11 +5,14 @@ history: the last word, the last two, the words two and three places back (skips
 word. Classes are clusters of word endings by the endings before them, so any word has one; the end of a text has
 class 0 to itself. Within a class, bias features only: P(w | class) = (c + 1) / (N_class + V_class + 1).
 
-Counts c cover every training document. Words are counted as 64-bit hashes per block of documents, joined with
-their global counts, and scoring meets each block with the counts of its own words only, so no vocabulary is
-broadcast. The class clusters and weights are learned from every position of every training document: features are
-computed again from the staged texts in each pass, so none are stored. Each task descends from the shared weights over
-its share of the positions, and the weights are averaged by their number, for EPOCHS rounds. Scoring works on numpy batches of sparse features.
+Counts c cover every training document. Words are counted as 64-bit hashes per block of documents, summed over the
+blocks where they meet in one shuffle by hash, and scoring meets each block with the counts of its own words only, so no vocabulary is
+broadcast. Classes and weights are learned from every position of every training document; features are computed again from
+the staged texts in each pass, so none are stored. The feature tables grow with the training tokens up to a bound
+(LARGEST rows). Weights start from the first step of gradient ascent that has a closed form: the counts of feature and class
+over all positions against what the class shares alone expect. Then each task descends from the shared weights over its
+share of the positions, and the weights are averaged by their number, for EPOCHS rounds. Documents are dealt to tasks by
+a hash of id and text and sorted by it, so the model does not depend on how the input is cut into files. Scoring works on numpy batches of sparse features.
 
 Defined results: a null or empty text has one token, its end; held_out is false for a null id, which is not learned
 from; without training text all scores are 0; repeated rows give a row each, equal texts equal scores; an empty
@@ -20,25 +23,34 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rubrica.llm.common import VECTOR_SCHEMA, Words, byte_table, crc_mod, flat_text, mix, slices, space_bytes, stage, sum_vectors, table, task_id, vector_rows
+from rubrica.llm.common import VECTOR_SCHEMA, Words, byte_table, crc_mod, drop, flat_text, mix, slices, space_bytes, stage, sum_vectors, table, task_id, vector_rows
 
-BLOCK_BYTES, EPOCHS, CLASSES = 24 << 20, 3, 32
-ENDINGS, CONTEXTS, TABLE, TABLES = 4096, 256, 4096, 5
+BLOCK_BYTES, EPOCHS, CLASSES = 24 << 20, 1, 32
+ENDINGS, CONTEXTS, TABLES = 4096, 256, 5
+#: Rows of a feature table: as many as there are training tokens per TOKENS_A_ROW, between these two.
+SMALLEST, LARGEST, TOKENS_A_ROW = 1 << 12, 1 << 16, 1 << 14
+#: Training tokens of a task for each row of a table, so that weights are small beside the text they come from.
+TASK_TOKENS = 750
+STEP, RATE, START = 1 << 15, 0.3, 0.3
 END_ENDING = ENDINGS
 RESERVED = np.uint64(0x5851F42D4C957F2D)
-PER_TASK = 500_000
+
+
+def table_rows(total: int) -> int:
+    return min(LARGEST, max(SMALLEST, 1 << max(0, total // TOKENS_A_ROW - 1).bit_length()))
 
 
 class Tokens:
     """Words of a slice with an end after each row: hashes, endings and features, flat."""
 
-    def __init__(self) -> None:
-        self.words = Words(byte_table(space_bytes(), 1))
+    def __init__(self, rows: int = 0) -> None:
+        self.words, self.rows = Words(byte_table(space_bytes(), 1)), rows
 
     def __call__(self, column: pa.Array):
+        """(hashes, endings, endings of the last words, features or null, tokens of each row)."""
         data, offsets = flat_text(column)
         h, starts, ends, first, counts = self.words.hashes(data, offsets)
         n, rows = len(h) + len(counts), len(counts)
@@ -57,23 +69,24 @@ class Tokens:
             tail[inside] += code[at[inside]]
         endings = np.full(n, END_ENDING, np.int32)
         endings[~is_end] = (mix(tail) % np.uint64(ENDINGS)).astype(np.int32)
-        begin = np.repeat(stop - counts, lengths)
-        place = np.arange(n)
+        place, begin = np.arange(n), np.repeat(stop - counts, lengths)
+        last = np.full(n, END_ENDING, np.int32)
+        have = place > begin
+        last[have] = endings[place[have] - 1]
+        if not self.rows:
+            return hashes, endings, last, None, lengths
         back = []
         for j in range(1, 4):
             prior = np.full(n, RESERVED + np.uint64(j), np.uint64)
             have = place - j >= begin
             prior[have] = hashes[place[have] - j]
             back.append(prior)
-        last = np.full(n, END_ENDING, np.int32)
-        have = place > begin
-        last[have] = endings[place[have] - 1]
         one, two, three = back
         keys = (one, mix(one) + two * np.uint64(3), two * np.uint64(5) + np.uint64(1), three * np.uint64(7) + np.uint64(2), last.astype(np.uint64) + np.uint64(3))
         features = np.empty((n, TABLES), np.int32)
         for j, key in enumerate(keys):
-            features[:, j] = (mix(key) % np.uint64(TABLE)).astype(np.int32) + j * TABLE
-        return hashes, endings, last, features, is_end, lengths
+            features[:, j] = (mix(key) & np.uint64(self.rows - 1)).astype(np.int32) + j * self.rows
+        return hashes, endings, last, features, lengths
 
 
 def blocked(docs: DataFrame) -> DataFrame:
@@ -120,7 +133,7 @@ def counted(rows: DataFrame) -> DataFrame:
                         yield out(block, flush())
                         held, seen = [], 0
                     block, part = ids[a], batch.slice(a, b - a)
-                    hashes, endings, _, _, _, lengths = tokens(part.column("text"))
+                    hashes, endings, _, _, lengths = tokens(part.column("text"))
                     train = np.repeat(part.column("train").to_numpy(zero_copy_only=False).astype(bool), lengths)
                     keys, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
                     held.append((keys, np.bincount(inverse, weights=train, minlength=len(keys)).astype(np.int64), endings[at]))
@@ -134,12 +147,19 @@ def counted(rows: DataFrame) -> DataFrame:
     return stage(rows.mapInArrow(run, "block long, h long, ending int, n long"), "counted")
 
 
-def positions_of(batches):
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """The training texts in n parts by a hash of id and text, sorted by it, staged: the same parts for any layout of the input."""
+    key = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    kept = rows.where("train").select("text", key.alias("key"))
+    return stage(kept.repartition(n, "key").sortWithinPartitions("key", "text").select("text"), "samples")
+
+
+def positions_of(batches, rows: int = 0):
     """(endings, endings of the last words, features) of all positions of the texts, slice by slice."""
-    tokens = Tokens()
+    tokens = Tokens(rows)
     for whole in batches:
         for batch in slices(whole, "text", 1 << 19):
-            _, endings, last, features, _, _ = tokens(batch.column("text"))
+            _, endings, last, features, _ = tokens(batch.column("text"))
             yield endings, last, features
 
 
@@ -151,23 +171,42 @@ def learn_classes(samples: DataFrame, parts: int, classes: int = CLASSES) -> np.
         total = np.zeros(size, np.int64)
         for endings, last, _ in positions_of(batches):
             total += np.bincount(endings.astype(np.int64) * CONTEXTS + last % CONTEXTS, minlength=size)
-        yield vector_rows(task_id(), total)
+        yield vector_rows(task_id(), total.astype(np.int32))
 
-    seen = sum_vectors(samples.mapInArrow(count, VECTOR_SCHEMA), parts, size, "int64").reshape(-1, CONTEXTS)[:ENDINGS].astype(float)
+    seen = sum_vectors(samples.mapInArrow(count, VECTOR_SCHEMA), parts, size, "int32", total="int64").reshape(-1, CONTEXTS)[:ENDINGS].astype(float)
     mass = seen.sum(1)
     x = np.sqrt((seen + seen.sum(0) / max(1, seen.sum()) * 2) / (mass[:, None] + 2))
+    apart = lambda c: np.maximum(0, (x**2).sum(1)[:, None] + (c**2).sum(1) - 2 * x @ c.T)
     centre = x[[int(mass.argmax())]]
     for _ in range(classes - 2):  # farthest first, by mass
-        far = ((x[:, None] - centre[None]) ** 2).sum(2).min(1) * mass
-        centre = np.append(centre, x[[int(far.argmax())]], axis=0)
+        centre = np.append(centre, x[[int((apart(centre).min(1) * mass).argmax())]], axis=0)
     for _ in range(12):
-        own = ((x[:, None] - centre[None]) ** 2).sum(2).argmin(1)
+        own = apart(centre).argmin(1)
         for c in range(len(centre)):
             if mass[own == c].sum():
                 centre[c] = np.average(x[own == c], axis=0, weights=mass[own == c])
     return np.append(own + 1, 0).astype(np.int64)
 
 
+def first_step(samples: DataFrame, parts: int, classes: np.ndarray, prior: np.ndarray, rows: int) -> np.ndarray:
+    """Weights of the first step: log of seen against expected counts of each feature and class, shared among the tables."""
+    size = TABLES * rows * len(prior)
+
+    def count(batches):
+        total = np.zeros(size, np.int64)
+        for endings, _, features in positions_of(batches, rows):
+            own = classes[endings]
+            for j in range(TABLES):
+                total[j * rows * len(prior) : (j + 1) * rows * len(prior)] += np.bincount((features[:, j] - j * rows) * len(prior) + own, minlength=rows * len(prior))
+        yield vector_rows(task_id(), total.astype(np.int32))
+
+    seen = sum_vectors(samples.mapInArrow(count, VECTOR_SCHEMA), parts, size, "int32", total="int64").reshape(-1, len(prior)).astype(float)
+    weights = np.zeros((TABLES * rows + 1, len(prior)), np.float32)
+    weights[:-1] = START * np.log((seen + 1) / (seen.sum(1, keepdims=True) * prior + 1))
+    weights[-1] = np.log(prior)
+    return weights
+
+
 def log_softmax(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
     """[position, class] log probabilities; the last row of the weights is the bias."""
     z = weights[features[:, 0]] + weights[-1]
@@ -178,26 +217,26 @@ def log_softmax(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
 
 
 def descend(weights: np.ndarray, classes: np.ndarray, features: np.ndarray, squares: np.ndarray, rate: float) -> None:
-    """One gradient step in place (AdaGrad)."""
+    """One gradient step in place (AdaGrad), on the rows that the batch has."""
     n = len(classes)
     error = np.exp(log_softmax(weights, features))
     error[np.arange(n), classes] -= 1
-    gradient = np.empty_like(weights)
-    for c in range(weights.shape[1]):
-        column = np.ascontiguousarray(error[:, c])
-        for j in range(features.shape[1]):
-            gradient[j * TABLE : (j + 1) * TABLE, c] = np.bincount(features[:, j] - j * TABLE, weights=column, minlength=TABLE)
-        gradient[-1, c] = column.sum()
-    gradient /= n
-    squares += gradient**2
-    weights -= (rate * gradient / (np.sqrt(squares) + 1e-7)).astype(weights.dtype)
-
-
-def train(samples: DataFrame, parts: int, classes: np.ndarray, prior: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights [TABLES * TABLE + 1, class] of the class softmax, by averaged distributed descent."""
-    weights = np.zeros((TABLES * TABLE + 1, len(prior)), np.float32)
-    weights[-1] = np.log(prior)
-    sc = samples.sparkSession.sparkContext
+    error *= np.float32(1 / n)
+    for j in range(features.shape[1]):
+        order = np.argsort(features[:, j], kind="stable")
+        rows = features[order, j]
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        gradient, at = np.add.reduceat(error[order], first), rows[first]
+        squares[at] += gradient**2
+        weights[at] -= np.float32(rate) * gradient / (np.sqrt(squares[at]) + np.float32(1e-7))
+    gradient = error.sum(0)
+    squares[-1] += gradient**2
+    weights[-1] -= np.float32(rate) * gradient / (np.sqrt(squares[-1]) + np.float32(1e-7))
+
+
+def train(samples: DataFrame, parts: int, classes: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
+    """Weights [TABLES * rows + 1, class] of the class softmax, by averaged distributed descent from the given ones."""
+    sc, rows = samples.sparkSession.sparkContext, (len(weights) - 1) // TABLES
     for epoch in range(epochs):
         shared = sc.broadcast(weights)
 
@@ -207,22 +246,22 @@ def train(samples: DataFrame, parts: int, classes: np.ndarray, prior: np.ndarray
             def step():
                 own, x = np.concatenate([e for e, _ in held]), np.concatenate([f for _, f in held])
                 held.clear()
-                descend(w, classes[own], x, squares, 0.3 / (1 + epoch))
+                descend(w, classes[own], x, squares, RATE / (1 + epoch))
                 return len(x)
 
-            for endings, _, features in positions_of(batches):
-                for i in range(0, len(endings), 1 << 15):
-                    held.append((endings[i : i + (1 << 15)], features[i : i + (1 << 15)]))
-                    if sum(len(e) for e, _ in held) >= 1 << 15:
+            for endings, _, features in positions_of(batches, rows):
+                for i in range(0, len(endings), STEP):
+                    held.append((endings[i : i + STEP], features[i : i + STEP]))
+                    if sum(len(e) for e, _ in held) >= STEP:
                         n += step()
             if held:
                 n += step()
             yield vector_rows(task_id(), np.append(w.ravel().astype(np.float64) * n, n).astype(np.float32))
 
-        got = sum_vectors(samples.mapInArrow(run, VECTOR_SCHEMA), parts, weights.size + 1, "float32")
+        got = sum_vectors(samples.mapInArrow(run, VECTOR_SCHEMA), parts, weights.size + 1, "float32", total="float64")
         if got[-1] <= 0:
             break
-        weights = (got[:-1] / got[-1]).reshape(weights.shape)
+        weights = (got[:-1] / got[-1]).reshape(weights.shape).astype(np.float32)
     return weights
 
 
@@ -232,33 +271,38 @@ def score(docs: DataFrame) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     rows = blocked(docs)
     words = counted(rows)
-    vocabulary = words.groupBy("h").agg(F.sum("n").alias("c"), F.first("ending").alias("ending")).where("c > 0")
-    vocabulary = stage(vocabulary, "vocabulary")
-    by_ending = {r["ending"]: (r["n"], r["v"]) for r in vocabulary.groupBy("ending").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}  # at most ENDINGS + 1 rows
+    meeting = Window.partitionBy("h")  # a row for each block that has the word
+    first = F.row_number().over(meeting.orderBy("block")) == 1
+    counts = stage(words.select("block", "h", "ending", F.sum("n").over(meeting).alias("c"), first.alias("first")).where("c > 0"), "counts")
+    by_ending = {r["ending"]: (r["n"], r["v"]) for r in counts.where("first").groupBy("ending").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}  # at most ENDINGS + 1 rows
     total, distinct = sum(n for n, _ in by_ending.values()), sum(v for _, v in by_ending.values())
+    n_rows = table_rows(total)
+    n_tasks = max(1, total // (TASK_TOKENS * n_rows))
     if total:
-        n_tasks = max(1, total // PER_TASK)
-        samples = rows.where("train").select("text").coalesce(n_tasks)
+        samples = dealt(rows, n_tasks)
         classes = learn_classes(samples, n_tasks)
     else:
         classes = np.append(np.ones(ENDINGS, np.int64), 0)
     n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
-    for ending, (n, v) in by_ending.items():
+    for ending, (n, v) in sorted(by_ending.items()):
         n_class[classes[ending]] += n
         v_class[classes[ending]] += v
     prior = (n_class + 1) / (n_class + 1).sum()
-    weights = train(samples, n_tasks, classes, prior) if total else np.zeros((TABLES * TABLE + 1, CLASSES), np.float32)
+    weights = train(samples, n_tasks, classes, first_step(samples, n_tasks, classes, prior, n_rows)) if total else np.zeros((TABLES * n_rows + 1, CLASSES), np.float32)
+    if total:
+        drop(samples)
+    drop(words)
     model = spark.sparkContext.broadcast((classes, weights, n_class, v_class))
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         classes, weights, n_class, v_class = model.value
         order = np.argsort(known := right.column("h").to_numpy().view(np.uint64))
         known, count = known[order], right.column("c").to_numpy()[order]
-        tokens, out = Tokens(), []
+        tokens, out = Tokens(n_rows), []
         left = left.combine_chunks()
         for whole in left.to_batches():
             for batch in slices(whole, "text", 1 << 19):
-                hashes, endings, _, features, _, lengths = tokens(batch.column("text"))
+                hashes, endings, _, features, lengths = tokens(batch.column("text"))
                 at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
                 c = np.where(known[at] == hashes, count[at], 0) if len(known) else np.zeros(len(hashes), np.int64)
                 own = classes[endings]
@@ -274,7 +318,7 @@ def score(docs: DataFrame) -> DataFrame:
         return pa.Table.from_batches(out) if out else pa.table({n: [] for n in NAMES})
 
     held = rows.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.lit(False)).otherwise(~F.col("train")).alias("held"), "block")
-    needed = words.select("block", "h").join(vocabulary.select("h", "c"), "h")
+    needed = counts.select("block", "h", "c")
     return held.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -239,20 +239,40 @@ def test_lm(docs, none):
 
 
 def test_lm_learns_from_every_position(spark, monkeypatch):
-    """The class model sees each training token once a pass, as many as are counted, in short documents too."""
+    """Each pass sees each training token once, as many as are counted, in short documents too."""
     rows = spark.createDataFrame([(i, f"ab{i} cd ef") for i in range(40)], "doc_id long, text string").coalesce(1)
-    seen = []
-    learn = maxent.learn_classes
-
-    def spy(samples, parts, *how):
-        totals = maxent.sum_vectors
-        monkeypatch.setattr(maxent, "sum_vectors", lambda *a: seen.append(got := totals(*a)) or got)
-        return learn(samples, parts, *how)
-
-    monkeypatch.setattr(maxent, "learn_classes", spy)
+    seen, totals = [], maxent.sum_vectors
+    monkeypatch.setattr(maxent, "sum_vectors", lambda *a, **k: seen.append(got := totals(*a, **k)) or got)
     tokens = maxent.score(rows).first().train_tokens
     assert tokens == 4 * sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(40))
-    assert seen[0].sum() == tokens and [v[-1] for v in seen[1:]] == [tokens] * maxent.EPOCHS
+    assert [seen[0].sum(), seen[1].sum()] == [tokens, maxent.TABLES * tokens] and [v[-1] for v in seen[2:]] == [tokens] * maxent.EPOCHS
+
+
+def test_lm_scores_do_not_depend_on_the_layout(spark):
+    """Any dealing of the rows to files gives the same scores, and held-out texts gain on their base."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = [{r.doc_id: (r.score, r.base_score, r.held_out) for r in maxent.score(docs.repartition(n)).collect()} for n in (1, 7, 30)]
+    assert all(math.isclose(got[0][i][0], other[i][0], rel_tol=1e-9) for other in got[1:] for i in got[0])
+    held = [(s, b) for s, b, h in got[0].values() if h]
+    assert sum(s for s, _ in held) > sum(b for _, b in held)
+
+
+def test_lm_descent_lowers_the_loss():
+    """Gradient steps from the closed-form start approach a known conditional distribution."""
+    import numpy as np
+
+    rng, rows, n = np.random.default_rng(1), maxent.SMALLEST, 40_000
+    last = rng.integers(0, 4, n)
+    truth = np.array([[0.7, 0.1, 0.1, 0.1], [0.1, 0.6, 0.2, 0.1], [0.25] * 4, [0.05, 0.05, 0.1, 0.8]])
+    classes = np.array([rng.choice(4, p=truth[x]) for x in last])
+    features = np.stack([last + j * rows for j in range(maxent.TABLES)], 1).astype(np.int32)
+    weights, squares = np.zeros((maxent.TABLES * rows + 1, 4), np.float32), np.zeros((maxent.TABLES * rows + 1, 4), np.float32)
+    loss = lambda: -maxent.log_softmax(weights, features)[np.arange(n), classes].mean()
+    before = loss()
+    for i in range(0, n, 2000):
+        maxent.descend(weights, classes[i : i + 2000], features[i : i + 2000], squares, maxent.RATE)
+    best = -sum((last == x).mean() * (truth[x] * np.log(truth[x])).sum() for x in range(4))
+    assert loss() < before and loss() - best < 0.02
 
 
 def test_pipeline(spark, tmp_path):
