@@ -5,6 +5,9 @@ many segmentations. Each language has a probability for every piece; a word's pr
 all its segmentations, computed by a forward algorithm, and a text's is the product over its words. Piece
 probabilities are learned by expectation maximisation (forward-backward) on word counts.
 
+Runs longer than LONGEST (ordinary in scripts without spaces) are learned from in consecutive parts of that length, and scored whole.
+The vocabulary's path is the setting `rubrica.vocabulary`, else VOCABULARY.
+
 Fitting uses at most about `per_lang` training documents of each language, taken by a hash of the text (all
 of a language that has fewer); that bound is the only sampling. All documents are scored on their whole
 text. Word probabilities are kept per task for at most `CACHE` words.
@@ -18,6 +21,7 @@ sorts first; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import itertools
+import os
 import re
 
 import numpy as np
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from rubrica.llm.common import VECTOR_SCHEMA, crc_mod, slices, stage, sum_vectors, table, task_id, vector_rows
 
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+VOCABULARY = os.environ.get("RUBRICA_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 PER_LANG, ROUNDS, CACHE, LONGEST = 1500, 3, 400_000, 32
@@ -37,7 +41,7 @@ UNKNOWN = 1e-8
 TEXT_BYTES = 1 << 22
 
 
-def load_pieces(path: str = VOCABULARY) -> list[str]:
+def load_pieces(path: str) -> list[str]:
     """The pieces a lower-cased word can contain, from a SentencePiece model."""
     import sentencepiece
 
@@ -55,6 +59,12 @@ def words_of(text: str | None) -> list[str]:
     return found if text.isascii() else [w for w in found if w.isascii() or any(map(str.isalpha, w))]
 
 
+def parts_of(word: str) -> list[str]:
+    """A marked word in parts of at most LONGEST characters, of which only the first has the mark."""
+    word = MARK + word
+    return [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+
+
 class Lattice:
     """Segmentations of words over the pieces, for arrays of probabilities [piece + 1, language].
 
@@ -87,7 +97,7 @@ class Lattice:
         return alpha
 
     def expected(self, words: list[str], weights: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Expected piece counts of the weighted words under one language's p[piece + 1, 1]."""
+        """Expected piece counts of the weighted parts of words under one language's p[piece + 1, 1]."""
         out = np.zeros(len(p))
         for n, group, at in grouped(words):
             edges = self.edges(group, n)
@@ -117,7 +127,7 @@ class Lattice:
     def log_words(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """log probability [word, language], summed over all segmentations."""
         out = np.zeros((len(words), p.shape[1]))
-        for n, group, at in grouped(words):
+        for n, group, at in grouped([MARK + w for w in words]):
             if n > LONGEST:
                 out[at] = [self.log_long(w, p) for w in group]
             else:
@@ -125,9 +135,8 @@ class Lattice:
         return out
 
 
-def grouped(words: list[str]):
-    """(length, marked words, their places), at most 8192 words a group."""
-    marked = [MARK + w for w in words]
+def grouped(marked: list[str]):
+    """(length, words, their places), at most 8192 words a group."""
     lengths = np.array([len(w) for w in marked])
     for n in np.unique(lengths):
         places = np.flatnonzero(lengths == n)
@@ -181,10 +190,10 @@ class LanguageModel:
         return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame, vocabulary: str = VOCABULARY, per_lang: int = PER_LANG, rounds: int = ROUNDS) -> LanguageModel:
+def fit(docs: DataFrame, vocabulary: str | None = None, per_lang: int = PER_LANG, rounds: int = ROUNDS) -> LanguageModel:
     """Learn piece probabilities from the training documents (crc32 of the id modulo 4 is not 2)."""
     spark = docs.sparkSession
-    pieces = load_pieces(vocabulary)
+    pieces = load_pieces(vocabulary or spark.conf.get("rubrica.vocabulary", VOCABULARY))
     train = docs.select("doc_id", "lang", "text").where((crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
     langs = sorted(sizes)
@@ -194,16 +203,16 @@ def fit(docs: DataFrame, vocabulary: str = VOCABULARY, per_lang: int = PER_LANG,
     sampled = train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 24)) < share[F.col("lang")] * (1 << 24))
 
     def count(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", TEXT_BYTES)):
             totals: dict[tuple, int] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 for w in words_of(text):
-                    if len(w) < LONGEST:
-                        totals[lang, w] = totals.get((lang, w), 0) + 1
+                    for part in parts_of(w):
+                        totals[lang, part] = totals.get((lang, part), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in totals], pa.string()), pa.array([k[1] for k in totals], pa.string()), pa.array(totals.values(), pa.int64())], ["lang", "word", "n"])
 
     counted = sampled.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = stage(counted.repartition(8), "words")
+    words = stage(counted, "words")
     n_pieces = len(pieces) + 1
     p = np.full((n_pieces, len(langs)), 1 / n_pieces)
     for _ in range(rounds):
@@ -233,7 +242,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Documents whose language is identified with at least that score; columns stay as they are."""
-    taken = {"lang_pred", "score"}.intersection(docs.columns)
-    safe = docs.withColumnsRenamed({c: f"__{c}" for c in taken})
-    out = fit(safe).predict(safe, *safe.columns).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return out.drop("lang_pred", "score").withColumnsRenamed({f"__{c}": c for c in taken}).select(*docs.columns)
+    safe = {c: f"kept_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "lang")}
+    plain = docs.withColumnsRenamed(safe)
+    out = fit(plain).predict(plain, *plain.columns).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return out.select(*[F.col(safe.get(c, c)).alias(c) for c in docs.columns])

@@ -2,7 +2,8 @@
 
 Markup is cut into lines at block elements. A line's weight is the length of its text outside links (0 if half of it is links); lines
 within menus, headers, footers, sidebars, notices, adverts, forms and comment sections (by element, role,
-class or id) weigh nothing and are never kept, and where the page marks its article (article, or main
+class or id) weigh nothing and are never kept. Classes that tell of layout only (widget, sidebar, related, ...) do not count on an element that
+names itself content as well, nor for a marked article inside it. Where the page marks its article (article, or main
 without one) everything outside it counts as such. Weights are summed over sliding windows of lines. A run starts
 at a surge (a window sum that leaves zero and reaches the threshold) and ends at a dive (a window of no weight);
 lines outside the runs are not kept. Dropped lines are no distance: windows and runs reach across them.
@@ -27,7 +28,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from rubrica.llm.common import table
+from rubrica.llm.common import slices, table
 
 WINDOW, SURGE = 3, 40
 # Element names of HTML.
@@ -43,6 +44,10 @@ UNWANTED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|comments?|commentlist|disqus|respond|replies|sidebar|side-bar|widget\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notice|notification|alert|popup|modal|newsletter|subscribe|social|share|sharing|related|recommended|pagination|pager|skip-link|toolbar|login|signup)(?:$|[\s_-])",
     re.I,
 )
+#: Classes that no content has, whatever else an element names itself.
+FOREIGN = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|sponsor\w*|comments?|commentlist|disqus|respond|replies|cookies?|consent|gdpr|popup|modal|login|signup)(?:$|[\s_-])", re.I)
+CONTENT = re.compile(r"^(?:(?:page|post|entry|article|main|site|story|the)[_-]?)?(?:content|article|post|entry|main|story|body|text)(?:[_-]?(?:content|body|text|area|wrapper))?$", re.I)
+SOFT, HARD = 1, 2
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|([^\s=\"'<>/]+)")
 SPACE = re.compile(r"\s+")
@@ -52,46 +57,61 @@ def attributes(raw: str) -> dict[str, str]:
     return {(m[1] or m[3]).lower(): html.unescape((m[2] or "").strip("\"'")) for m in ATTRIBUTE.finditer(raw)}
 
 
-def unwanted(name: str, raw: str, depth_in_article: bool) -> bool:
+def unwanted(name: str, raw: str, depth_in_article: bool) -> int:
+    """0, SOFT (by a class of layout) or HARD."""
     if name == "header" and depth_in_article:
-        return False
+        return 0
     if name in DROPPED:
-        return True
+        return HARD
     if not raw.strip():
-        return False
+        return 0
     got = attributes(raw)
     if "hidden" in got or got.get("aria-hidden") == "true" or got.get("role", "").lower() in ROLES:
-        return True
-    found = (m[0].strip(" _-\t\n").lower() for k in ("class", "id") for m in UNWANTED.finditer(got.get(k, "")))
-    return any(w != "header" or not depth_in_article for w in found)
+        return HARD
+    names = [got.get(k, "") for k in ("class", "id")]
+    found = [m[0].strip(" _-\t\n").lower() for n in names for m in UNWANTED.finditer(n)]
+    if not any(w != "header" or not depth_in_article for w in found):
+        return 0
+    if any(FOREIGN.search(n) for n in names):
+        return HARD
+    return 0 if any(CONTENT.match(token) for n in names for token in n.split()) else SOFT
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool, bool, tuple[int, ...]]]:
     """(text, link characters, kept, inside a marked article, open containers) of each line."""
     lines: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, int]] = []
+    counts: dict[str, int] = {}  # open elements of each name
+    blocks: list[int] = []  # places of the blocks in the stack
+    outer: list[int] = []  # what the layout around each open article said
     opened: list[tuple[int, int]] = []  # place in the stack and number of each open container
     text: list[str] = []
     linked = numbers = 0
-    dropped = marked = links = 0
+    hard = soft = marked = links = 0
 
     def flush() -> None:
         nonlocal linked
         joined = SPACE.sub(" ", html.unescape("".join(text))).strip()
         if joined:
             within = opened[:-1] if opened and opened[-1][0] == len(stack) - 1 else opened  # a div that holds only this line is its block
-            lines.append((joined, linked, not dropped, marked > 0, tuple(number for _, number in within)))
+            lines.append((joined, linked, not hard and not soft, marked > 0, tuple(number for _, number in within)))
         text.clear()
         linked = 0
 
     def close(upto: int) -> None:
-        nonlocal dropped, marked, links
+        nonlocal hard, soft, marked, links
         while len(stack) > upto:
             name, bad = stack.pop()
             if opened and opened[-1][0] == len(stack):
                 opened.pop()
-            dropped -= bad
-            marked -= name in ("article", "main")
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
+            counts[name] -= 1
+            hard -= bad == HARD
+            soft -= bad == SOFT
+            if name in ("article", "main"):
+                marked -= 1
+                soft = outer.pop()
             links -= name == "a"
 
     def add(piece: str) -> None:
@@ -101,9 +121,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool, tuple[int, ...]]]:
             if links:
                 linked += len(piece.strip())
 
-    at = 0
+    at, close_last = 0, page.rfind(">")
     while at < len(page):
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at) if at <= close_last or page.find("<!--", at) >= 0 else None
         if not m:
             rest = page[at:]
             add(rest if not re.match(r"<[a-zA-Z/]", rest[rest.find("<") :] if "<" in rest else "") else rest[: rest.find("<")])
@@ -117,24 +137,20 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool, tuple[int, ...]]]:
             text.append(" ")
             continue
         if m[1]:  # a closing tag ends what is open inside it; one that matches nothing is ignored
-            open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if open_at is None:
+            if not counts.get(name):
                 if name in BLOCKS:
                     flush()
                 continue
-            if any(n in BLOCKS for n, _ in stack[open_at:]):
+            open_at = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)  # all above it are closed with it
+            if blocks and blocks[-1] >= open_at:
                 flush()
             close(open_at)
             continue
         if name in BLOCKS:
             flush()
             ended = ("p", "li", "dt", "dd", "option") if name in ("li", "dt", "dd", "option") else ("p",)
-            for i in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph and its inline elements
-                if stack[i][0] in ended:
-                    close(i)
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
+            if blocks and stack[blocks[-1]][0] in ended:  # a block ends an open paragraph and its inline elements
+                close(blocks[-1])
         if name in VOID:
             continue
         bad = unwanted(name, m[3], marked > 0)
@@ -147,9 +163,16 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool, tuple[int, ...]]]:
         if name in CONTAINERS:
             numbers += 1
             opened.append((len(stack), numbers))
+        if name in BLOCKS:
+            blocks.append(len(stack))
+        if name in ("article", "main"):
+            marked += 1
+            outer.append(soft)
+            soft = 0
         stack.append((name, bad))
-        dropped += bad
-        marked += name in ("article", "main")
+        counts[name] = counts.get(name, 0) + 1
+        hard += bad == HARD
+        soft += bad == SOFT
         links += name == "a"
     flush()
     return lines
@@ -214,7 +237,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row per page."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "html")):
             texts = [main_text(h) for h in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubrica.llm.common import stage, table
+from rubrica.llm.common import fresh, stage, table
 from rubrica.llm.order import running
 
 MAX_REPEATS, BLOCKS, GRID, SEED = 2.0, 16, 1 << 20, 17
@@ -117,11 +117,12 @@ def schedule(docs: DataFrame, **how) -> DataFrame:
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents, each as often as the mixture uses it; columns stay as they are."""
     rows, shares = staged_rows(docs, **how)
-    limits = shares.join(stops(rows, shares), "name", "left").select(F.col("name").alias("__name"), F.col("whole").alias("__whole"), F.col("rest").alias("__rest"), F.col("stop").alias("__stop"))
-    keyed = docs.join(F.broadcast(limits), named() == F.col("__name"))
-    again = (F.col("__rest") > 0) & F.coalesce(order_key(F.col("__whole")) < F.col("__stop"), F.lit(True))
-    times = (F.col("__whole") + again.cast("long")).cast("int")
-    return keyed.withColumn("__use", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    name, whole, rest, stop, use = fresh(docs, "mix_name", "mix_whole", "mix_rest", "mix_stop", "mix_use")
+    limits = shares.join(stops(rows, shares), "name", "left").select(F.col("name").alias(name), F.col("whole").alias(whole), F.col("rest").alias(rest), F.col("stop").alias(stop))
+    keyed = docs.join(F.broadcast(limits), named() == F.col(name))
+    again = (F.col(rest) > 0) & F.coalesce(order_key(F.col(whole)) < F.col(stop), F.lit(True))
+    times = (F.col(whole) + again.cast("long")).cast("int")
+    return keyed.withColumn(use, F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

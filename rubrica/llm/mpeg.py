@@ -24,7 +24,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from rubrica.llm.common import table
+from rubrica.llm.common import slices, table
 
 # Fixed values of the MPEG audio format (ISO/IEC 11172-3, 13818-3), in kbit/s and Hz.
 BITRATES = {
@@ -217,7 +217,7 @@ def store(docs: DataFrame, with_media: bool = False) -> DataFrame:
 
     def run(batches):
         coder = Encoder()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             rows: list[list] = [[] for _ in range(12)]
             for text in batch.column("text").to_pylist():
                 n, payload = pad(text)
@@ -226,7 +226,7 @@ def store(docs: DataFrame, with_media: bool = False) -> DataFrame:
                 offsets = info["offsets"]
                 digest = zlib.crc32(struct.pack(f">{len(offsets)}Q", *offsets))
                 feature = f"frames={len(offsets)};samples={info['samples']};rate={info['rate']};vbr={info['vbr']['frames']}/{info['vbr']['bytes']};crc={info['crc_checked']};seek={digest:08x}"
-                values = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, info["samples"], info["rate"], info["crc_checked"], offsets, media)
+                values = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, info["samples"], info["rate"], info["crc_checked"], offsets, media if with_media else None)
                 for column, v in zip(rows, values, strict=True):
                     column.append(v)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
@@ -242,15 +242,15 @@ def describe(files: DataFrame) -> DataFrame:
     """(path, n_frames, n_samples, sample_rate, crc_errors, skipped, tags, frame_offsets) of files (path, content)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "content")):
             found = [parse(c or b"") for c in batch.column("content").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("path"), *[pa.array([f[k] for f in found], t) for k, t in (("samples", pa.int64()), ("rate", pa.int32()), ("crc_errors", pa.int64()), ("skipped", pa.int64()))],
+                [batch.column("path"), pa.array([len(f["offsets"]) for f in found], pa.int64()), *[pa.array([f[k] for f in found], t) for k, t in (("samples", pa.int64()), ("rate", pa.int32()), ("crc_errors", pa.int64()), ("skipped", pa.int64()))],
                  pa.array([list(f["tags"].items()) for f in found], pa.map_(pa.string(), pa.string())), pa.array([f["offsets"] for f in found], pa.list_(pa.int64()))],
-                ["path", "n_samples", "sample_rate", "crc_errors", "skipped", "tags", "frame_offsets"],
+                ["path", "n_frames", "n_samples", "sample_rate", "crc_errors", "skipped", "tags", "frame_offsets"],
             )
 
-    return files.select("path", "content").mapInArrow(run, "path string, n_samples long, sample_rate int, crc_errors long, skipped long, tags map<string,string>, frame_offsets array<long>")
+    return files.select("path", "content").mapInArrow(run, "path string, n_frames long, n_samples long, sample_rate int, crc_errors long, skipped long, tags map<string,string>, frame_offsets array<long>")
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:

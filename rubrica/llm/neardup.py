@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubrica.llm.common import VECTOR_SCHEMA, Words, alnum_bytes, byte_table, flat_text, grams, mix, slices, stage, sum_vectors, table, task_id, vector_rows, whole_grams
+from rubrica.llm.common import VECTOR_SCHEMA, Words, alnum_bytes, byte_table, flat_text, fresh, grams, mix, slices, stage, sum_vectors, table, task_id, vector_rows, whole_grams
 from rubrica.llm.graph import components, merged
 
 SHINGLE, THRESHOLD, BANDS, ROWS, BUCKET_BITS = 5, 0.8, 10, 3, 20
@@ -186,7 +186,7 @@ class NearDuplicates:
 
         def check(batches):
             hasher = Words(values)
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, "text_a")):
                 keep = [similarity(a, b, idf.value, hasher) >= threshold for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)]
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -293,10 +293,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents of docs without all but the first of each class; columns stay as they are."""
     rows = NearDuplicates(docs, threshold).classes()
-    first = rows.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("f")).select(F.col("f.doc_id").alias("__id"), F.col("f.node").alias("__node"))
-    keyed = docs.where("text is not null").withColumn("__key", F.unhex(F.md5("text")))
-    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__node")), "left_semi").dropDuplicates(["doc_id", "__key"])
-    return kept.drop("__key").unionByName(docs.where("text is null"))
+    key, id_, node = fresh(docs, "kept_key", "kept_id", "kept_node")
+    first = rows.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("f")).select(F.col("f.doc_id").alias(id_), F.col("f.node").alias(node))
+    keyed = docs.where("text is not null").withColumn(key, F.unhex(F.md5("text")))
+    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(node)), "left_semi").dropDuplicates(["doc_id", key])
+    return kept.drop(key).unionByName(docs.where("text is null"))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

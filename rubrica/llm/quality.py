@@ -92,7 +92,7 @@ def sampled(docs: DataFrame, bound: int, total: int) -> DataFrame:
 
 
 def measured(docs: DataFrame) -> np.ndarray:
-    """Features of a bounded sample, gathered on the driver."""
+    """Features of a bounded sample, gathered on the driver; equal rows, which a hash takes together, count once."""
     values = byte_table(space_bytes(), 3)
 
     def run(batches):
@@ -102,7 +102,8 @@ def measured(docs: DataFrame) -> np.ndarray:
                 x = features(batch.column("text"), hasher)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["x"])
 
-    got = docs.select("text").mapInArrow(run, "x binary").collect()
+    once = docs.withColumn("key", F.xxhash64("doc_id", "text")).dropDuplicates(["key"])
+    got = once.select("text").mapInArrow(run, "x binary").collect()
     return np.frombuffer(b"".join(sorted(bytes(r["x"]) for r in got)), np.float32).reshape(-1, SIZE)
 
 

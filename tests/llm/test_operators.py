@@ -101,6 +101,51 @@ def test_forward_sums_all_segmentations():
     assert math.isclose(lattice.log_long("▁ab", p)[0], math.log(want))
 
 
+def test_long_runs_are_learned_and_scored(spark):
+    """Scripts without spaces: runs of any length tell two languages apart."""
+    import random
+
+    rng = random.Random(3)
+    run = lambda letters: "".join(rng.choice(letters) for _ in range(rng.choice([40, 90, 300])))
+    rows = [(i, run("abcdefgh") if i % 2 else run("stuvwxyz"), "aa" if i % 2 else "zz") for i in range(80)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.fit(known).predict(known).collect()}
+    assert all(got[i][0] == lang and got[i][1] > 0.9 for i, _, lang in rows)
+    assert langid.parts_of("x" * 70) == ["▁" + "x" * 31, "x" * 32, "x" * 7]
+
+
+def test_expectation_counts_all_segmentations():
+    """Expected counts are those of the posterior over every segmentation, by enumeration."""
+    import numpy as np
+
+    pieces = ["a", "b", "ab", "ba", "▁", "▁a"]
+    lattice, p = langid.Lattice(pieces), np.array([[0.2], [0.1], [0.3], [0.1], [0.15], [0.1], [1e-8]])
+    word = "▁abab"
+
+    def segmentations(rest):
+        if not rest:
+            yield []
+        for n in range(1, len(rest) + 1):
+            if rest[:n] in pieces:
+                for tail in segmentations(rest[n:]):
+                    yield [rest[:n], *tail]
+
+    weights = [(math.prod(p[pieces.index(x), 0] for x in s), s) for s in segmentations(word)]
+    want = [sum(w * s.count(x) for w, s in weights) / sum(w for w, _ in weights) * 3 for x in pieces]
+    assert np.allclose(lattice.expected([word], np.array([3.0]), p)[:-1], want)
+
+
+def test_language_query_learns_from_no_held_out_text(spark, tmp_path):
+    """op4 on a small table: the held-out rows have other labels, which change nothing; predictions equal those of the model."""
+    text = lambda i: ("der hund und die katze schlafen" if i % 2 else "the dog and the cat are sleeping") + f" x{i}"
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    for name, wrong in (("a", "en"), ("b", "xx")):
+        rows = [(i, text(i), wrong if held(i) else "de" if i % 2 else "en") for i in range(80)]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / name / "documents.parquet"))
+    one, two = ({r.doc_id: (r.held_out, r.lang_pred, r.score) for r in langid.op4_language_id(spark, str(tmp_path / n)).collect()} for n in "ab")
+    assert one == two and all(v[:2] == (held(i), "de" if i % 2 else "en") for i, v in one.items())
+
+
 def test_sharding(docs, none):
     got = sharding.assign(docs).collect()
     assert sorted(Counter(r.shard for r in got).values()) == [1] * 5 + [2] * 3
@@ -120,6 +165,46 @@ def test_sharding(docs, none):
     assert all(sum(abs(x - y) for x, y in zip(p, q, strict=True)) == 1 for p, q in itertools.pairwise(path))
 
 
+def test_sharding_query_follows_the_curve(spark, tmp_path):
+    """op8 against a plain sort of all rows by curve index and keys; files of a shard hold few values of each dimension."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.collect()
+    got = {(r.doc_id): r for r in sharding.op8_sharding(spark, sf).collect()}
+    curve = {r.doc_id: r.curve for r in sharding.assign(docs).collect()}
+    rank = lambda values: {v: i * 32 // len(values) for i, v in enumerate(sorted(values, key=lambda v: (v is not None, v)))}
+    langs, sources = rank({r.lang for r in rows}), rank({r.source for r in rows})
+    after, digit = sharding.curve_tables(3)
+    size = lambda r: len((r.text or "").encode()) + 1
+
+    def index(point):
+        state = h = 0
+        for b in range(4, -1, -1):
+            corner = sum(((x >> b) & 1) << j for j, x in enumerate(point))
+            h, state = h * 8 + digit[state * 8 + corner], after[state * 8 + corner]
+        return h
+
+    want = {r.doc_id: index((langs[r.lang], sources[r.source], min(31, size(r).bit_length() - 1))) for r in rows}
+    assert curve == want
+    order = sorted(rows, key=lambda r: (want[r.doc_id], r.lang or "", r.source or "", zlib.crc32((r.text or "").encode()), r.doc_id))
+    n = len(order)
+    assert all(got[r.doc_id].shard == i * 8 // n for i, r in enumerate(order))
+    path = str(tmp_path / "shards")
+    sharding.write_shards(docs, path)
+    back = spark.read.parquet(path)
+    assert back.count() == n and set(back.columns) == {*docs.columns, "shard"}
+    per = back.groupBy("shard").agg(F.countDistinct("lang").alias("langs")).collect()
+    assert len(per) == 8 and sum(r.langs for r in per) < 8 * len(langs)
+
+
+@pytest.mark.parametrize("clash", ["kept_key", "KEPT_ID", "mix_name", "mix_use", "lang_pred", "rank_tie"])
+def test_clashing_names(spark, clash):
+    rows = spark.createDataFrame([(i, f"word{i % 3} one two three four five six", "en", "s", i) for i in range(6)], f"doc_id long, text string, lang string, source string, `{clash}` long")
+    for fn in (neardup.keep_one, mixing.mixed, langid.keep_identified, lambda d: decontaminate.keep_clean(d, rows.limit(0).withColumnRenamed("doc_id", "item_id"))):
+        out = fn(rows)
+        assert out.columns == rows.columns and out.count() >= 3
+
+
 def test_mixing(docs, none):
     assert mixing.schedule(none).isEmpty() and mixing.mixed(none).isEmpty()
     uses = Counter(r.doc_id for r in mixing.mixed(docs).collect())
@@ -152,6 +237,35 @@ def test_media(docs, none):
     assert mpeg.store(none).isEmpty()
 
 
+def test_foreign_streams():
+    """Layers I and II, MPEG 2 and 2.5, a VBRI table, and APE and ID3v1 tags at the end."""
+    import struct
+
+    def frame(version, layer, rate_index, kbits_index, mono=1):
+        bits = {1: 3, 2: 2, 2.5: 0}[version]
+        head = bytes([0xFF, 0xE0 | bits << 3 | (4 - layer) << 1 | 1, kbits_index << 4 | rate_index << 2, (3 if mono else 0) << 6])
+        size = mpeg.header(head + bytes(4), 0)[3]
+        return head + bytes(size - 4)
+
+    for version, layer, rate, samples in ((1, 1, 44100, 384), (1, 2, 44100, 1152), (2, 1, 22050, 384), (2, 2, 22050, 1152), (2, 3, 22050, 576), (2.5, 3, 11025, 576)):
+        one = frame(version, layer, 0, 5)
+        id3v1 = b"TAG" + b"Song".ljust(125, b"\0")
+        ape = b"APETAGEX" + struct.pack("<IIII", 2000, 32, 0, 0) + bytes(8)
+        found = mpeg.parse(one * 7 + ape + id3v1)
+        assert (found["samples"], found["rate"], found["offsets"], found["skipped"]) == (7 * samples, rate, [i * len(one) for i in range(7)], 0)
+        assert found["tags"] == {"TIT2": "Song"}
+    first = bytearray(frame(1, 3, 0, 9))
+    first[36:62] = b"VBRI" + struct.pack(">HHHII", 1, 0, 0, 4321, 3) + bytes(8)
+    found = mpeg.parse(bytes(first) + frame(1, 3, 0, 9) * 3)
+    assert found["vbr"] == {"kind": "VBRI", "frames": 3, "bytes": 4321} and len(found["offsets"]) == 3
+
+
+def test_described_files(spark):
+    stream = mpeg.Encoder().encode(bytes(5000))
+    row = mpeg.describe(spark.createDataFrame([("a", bytearray(stream)), ("b", None)], "path string, content binary")).where("path = 'a'").first()
+    assert row.n_frames == len(row.frame_offsets) > 0 and row.n_samples == 1152 * row.n_frames
+
+
 def test_pages(spark):
     page = "<html><body><nav><ul><li><a href=x>Home</a></ul></nav><div class='ad'>Buy this now, it is cheap and very good for you.</div><article><h1>Head &amp; line</h1><p>First\n part <b>bold</b>.<br><p>Short.</p><section id=comments><p>Nice post!</p></section></article><footer>&copy; us</footer>"
     assert mainpage.main_text(page) == "Head & line\nFirst part bold.\nShort."
@@ -162,6 +276,67 @@ def test_pages(spark):
     assert mainpage.extract(rows.limit(0)).isEmpty()
 
 
+def test_windows_equal_brute_force():
+    """Runs are the maximal stretches of windows with weight that reach the surge, whatever the two parameters."""
+    import random
+
+    rng = random.Random(4)
+    for _ in range(300):
+        weights = [rng.choice([0, 0, 0, 5, 30, 80]) for _ in range(rng.randint(0, 25))]
+        window, surge = rng.choice([1, 2, 3, 5]), rng.choice([1, 20, 60])
+        sums = [sum(weights[i : i + window]) for i in range(len(weights))]
+        want = []
+        for a, b in itertools.combinations(range(len(weights) + 1), 2):
+            whole = all(sums[a:b]) and (a == 0 or not sums[a - 1]) and (b == len(weights) or not sums[b])
+            if whole and max(sums[a:b]) >= surge:
+                lines = [i for i in range(a, min(len(weights), b + window - 1)) if weights[i] and i < b]
+                want.append((lines[0], lines[-1] + 1, sum(weights[lines[0] : lines[-1] + 1])))
+        assert mainpage.surges(weights, window, surge) == want
+
+
+def test_parameters_change_marked_pages(monkeypatch):
+    """The window decides on a marked page too: with a wider one, three links are no dive."""
+    page = "<article><p>One.</p><ul>" + "".join(f"<li><a href={i}>Link {i}</a></li>" for i in range(4)) + "</ul><p>Two.</p></article>"
+    assert mainpage.main_text(page) == "One.\nTwo."
+    monkeypatch.setattr(mainpage, "WINDOW", 6)
+    monkeypatch.setattr(mainpage.surges, "__defaults__", (6, mainpage.SURGE))
+    assert mainpage.main_text(page) == "One.\nLink 0\nLink 1\nLink 2\nLink 3\nTwo."
+
+
+def test_layout_classes_do_not_decide():
+    """A wrapper that is content as well, and an article inside a layout element, keep their text; comments and adverts go."""
+    body = "<p>A paragraph of the article that says something of its own.</p><p>And another one which goes on about it.</p>"
+    text = "A paragraph of the article that says something of its own.\nAnd another one which goes on about it."
+    assert mainpage.main_text(f'<div class="content widget-area">{body}</div>') == text
+    assert mainpage.main_text(f'<div class="widget-area"><article>{body}<div class="widget">Other things.</div></article></div>') == text
+    assert mainpage.main_text(f'<main>{body}<div class="post-comments content"><article class=comment><p>I do not agree.</p></article></div></main>') == text
+    assert mainpage.main_text(f'<div>{body}</div><div class="related-content"><p>Something else that is long enough to be a text.</p></div>') == text
+
+
+@pytest.mark.parametrize("page", ["<b>x" * 20_000 + "</i>" * 20_000, "<b>" * 40_000 + "<hr>x" * 20_000, "<p><b>x</i>" * 15_000, "<a " * 50_000, "<div>" * 30_000 + "x", '<a "' * 40_000, "<!-- " * 30_000])
+def test_nested_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    mainpage.main_text(page)
+    assert time.process_time() - began < 2
+
+
+def test_page_query_equals_a_direct_parse(spark):
+    """op6 over the given pages: headings and paragraphs of <article>, which hold nothing else, cut out by their tags."""
+    import html
+
+    sf, n = "/root/testdata/sf0.001", 0
+    got = {r.page_id: r for r in mainpage.op6_html(spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        inside = re.search("<article>(.*)</article>", r.html, re.S)[1]
+        blocks = [re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", "", x.replace("<br>", " ")))).strip() for x in re.split("</?(?:p|h1)>", inside)]
+        want = "\n".join(x for x in blocks if x)
+        assert (got[r.page_id].text, got[r.page_id].n_chars, got[r.page_id].url) == (want, len(want), r.url)
+        n += len(want)
+    assert len(got) == 50 and n > 10_000
+
+
 def test_surges_choose_lines_of_marked_pages():
     """A window of links is a dive inside <article> too; fewer links, and an article of links alone, stay."""
     links = lambda n: "<ul>" + "".join(f"<li><a href={i}>Link {i}</a></li>" for i in range(n)) + "</ul>"
@@ -192,6 +367,28 @@ def test_substrings(spark, none):
     assert substrings.remove_repeats(none).isEmpty()
 
 
+def test_substring_query_equals_brute_force(spark):
+    """op5 against every run of every text in order: a unit goes if a run that covers it was there before."""
+    import pyarrow as pa
+
+    sf = "/root/testdata/sf0.001"
+    rows = sorted(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    seen, want = set(), {}
+    for r in rows:
+        units = substrings.Units()
+        units(pa.array([r.text], pa.string()))
+        hashes, _, at = units.runs()
+        gone = set()
+        mark = (1 << substrings.SPAN_BITS) - 1
+        for h, x in sorted(zip(hashes.tolist(), at.tolist(), strict=True), key=lambda p: p[1]):
+            if h in seen:
+                gone |= set(range(x >> substrings.SPAN_BITS, (x >> substrings.SPAN_BITS) + (x & mark)))
+            seen.add(h)
+        want[r.doc_id] = (int(units.row_counts[0]), len(gone))
+    got = {r.doc_id: (r.n_units, r.n_removed) for r in substrings.op5_substring_dedup(spark, sf).collect()}
+    assert got == want and sum(n for _, n in want.values()) > 0
+
+
 def removed_of(spark, *texts):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return {r.doc_id: r.text for r in substrings.remove_repeats(frame).collect()}
@@ -227,6 +424,33 @@ def test_quality(spark, docs, none):
     assert {r.score for r in quality.score(docs, quality.fit(docs, labels.limit(0))).collect()} == {0.5}
 
 
+def test_quality_query_learns_from_no_held_out_label(spark, tmp_path):
+    """op3 on a small table: labels of held-out rows change nothing, and held-out texts are told apart."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    good = [(i, f"The plain sentence number {i} reads well and ends here. " * 3, 1) for i in range(200)]
+    bad = [(i + 200, f"zz### {i}%%% qq!!! ZZZ!! $$$ " * 12, 0) for i in range(60)]
+    for name, flip in (("a", 0), ("b", 1)):
+        at = str(tmp_path / name)
+        spark.createDataFrame([r[:2] for r in good + bad], "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(i, 1 - q if flip and held(i) else q) for i, _, q in good + bad], "doc_id long, quality int").write.parquet(f"{at}/labels.parquet")
+    one, two = ({r.doc_id: (r.held_out, r.score, r.predicted) for r in quality.op3_quality(spark, str(tmp_path / n)).collect()} for n in "ab")
+    assert one == two and all(v[0] == held(i) and v[2] == (v[1] >= 0.3) for i, v in one.items())
+    assert sum(one[i][2] == q for i, _, q in good + bad if held(i)) >= 0.9 * sum(held(i) for i, *_ in good + bad)
+
+
+def test_risk_and_prior():
+    """The estimated prior is near the true share, and the risk's minimum tells the classes apart without any negative label."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    draw = lambda n, mean: np.append(rng.normal(mean, 1, (n, 3)), np.ones((n, 1)), axis=1)
+    positive, unlabelled, truth = draw(2000, 1.2), np.concatenate([draw(1200, 1.2), draw(2800, -1.2)]), np.arange(4000) < 1200
+    first = quality.minimise(positive[:1000], unlabelled, 0.5)
+    prior = quality.estimate_prior(positive[1000:] @ first, unlabelled @ first)
+    assert abs(prior - 0.3) < 0.1
+    assert ((unlabelled @ quality.minimise(positive, unlabelled, prior) > 0) == truth).mean() > 0.9
+
+
 def test_lm(docs, none):
     got = maxent.score(docs).collect()
     words = lambda t: [*re.findall("[^\x20\x09-\x0d]+", (t or "").translate({i: i + 32 for i in range(65, 91)})), None]
