@@ -33,8 +33,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row gets its shard and slot on the Hilbert curve."""
-    return assign(docs)
+    """Every row gets its shard and slot on the Hilbert curve, beside its own columns."""
+    return assign(docs, carry=[c for c in docs.columns if c != "doc_id"])
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
