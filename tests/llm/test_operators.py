@@ -500,19 +500,38 @@ def test_lm_descent_lowers_the_loss():
 
 
 def test_pipeline(spark, tmp_path):
+    """Each stage on all that its predecessor kept, against plain Python over the same rows."""
     import corpus_pipeline
 
     sf = "/root/testdata/sf0.001"
-    docs, sizes = spark.read.parquet(f"{sf}/documents.parquet").limit(60), []
+    docs, kept = spark.read.parquet(f"{sf}/documents.parquet"), {"start": spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for name, fn in corpus_pipeline.STAGES:
         out = fn(spark, docs, sf)
-        if name != "sharding":
-            assert out.columns == docs.columns
+        assert out.columns == docs.columns or name == "sharding"
         out.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
-        sizes.append(docs.count())
-    assert sizes[0] >= sizes[1] >= sizes[2] <= sizes[3] == sizes[4]
-    assert docs.select(F.max("shard")).first()[0] == 7
+        kept[name] = docs.collect()
+    start, language, near, clean, mixed, shards = kept.values()
+    ids = lambda rows: {r.doc_id for r in rows}
+    assert ids(language) >= {r.doc_id for r in start if r.lang and len(re.findall(r"[^\W\d_]+", r.text or "")) >= 20}
+    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
+    shingles = {r.doc_id: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for r in language for w in [words(r.text)]}
+    alike = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+    assert len({r.text for r in near}) == len(near)
+    assert not any(alike(a, b) >= 0.9 for a, b in itertools.combinations(sorted(ids(near)), 2))
+    assert all(any(alike(i, j) >= 0.8 for j in ids(language) - {i}) for i in ids(language) - ids(near))
+    runs = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = words(r.text)
+        runs |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(x) for x in runs}
+    hit = {r.doc_id for r in near if any(tuple(words(r.text)[i : i + n]) in runs for n in sizes for i in range(len(words(r.text)) - n + 1))}
+    assert ids(clean) == ids(near) - hit
+    assert ids(mixed) == ids(clean) and max(Counter(r.doc_id for r in mixed).values()) <= 3
+    key = lambda r: (r.doc_id, r.text, r.lang, r.source, r.n_chars)
+    assert Counter(map(key, shards)) == Counter(map(key, mixed))
+    per = Counter(r.shard for r in shards)
+    assert sorted(per) == list(range(8)) and max(per.values()) - min(per.values()) <= 1
 
 
 def test_merged_components(spark):
