@@ -10,7 +10,7 @@ document may serve as unlabelled text. At most about POSITIVES and UNLABELLED do
 id and text, are used to fit; that bound is the only sampling. labels of 0, lang, source and ids are no inputs.
 
 Features: relative frequencies of bytes and hashed byte pairs, lengths, shares of upper case, of symbols, of
-words repeated in a row, of distinct words. Defined results: a null or empty text has the features of no
+words repeated in a row, of distinct words and of words of one byte, the longest run of one word. Defined results: a null or empty text has the features of no
 bytes and a score like any other; without positives all scores are 0.5; held_out is false for a null id;
 repeated documents give a row each, equal texts equal scores; an empty table gives no rows; extra columns are
 ignored; texts are taken whole.
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from rubrica.llm.common import Words, byte_table, crc_mod, flat_text, slices, space_bytes, table
 
 POSITIVES, UNLABELLED, PAIRS, CUT = 4000, 8000, 256, 0.3
-SIZE = 256 + PAIRS + 8
+FAR, LEAST_STD = 8, 3e-2
+SIZE = 256 + PAIRS + 12
 
 
 def features(column: pa.Array, hasher: Words) -> np.ndarray:
@@ -47,9 +48,14 @@ def features(column: pa.Array, hasher: Words) -> np.ndarray:
     last = data[ends - 1] if len(ends) else np.zeros(0, np.uint8)
     odd = np.bincount(owner, weights=np.isin(last, np.frombuffer(b"!#$%&*+/<=>@\\^_|~", np.uint8)), minlength=n)
     shout = np.bincount(owner, weights=(data[starts] >= 65) & (data[starts] <= 90) if len(starts) else None, minlength=n) if len(owner) else np.zeros(n)
+    begin = np.flatnonzero(np.append(True, ~same)) if len(words) else np.zeros(0, np.int64)  # of runs of one word
+    longest = np.zeros(n)
+    np.maximum.at(longest, owner[begin], np.diff(np.append(begin, len(words))))
+    short = np.bincount(owner[(ends - starts) == 1], minlength=n)
     size, count = np.maximum(sizes, 1), np.maximum(counts, 1)
     upper = by_byte[:, 65:91].sum(1)
     more = [np.log1p(sizes), np.log1p(counts), (ends - starts).sum() and np.bincount(owner, weights=ends - starts, minlength=n) / count, again / count, distinct / count, upper / size, odd / count, shout / count]
+    more += [np.sqrt(again / count), np.log1p(longest), np.sqrt(odd / count), np.sqrt(short / count)]
     out = np.empty((n, SIZE), np.float32)
     out[:, :256] = np.sqrt(by_byte / size[:, None])
     out[:, 256 : 256 + PAIRS] = np.sqrt(by_pair / size[:, None])
@@ -58,7 +64,7 @@ def features(column: pa.Array, hasher: Words) -> np.ndarray:
     return out
 
 
-def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, batch: int = 512, rate: float = 0.02, decay: float = 1e-3, seed: int = 5) -> np.ndarray:
+def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1000, batch: int = 512, rate: float = 0.02, decay: float = 1e-3, seed: int = 5) -> np.ndarray:
     """Weights (bias last) of least non-negative risk with logistic loss, by Adam."""
     rng = np.random.default_rng(seed)
     w = np.zeros(positive.shape[1])
@@ -108,11 +114,13 @@ def measured(docs: DataFrame) -> np.ndarray:
 
 
 class Scaler:
+    """Features as deviations from those of trusted positives, which a text of another kind leaves far behind."""
+
     def __init__(self, x: np.ndarray) -> None:
-        self.mean, self.scale = x.mean(0), 1 / (x.std(0) + 1e-3)
+        self.mean, self.scale = x.mean(0), 1 / (x.std(0) + LEAST_STD)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        return np.append(np.clip((x - self.mean) * self.scale, -4, 4), np.ones((len(x), 1), np.float32), axis=1)
+        return np.append(np.clip((x - self.mean) * self.scale, -FAR, FAR), np.ones((len(x), 1), np.float32), axis=1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED):
@@ -128,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     u = measured(sampled(docs.select("doc_id", "text"), unlabelled, docs.count()))
     if not len(p) or not len(u):
         return None
-    scaler = Scaler(u)
+    scaler = Scaler(p)
     p, u = scaler(p).astype(np.float64), scaler(u).astype(np.float64)
     half = len(p) // 2 or 1
     first = minimise(p[:half], u, 0.5)
@@ -149,7 +157,7 @@ def score(docs: DataFrame, model) -> DataFrame:
                     out = np.full(batch.num_rows, 0.5)
                 else:
                     mean, scale, w = shared.value
-                    x = np.clip((features(batch.column("text"), hasher) - mean) * scale, -4, 4)
+                    x = np.clip((features(batch.column("text"), hasher) - mean) * scale, -FAR, FAR)
                     # each row on its own, so that equal texts get equal bits wherever they stand
                     z = np.array([float(np.dot(r.astype(np.float64), w[:-1])) for r in x]) + w[-1]
                     out = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
