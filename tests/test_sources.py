@@ -1,5 +1,6 @@
 """Files in and out, the command line, and the streaming twins."""
 
+import logging
 import os
 import struct
 import zlib
@@ -128,7 +129,17 @@ def test_fetch(spark):
     assert {r.path: r.content and bytes(r.content) for r in assets.fetched(rows, fetch=fetch, tasks=2).collect()} == {"x": b"x", "bad": None}
 
 
-def test_command_line(spark, tmp_path, capsys):
+@pytest.fixture
+def quiet():
+    """The root logger as it was: the command line sets handlers that write to the captured output."""
+    root = logging.getLogger()
+    level, handlers = root.level, root.handlers[:]
+    yield
+    root.handlers[:] = handlers
+    root.setLevel(level)
+
+
+def test_command_line(spark, tmp_path, capsys, quiet):
     """A batch with its own files: a report that is there, one that is not, a repeated photo, and a row without a title."""
     files = tmp_path / "container"
     (files / "photos").mkdir(parents=True)
