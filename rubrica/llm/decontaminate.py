@@ -9,8 +9,9 @@ Defined results: a null or wordless text has no words and no hits; items with a
 skipped; repeated item ids count once; repeated documents give a row each; an empty table gives no rows,
 an empty benchmark no hits. Extra columns are ignored. A text of any length is taken whole.
 
-The benchmark is broadcast in blocks of at most `block_chars` characters (a longer item is a block of its
-own). One block answers in a single pass; more blocks are passes over the documents whose few hits are merged.
+A benchmark of at most `block_chars` characters is broadcast as one block, and one pass over the documents answers.
+A larger one never meets in one place: distinct fingerprints of documents and items are joined, and the runs of
+the documents that share one are joined with the items' runs. That reads the documents three times.
 """
 
 from __future__ import annotations
@@ -21,11 +22,10 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubrica.llm.common import Words, alnum_bytes, byte_table, flat_text, grams, slices, whole_grams
+from rubrica.llm.common import Words, alnum_bytes, byte_table, flat_text, fresh, grams, slices, stage, whole_grams
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -140,14 +140,13 @@ def digest(ids) -> str:
 SCHEMA = "doc_id {id}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<a:long,b:long>>, items array<{item}>"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k: int = K, block_chars: int = 32_000_000, keep_text: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k: int = K, block_chars: int = 2_000_000, keep_text: bool = False) -> DataFrame:
     """One row per document with its hit words, hit spans and the items that occur in it.
 
     keep_text adds the columns of docs, for filters that follow.
     """
     bench = benchmark.select(F.col("item_id"), F.col("text"))
     chars = bench.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-chars // block_chars))
     item_type = dict(bench.dtypes)["item_id"]
     id_type = dict(docs.dtypes)["doc_id"]
     values = byte_table(alnum_bytes(), 7)
@@ -158,65 +157,118 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k:
         taken = {"doc_id", *(f.split()[0] for f in out.split(", ")[1:])}
         extra = ["doc_id", *(c for c in docs.columns if c not in taken)]
         out += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in extra[1:])
-    blocks = []
-    for b in range(n_blocks):
-        part = bench if n_blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b)
-        blocks.append(sc.broadcast(build_index([tuple(r) for r in part.collect()], window, k, values)))
-
-    def run(block, only_hits: bool):
-        def fn(batches):
-            hasher, index = Words(values), block.value
-            for whole in batches:
-                for batch in slices(whole, "text"):
-                    counts, found = hits_of(batch.column("text"), index, hasher)
-                    spans = [found.get(i, ((), ()))[0] for i in range(len(counts))]
-                    items = [found.get(i, ((), ()))[1] for i in range(len(counts))]
-                    n_hit = [sum(b - a for a, b in s) for s in spans]
-                    columns = [
-                        batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
-                        pa.array([digest(x) for x in items]), pa.array([n > 0 for n in n_hit]),
-                        pa.array([[{"a": a, "b": b} for a, b in s] for s in spans], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array([list(x) for x in items], pa.list_(ARROW.get(item_type, pa.string()))),
-                    ]
-                    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"]
-                    got = pa.RecordBatch.from_arrays(columns + [batch.column(c) for c in extra if keep_text and c != "doc_id"], names + [c for c in extra if keep_text and c != "doc_id"])
-                    yield got.filter(pc.field("contaminated")) if only_hits else got
-
-        return fn
+    fits = chars <= block_chars
+    block = sc.broadcast(build_index([tuple(r) for r in bench.collect()] if fits else [], window, k, values))
+
+    def run(batches):
+        hasher, index = Words(values), block.value
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                counts, found = hits_of(batch.column("text"), index, hasher)
+                spans = [found.get(i, ((), ()))[0] for i in range(len(counts))]
+                items = [found.get(i, ((), ()))[1] for i in range(len(counts))]
+                n_hit = [sum(b - a for a, b in s) for s in spans]
+                columns = [
+                    batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
+                    pa.array([digest(x) for x in items]), pa.array([n > 0 for n in n_hit]),
+                    pa.array([[{"a": a, "b": b} for a, b in s] for s in spans], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array([list(x) for x in items], pa.list_(ARROW.get(item_type, pa.string()))),
+                ]
+                names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"]
+                yield pa.RecordBatch.from_arrays(columns + [batch.column(c) for c in extra if keep_text and c != "doc_id"], names + [c for c in extra if keep_text and c != "doc_id"])
 
     needed = docs.select(*dict.fromkeys([*extra, "text"]))
-    if n_blocks == 1:
-        return needed.mapInArrow(run(blocks[0], False), out)
-
-    # More blocks: gather the few hit documents of every block by text, merge, and join the verdicts.
-    narrow = docs.select("doc_id", "text").where("text is not null").withColumn("key", F.sha2("text", 256))
-    texts = narrow.groupBy("key").agg(F.first("text").alias("text")).select(F.col("key").alias("doc_id"), "text")
-    hit_schema = SCHEMA.format(id="string", item=item_type)
-    extra_all, keep_all, extra, keep_text = extra, keep_text, ["doc_id"], False
-    hits = None
-    for b in blocks:
-        one = texts.mapInArrow(run(b, True), hit_schema)
-        hits = one if hits is None else hits.unionByName(one)
-
-    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        spans = merged([(s["a"], s["b"]) for row in pdf["spans"] for s in row])
-        ids = sorted({i for row in pdf["items"] for i in row})
-        n = sum(b - a for a, b in spans)
-        return pd.DataFrame({"key": [key[0]], "n_hit": [n], "n_items": [len(ids)], "items_sha256": [digest(ids)], "spans": [[{"a": a, "b": b} for a, b in spans]], "items": [ids]})
-
-    verdicts = hits.groupBy("doc_id").applyInPandas(merge, f"key string, n_hit long, n_items long, items_sha256 string, spans array<struct<a:long,b:long>>, items array<{item_type}>")
-    empty = sc.broadcast(build_index([], window, k, values))
-    extra, keep_text = extra_all + ["text"] * ("text" not in extra_all), True
-    base_schema = SCHEMA.format(id=id_type, item=item_type) + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in extra and f.name != "doc_id")
-    base = needed.mapInArrow(run(empty, False), base_schema).select("n_words", *extra).withColumn("key", F.sha2("text", 256))
-    joined = base.join(verdicts, "key", "left")
+    if fits:
+        return needed.mapInArrow(run, out)
+
+    key = fresh(docs, "key")[0]
+    verdicts = joined_verdicts(docs, bench, window, k, values, key)
+    kept = [c for c in extra if c != "doc_id"]
+    if not keep_text:  # the text is needed once more, for its key
+        extra, keep_text = ["doc_id", "text"], True
+        out += ", `text` string"
+    base = needed.mapInArrow(run, out).select("doc_id", "n_words", *dict.fromkeys([*kept, "text"])).withColumn(key, text_key())
+    joined = base.join(verdicts, key, "left")
     return joined.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items_sha256", F.lit(digest([]))).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
         F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("spans"), F.coalesce("items", F.array().cast(f"array<{item_type}>")).alias("items"),
-        *[c for c in extra_all if c != "doc_id" and keep_all],
+        *kept,
     )
 
 
+def text_key():
+    return F.unhex(F.sha2("text", 256))
+
+
+def joined_verdicts(docs: DataFrame, bench: DataFrame, window: int, k: int, values: np.ndarray, key: str) -> DataFrame:
+    """(key, n_hit, n_items, items_sha256, spans, items) of each distinct text with a hit; key is the hash of the text.
+
+    Only the lengths of item runs, at most `window` of them, reach the driver.
+    """
+
+    def prints(lengths, short_whole: bool):
+        """Distinct (key, n, h) of each row: winnowed hashes of whole windows, all hashes of shorter runs (of items: whole items)."""
+
+        def fn(batches):
+            hasher = Words(values)
+            for whole in batches:
+                for batch in slices(whole, "text"):
+                    words, _, _, _, counts = hasher.hashes(*flat_text(batch.column("text")))
+                    for n in lengths:
+                        if n == window:
+                            h, inside = winnow(words, counts, window, k)
+                        else:
+                            h, inside = grams(words, n), whole_grams(counts, n)
+                        places = np.flatnonzero(inside)
+                        rows = np.searchsorted(np.cumsum(counts), places, "right")
+                        if short_whole and n < window:
+                            places, rows = places[counts[rows] == n], rows[counts[rows] == n]
+                        order = np.lexsort((h[places], rows))
+                        rows, h = rows[order], h[places][order]
+                        new = np.append(True, (rows[1:] != rows[:-1]) | (h[1:] != h[:-1]))[: len(rows)]
+                        rows, h = rows[new], h[new]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.full(len(rows), n, np.int32)), pa.array(h.view(np.int64))], [key, "n", "h"])
+
+        return fn
+
+    def runs(lengths, whole_items: bool):
+        """(key, i, n, run) of every run of n words; of items, n is the one length of their runs."""
+
+        def fn(batches):
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    words = words_of(batch.column("text")[at].as_py())
+                    for n in [min(window, len(words))] if whole_items else lengths:
+                        m = len(words) - n + 1 if n else 0
+                        if m > 0:
+                            joined = [" ".join(words[i : i + n]) for i in range(m)]
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([at] * m, pa.int64())), pa.array(range(m), pa.int64()), pa.array([n] * m, pa.int32()), pa.array(joined, pa.string())], [key, "i", "n", "run"])
+
+        return fn
+
+    items = bench.where("item_id is not null and text is not null").select(F.col("item_id").alias(key), "text")
+    item_type = dict(items.dtypes)[key]
+    item_prints = stage(items.mapInArrow(prints(range(1, window + 1), True), f"{key} {item_type}, n int, h long").select("n", "h").distinct(), "item_prints")
+    item_runs = stage(items.mapInArrow(runs((), True), f"{key} {item_type}, i long, n int, run string").select("run", F.col(key).alias("item")).distinct(), "item_runs")
+    lengths = sorted(r["n"] for r in item_prints.select("n").distinct().collect())
+
+    texts = docs.where("text is not null").select(text_key().alias(key), "text")
+    suspects = texts.mapInArrow(prints(lengths, False), f"{key} binary, n int, h long").join(item_prints, ["n", "h"], "left_semi").select(key).distinct()
+    suspected = texts.join(suspects, key, "left_semi").groupBy(key).agg(F.first("text").alias("text"))
+    found = suspected.mapInArrow(runs(lengths, False), f"{key} binary, i long, n int, run string")
+    hits = stage(found.join(item_runs.select("run").distinct(), "run", "left_semi"), "hits")
+
+    def merge(of: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        spans = merged(list(zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True)))
+        return pd.DataFrame({key: [of[0]], "n_hit": [sum(b - a for a, b in spans)], "spans": [[{"a": a, "b": b} for a, b in spans]]})
+
+    spans = hits.select(key, F.col("i").alias("a"), (F.col("i") + F.col("n")).alias("b")).groupBy(key).applyInPandas(merge, f"{key} binary, n_hit long, spans array<struct<a:long,b:long>>")
+    held = hits.select(key, "run").distinct().join(item_runs, "run").select(key, "item").distinct()
+    ids = held.groupBy(key).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    text_ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return spans.join(ids.select(key, "items", F.size("items").alias("n_items"), F.sha2(F.array_join(text_ids, ","), 256).alias("items_sha256")), key)
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any benchmark passage; columns stay as they are."""
     safe = {c: f"kept_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}

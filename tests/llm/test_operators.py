@@ -47,6 +47,28 @@ def test_decontamination(docs, none, bench):
     assert key(decontaminate.decontaminate(docs, bench, block_chars=20)) == key(decontaminate.decontaminate(docs, bench))
 
 
+def test_joined_fingerprints_equal_the_broadcast_block(spark):
+    """Short items, repeated and null ids, null texts, copies, upper case, columns named like inner ones: both ways give every column alike."""
+    passage = " ".join(f"w{i}" for i in range(30))
+    items = [("b", passage), ("b", passage), ("a", "w5 W6 w7"), (None, "zz yy"), ("c", None), ("d", ""), ("e", " ".join(f"w{i}" for i in range(8, 19)) + " other"), ("f", "äö. ü")]
+    texts = [passage, passage, passage.upper(), "x " * 40 + passage[20:90] + " y", "w5, w6! w7", "zz yy", "äö ü", None, None, "", "w5 w6", f"{passage} {passage}"]
+    docs = spark.createDataFrame([(i % 10 or None, t, i, "n") for i, t in enumerate(texts)], "doc_id long, text string, key int, n_hits string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for keep in (False, True):
+        near, far = (decontaminate.decontaminate(docs, bench, block_chars=c, keep_text=keep) for c in (10**6, 0))
+        assert near.columns == far.columns and [t for _, t in near.dtypes] == [t for _, t in far.dtypes]
+        assert sorted(map(str, near.collect())) == sorted(map(str, far.collect()))
+    assert near.where("contaminated").count() == 7 and near.where("n_hit = 60").count() == 1
+    empty = decontaminate.decontaminate(docs.limit(0), bench, block_chars=0)
+    assert empty.isEmpty() and empty.columns == decontaminate.decontaminate(docs, bench).columns
+
+
+def test_joined_fingerprints_on_whole_tables(spark):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "benchmark"))
+    near, far = (sorted(map(str, decontaminate.decontaminate(docs, bench, block_chars=c).collect())) for c in (10**6, 0))
+    assert near == far and any("contaminated=True" in r for r in near)
+
+
 def test_near_duplicates(docs, none):
     got = [(r.doc_id, r.class_id) for r in neardup.near_duplicates(docs).collect()]
     assert sorted(c for d, c in got if d in (0, 1, 2)) == [0, 0, 0, 0] and (5, 5) in got and (3, 3) in got
