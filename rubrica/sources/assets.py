@@ -1,7 +1,7 @@
 """Files behind the rows: fetching, texts of PDF reports, hashes and tags of images.
 
 Extractors are functions of a file's bytes, which a caller may replace. The defaults use pdfplumber, PyPDF2 or Pillow where they are installed; without
-them, PDF streams that are plain or deflated give their text operators, and PNG and PNM images are decoded here. A file that cannot be read has no
+them, PDF streams that are plain or deflated give their text operators. JPEG, PNG and PNM images are decoded here, others by Pillow. A file that cannot be read has no
 text, tags or hash; it never fails the job.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from rubrica.config import EngineConfig
 from rubrica.functions.scalars import pdf_title
 from rubrica.plans.staging import stage
+from rubrica.sources.jpeg import read_jpeg
 
 # --- fetching ---
 
@@ -234,6 +235,8 @@ def decode(content: bytes) -> np.ndarray:
         return read_png(content)
     if content[:2] in (b"P5", b"P6"):
         return read_pnm(content)
+    if content[:2] == b"\xff\xd8":
+        return read_jpeg(content)
     from PIL import Image
 
     return np.asarray(Image.open(io.BytesIO(content)).convert("L"), float)
