@@ -9,6 +9,8 @@ from fractions import Fraction
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rubrica.llm import alignment, lexical, topk
@@ -135,11 +137,24 @@ def test_white_space_beyond_the_fast_encoder():
     """Runs on which the ranks' splitter gives up are encoded by the vocabulary file; other texts alike by both."""
     both = alignment.Tokenizers(TOKENIZERS)
     long = " " * 1_200_000 + "x"
-    assert both.encode_a(long).size == 1_200_001 or both.slow is not None
-    assert b"".join(both.a[i] for i in both.encode_a(long).tolist()) == long.encode()
-    both.encode_a(" " * 1_200_000 + "x")
+    assert b"".join(both.a[i] for i in both.encode_a(long)) == long.encode() and both.slow is not None
     text = "".join(map(chr, [*range(0x20, 0x3000, 7), *range(0x1F300, 0x1F640)])) + " don't 1 22  x"
-    assert both.encode_a(text).tolist() == both.slow.encode(text, add_special_tokens=False).ids
+    for piece in (text, text[:900]):
+        assert both.encode_a(piece) == both.slow.encode(piece, add_special_tokens=False).ids
+    assert both.divides
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("ab'sé1!.\n\t   \u3000\x1c\x85▁漢")), max_size=40))
+def test_units_give_the_ids_of_the_whole_text(text):
+    """Cutting before the space of a word changes no token on either side."""
+    both = alignment.tokenizers(TOKENIZERS)
+    cut = alignment.CUT.split(text)
+    (a, b), _, fine = both.units(cut)
+    if text and fine.all():
+        assert a.tolist() == both.encode_a(f" {text}") and b.tolist() == both.piece.encode(text)
+    elif text:
+        assert b"".join(both.b[i] for i in both.piece.encode(text)) != f" {text}".encode()
 
 
 def test_alignment_query(spark):
