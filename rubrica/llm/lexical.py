@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from rubrica.llm.common import Words, alnum_bytes, byte_table, drop, flat_text, slices, stage, table, task_id
 
-SHARD_BYTES, ITEMS, ITEM_BYTES = 1 << 23, 256, 1 << 23
+SHARD_BYTES, ITEMS, ITEM_BYTES = 1 << 21, 256, 1 << 23
 #: Postings of a term in a shard that the first tier takes at least; its share of longer lists; how much the second tier is larger.
 LEAST, SHARE, STEP = 32, 16, 4
 TIERS = 3
