@@ -1,17 +1,24 @@
 """Duplicate photos. images: (submission, ord, pos, key, sha256, phash, path); first means least (ord, pos).
 
-greedy() has the answer of a sequential scan in which a photo is remembered only while its submission has no duplicate. Whether a photo repeats a
-remembered one depends on earlier photos only, so photos are settled in rounds: one that has a remembered neighbour before it is a duplicate, one that
-has no neighbour before it that may still be remembered is none. Neighbours meet through tables of the earliest photo of each content, hash, and
-hash within a directory, so a photo that a third of all submissions share costs one row in each of them, and no group is gathered in one task.
+greedy_messages() has the answer of a sequential scan in which a photo is remembered only while its submission has no duplicate. Photos that share bytes or
+a near hash, and the photos of one submission, form components, which do not touch each other: each is scanned in order by one task, as a sorted stream.
+A component of more than `FOLD_ROWS` photos (one that a third of all submissions share, say) is settled in rounds instead: a photo that has a remembered neighbour before it
+is a duplicate, one that has no neighbour before it that may still be remembered is none. There neighbours meet through tables of the earliest photo of each content, hash, and
+hash within a directory, so the shared photo costs one row in each of them, and no group is gathered in one task.
+
+What earlier batches remember of a directory comes in as columns known_exact (a path) and known_near (path, distance), see plans/photo_index.py; it precedes this batch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,7 +92,7 @@ def near_pairs(images: DataFrame, threshold: int) -> DataFrame:
 
 
 def tied(images: DataFrame, close: DataFrame) -> DataFrame:
-    """The images that share bytes, hash and directory, or a near hash with another one: only they can be duplicates.
+    """The images that share bytes, hash and directory, or a near hash with another one, or are known from before: only they can be duplicates.
 
     Each carries its place `at` (ord, pos) and `who`, what a message tells of it.
     """
@@ -95,7 +102,8 @@ def tied(images: DataFrame, close: DataFrame) -> DataFrame:
     near = close.select(F.col("a").alias("phash")).union(close.select("b")).distinct()
     mark = lambda df, name: df.withColumn(name, F.lit(True))
     marked = rows.join(mark(repeated, "t1"), "sha256", "left").join(mark(same, "t2"), ["key", "phash"], "left").join(mark(near, "t3"), "phash", "left")
-    return marked.where("t1 or t2 or t3").select("submission", "ord", "pos", "key", "sha256", "phash", "at", "who")
+    known = F.col("known_exact").isNotNull() | F.col("known_near").isNotNull()
+    return marked.where(F.col("t1") | F.col("t2") | F.col("t3") | known).select("submission", "ord", "pos", "key", "sha256", "phash", "at", "who", "known_exact", "known_near")
 
 
 def before(state: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -112,26 +120,181 @@ def nearest(groups: DataFrame, edges: DataFrame, by: list[str], name: str) -> Da
     return joined.groupBy(*by).agg(F.min(seen).alias(f"{name}_seen"), F.min(f"{name}_may").alias(f"{name}_may"))
 
 
-def greedy_messages(images: DataFrame, threshold: int) -> DataFrame:
-    """(submission, ord, messages) of the submissions with duplicates: what each of their photos repeats, in order of the scan."""
-    close = stage(near_hashes(images, threshold), "close")
+# --- components ---
+
+#: Edges that one task joins; more are contracted in rounds before.
+LOCAL_EDGES = 1 << 20
+#: Photos of a component that one task scans; a larger component is settled in rounds.
+FOLD_ROWS = 20_000
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges, and the least node of each one's component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(u):
+        low, high = np.minimum(label[u], label[v]), np.maximum(label[u], label[v])
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[u] != label[v]
+        u, v = u[apart], v[apart]
+    return nodes, nodes[label]
+
+
+def components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
+    """(node, label) of the nodes of edges (a, b), which are random numbers: nodes of one component have one label.
+
+    At most `local` edges are joined by one task. While there are more, each node is contracted with its least neighbour, which a fraction of the nodes survives.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        node, label = joined(table.column("a").to_numpy(), table.column("b").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(label)], ["node", "label"])
+
+    labels = None
+    edges = stage(edges.where("a != b").distinct(), "edges")
+    while edges.count() > local:
+        both = edges.unionAll(edges.select("b", "a"))
+        to = stage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "contracted")
+        of = lambda end: to.select(F.col("node").alias(end), F.col("label").alias(f"to_{end}"))  # noqa: B023, E731
+        less = edges.join(of("a"), "a").join(of("b"), "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
+        labels = to if labels is None else stage(labels.join(to.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+        edges = stage(less.where("a != b").distinct(), "edges")
+    last = edges.coalesce(1).mapInArrow(run, "node long, label long")
+    if labels is None:
+        return last
+    return labels.join(last.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+
+
+def in_components(rows: DataFrame, close: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
+    """rows of tied() with their component `part` and its number of rows `size`; staged."""
+    node = lambda kind, *c: F.xxhash64(F.lit(kind), *c)
+    own = node("submission", "ord", "submission")
+    edges = rows.select(own.alias("a"), node("content", "sha256").alias("b")).unionAll(rows.where("phash is not null").select(own, node("hash", "phash"))).unionAll(close.select(node("hash", "a"), node("hash", "b")))
+    labels = components(edges, local)
+    placed = rows.withColumn("node", own).join(labels, "node").withColumnRenamed("label", "part").drop("node")
+    placed = stage(placed, "placed")
+    return placed.join(placed.groupBy("part").agg(F.count("*").alias("size")), "part")
+
+
+# --- the scan of one component ---
+
+
+class Hashes:
+    """Remembered hashes in order, with what is told of each; only hashes of one length are compared."""
+
+    def __init__(self) -> None:
+        self.by_length: dict[int, tuple[np.ndarray, list]] = {}
+
+    @staticmethod
+    def code(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+    def add(self, text: str, told) -> None:
+        codes, all_told = self.by_length.get(len(text)) or (np.zeros((4, len(text)), np.uint32), [])
+        if len(all_told) == len(codes):
+            codes = np.concatenate([codes, np.zeros_like(codes)])
+        codes[len(all_told)] = self.code(text)
+        all_told.append(told)
+        self.by_length[len(text)] = codes, all_told
+
+    def first(self, text: str, least: int, most: int):
+        """(told, distance) of the first hash whose distance is in the range."""
+        codes, told = self.by_length.get(len(text)) or (None, [])
+        if not told:
+            return None
+        apart = (codes[: len(told)] != self.code(text)).sum(axis=1)
+        near = (apart >= least) & (apart <= most)
+        at = int(near.argmax())
+        return (told[at], int(apart[at])) if near[at] else None
+
+
+def identical(submission) -> str:
+    return f"Image identical to submission {submission} (SHA256 match)"
+
+
+def in_folder(path: str, distance: int) -> str:
+    return f"Image similar to file in directory (pHash match (similarity score: {distance:.1f})): {path}"
+
+
+class Scan:
+    """The sequential scan of one component."""
+
+    def __init__(self, threshold: int) -> None:
+        self.threshold, self.seen, self.hashes, self.folders = threshold, {}, Hashes(), {}
+        self.ord, self.flagged = None, False
+
+    def step(self, ord_, submission, key, sha256: str, phash: str | None, path: str, exact: str | None, near) -> list[str]:
+        """What is told of one photo; one without a message is remembered, if its submission has none so far."""
+        if ord_ != self.ord:
+            self.ord, self.flagged = ord_, False
+        if sha256 in self.seen:
+            told = [identical(self.seen[sha256])]
+        else:
+            told, folder = [], self.folders.setdefault(key, Hashes()) if key is not None else Hashes()
+            if exact is not None:
+                told.append(f"Image identical to file in directory (SHA256 match): {exact}")
+            else:
+                found = near or (folder.first(phash, 0, self.threshold) if phash is not None else None)
+                told += [in_folder(*found)] if found else []
+            other = self.hashes.first(phash, 1, self.threshold) if phash is not None else None
+            told += [f"Image similar to submission {other[0]} (pHash distance: {other[1]}, threshold: {self.threshold})"] if other else []
+        self.flagged = self.flagged or bool(told)
+        if not self.flagged:
+            self.seen[sha256] = submission
+            if phash is not None:
+                self.hashes.add(phash, submission)
+                folder.add(phash, path)
+        return told
+
+
+TOLD = "pos {pos}, texts array<string>"
+
+
+def folded(rows: DataFrame, threshold: int) -> DataFrame:
+    """(submission, ord, pos, texts) of the duplicates among rows, component by component."""
+    types = dict(rows.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, scan = None, None
+        for pdf in batches:
+            got = []
+            for own, ord_, pos, name, key, sha256, phash, path, exact, near, score in pdf.itertuples(index=False, name=None):
+                if scan is None or own != part:
+                    part, scan = own, Scan(threshold)
+                text = lambda v: v if isinstance(v, str) else None
+                told = scan.step(ord_, name, text(key), sha256, text(phash), path, text(exact), (near, int(score)) if text(near) else None)
+                if told:
+                    got.append((name, ord_, pos, told))
+            yield pd.DataFrame(got, columns=["submission", "ord", "pos", "texts"])
+
+    text = lambda c: F.col(c).cast("string").alias(c)
+    sent = rows.select("part", "ord", "pos", "submission", text("key"), "sha256", "phash", F.col("who.path").alias("path"), "known_exact", F.col("known_near.path").alias("near"), F.coalesce("known_near.distance", F.lit(0)).alias("score"))
+    ordered = sent.repartition("part").sortWithinPartitions("part", "ord", "pos")
+    return ordered.mapInPandas(run, f"submission {types['submission']}, ord {types['ord']}, {TOLD.format(pos=types['pos'])}")
+
+
+def settled_in_rounds(rows: DataFrame, close: DataFrame, threshold: int) -> DataFrame:
+    """(submission, ord, pos, texts) of the duplicates among rows, for components of any size."""
     edges = close.select(F.col("a").alias("phash"), F.col("b").alias("other"), "distance").union(close.select("b", "a", "distance"))
-    rows = stage(tied(images, close), "tied")
     hashes = rows.where("phash is not null").select("phash").distinct()
     loops = edges.union(hashes.select("phash", F.col("phash").alias("other"), F.lit(0).alias("distance")))
     state = rows.withColumn("hit", F.lit(None).cast("boolean")).withColumn("kept", F.lit(None).cast("boolean"))
     old, done = None, False
+    known = F.col("known_exact").isNotNull() | F.col("known_near").isNotNull()
     while True:
         content = before(state, ["sha256"], "content")
         hashed = nearest(before(state, ["phash"], "hash"), edges, ["phash"], "hash")
         placed = nearest(before(state, ["key", "phash"], "place"), loops, ["key", "phash"], "place")
         seen = state.join(content, "sha256", "left").join(hashed, "phash", "left").join(placed, ["key", "phash"], "left")
         earlier: dict[str, Column] = {n: F.coalesce(F.col(f"{n}_seen.at") < F.col("at"), F.lit(False)) for n in ("content", "hash", "place")}
-        found = earlier["content"] | earlier["hash"] | earlier["place"]
+        found = known | earlier["content"] | earlier["hash"] | earlier["place"]
         open_ = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"{n}_may") < F.col("at"), F.lit(False)) for n in earlier])
         hit = F.coalesce("hit", F.when(found, True).when(~open_, False))
         keep = [F.when(earlier[n], F.col(f"{n}_seen")).alias(f"{n}_seen") for n in earlier]
-        settled = seen.select("submission", "ord", "pos", "key", "sha256", "phash", "at", "who", hit.alias("hit"), *keep)
+        settled = seen.select(*rows.columns, hit.alias("hit"), *keep)
         # A photo is remembered if no photo of its submission up to it is a duplicate.
         own = settled.groupBy("submission", "ord").agg(F.min(F.when(F.col("hit"), F.col("pos"))).alias("first_hit"), F.min(F.when(F.col("hit").isNull(), F.col("pos"))).alias("first_open"))
         kept = F.when(F.coalesce(F.col("pos") >= F.col("first_hit"), F.lit(False)), False).when(F.coalesce(F.col("pos") >= F.col("first_open"), F.lit(False)), None).otherwise(True)
@@ -144,15 +307,38 @@ def greedy_messages(images: DataFrame, threshold: int) -> DataFrame:
         done = now.where("hit is null").isEmpty()
         old, state = now, now.drop("content_seen", "hash_seen", "place_seen")
     content = F.concat(F.lit("Image identical to submission "), F.col("content_seen.who.submission").cast("string"), F.lit(" (SHA256 match)"))
-    place = F.concat(
-        F.lit("Image similar to file in directory (pHash match (similarity score: "), F.format_string("%.1f", F.col("place_seen.distance").cast("double")), F.lit(")): "), F.col("place_seen.who.path")
+    similar = lambda distance, path: F.concat(F.lit("Image similar to file in directory (pHash match (similarity score: "), F.format_string("%.1f", distance.cast("double")), F.lit(")): "), path)
+    place = F.coalesce(
+        F.concat(F.lit("Image identical to file in directory (SHA256 match): "), F.col("known_exact")), similar(F.col("known_near.distance"), F.col("known_near.path")),
+        similar(F.col("place_seen.distance"), F.col("place_seen.who.path")),
     )
     near = F.concat(
         F.lit("Image similar to submission "), F.col("hash_seen.who.submission").cast("string"), F.lit(" (pHash distance: "), F.col("hash_seen.distance").cast("string"), F.lit(f", threshold: {threshold})")
     )
     texts = F.when(F.col("content_seen").isNotNull(), F.array(content)).otherwise(F.array_compact(F.array(place, near)))
-    told = now.where("hit").select("submission", "ord", "pos", texts.alias("texts"))
-    return told.groupBy("submission", "ord").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "texts"))), lambda x: x["texts"])).alias("messages"))
+    return now.where("hit").select("submission", "ord", "pos", texts.alias("texts"))
+
+
+KNOWN = "struct<path:string,distance:int>"
+
+
+def greedy_messages(images: DataFrame, threshold: int, *, fold_rows: int = FOLD_ROWS, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(submission, ord, first_hit, messages) of the submissions with duplicates: the place of the first, and what each of their photos repeats, in order of the scan."""
+    absent = {"known_exact": F.lit(None).cast("string"), "known_near": F.lit(None).cast(KNOWN)}
+    images = images.withColumns({k: v for k, v in absent.items() if k not in images.columns})
+    close = stage(near_hashes(images, threshold), "close")
+    rows = stage(in_components(stage(tied(images, close), "tied"), close, local_edges), "components")
+    told = folded(rows.where(F.col("size") <= fold_rows), threshold)
+    large = rows.where(F.col("size") > fold_rows).drop("part", "size")
+    if not large.isEmpty():
+        told = told.unionByName(settled_in_rounds(large, close, threshold))
+    return told.groupBy("submission", "ord").agg(F.min("pos").alias("first_hit"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "texts"))), lambda x: x["texts"])).alias("messages"))
+
+
+def remembered(images: DataFrame, found: DataFrame) -> DataFrame:
+    """The images that the scan remembers: those before the first duplicate of their submission. found: of greedy_messages()."""
+    first = found.select("submission", "ord", "first_hit")
+    return images.where("sha256 is not null").join(first, ["submission", "ord"], "left").where(F.col("first_hit").isNull() | (F.col("pos") < F.col("first_hit"))).drop("first_hit")
 
 
 def greedy(images: DataFrame, threshold: int) -> DataFrame:

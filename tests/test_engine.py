@@ -261,7 +261,9 @@ def test_greedy_duplicates_equal_the_scan(spark, seed, n, alphabet, contents, th
     schema = "submission long, ord long, pos int, key string, sha256 string, phash string, path string"
     df = spark.createDataFrame([(s, s, pos, k, sha, h, p) for s, pos, k, sha, h, p in rows], schema)
     want = scan(rows, threshold)
-    assert {r["submission"]: r["messages"] for r in duplicates.greedy_messages(df, threshold).collect()} == want
+    ways = [{}, {"fold_rows": 0}, {"fold_rows": 6, "local_edges": 20}] if seed < 3 else [{}]  # by scans of components, in rounds, by both with contracted edges
+    for how in ways:
+        assert {r["submission"]: r["messages"] for r in duplicates.greedy_messages(df, threshold, **how).collect()} == want
     if seed == 1:
         assert {r["submission"]: r["flagged"] for r in duplicates.greedy(df, threshold).collect()} == {r[0]: r[0] in want for r in rows}
 
@@ -274,6 +276,47 @@ def test_greedy_duplicates_of_the_survey(spark):
     assert duplicates.greedy(df.limit(0), 5).isEmpty()
 
 
+def chain(n):
+    """n photos of n submissions, each hash near the one before and the one after only."""
+    digits = "0123456789abcdef"
+    hashes = []
+    for i in range(n):
+        hashes.append("".join(digits[(i + 15 - j) // 16 * 7 % 16] for j in range(16)))
+    return [(i, 0, "k", f"s{i}", h, f"p{i}") for i, h in enumerate(hashes)]
+
+
+def test_a_chain_takes_as_many_jobs_as_a_pair(spark):
+    """Each photo is near the one before, so every second one of the chain is remembered; the number of jobs does not grow with the chain."""
+    jobs, schema = {}, "submission long, ord long, pos int, key string, sha256 string, phash string, path string"
+    for n in (4, 1000):
+        rows = chain(n)
+        df = stage(spark.createDataFrame([(s, s, pos, k, sha, h, p) for s, pos, k, sha, h, p in rows], schema), "chain")
+        spark.sparkContext.setJobGroup(f"chain {n}", "")
+        got = {r["submission"]: r["messages"] for r in duplicates.greedy_messages(df, 1).collect()}
+        jobs[n] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain {n}"))
+        assert got == scan(rows, 1) and len(got) >= n // 2
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[1000] <= jobs[4] + 6  # further jobs of a plan that adapts to larger tables
+
+
+@pytest.mark.parametrize("local", [5, 10**6])
+def test_components(spark, local):
+    rng = random.Random(4)
+    name = {i: rng.getrandbits(62) for i in range(300)}
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(i, i + 1) for i in range(200, 280)] + [(7, 7)]
+    got = {r.node: r.label for r in duplicates.components(spark.createDataFrame([(name[a], name[b]) for a, b in edges], "a long, b long"), local).collect()}
+    parent = list(range(300))
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    for a, b in edges:
+        parent[root(a)] = root(b)
+    ends = {x for a, b in edges if a != b for x in (a, b)}
+    assert set(got) == {name[i] for i in ends}
+    assert all((got[name[a]] == got[name[b]]) == (root(a) == root(b)) for a in ends for b in ends)
+
+
 def test_blocks_lose_no_pair():
     """Every choice of hashes within the threshold agrees on one block at least, whatever the number of pieces."""
     rng = random.Random(7)
