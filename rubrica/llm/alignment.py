@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from rubrica.llm.common import slices, stage, table, task_id
 
 FOLDER = os.environ.get("RUBRICA_TOKENIZERS", "/opt/tokenizers")
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 20
 SIDES = ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model")
 # Fixed value: how the byte-level vocabulary splits a text before it merges bytes.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
