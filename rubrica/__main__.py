@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from rubrica.config import EngineConfig
 from rubrica.operators import judge, mapping, score
+from rubrica.operators.state import BudgetLedger, PhotoIndex
 from rubrica.plans import pipeline
 from rubrica.plans.staging import numbered, stage
 from rubrica.sources import assets, readers, sinks
@@ -32,6 +33,8 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--judge", default="rubrica.operators.judge:stub_verdicts", help="module:function that answers prompts")
     p.add_argument("--fallback", help="module:function to ask when the judge fails")
     p.add_argument("--cache", help="a folder that keeps answers between runs")
+    p.add_argument("--state", help="a folder that keeps what batches used and remember: budgets of ids, photos of directories")
+    p.add_argument("--batch", type=int, default=0, help="the batch's number in their order, with --state; one that runs again replaces its part")
     p.add_argument("--acceptance-threshold", type=int)
     p.add_argument("--phash-threshold", type=int)
     p.add_argument("--log-level", default="INFO", choices=["DEBUG", "INFO", "WARNING", "ERROR"])
@@ -53,8 +56,13 @@ def provider(name: str | None) -> judge.Provider | None:
     return getattr(importlib.import_module(module), function)
 
 
-def scored_batch(raw: DataFrame, ask: judge.Provider, config: EngineConfig = EngineConfig(), *, files: str | None = None, origin: str = "file", fallback: judge.Provider | None = None, cache: str | None = None) -> DataFrame:
-    """The whole chain from raw rows to scored ones, in their order (column place): files, budgets, judge, duplicates, rules."""
+def scored_batch(raw: DataFrame, ask: judge.Provider, config: EngineConfig = EngineConfig(), *, files: str | None = None, origin: str = "file", fallback: judge.Provider | None = None, cache: str | None = None, state: str | None = None, batch: int = 0) -> DataFrame:
+    """The whole chain from raw rows to scored ones, in their order (column place): files, budgets, judge, duplicates, rules.
+
+    state is a folder of what earlier batches used and remember; batches have numbers in their order, and one that runs again replaces its part.
+    """
+    index = PhotoIndex(raw.sparkSession, f"{state}/directories", config.phash_threshold) if state else None
+    ledger = BudgetLedger(raw.sparkSession, f"{state}/budgets", config.max_calls) if state else None
     place = "row_place"
     while place in raw.columns:
         place += "_"
@@ -68,13 +76,13 @@ def scored_batch(raw: DataFrame, ask: judge.Provider, config: EngineConfig = Eng
     images = stage(named.join(features, "path"), "images")
     flags = pipeline.report_features(texts.select(F.col("path").alias("m_pdf_path"), "text"))
     df = pipeline.with_images(pipeline.with_reports(places, flags, "m_pdf_path"), images, "row_place")
-    df = stage(pipeline.with_budget(df, F.col("sid"), "row_place", config.max_calls), "budgeted")
+    df = stage(pipeline.with_budget(df, F.col("sid"), "row_place", config.max_calls, ledger, batch), "budgeted")
     first = images.groupBy("ord").agg(F.min_by("path", "pos").alias("first_path"))
     shown = first.join(content.select(F.col("path").alias("first_path"), F.col("content").alias("first_image")), "first_path").select(F.col("ord").alias("row_place"), "first_image")
     body = texts.select(F.col("path").alias("m_pdf_path"), F.col("text").alias("body"))
     df = df.join(body, "m_pdf_path", "left").join(shown, "row_place", "left")
     df = pipeline.with_answers(df, "body", "first_image", ask, config, fallback=fallback, cache=cache).drop("body", "first_image")
-    return pipeline.scored(pipeline.with_duplicates(df, images, "row_place", config.phash_threshold), config)
+    return pipeline.scored(pipeline.with_duplicates(df, images, "row_place", config.phash_threshold, index, batch), config)
 
 
 def run(spark: SparkSession, source: str, target: str, ask: judge.Provider, config: EngineConfig = EngineConfig(), **how) -> dict:
@@ -102,7 +110,7 @@ def main(argv: list[str] | None = None) -> int:
     config = replace(EngineConfig.from_env(), **{k: v for k, v in given.items() if v is not None})
     try:
         spark = SparkSession.builder.appName("rubrica").getOrCreate()
-        got = run(spark, source, target, provider(args.judge), config, files=args.files, fallback=provider(args.fallback), cache=args.cache)
+        got = run(spark, source, target, provider(args.judge), config, files=args.files, fallback=provider(args.fallback), cache=args.cache, state=args.state, batch=args.batch)
     except FileNotFoundError:
         log.error("file not found: %s", source)
         return 1

@@ -6,7 +6,7 @@ A component of more than `FOLD_ROWS` photos (one that a third of all submissions
 is a duplicate, one that has no neighbour before it that may still be remembered is none. There neighbours meet through tables of the earliest photo of each content, hash, and
 hash within a directory, so the shared photo costs one row in each of them, and no group is gathered in one task.
 
-What earlier batches remember of a directory comes in as columns known_exact (a path) and known_near (path, distance), see plans/photo_index.py; it precedes this batch.
+What earlier batches remember of a directory comes in as columns known_exact (a path) and known_near (path, distance), see operators/state.py; it precedes this batch.
 """
 
 from __future__ import annotations

@@ -17,6 +17,7 @@ from rubrica.functions import scalars as S
 from rubrica.operators import duplicates, judge, quota, rules, score
 from rubrica.operators.levels import parse_hours, parse_hours_by_unit
 from rubrica.operators.mapping import split_paths
+from rubrica.operators.state import BudgetLedger, PhotoIndex
 from rubrica.plans.staging import stage
 
 
@@ -45,10 +46,15 @@ def with_images(df: DataFrame, images: DataFrame, ord_: str) -> DataFrame:
     return df.join(found, ord_, "left").withColumns({"n_images": F.coalesce("n_images", F.lit(0)), "has_geotag": F.coalesce("has_geotag", F.lit(False))})
 
 
-def with_duplicates(df: DataFrame, images: DataFrame, ord_: str, threshold: int) -> DataFrame:
-    """df with duplicate_messages, what its photos repeat; null for none."""
-    found = duplicates.greedy_messages(images, threshold).select(F.col("ord").alias(ord_), F.col("messages").alias("duplicate_messages"))
-    return df.join(found, ord_, "left")
+def with_duplicates(df: DataFrame, images: DataFrame, ord_: str, threshold: int, index: PhotoIndex | None = None, batch: int = 0) -> DataFrame:
+    """df with duplicate_messages, what its photos repeat; null for none. An index knows earlier batches, and remembers this one."""
+    if index:
+        images = stage(index.lookup(batch, images), "looked-up")
+    found = duplicates.greedy_messages(images, threshold)
+    if index:
+        found = stage(found, "found")
+        index.add(batch, duplicates.remembered(images, found))
+    return df.join(found.select(F.col("ord").alias(ord_), F.col("messages").alias("duplicate_messages")), ord_, "left")
 
 
 def calls(df: DataFrame, key: Column, ord_: str) -> DataFrame:
@@ -57,9 +63,11 @@ def calls(df: DataFrame, key: Column, ord_: str) -> DataFrame:
     return df.where("broken is null").select(key.alias("id"), F.col(ord_).alias("idx"), F.explode_outer(steps).alias("step")).where("step is not null")
 
 
-def with_budget(df: DataFrame, key: Column, ord_: str, max_calls: int = 5) -> DataFrame:
-    """df with theme_granted, pdf_granted and image_granted: whether the id's budget still allows the call."""
-    cut = stage(quota.last_granted(stage(calls(df, key, ord_), "calls"), max_calls).withColumnRenamed("id", "budget_id"), "budgets")
+def with_budget(df: DataFrame, key: Column, ord_: str, max_calls: int = 5, ledger: BudgetLedger | None = None, batch: int = 0) -> DataFrame:
+    """df with theme_granted, pdf_granted and image_granted: whether the id's budget still allows the call. A ledger knows what earlier batches used, and charges this one."""
+    made = stage(calls(df, key, ord_), "calls")
+    cut = ledger.last_granted(batch, made) if ledger else stage(quota.last_granted(made, max_calls), "budgets")
+    cut = cut.withColumnRenamed("id", "budget_id")
     joined = df.withColumn("budget_key", key).join(cut, F.col("budget_key") == F.col("budget_id"), "left")
     flag = lambda step: F.coalesce(F.struct(F.col(ord_).alias("idx"), F.lit(step).alias("step")) <= F.col("cut"), F.lit(False))
     return joined.withColumns({f"{n}_granted": flag(i) for i, n in enumerate(("theme", "pdf", "image"), 1)}).drop("budget_key", "budget_id", "cut")
