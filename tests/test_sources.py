@@ -182,27 +182,6 @@ def streamed(spark, tmp_path, df, make, name, mode):
     return spark.table(name)
 
 
-def test_streaming_breaker(spark, tmp_path):
-    rows = [("a", 1000 + i * 0.1, "limit" if i < 20 else "success") for i in range(25)]
-    df = spark.createDataFrame(rows, "k string, s double, outcome string").select("k", F.timestamp_seconds("s").alias("ts"), "outcome").coalesce(1)
-    assert streamed(spark, tmp_path, df, lambda s: monitor.breaker(s, "k"), "breaker_out", "update").first()["state"] == "OPEN"
-
-
-def test_streaming_breaker_times_out(spark, tmp_path):
-    """The watermark ends the cooldown of an open breaker that gets no calls."""
-    rows = [("a", 1000 + i * 0.1, "limit") for i in range(20)]
-    make = lambda part: spark.createDataFrame(part, "k string, s double, outcome string").select("k", F.timestamp_seconds("s").alias("ts"), "outcome").coalesce(1)
-    where = tmp_path / "in"
-    for i, part in enumerate([rows, [("b", 1200.0, "success")], [("b", 1201.0, "success")]]):
-        make(part).write.parquet(str(where / str(i)))
-        os.utime(next((where / str(i)).glob("part*")), (1000 + i, 1000 + i))
-    stream = spark.readStream.schema(make(rows).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(where))
-    q = monitor.breaker(stream, "k").writeStream.outputMode("update").format("memory").queryName("breaker_late").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert [r.state for r in spark.table("breaker_late").where("k = 'a'").collect()] == ["OPEN", "HALF_OPEN"]
-
-
 def test_streaming_budget(spark, tmp_path):
     rows = [("a", i, s) for i in range(3) for s in (1, 2, 3)]
     df = spark.createDataFrame(rows, "id string, idx int, step int").withColumn("ts", F.timestamp_seconds(1000 + F.col("idx"))).coalesce(1)
