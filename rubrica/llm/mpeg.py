@@ -69,7 +69,10 @@ def side_bytes(version: float, mono: bool) -> int:
 
 
 def tags(data: bytes) -> tuple[int, int, dict]:
-    """First byte after leading tags, end before trailing ones, and their text fields."""
+    """First byte after leading tags, end before trailing ones, and their text fields.
+
+    Audio may end in bytes that look like a trailing tag. Where the first frame's table counts the bytes up to the end of the file, nothing trails.
+    """
     begin, end, found = 0, len(data), {}
     while data[begin : begin + 3] == b"ID3" and len(data) >= begin + 10:
         major, flags = data[begin + 3], data[begin + 5]
@@ -83,6 +86,10 @@ def tags(data: bytes) -> tuple[int, int, dict]:
                 found[name] = body.decode({1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(data[at + 10], "latin-1"), "replace").strip("\0")
             at += 10 + n
         begin = stop + (10 if flags & 16 else 0)
+    first = header(data, begin)
+    counted = vbr_table(data, begin, first) if first and begin + first[3] <= end else None
+    if counted and begin + counted.get("bytes", 0) == end:
+        return begin, end, found
     if data[end - 128 : end - 125] == b"TAG" and end - begin >= 128:
         found.setdefault("TIT2", data[end - 125 : end - 95].rstrip(b"\0 ").decode("latin-1"))
         end -= 128
