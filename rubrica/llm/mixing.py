@@ -122,7 +122,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     keyed = docs.join(F.broadcast(limits), named() == F.col(name))
     again = (F.col(rest) > 0) & F.coalesce(order_key(F.col(whole)) < F.col(stop), F.lit(True))
     times = (F.col(whole) + again.cast("long")).cast("int")
-    return keyed.withColumn(use, F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    return keyed.withColumn(use, F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ source are neighbours. A group of any size is cut where the run ends; it never l
 
 Defined results: a null text has size 1 and checksum 0; null lang, source or doc_id sort first; equal rows
 are placed in any order among themselves; an empty table gives no rows, fewer rows than shards leave the
-others empty; extra columns are ignored unless carried.
+others empty; extra columns are ignored unless carried, then under their own or a longer name.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from rubrica.llm.common import stage, table
 from rubrica.llm.order import ranked
 
 SHARDS, BITS = 8, 5
+TAKEN = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve")
 
 
 def rotate_left(x: int, by: int, n: int) -> int:
@@ -71,9 +72,10 @@ def quantised(df: DataFrame, column: str, bits: int = BITS) -> DataFrame:
 
 
 def assign(docs: DataFrame, n_shards: int = SHARDS, carry: list[str] = (), bits: int = BITS) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) and the carried columns."""
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard, curve) and the carried columns; one that has such a name gets underscores behind it."""
     text = F.coalesce("text", F.lit(""))
-    carried = [F.col(c).alias(f"c_{c}") for c in carry]
+    carry = [c for c in carry if c.lower() != "doc_id"]
+    carried = [F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(carry)]
     slim = stage(docs.select("doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *carried), "slim")
     for column in ("lang", "source"):
         cells = quantised(slim, column, bits).select(F.col("value").alias("v"), F.col("cell").alias(f"x_{column}"))
@@ -84,13 +86,25 @@ def assign(docs: DataFrame, n_shards: int = SHARDS, carry: list[str] = (), bits:
     placed = ranked(curved, ["h", "lang", "source", "text_crc32", "doc_id"])
     cut = placed.withColumn("shard", F.expr(f"cast(rank * {n_shards} div {max(1, n)} as int)"))
     slot = F.expr(f"rank - (shard * {n}L + {n_shards - 1}) div {n_shards}")
-    return cut.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("h").alias("curve"), *[F.col(f"c_{c}").alias(c) for c in carry if c not in ("doc_id",)])
+    return cut.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("h").alias("curve"), *[F.col(f"c_{i}").alias(n) for i, n in enumerate(kept_names(carry))])
+
+
+def kept_names(carry: list[str]) -> list[str]:
+    """The carried columns' names, with as many underscores behind them as it takes to be no column of the result."""
+    taken, out = {"doc_id", *TAKEN}, []
+    others = [c.lower() for c in carry]
+    for c in carry:
+        name = c
+        while name.lower() in taken or name != c and name.lower() in others:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = SHARDS) -> None:
     """Write the documents as one folder per shard, in curve order."""
-    taken = ["size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve"]
-    keep = [c for c in docs.columns if c not in ("doc_id", *taken)]
+    keep = [c for c in docs.columns if c not in ("doc_id", *TAKEN)]
     out = assign(docs, n_shards, keep)
     out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").select("doc_id", *keep, "shard").write.partitionBy("shard").parquet(path)
 

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -227,6 +228,20 @@ def test_clashing_names(spark, clash):
         assert out.columns == rows.columns and out.count() >= 3
 
 
+@pytest.mark.parametrize("clash", ["size", "SHARD", "slot", "law", "text_crc32", "grown_shard", "curve", "a.b", "c_0", "rank"])
+def test_clashing_names_in_the_last_stages(spark, clash):
+    """Names of the shards' own columns, and names with dots, pass through mixing and sharding with their values."""
+    import corpus_pipeline
+
+    rows = spark.createDataFrame([(i, f"word{i % 3} one two three", "en", "s", 10 * i) for i in range(6)], f"doc_id long, text string, lang string, source string, `{clash}` long")
+    kept = corpus_pipeline.mixing(spark, rows, "")
+    assert kept.columns == rows.columns and kept.count() == 6
+    out = corpus_pipeline.sharding(spark, kept, "")
+    assert len({c.lower() for c in out.columns}) == len(out.columns) and {"size", "shard", "slot", "law", "text"} <= set(out.columns)
+    name = next(c for c in reversed(out.columns) if c.rstrip("_") == clash)
+    assert {r["doc_id"]: r[name] for r in out.collect()} == {i: 10 * i for i in range(6)}
+
+
 def test_mixing(docs, none):
     assert mixing.schedule(none).isEmpty() and mixing.mixed(none).isEmpty()
     uses = Counter(r.doc_id for r in mixing.mixed(docs).collect())
@@ -238,6 +253,35 @@ def test_mixing(docs, none):
     assert math.isclose(mixing.entropy(mixing.weights(totals, mixing.bisect_alpha(totals, target_entropy=0.5))), 0.5, abs_tol=1e-4)
 
 
+@pytest.mark.parametrize("mark", ["TAG", "APETAGEX", "ID3", "Xing", "Info", "VBRI", "TAGAPETAGEX", "\x00TAG", "ÿû"])
+def test_texts_that_look_like_tags(mark):
+    """A mark at every offset and as every repetition, at the end of a payload and before it: each is read back, and the features are those of its frames."""
+    coder = mpeg.Encoder()
+    texts = [("x" * i + mark * n)[:700] + "y" * t for n in (1, 2, 9, 40) for t in (0, 1, 31) for i in range(0, 200, 3)] + [mark * n for n in range(1, 400)]
+    for text in texts:
+        n, payload = mpeg.pad(text)
+        stream = coder.encode(payload)
+        back, info = coder.decode(stream)
+        assert back == payload and n == len(text.encode())
+        room = [f[0] for f in coder.kinds]
+        sizes = [room[-1]] * (len(payload) // room[-1])
+        rest = len(payload) - sum(sizes)
+        sizes += [next(r for r in room if r >= rest)] if rest else []
+        at = stream.index(b"Xing") - 23 + len(coder.table_kind[1]) + coder.table_kind[0]
+        assert info["offsets"] == [at + sum(sizes[:i]) + 23 * i for i in range(len(sizes))] and info["samples"] == 1152 * len(sizes) and info["vbr"]["frames"] == len(sizes)
+
+
+def test_trailing_tags_of_files_are_read():
+    """A real trailing tag lies behind the bytes that the first frame's table counts."""
+    coder = mpeg.Encoder()
+    stream = coder.encode(b"TAG" * 100)
+    old = b"TAG" + b"A title".ljust(125, b"\0")
+    ape = b"APETAGEX" + struct.pack("<III", 2000, 32, 0) + bytes(12)
+    for tail in (old, ape, ape + old):
+        info = mpeg.parse(stream + tail, body=True)
+        assert b"".join(info["body"])[:300] == b"TAG" * 100 and info["skipped"] == 0
+
+
 def test_media(docs, none):
     coder = mpeg.Encoder()
     for n in (0, 1, 64, 1417, 1418, 9000):
