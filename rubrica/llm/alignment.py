@@ -157,9 +157,9 @@ class Chunk:
     """Documents as sequences of units."""
 
     def __init__(self, row: dict, both: Tokenizers) -> None:
-        a, b = (np.frombuffer(row[s], both.kind) for s in ("a", "b"))
-        self.units = Units(a, b, np.frombuffer(row["n_a"], np.int64), np.frombuffer(row["n_b"], np.int64), both)
-        self.codes, self.sizes = np.frombuffer(row["codes"], np.int32), np.frombuffer(row["sizes"], np.int64)
+        a, b = (unpacked(row[s], both.kind) for s in ("a", "b"))
+        self.units = Units(a, b, unpacked(row["n_a"], np.int64), unpacked(row["n_b"], np.int64), both)
+        self.codes, self.sizes = unpacked(row["codes"], np.int32), unpacked(row["sizes"], np.int64)
 
     def summed(self, per_unit: np.ndarray) -> np.ndarray:
         """Sums of a value per unit over each document."""
@@ -189,6 +189,16 @@ class Chunk:
 PACKED = ("codes", "sizes", "a", "b", "n_a", "n_b")
 
 
+def packed(x: np.ndarray) -> bytes:
+    """An array's bytes, compressed, behind their number."""
+    raw = x.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True), kind)
+
+
 def encoded(docs: DataFrame, id_column: str, folder: str) -> DataFrame:
     """The documents as units, and the token ids of the distinct units, a row per chunk; staged."""
     kind = dict(docs.dtypes)[id_column]
@@ -205,7 +215,7 @@ def encoded(docs: DataFrame, id_column: str, folder: str) -> DataFrame:
                 flat = np.fromiter(itertools.chain.from_iterable(codes), np.int32)
                 blobs = [flat, np.array([len(c) for c in codes], np.int64), a, b, n_a, n_b]
                 ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("id"))
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), ids, *[pa.array([x.tobytes()], pa.binary()) for x in blobs]], ["chunk", "ids", *PACKED])
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), ids, *[pa.array([packed(x)], pa.binary()) for x in blobs]], ["chunk", "ids", *PACKED])
                 number += 1
 
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.col("text"))
