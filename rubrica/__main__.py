@@ -8,6 +8,7 @@ import logging
 import os
 import sys
 import time
+from collections.abc import Callable
 from dataclasses import replace
 from pathlib import Path
 
@@ -56,7 +57,7 @@ def provider(name: str | None) -> judge.Provider | None:
     return getattr(importlib.import_module(module), function)
 
 
-def scored_batch(raw: DataFrame, ask: judge.Provider, config: EngineConfig = EngineConfig(), *, files: str | None = None, origin: str = "file", fallback: judge.Provider | None = None, cache: str | None = None, state: str | None = None, batch: int = 0) -> DataFrame:
+def scored_batch(raw: DataFrame, ask: judge.Provider, config: EngineConfig = EngineConfig(), *, files: str | None = None, origin: str = "file", fallback: judge.Provider | None = None, cache: str | None = None, state: str | None = None, batch: int = 0, on_limit: Callable[[], None] | None = None) -> DataFrame:
     """The whole chain from raw rows to scored ones, in their order (column place): files, budgets, judge, duplicates, rules.
 
     state is a folder of what earlier batches used and remember; batches have numbers in their order, and one that runs again replaces its part.
@@ -77,11 +78,11 @@ def scored_batch(raw: DataFrame, ask: judge.Provider, config: EngineConfig = Eng
     flags = pipeline.report_features(texts.select(F.col("path").alias("m_pdf_path"), "text"))
     df = pipeline.with_images(pipeline.with_reports(places, flags, "m_pdf_path"), images, "row_place")
     df = stage(pipeline.with_budget(df, F.col("sid"), "row_place", config.max_calls, ledger, batch), "budgeted")
-    first = images.groupBy("ord").agg(F.min_by("path", "pos").alias("first_path"))
-    shown = first.join(content.select(F.col("path").alias("first_path"), F.col("content").alias("first_image")), "first_path").select(F.col("ord").alias("row_place"), "first_image")
+    shown = images.groupBy(F.col("ord").alias("row_place")).agg(F.min_by("path", "pos").alias("first_path"))
+    pictures = content.join(features.select("path", "sha256"), "path")
     body = texts.select(F.col("path").alias("m_pdf_path"), F.col("text").alias("body"))
     df = df.join(body, "m_pdf_path", "left").join(shown, "row_place", "left")
-    df = pipeline.with_answers(df, "body", "first_image", ask, config, fallback=fallback, cache=cache).drop("body", "first_image")
+    df = pipeline.with_answers(df, "body", "first_path", ask, config, pictures=pictures, fallback=fallback, cache=cache, on_limit=on_limit).drop("body", "first_path")
     return pipeline.scored(pipeline.with_duplicates(df, images, "row_place", config.phash_threshold, index, batch), config)
 
 

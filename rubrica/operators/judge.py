@@ -2,27 +2,32 @@
 
 A provider is a function of (prompt, image bytes or None) that returns a text, or raises. judged() asks every distinct prompt once, from at
 most `max_concurrent` tasks, each with its share of the request limit; answers are written before they are joined back, so neither a
-second action nor a retried task of a later stage pays for a call again. Answers of earlier runs are taken from a cache table.
+second action nor a retried task of a later stage pays for a call again. Answers of earlier runs are taken from a cache (AnswerCache). A provider
+whose attribute `local` is true is asked without pauses. Pictures are joined to the distinct prompts that show them, not to the rows.
 """
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import random
 import re
+import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from concurrent.futures import ThreadPoolExecutor, as_completed
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rubrica.config import EngineConfig, effective_limit
 from rubrica.functions import scalars as S
 from rubrica.functions.normalize import SPACES, strip
 from rubrica.operators.quota import Admission, Breaker
-from rubrica.plans.staging import exists, stage
+from rubrica.plans.staging import delete, exists, hadoop_path, stage
 
 Provider = Callable[[str, bytes | None], str]
 # Answer keys, in order of trial on a line.
@@ -161,6 +166,8 @@ class Client:
     clock: Callable[[], float] = time.time
     sleep: Callable[[float], None] = time.sleep
     on_limit: Callable[[], None] | None = None
+    #: Set by race(): no further attempt is made once the other side has answered.
+    given_up: threading.Event = field(default_factory=threading.Event)
 
     def __post_init__(self) -> None:
         c = self.config
@@ -170,6 +177,8 @@ class Client:
         self.known: dict[str, str] = {}
 
     def pause(self, prompt: str, image: bytes | None) -> None:
+        if getattr(self.provider, "local", False):
+            return
         spread = random.uniform(self.config.jitter_low, self.config.jitter_high)
         delay = self.limiter.delay(self.clock(), len(prompt) // 4 + 1000 * (image is not None)) * spread
         if delay > 0:
@@ -187,6 +196,8 @@ class Client:
             return self.other(prompt, image)
         self.pause(prompt, image)
         for attempt in range(self.config.attempts):
+            if self.given_up.is_set():
+                return None
             if attempt and not self.breaker.can_proceed(self.clock()):
                 return self.other(prompt, image)
             try:
@@ -218,6 +229,76 @@ class Client:
         return None
 
 
+    def race(self, prompt: str) -> str | None:
+        """As ask(), but where no answer comes, one more try of this provider and the fallback run at once: the first answer wins, the other side is given up.
+
+        A call that is under way is not waited for. Each side has its own breaker and limiter, so the two threads share no state.
+        """
+        answer = self.ask(prompt)
+        if answer or not self.fallback:
+            return answer
+        alone, other = copy.copy(self), copy.copy(self.fallback)
+        alone.fallback, alone.known, alone.given_up, other.given_up = None, {}, threading.Event(), threading.Event()
+        pool = ThreadPoolExecutor(2)
+        try:
+            for done in as_completed([pool.submit(side.ask, prompt) for side in (alone, other)]):
+                if answer := done.result():
+                    self.known[prompt] = answer
+                    return answer
+            return None
+        finally:
+            alone.given_up.set()
+            other.given_up.set()
+            pool.shutdown(wait=False, cancel_futures=True)
+
+
+class AnswerCache:
+    """Answers by key in a shared folder, in buckets of the key's first two characters, a part for each run.
+
+    A run reads only the buckets of its own keys; keys are sorted in a file, with Parquet's Bloom filter. A part appears whole, by a rename, so runs may append at once.
+    compact() merges the parts that it sees and leaves those that come meanwhile.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def parts(self) -> list[str]:
+        if not exists(self.spark, self.folder):
+            return []
+        path, fs = hadoop_path(self.spark, self.folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("run="))
+
+    def rows(self, parts: list[str] | None = None) -> DataFrame:
+        """(key, answer, bucket), each key once; of some parts or all."""
+        parts = self.parts() if parts is None else parts
+        schema = "key string, answer string, bucket string"
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(f"{schema}, run string").option("basePath", self.folder).parquet(*[f"{self.folder}/{p}" for p in parts]).select("key", "answer", "bucket")
+
+    def known(self, keys: DataFrame) -> DataFrame:
+        """(key, answer) of keys (key) that have one; only their buckets are read."""
+        wanted = [r[0] for r in keys.select(F.substring("key", 1, 2)).distinct().collect()]  # at most 256
+        found = self.rows().where(F.col("bucket").isin(wanted)) if wanted else self.rows([])
+        return found.join(keys.select("key"), "key", "left_semi").groupBy("key").agg(F.min("answer").alias("answer"))
+
+    def add(self, answers: DataFrame) -> None:
+        name, rows = uuid.uuid4().hex, answers.where("answer is not null").select("key", "answer", F.substring("key", 1, 2).alias("bucket"))
+        hidden = f"{self.folder}/.new-{name}"
+        ordered = rows.repartition("bucket").sortWithinPartitions("bucket", "key")
+        ordered.write.option("parquet.bloom.filter.enabled#key", "true").partitionBy("bucket").parquet(hidden)
+        (source, fs), (target, _) = hadoop_path(self.spark, hidden), hadoop_path(self.spark, f"{self.folder}/run={name}")
+        if not fs.rename(source, target):
+            raise OSError(f"{hidden} could not be renamed")
+
+    def compact(self) -> None:
+        old = self.parts()
+        if len(old) > 1:
+            self.add(self.rows(old).groupBy("key").agg(F.min("answer").alias("answer")))
+            for part in old:
+                delete(self.spark, f"{self.folder}/{part}")
+
+
 def stub_judge(prompt: str, image: bytes | None = None) -> str:
     """The default provider: a fixed function of the prompt."""
     return "YES" if int(hashlib.sha256(prompt.encode()).hexdigest()[:8], 16) % 2 == 0 else "NO"
@@ -233,36 +314,48 @@ def stub_verdicts(prompt: str, image: bytes | None = None) -> str:
     return "\n".join(f"{k} {value(i, k)}" for i, k in enumerate(dict.fromkeys(names)))
 
 
-def judged(df: DataFrame, prompt: str, provider: Provider = stub_judge, answer: str = "answer", *, image: str | None = None, fallback: Provider | None = None, config: EngineConfig = EngineConfig(), cache: str | None = None) -> DataFrame:
-    """df with the answer to each row's prompt (and image, a binary column); null and empty prompts are never asked, failed ones have no answer.
+stub_judge.local = stub_verdicts.local = True
+
 
-    cache is a folder of answers (key, answer) of text prompts: known ones are read from it, new ones appended to it.
+def judged(
+    df: DataFrame, prompt: str, provider: Provider = stub_judge, answer: str = "answer", *, image: str | None = None, pictures: DataFrame | None = None, fallback: Provider | None = None,
+    config: EngineConfig = EngineConfig(), cache: str | None = None, hedged: bool = False, on_limit: Callable[[], None] | None = None,
+) -> DataFrame:
+    """df with the answer to each row's prompt (and image); null and empty prompts are never asked, failed ones have no answer.
+
+    image is a binary column, or with `pictures` (path, sha256, content) the column of its path. cache is a folder of answers (AnswerCache). hedged: where
+    the provider gives no answer, it and the fallback race. on_limit is called in the task that meets a rate limit.
     """
-    kept, names = [F.col(f"`{c}`") for c in df.columns], {"key": "judge_key", "said": "judge_said"}
+    kept, names = [F.col(f"`{c}`") for c in df.columns], {"key": "judge_key", "said": "judge_said", "shown": "judge_shown", "seen": "judge_seen"}
     while any(n in df.columns for n in names.values()):
         names = {k: f"{v}_" for k, v in names.items()}
-    key, said = names["key"], names["said"]
-    content = F.lit("") if image is None else F.coalesce(F.sha2(F.col(f"`{image}`"), 256), F.lit(""))
+    key, said, shown, seen = names.values()
+    if pictures is not None:
+        df = df.join(pictures.select(F.col("path").alias(shown), F.col("sha256").alias(seen)), F.col(f"`{image}`") == F.col(shown), "left").drop(shown)
+    content = F.lit("") if image is None else F.coalesce(F.col(seen) if pictures is not None else F.sha2(F.col(f"`{image}`"), 256), F.lit(""))
     keyed = df.withColumn(key, F.when(F.col(f"`{prompt}`") != "", F.sha2(F.concat_ws("|", F.col(f"`{prompt}`"), content), 256)))
     picture = F.lit(None).cast("binary") if image is None else F.col(f"`{image}`")
     wanted = keyed.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(f"`{prompt}`").alias("prompt"), picture.alias("image"))
     wanted = wanted.groupBy("key").agg(F.first("prompt").alias("prompt"), F.first("image").alias("image"))
     known = None
-    if cache and exists(df.sparkSession, cache):
-        known = df.sparkSession.read.schema("key string, answer string").parquet(cache).dropDuplicates(["key"])
+    if cache:
+        wanted = stage(wanted, "wanted")
+        known = stage(AnswerCache(df.sparkSession, cache).known(wanted), "known")
         wanted = wanted.join(known, "key", "left_anti")
+    if pictures is not None:
+        wanted = wanted.join(pictures.select(F.col("path").alias("image"), "content"), "image", "left").select("key", "prompt", F.col("content").alias("image"))
     tasks = config.max_concurrent
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         second = Client(fallback, replace(config), is_fallback=True, shares=tasks) if fallback else None
-        client = Client(provider, config, fallback=second, shares=tasks)
+        client = Client(provider, config, fallback=second, shares=tasks, on_limit=on_limit)
         for pdf in batches:
-            got = [client.ask(p, None if i is None else bytes(i)) for p, i in zip(pdf["prompt"], pdf["image"], strict=True)]
+            got = [client.race(p) if hedged and i is None else client.ask(p, None if i is None else bytes(i)) for p, i in zip(pdf["prompt"], pdf["image"], strict=True)]
             yield pd.DataFrame({"key": pdf["key"], "answer": pd.Series(got, dtype=object)})
 
     fresh = stage(wanted.repartition(tasks, "key").mapInPandas(ask, "key string, answer string"), "answers")
     if cache:
-        fresh.where("answer is not null").write.mode("append").parquet(cache)
+        AnswerCache(df.sparkSession, cache).add(fresh)
     answers = fresh if known is None else fresh.unionByName(known)
     answers = answers.select(F.col("key").alias(key), F.col("answer").alias(said))
     return keyed.join(answers, key, "left").select(*kept, F.col(said).alias(answer))

@@ -73,8 +73,11 @@ def with_budget(df: DataFrame, key: Column, ord_: str, max_calls: int = 5, ledge
     return joined.withColumns({f"{n}_granted": flag(i) for i, n in enumerate(("theme", "pdf", "image"), 1)}).drop("budget_key", "budget_id", "cut")
 
 
-def with_answers(df: DataFrame, body: str, image: str, provider: judge.Provider, config: EngineConfig = EngineConfig(), **how) -> DataFrame:
-    """df with theme_answer, pdf_answer and image_answer of a judge; calls without budget, text or image are not made."""
+def with_answers(df: DataFrame, body: str, image: str, provider: judge.Provider, config: EngineConfig = EngineConfig(), *, pictures: DataFrame | None = None, **how) -> DataFrame:
+    """df with theme_answer, pdf_answer and image_answer of a judge; calls without budget, text or image are not made. image as judged() takes it, with `pictures` a path.
+
+    For the theme, the provider and the fallback race where the first answer fails.
+    """
     granted = lambda n: F.col(f"{n}_granted") if f"{n}_granted" in df.columns else F.lit(True)
     prompts = {
         "theme": judge.theme_prompt(F.col("m_title"), F.col("m_objectives"), F.col("m_outcomes"), F.col("m_theme")),
@@ -83,7 +86,7 @@ def with_answers(df: DataFrame, body: str, image: str, provider: judge.Provider,
     }
     for name, prompt in prompts.items():
         asked = df.withColumn("prompt", F.when(granted(name) & F.col("broken").isNull(), prompt))
-        df = judge.judged(asked, "prompt", provider, f"{name}_answer", image=image if name == "image" else None, config=config, **how).drop("prompt")
+        df = judge.judged(asked, "prompt", provider, f"{name}_answer", image=image if name == "image" else None, pictures=pictures if name == "image" else None, hedged=name == "theme", config=config, **how).drop("prompt")
     return df
 
 

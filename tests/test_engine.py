@@ -1,6 +1,7 @@
 """Edge tables of the operators, models of the folds, and the catalogue against DuckDB."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -219,6 +220,84 @@ def test_judge_asks_once_and_survives_failures(spark, tmp_path):
     assert sorted(open(log).read().split()) == ["a", "b", "bad", "bad"]
 
 
+def test_race_takes_the_first_answer():
+    """Both sides are under way; the slow one is not waited for, and makes no further attempt."""
+    import threading
+
+    release, tried = threading.Event(), []
+
+    def slow(prompt, image):
+        tried.append(prompt)
+        if len(tried) == 1:
+            raise RuntimeError("first failure")
+        release.wait(20)
+        raise RuntimeError("too late")
+
+    clock, config = Clock(), EngineConfig(attempts=1)
+    started = threading.Event()
+
+    def fast(prompt, image):
+        if not started.is_set():  # the chain's own fallback fails, too
+            started.set()
+            raise RuntimeError("not yet")
+        return "Yes, it fits"
+
+    first = client(slow, clock, fallback=client(fast, clock, is_fallback=True, config=config), config=replace(config, attempts=1))
+    assert first.race("p") == "Yes, it fits" and len(tried) <= 2 and not release.is_set()
+    release.set()
+    assert first.race("p") == "Yes, it fits" and len(tried) <= 2  # known now
+    nobody = client(slow, clock, fallback=client(slow, clock, is_fallback=True, config=config), config=config)
+    assert nobody.race("q") is None
+    assert client(lambda p, i: " NO ", clock).race("r") == "NO" and client(lambda p, i: "", clock).race("s") is None
+
+
+def test_local_providers_are_not_paused():
+    clock = Clock()
+    quick = client(judge.stub_judge, clock)
+    assert {quick.ask(f"p{i}") for i in range(50)} == {"YES", "NO"} and clock.now == 1000.0
+    paced = client(lambda p, i: "YES", clock)
+    paced.ask("a"), paced.ask("b")
+    assert clock.now > 1000.0
+
+
+def test_cache_reads_its_buckets_only(spark, tmp_path):
+    cache = judge.AnswerCache(spark, str(tmp_path / "cache"))
+    keys = spark.range(600).select(F.sha2(F.col("id").cast("string"), 256).alias("key"), F.concat(F.lit("a"), F.col("id")).alias("answer"))
+    assert cache.known(keys).isEmpty()
+    cache.add(keys.where("answer <= 'a3'"))
+    cache.add(keys.where("answer > 'a2'"))
+    one = keys.where("answer = 'a7'")
+    plan = cache.known(one)._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert [r.answer for r in cache.known(one).collect()] == ["a7"]
+    want = {r.key: r.answer for r in keys.collect()}
+    for _ in range(2):
+        assert {r.key: r.answer for r in cache.known(keys).collect()} == want
+        cache.compact()
+        assert len(cache.parts()) == 1
+
+
+def test_appends_at_once_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    cache = judge.AnswerCache(spark, str(tmp_path / "cache"))
+    part = lambda i: spark.range(40 * i, 40 * i + 40).select(F.sha2(F.col("id").cast("string"), 256).alias("key"), F.lit(f"part {i}").alias("answer"))
+    with ThreadPoolExecutor(5) as pool:
+        list(pool.map(lambda i: cache.compact() if i == 3 else cache.add(part(i)), range(6)))
+    got = cache.rows().groupBy("answer").count().collect()
+    assert {r.answer: r["count"] for r in got} == {f"part {i}": 40 for i in (0, 1, 2, 4, 5)}
+
+
+def test_pictures_join_the_prompts_that_show_them(spark):
+    rows = spark.createDataFrame([(i, "look" if i != 3 else None, p) for i, p in enumerate(["a", "b", "copy of a", "a", "gone", None])], "i int, p string, shown string")
+    pictures = spark.createDataFrame([("a", "x", bytearray(b"1")), ("b", "y", bytearray(b"2")), ("copy of a", "x", bytearray(b"1"))], "path string, sha256 string, content binary")
+    tell = lambda prompt, image: f"{prompt} {image}"
+    tell.local = True
+    out = judge.judged(rows, "p", tell, image="shown", pictures=pictures, config=EngineConfig(max_concurrent=2))
+    assert out.columns == ["i", "p", "shown", "answer"]
+    assert {r.i: r.answer for r in out.collect()} == {0: "look b'1'", 1: "look b'2'", 2: "look b'1'", 3: None, 4: "look None", 5: "look None"}
+
+
 # --- duplicates ---
 
 
