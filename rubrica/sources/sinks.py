@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import csv
+import io
 import re
+import uuid
 from collections.abc import Iterator
 from datetime import datetime
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rubrica.operators.score import coerced
+from rubrica.plans.staging import hadoop_path
 
 SCORE = "Overall Score"
 
@@ -34,16 +38,60 @@ def write_parts(df: DataFrame, path: str, order: list[str]) -> None:
     df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("header", True).option("escape", '"').csv(path)
 
 
-def write_csv_bom(df: DataFrame, path: str) -> None:
-    """One UTF-8 CSV with a byte-order mark, as spreadsheets want it; rows stream through the driver one partition at a time.
+def plain(value):
+    """A cell as Python's csv module shows it; a moment without its zone, in local time."""
+    return value.astimezone().replace(tzinfo=None) if isinstance(value, datetime) and value.tzinfo else value
+
+
+def csv_lines(df: DataFrame) -> DataFrame:
+    """One text a row, as Python's csv module writes it; partitions and their order stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = []
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                out = io.StringIO(newline="")
+                csv.writer(out, lineterminator="").writerow([plain(v) for v in row])
+                lines.append(out.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, "value string")  # names may differ in case only
 
-    A single file has a single writer: large results go through write_parts().
+
+def write_joined(lines: DataFrame, path: str, head: str, between: str, tail: str = "", keep_last: bool = True) -> None:
+    """One file of ordered lines, which executors write as parts: head, the lines with `between` behind each (unless the last one shall have none), tail.
+
+    The parts are copied behind each other as bytes; no row reaches Python on the driver.
     """
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "w", newline="", encoding="utf-8-sig") as f:
-        out = csv.writer(f)
-        out.writerow(df.columns)
-        out.writerows(df.toLocalIterator())
+    spark = lines.sparkSession
+    name = path.replace("\\", "/").rpartition("/")
+    parts = f"{name[0]}{name[1]}.{name[2]}-parts-{uuid.uuid4().hex}"
+    lines.write.option("lineSep", between).text(parts)
+    target, fs = hadoop_path(spark, path)
+    folder, _ = hadoop_path(spark, parts)
+    if fs.getClass().getSimpleName().endswith("LocalFileSystem"):  # without checksum files beside the result
+        fs = fs.getRawFileSystem()
+    copy = spark._jvm.org.apache.commons.io.IOUtils.copyLarge
+    sources = sorted(((s.getPath().getName(), s.getPath(), s.getLen()) for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-") and s.getLen()), key=lambda s: s[0])
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(head.encode()))
+        for i, (_, source, length) in enumerate(sources):
+            n = length - len(between.encode()) * (not keep_last and i == len(sources) - 1)
+            part = fs.open(source)
+            copy(part, out, 0, n)
+            part.close()
+        out.write(bytearray(tail.encode()))
+    finally:
+        out.close()
+    fs.delete(folder, True)
+
+
+def write_csv_bom(df: DataFrame, path: str) -> None:
+    """One UTF-8 CSV with a byte-order mark, as spreadsheets want it, in the order of df's rows (sort it before)."""
+    head = io.StringIO(newline="")
+    csv.writer(head).writerow(df.columns)
+    write_joined(csv_lines(df), path, "\ufeff" + head.getvalue(), "\r\n")
 
 
 def save_results(df: DataFrame, folder: str, name: str | None = None, source: str | None = None) -> str:
@@ -54,10 +102,10 @@ def save_results(df: DataFrame, folder: str, name: str | None = None, source: st
     return path
 
 
-def json_rows(df: DataFrame) -> Iterator[str]:
-    """One JSON object a row; NaN, which JSON lacks, is null."""
+def json_rows(df: DataFrame) -> DataFrame:
+    """One JSON object a row (value); NaN, which JSON lacks, is null."""
     clean = [F.when(~F.isnan(F.col(f"`{n}`")), F.col(f"`{n}`")).alias(n) if t in ("double", "float") else F.col(f"`{n}`") for n, t in df.dtypes]
-    return (r[0] for r in df.select(F.to_json(F.struct(*clean), {"ignoreNullFields": "false"})).toLocalIterator())
+    return df.select(F.to_json(F.struct(*clean), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def respond(df: DataFrame, kind: str, path: str) -> str:
@@ -66,11 +114,7 @@ def respond(df: DataFrame, kind: str, path: str) -> str:
     if kind == "csv":
         write_csv_bom(df, path)
     elif kind == "json":
-        with open(path, "w", encoding="utf-8") as f:
-            f.write("[")
-            for i, row in enumerate(json_rows(df)):
-                f.write((",\n" if i else "") + row)
-            f.write("]")
+        write_joined(json_rows(df), path, "[", ",\n", "]", keep_last=False)
     elif kind == "xlsx":
         df.toPandas().to_excel(path, index=False, sheet_name="Validation Results")
     else:

@@ -59,6 +59,30 @@ def test_results(spark, tmp_path):
         sinks.respond(df, "pdf", str(tmp_path / "r"))
 
 
+def test_one_file_by_executors_equals_a_driver_writer(spark, tmp_path, monkeypatch):
+    """Bytes as Python's csv module writes them on one machine, from several ordered parts, some of them empty."""
+    import csv
+    import io
+    from decimal import Decimal
+
+    rows = [(i, f'a "{i}",\r\n b' if i % 3 else None, i / 7, i % 2 == 0, Decimal(i) / 4, datetime(2024, 1, 2, 3, 4, i % 60).date(), "ä漢🙂; x" * (i % 4)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, t string, x double, b boolean, d decimal(10,2), day date, `odd, name` string").repartition(7)
+    want = io.StringIO(newline="")
+    csv.writer(want).writerow(df.columns)
+    csv.writer(want).writerows([(*r[:4], Decimal(r[4]).quantize(Decimal("0.01")), *r[5:]) for r in rows])
+    monkeypatch.setattr(type(df), "toLocalIterator", None)
+    for name in ("new.csv", "new.csv"):
+        sinks.write_csv_bom(df.orderBy("id"), str(tmp_path / name))
+    assert (tmp_path / "new.csv").read_bytes() == b"\xef\xbb\xbf" + want.getvalue().encode()
+    assert os.listdir(tmp_path) == ["new.csv"]
+    sinks.write_csv_bom(df.limit(0), str(tmp_path / "deep" / "none.csv"))
+    assert (tmp_path / "deep" / "none.csv").read_bytes().startswith(b"\xef\xbb\xbfid,t,x,b,d,day,")
+    import json
+
+    got = json.load(open(sinks.respond(df.select("id", "t").orderBy("id"), "json", str(tmp_path / "r.json"))))
+    assert [(r["id"], r["t"]) for r in got] == [r[:2] for r in rows]
+
+
 def test_retention(spark, tmp_path):
     old, new = write(tmp_path / "old", "1"), write(tmp_path / "new", "2")
     os.utime(old, (1000, 1000))
