@@ -1,7 +1,7 @@
 """Files behind the rows: fetching, texts of PDF reports, hashes and tags of images.
 
 Extractors are functions of a file's bytes, which a caller may replace. The defaults use pdfplumber, PyPDF2 or Pillow where they are installed; without
-them, PDF streams that are plain or deflated give their text operators. JPEG, PNG and PNM images are decoded here, others by Pillow. A file that cannot be read has no
+them PDF texts are read here, by pages and fonts, or from any stream with text operators. JPEG, PNG and PNM images are decoded here, others by Pillow. A file that cannot be read has no
 text, tags or hash; it never fails the job.
 """
 
@@ -23,6 +23,7 @@ from rubrica.config import EngineConfig
 from rubrica.functions.scalars import pdf_title
 from rubrica.plans.staging import stage
 from rubrica.sources.jpeg import read_jpeg
+from rubrica.sources.pdf import pdf_text
 
 # --- fetching ---
 
@@ -112,7 +113,7 @@ def plain_pdf(content: bytes) -> tuple[str, dict[str, str]]:
 
 
 def read_pdf(content: bytes) -> tuple[str, dict[str, str]]:
-    """(text, metadata) by the first library that gives a text, else by plain_pdf()."""
+    """(text, metadata) by the first that gives a text: two libraries, where they are installed, then pdf_text(); else by plain_pdf()."""
     try:
         import pdfplumber
 
@@ -131,6 +132,12 @@ def read_pdf(content: bytes) -> tuple[str, dict[str, str]]:
             return text, {k: str(v) if v else "" for k, v in (pdf.metadata or {}).items()}
     except Exception:
         pass
+    try:
+        text, info = pdf_text(content)
+        if text.strip():
+            return text, info
+    except Exception:  # encrypted, or no pages that can be read
+        pass
     return plain_pdf(content)
 
 
