@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from rubrica.plans.staging import delete, exists, hadoop_path
+from rubrica.sources.workbook import Workbook
 
 IMAGE_GLOB = "*.{jpg,jpeg,png,gif,bmp,tiff,webp,JPG,JPEG,PNG,GIF,BMP,TIFF,WEBP}"
 # Cells that read as missing.
@@ -66,11 +67,15 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet, read on the driver (needs pandas' Excel engine): a workbook is bounded by its format."""
-    df = pd.read_excel(path)
-    if df.empty:
+    """The first sheet: xlsx by the data source of workbook.py, in ranges of rows; the older xls by pandas on the driver (needs its engine), whose sheets have 65,536 rows at most."""
+    if path.lower().endswith(".xls"):
+        df = spark.createDataFrame(pd.read_excel(path))
+    else:
+        spark.dataSource.register(Workbook)
+        df = spark.read.format("workbook").load(path)
+    if df.isEmpty():
         raise ValueError(f"{path} has no rows")
-    return spark.createDataFrame(df)
+    return df
 
 
 def read_json_rows(spark: SparkSession, rows: list[dict], schema: T.StructType | str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from rubrica.operators.score import coerced
 from rubrica.plans.staging import hadoop_path
+from rubrica.sources.workbook import write_workbook
 
 SCORE = "Overall Score"
 
@@ -109,14 +110,14 @@ def json_rows(df: DataFrame) -> DataFrame:
 
 
 def respond(df: DataFrame, kind: str, path: str) -> str:
-    """Write a batch of results as csv, json (an array) or xlsx (needs pandas' Excel engine)."""
+    """Write a batch of results as csv, json (an array) or xlsx."""
     df = whole_scores(df)
     if kind == "csv":
         write_csv_bom(df, path)
     elif kind == "json":
         write_joined(json_rows(df), path, "[", ",\n", "]", keep_last=False)
     elif kind == "xlsx":
-        df.toPandas().to_excel(path, index=False, sheet_name="Validation Results")
+        write_workbook(df, path, "Validation Results")
     else:
         raise ValueError(f"unknown format: {kind}; csv, json and xlsx are written")
     return path
