@@ -253,14 +253,14 @@ class Client:
 
 
 class AnswerCache:
-    """Answers by key in a shared folder, in buckets of the key's first two characters, a part for each run.
+    """Answers by key in a shared folder, in buckets of the key's first `width` characters, a part for each run.
 
     A run reads only the buckets of its own keys; keys are sorted in a file, with Parquet's Bloom filter. A part appears whole, by a rename, so runs may append at once.
     compact() merges the parts that it sees and leaves those that come meanwhile.
     """
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, width: int = 1) -> None:
+        self.spark, self.folder, self.width = spark, folder.rstrip("/"), width
 
     def parts(self) -> list[str]:
         if not exists(self.spark, self.folder):
@@ -278,12 +278,12 @@ class AnswerCache:
 
     def known(self, keys: DataFrame) -> DataFrame:
         """(key, answer) of keys (key) that have one; only their buckets are read."""
-        wanted = [r[0] for r in keys.select(F.substring("key", 1, 2)).distinct().collect()]  # at most 256
+        wanted = [r[0] for r in keys.select(F.substring("key", 1, self.width)).distinct().collect()]  # at most 16 to the power of width
         found = self.rows().where(F.col("bucket").isin(wanted)) if wanted else self.rows([])
         return found.join(keys.select("key"), "key", "left_semi").groupBy("key").agg(F.min("answer").alias("answer"))
 
     def add(self, answers: DataFrame) -> None:
-        name, rows = uuid.uuid4().hex, answers.where("answer is not null").select("key", "answer", F.substring("key", 1, 2).alias("bucket"))
+        name, rows = uuid.uuid4().hex, answers.where("answer is not null").select("key", "answer", F.substring("key", 1, self.width).alias("bucket"))
         hidden = f"{self.folder}/.new-{name}"
         ordered = rows.repartition("bucket").sortWithinPartitions("bucket", "key")
         ordered.write.option("parquet.bloom.filter.enabled#key", "true").partitionBy("bucket").parquet(hidden)

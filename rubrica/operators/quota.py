@@ -23,6 +23,11 @@ def micros(ts: str = "ts") -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+def effective_limit(rpm: Column, safety: Column) -> Column:
+    """Requests a minute that a limiter admits, as config.effective_limit()."""
+    return (rpm * F.least(safety, F.lit(0.95))).cast("int")
+
+
 def last_granted(calls: DataFrame, max_calls: int = 5) -> DataFrame:
     """(id, cut) of each id: the last call (idx, step) within its budget. No task sees more than its share of an id's calls."""
     salted = calls.select("id", "idx", "step").withColumn("salt", F.pmod(F.xxhash64("idx", "step"), F.lit(SALTS)))

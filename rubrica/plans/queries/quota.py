@@ -115,12 +115,10 @@ def circuit_breaker(spark: SparkSession, d: str) -> DataFrame:
     return quota.breaker(bind.load(spark, d, "events").withColumn("outcome", outcome), "user_id", SLOW).select("event_id", "allowed", "state")
 
 
-@query("effective_limit", "SELECT 'primary' AS provider, 140 AS admitted UNION ALL SELECT 'fallback', 20")
+@query("effective_limit", "SELECT s_suppkey, CAST(trunc((s_suppkey % 300) * least((s_suppkey % 101) / 100::DOUBLE, 0.95::DOUBLE)) AS INT) AS admitted FROM supplier")
 def effective_limit(spark: SparkSession, d: str) -> DataFrame:
-    from rubrica.config import effective_limit as limit
-
-    e = EngineConfig()
-    return spark.createDataFrame([("primary", limit(e.rpm, e.safety)), ("fallback", limit(e.fallback_rpm, e.fallback_safety))], "provider string, admitted int")
+    """Limits of as many providers as there are suppliers."""
+    return bind.load(spark, d, "supplier").select("s_suppkey", quota.effective_limit(c("s_suppkey") % 300, (c("s_suppkey") % 101) / 100).alias("admitted"))
 
 
 # --- errors ---
