@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from rubrica.plans.staging import delete, exists, hadoop_path
+from rubrica.plans.staging import delete, exists, hadoop_path, stage
 from rubrica.sources.workbook import Workbook
 
 IMAGE_GLOB = "*.{jpg,jpeg,png,gif,bmp,tiff,webp,JPG,JPEG,PNG,GIF,BMP,TIFF,WEBP}"
@@ -19,9 +19,16 @@ IMAGE_GLOB = "*.{jpg,jpeg,png,gif,bmp,tiff,webp,JPG,JPEG,PNG,GIF,BMP,TIFF,WEBP}"
 NO_VALUE = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
-def is_utf8(spark: SparkSession, path: str) -> bool:
-    files = spark.read.format("binaryFile").load(path)
-    return files.where(F.expr("not is_valid_utf8(cast(content as string))")).isEmpty()
+#: A line of whole cells: no quoted cell goes on in the next line, and no quote stands within a plain cell.
+WHOLE_LINE = r'^(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)(?:,(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+))*+$'
+
+
+def line_facts(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """Whether a file is UTF-8, and whether every record is a line. Lines are looked at where they lie, in as many tasks as the file has splits."""
+    lines = spark.read.text(path).select("value", F.is_valid_utf8("value").alias("fine"))
+    whole = (F.col("value") == "") | (F.trim("value") != "") & F.col("value").rlike(WHOLE_LINE)
+    got = lines.agg(F.bool_and("fine").alias("fine"), F.bool_and(whole).alias("whole")).first()
+    return got["fine"] is not False, got["whole"] is not False
 
 
 @pandas_udf(T.IntegerType())
@@ -43,24 +50,26 @@ def typed(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, encoding: str | None = None) -> DataFrame:
     """A CSV batch: UTF-8, else Latin-1; quoted line breaks and rows too short are kept, cells of NO_VALUE are null.
 
-    Without a schema, columns of numbers are numbers. A batch without rows, or with a row that has more cells than the header, is a ValueError.
+    Without a schema, columns of numbers are numbers. A batch without rows, or with a row that has more cells than the header, is a ValueError. A file whose records
+    are lines is read in splits; one with line breaks within cells by one task. Without a schema the cells are parsed once, into a staged table, on which the types are found.
     """
-    encoding = encoding or ("UTF-8" if is_utf8(spark, path) else "ISO-8859-1")
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding)
+    utf8, lines = line_facts(spark, path)
+    encoding = encoding or ("UTF-8" if utf8 else "ISO-8859-1")
+    reader = spark.read.option("header", True).option("multiLine", not lines).option("escape", '"').option("encoding", encoding)
     if schema:
         df = reader.schema(schema).csv(path)
     else:
-        names = [re.sub("^﻿", "", n) for n in reader.csv(path).columns]
+        names = [re.sub("^\ufeff", "", n) for n in reader.csv(path).columns]
         broken = "broken_line"
         while broken in names:
             broken += "_"
         fields = T.StructType([T.StructField(n, T.StringType()) for n in [*names, broken]])
-        rows = reader.schema(fields).option("columnNameOfCorruptRecord", broken).csv(path)
-        cells = n_cells(broken) + F.least(F.lit(0), F.length(F.concat_ws("", *[F.col(f"`{n}`") for n in names])))  # a line is parsed only as far as its columns are used
-        if not rows.where(F.col(broken).isNotNull()).where(cells > len(names)).isEmpty():
+        parsed = reader.schema(fields).option("columnNameOfCorruptRecord", broken).csv(path)
+        inner = [f"c{i}" for i in range(len(names))]  # names of a file may be none of a table
+        rows = stage(parsed.toDF(*inner, "broken"), "csv")
+        if not rows.where("broken is not null").where(n_cells("broken") > len(names)).isEmpty():
             raise ValueError(f"{path}: a row has more than {len(names)} cells")
-        filled = lambda n: F.when(~F.col(f"`{n}`").isin(NO_VALUE), F.col(f"`{n}`")).alias(n)
-        df = typed(rows.select(*map(filled, names)))
+        df = typed(rows.select(*[F.when(~F.col(n).isin(NO_VALUE), F.col(n)).alias(n) for n in inner])).toDF(*names)
     if df.isEmpty():
         raise ValueError(f"{path} has no rows")
     return df

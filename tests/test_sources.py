@@ -31,6 +31,29 @@ def test_csv(spark, tmp_path):
     assert latin.first().n == "é"
 
 
+def test_csv_of_lines_is_read_in_splits(spark, tmp_path):
+    """A file without line breaks in cells is read by several tasks, with the same rows as by one; names may be empty or hold dots."""
+    rows = "".join(f'{i},"t, ""{i}""",{i / 8},{"x" * (i % 50)}\n' for i in range(20_000))
+    path = write(tmp_path / "big.csv", "\ufeffid,a.b,share of,\n" + rows)
+    assert readers.line_facts(spark, path) == (True, True)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        df = readers.read_csv(spark, path)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert df.count() == 20_000 and df.columns[:3] == ["id", "a.b", "share of"] and [t for _, t in df.dtypes] == ["bigint", "string", "double", "string"]
+    got = sorted(tuple(r) for r in df.collect())
+    assert got[7] == (7, 't, "7"', 0.875, "x" * 7) and got[0][3] is None
+
+
+@pytest.mark.parametrize("text,facts", [
+    ('a,b\n1,"x\ny"\n', (True, False)), ('a,b\n1,5" pipe\n', (True, False)), ('a\n"x ""y"" z"\n\n', (True, True)), ("a\n \n", (True, False)), ("", (True, True)), ("a,b\n,\n", (True, True)),
+])
+def test_facts_of_lines(spark, tmp_path, text, facts):
+    assert readers.line_facts(spark, write(tmp_path / "f.csv", text)) == facts
+    assert readers.line_facts(spark, write(tmp_path / "l.csv", text.encode() + b"\xe9\n"))[0] is False
+
+
 def test_guards(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         readers.read_batch(spark, str(tmp_path / "none.csv"))
