@@ -18,16 +18,23 @@ class Imaging:
         self.jvm, self.gateway = spark._jvm, spark.sparkContext._gateway
 
     def ints(self, values):
-        out = self.gateway.new_array(self.jvm.int, len(values))
-        for i, v in enumerate(values):
-            out[i] = v
+        """Numbers as the JVM's array, sent as bytes."""
+        raw = np.asarray(values, ">i4").tobytes()
+        out = self.gateway.new_array(self.jvm.int, len(raw) // 4)
+        self.jvm.java.nio.ByteBuffer.wrap(bytearray(raw)).asIntBuffer().get(out)
         return out
 
+    def numbers(self, values, n):
+        """The JVM's array as numbers."""
+        held = self.jvm.java.nio.ByteBuffer.allocate(4 * n)
+        held.asIntBuffer().put(values)
+        return np.frombuffer(bytes(held.array()), ">i4")
+
     def encode(self, pixels, quality=0.8, progressive=False):
         """A picture of three colours, or of grey levels where pixels have no third axis."""
         height, width = pixels.shape[:2]
         image = self.jvm.java.awt.image.BufferedImage(width, height, 10 if pixels.ndim == 2 else 1)
-        image.getRaster().setPixels(0, 0, width, height, self.ints(pixels.astype(int).ravel().tolist()))
+        image.getRaster().setPixels(0, 0, width, height, self.ints(pixels.astype(int).ravel()))
         writer = self.jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
         how = writer.getDefaultWriteParam()
         how.setCompressionMode(2)
@@ -44,7 +51,8 @@ class Imaging:
         image = self.jvm.javax.imageio.ImageIO.read(self.jvm.java.io.ByteArrayInputStream(content))
         raster, width, height = image.getRaster(), image.getWidth(), image.getHeight()
         bands = raster.getNumBands()
-        samples = np.array(list(raster.getPixels(0, 0, width, height, self.ints([0] * (width * height * bands)))), float).reshape(height, width, bands)
+        n = width * height * bands
+        samples = self.numbers(raster.getPixels(0, 0, width, height, self.ints([0] * n)), n).astype(float).reshape(height, width, bands)
         return samples[:, :, 0] if bands == 1 else samples @ np.array([0.299, 0.587, 0.114])
 
 
