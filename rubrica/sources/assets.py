@@ -36,8 +36,8 @@ def fetch_url(url: str, timeout: float = 30, chunk: int = 8192) -> bytes:
         return b"".join(iter(lambda: answer.read(chunk), b""))
 
 
-def fetched(paths: DataFrame, column: str = "path", fetch: Callable[[str], bytes] = fetch_url, tasks: int = 64) -> DataFrame:
-    """(path, content) of the distinct paths, staged; content is null where the fetch fails. There is one attempt a path."""
+def fetched(paths: DataFrame, column: str = "path", fetch: Callable[[str], bytes] = fetch_url, tasks: int | None = None) -> DataFrame:
+    """(path, content) of the distinct paths, staged; content is null where the fetch fails. There is one attempt a path, from `tasks` tasks (as many as a shuffle has, by default)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -48,7 +48,7 @@ def fetched(paths: DataFrame, column: str = "path", fetch: Callable[[str], bytes
                     content = None
                 yield pd.DataFrame({"path": [path], "content": pd.Series([content], dtype=object)})
 
-    wanted = paths.where(F.col(column) != "").select(F.col(column).alias("path")).distinct().repartition(tasks, "path")
+    wanted = paths.where(F.col(column) != "").select(F.col(column).alias("path")).distinct().repartition(tasks or int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
     return stage(wanted.mapInPandas(run, "path string, content binary"), "fetched")
 
 
