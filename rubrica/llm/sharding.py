@@ -81,8 +81,8 @@ def assign(docs: DataFrame, n_shards: int = SHARDS, carry: list[str] = (), bits:
         cells = quantised(slim, column, bits).select(F.col("value").alias("v"), F.col("cell").alias(f"x_{column}"))
         slim = slim.join(cells, slim[column].eqNullSafe(F.col("v")), "left").drop("v")
     amount = F.least(F.floor(F.log2("size")), F.lit((1 << bits) - 1)).cast("int")
-    curved = stage(slim.withColumn("h", curve_index([F.col("x_lang"), F.col("x_source"), amount], bits)), "curved")
-    n = curved.count()
+    curved = slim.withColumn("h", curve_index([F.col("x_lang"), F.col("x_source"), amount], bits))  # computed twice; a table of it would hold all that is carried once more
+    n = slim.count()
     placed = ranked(curved, ["h", "lang", "source", "text_crc32", "doc_id"])
     cut = placed.withColumn("shard", F.expr(f"cast(rank * {n_shards} div {max(1, n)} as int)"))
     slot = F.expr(f"rank - (shard * {n}L + {n_shards - 1}) div {n_shards}")
