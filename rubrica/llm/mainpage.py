@@ -3,17 +3,16 @@
 Markup is cut into lines at block elements. A line's weight is the length of its text outside links (0 if half of it is links); lines
 within menus, headers, footers, sidebars, notices, adverts, forms and comment sections (by element, role,
 class or id) weigh nothing and are never kept. Classes that tell of layout only (widget, sidebar, related, ...) do not count on an element that
-names itself content as well, nor for a marked article inside it. Where the page marks its article (article, or main
-without one) everything outside it counts as such. Weights are summed over sliding windows of lines. A run starts
-at a surge (a window sum that leaves zero and reaches the threshold) and ends at a dive (a window of no weight);
-lines outside the runs are not kept. Dropped lines are no distance: windows and runs reach across them.
-
-Short paragraphs at the edge of a run stay: a run is widened to all weighted lines that touch it. Without a marked
-article the heaviest run names the container (the innermost one of CONTAINERS around all its lines), and every run in
-it that surges is kept, with the short ones between them; if no window reaches SURGE, any text surges. The marking is a
-weight: each line with text of its own in a marked article weighs SURGE more, so it surges by itself, and a dive there
-is a window of links. Links before the first or after the last run of the article stay unless they fill a window.
-An article of links alone has no surge and stays whole.
+names itself content as well, nor for a marked article inside it. Weights are summed over sliding windows of lines. A
+run starts at a surge (a window sum that leaves zero and reaches the threshold) and ends at a dive (a window of no
+weight); lines outside the runs are not kept. Dropped lines are no distance: windows and runs reach across them.
+
+The heaviest run names the container (the innermost one of CONTAINERS around all its lines), and every run in it that
+surges is kept, with the short ones between them; if no window reaches SURGE, any text surges. Where the page marks its
+article (article, or main without one), the edges of the mark are dives and the mark is a weight: text inside counts
+MARKED times. If the heaviest run lies inside, the marked lines are the text, lists of links among them too; if
+unmarked text outweighs it nevertheless (a mark around links or a stub), the runs outside it are. An article of links
+alone has no run and stays whole unless a run outside surges.
 
 Defined results: a null, empty or textless page has empty text and 0 characters; unclosed elements end with their
 parent or at the next block; repeated rows give a row each; an empty table gives no rows; extra columns are
@@ -23,6 +22,7 @@ ignored; html of any length is read whole.
 from __future__ import annotations
 
 import html
+import itertools
 import re
 
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rubrica.llm.common import slices, table
 
-WINDOW, SURGE = 3, 40
+WINDOW, SURGE, MARKED = 3, 40, 8
 # Element names of HTML.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -207,30 +207,41 @@ def shared(paths: list[tuple[int, ...]]) -> tuple[int, ...]:
     return low[: next((i for i, (x, y) in enumerate(zip(low, high, strict=False)) if x != y), min(len(low), len(high)))]
 
 
+def weights_of(lines: list[tuple]) -> list[int]:
+    return [len(t) - linked if linked < 0.5 * len(t) else 0 for t, linked, *_ in lines]
+
+
+def marked_wins(lines: list[tuple]) -> bool:
+    """Whether the heaviest run of the page lies inside a marked article."""
+    inside = outside = 0
+    for marked, part in itertools.groupby(lines, key=lambda line: line[3]):
+        weights = weights_of(list(part))
+        if marked:
+            inside = max([inside, *(w for *_, w in surges(weights, WINDOW, 1))])
+        else:
+            outside = max([outside, *(w for *_, w in surges(weights, WINDOW, SURGE))])
+    return MARKED * inside >= outside
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = [line for line in lines_of(page) if line[2]]
-    in_article = [line for line in lines if line[3]]
-    article = bool(in_article)
-    lines = in_article or lines
-    weights = [len(t) - linked + SURGE * article if linked < 0.5 * len(t) else 0 for t, linked, *_ in lines]
-    surged = surges(weights) or surges(weights, surge=1)
-    runs = [(first, end) for first, end, _ in surged]
-    if article:
-        runs = runs or [(0, len(lines))]
-        if runs[0][0] < WINDOW:
-            runs[0] = (0, runs[0][1])
-        if len(lines) - runs[-1][1] < WINDOW:
-            runs[-1] = (runs[-1][0], len(lines))
-    elif runs:
-        paths = [line[4] for line in lines]
-        first, end, _ = max(surged, key=lambda r: (r[2], -r[0]))
-        inside = shared(paths[first:end])
-        within = lambda r: all(p[: len(inside)] == inside for p in paths[r[0] : r[1]])
-        reach = [r for r in runs if within(r)]
-        runs = [r[:2] for r in surges(weights, surge=1) if reach[0][0] <= r[0] and r[1] <= reach[-1][1] and within(r)]
-    return "\n".join(lines[i][0] for first, end in runs for i in range(first, end))
+    if any(line[3] for line in lines):
+        if marked_wins(lines):
+            return "\n".join(line[0] for line in lines if line[3])
+        lines = [line for line in lines if not line[3]]
+    weights = weights_of(lines)
+    surged = surges(weights, WINDOW, SURGE) or surges(weights, WINDOW, 1)
+    if not surged:
+        return ""
+    paths = [line[4] for line in lines]
+    first, end, _ = max(surged, key=lambda r: (r[2], -r[0]))
+    inside = shared(paths[first:end])
+    within = lambda r: all(p[: len(inside)] == inside for p in paths[r[0] : r[1]])
+    reach = [r for r in surged if within(r)]
+    runs = [r for r in surges(weights, WINDOW, 1) if reach[0][0] <= r[0] and r[1] <= reach[-1][1] and within(r)]
+    return "\n".join(lines[i][0] for first, end, _ in runs for i in range(first, end))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -360,13 +360,22 @@ def test_windows_equal_brute_force():
         assert mainpage.surges(weights, window, surge) == want
 
 
-def test_parameters_change_marked_pages(monkeypatch):
-    """The window decides on a marked page too: with a wider one, three links are no dive."""
-    page = "<article><p>One.</p><ul>" + "".join(f"<li><a href={i}>Link {i}</a></li>" for i in range(4)) + "</ul><p>Two.</p></article>"
-    assert mainpage.main_text(page) == "One.\nTwo."
-    monkeypatch.setattr(mainpage, "WINDOW", 6)
-    monkeypatch.setattr(mainpage.surges, "__defaults__", (6, mainpage.SURGE))
-    assert mainpage.main_text(page) == "One.\nLink 0\nLink 1\nLink 2\nLink 3\nTwo."
+def test_the_mark_is_a_weight(monkeypatch):
+    """Runs decide between marked and unmarked text; links among the lines of an article are no dive."""
+    links = "<ul>" + "".join(f"<li><a href={i}>Link {i}</a></li>" for i in range(4)) + "</ul>"
+    page = f"<article><p>A sentence of the article.</p>{links}<p>Two.</p></article>"
+    whole = "A sentence of the article.\nLink 0\nLink 1\nLink 2\nLink 3\nTwo."
+    long = "<div>" + "".join(f"<p>Paragraph {i} of a long text that no element marks, which says something.</p>" for i in range(20)) + "</div>"
+    assert mainpage.main_text(page) == mainpage.main_text(page + long[: long.index("Paragraph 2")] + "</div>") == whole
+    told = mainpage.main_text(page + long).split("\n")
+    assert len(told) == 20 and told[0].startswith("Paragraph 0") and told[-1].startswith("Paragraph 19")
+    assert mainpage.main_text(f"<article>{links}</article>{long}").split("\n") == told
+    assert mainpage.main_text(f"<article>{links}</article><p>Short.</p>") == "\n".join(f"Link {i}" for i in range(4))
+    monkeypatch.setattr(mainpage, "SURGE", 5000)
+    assert mainpage.main_text(page + long) == whole
+    monkeypatch.setattr(mainpage, "SURGE", 40)
+    monkeypatch.setattr(mainpage, "MARKED", 1000)
+    assert mainpage.main_text(page + long) == whole
 
 
 def test_layout_classes_do_not_decide():
@@ -403,12 +412,13 @@ def test_page_query_equals_a_direct_parse(spark):
     assert len(got) == 50 and n > 10_000
 
 
-def test_surges_choose_lines_of_marked_pages():
-    """A window of links is a dive inside <article> too; fewer links, and an article of links alone, stay."""
+def test_links_inside_a_marked_article_stay():
+    """Nothing inside a marked article is a dive: lists of links stay wherever they stand, and an article of links alone too."""
     links = lambda n: "<ul>" + "".join(f"<li><a href={i}>Link {i}</a></li>" for i in range(n)) + "</ul>"
     body = "<article><h1><a href=x>Title</a></h1><p>One.</p>{}<p>Two.</p>{}</article>"
-    assert mainpage.main_text(body.format(links(4), links(3))) == "Title\nOne.\nTwo."
-    assert mainpage.main_text(body.format(links(2), links(1))) == "Title\nOne.\nLink 0\nLink 1\nTwo.\nLink 0"
+    said = lambda n: [f"Link {i}" for i in range(n)]
+    for a, b in ((4, 3), (2, 1), (0, 0)):
+        assert mainpage.main_text(body.format(links(a), links(b))) == "\n".join(["Title", "One.", *said(a), "Two.", *said(b)])
     assert mainpage.main_text(f"<main>{links(3)}</main>") == "Link 0\nLink 1\nLink 2"
 
 
