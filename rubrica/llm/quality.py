@@ -132,7 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
         return None
     share = min(1.0, positives / n)
     chosen = trusted.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) < share * (1 << 24))  # about `positives` ids: small enough to broadcast
-    p = measured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
+    p = measured(sampled(rows, 2 * positives, rows.select(F.xxhash64("doc_id", "text")).distinct().count()))  # an id may stand on any number of texts
     u = measured(sampled(docs.select("doc_id", "text"), unlabelled, docs.count()))
     if not len(p) or not len(u):
         return None

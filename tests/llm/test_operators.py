@@ -332,6 +332,23 @@ def test_described_files(spark):
     assert row.n_frames == len(row.frame_offsets) > 0 and row.n_samples == 1152 * row.n_frames
 
 
+def test_positives_are_bounded_by_rows(spark, monkeypatch):
+    """A trusted id on any number of texts: what reaches the driver follows the bound on positives, and equal rows count once."""
+    import zlib
+
+    one = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5)
+    docs = spark.createDataFrame([(one, f"Text {i} of the same id.") for i in range(600)] + [(one, "Again.")] * 900 + [(1000 + i, f"Other {i}.") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(one, 1)], "doc_id long, quality int")
+    sizes = []
+    real = quality.measured
+    monkeypatch.setattr(quality, "measured", lambda rows: sizes.append(len(got := real(rows))) or got)
+    assert quality.fit(docs, labels, positives=20, unlabelled=200) is not None
+    assert 10 <= sizes[0] <= 80
+    sizes.clear()
+    quality.fit(docs, labels, positives=1000, unlabelled=200)
+    assert sizes[0] == 601
+
+
 def test_pages(spark):
     page = "<html><body><nav><ul><li><a href=x>Home</a></ul></nav><div class='ad'>Buy this now, it is cheap and very good for you.</div><article><h1>Head &amp; line</h1><p>First\n part <b>bold</b>.<br><p>Short.</p><section id=comments><p>Nice post!</p></section></article><footer>&copy; us</footer>"
     assert mainpage.main_text(page) == "Head & line\nFirst part bold.\nShort."
