@@ -9,8 +9,8 @@ the terms not met are what it may still gain. The k-th highest lower bound of al
 there that may still gain stays below the threshold; where that proof is lacking, the item falls through to the next tier, in that shard alone. Below the last
 tier nothing is left, so every item ends exact. Shards tell k documents an item at most, and equal scores are cut by id.
 
-Terms are compared by hashes of 64 bits. An item's texts and thresholds go through the driver in blocks of `ITEMS` items or `ITEM_BYTES` of text; postings,
-documents and shards never do.
+Terms are compared by hashes of 64 bits. An item's texts and thresholds go through the driver in blocks of `ITEMS` items or `ITEM_BYTES` of text, and so do the items that
+are open in a shard, as a bit each: the index's rows, which are megabytes, stay where they are stored. Postings, documents and shards never do.
 
 Defined results: a null text has no terms; a document without terms is in no count and no result. Repeated rows are documents (or items) of their
 own. Equal scores go by ascending id, rows without an id last. An item without known terms, or an empty table, gives no rows. Further columns are
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rubrica.llm.common import Words, alnum_bytes, byte_table, drop, flat_text, slices, stage, table, task_id
@@ -35,6 +35,8 @@ SHARD_BYTES, ITEMS, ITEM_BYTES = 1 << 21, 256, 1 << 23
 #: Postings of a term in a shard that the first tier takes at least; its share of longer lists; how much the second tier is larger.
 LEAST, SHARE, STEP = 32, 16, 4
 TIERS = 3
+#: Shards in a row group of the stored index, which readers hold in memory as a whole.
+GROUP_SHARDS = 2
 #: Cells of one matrix of items and documents.
 CELLS = 1 << 21
 VALUES = byte_table(alnum_bytes(), 13)
@@ -79,7 +81,7 @@ def counted(docs: DataFrame, id_type: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.int64()) for x in numbers], ids, *[pa.array([x.tobytes()], pa.binary()) for x in blobs]], ["shard", "documents", "words", "ids", "n", "terms", "start", "doc", "tf"])
                 number += 1
 
-    return stage(docs.mapInArrow(run, f"shard long, documents long, words long, ids array<{id_type}>, n binary, terms binary, start binary, doc binary, tf binary"), "postings")
+    return stage(docs.mapInArrow(run, f"shard long, documents long, words long, ids array<{id_type}>, n binary, terms binary, start binary, doc binary, tf binary"), "postings", group_rows=GROUP_SHARDS)
 
 
 def impact_of(tf: np.ndarray, n: np.ndarray, documents: int, words: int) -> np.ndarray:
@@ -120,7 +122,7 @@ def tiered(raw: DataFrame, documents: int, words: int, id_type: str) -> DataFram
                 yield pa.RecordBatch.from_arrays([batch.column("shard").slice(row, 1), batch.column("ids").slice(row, 1), *[pa.array([x.tobytes()], pa.binary()) for x in out]], ["shard", "ids", *blobs])
 
     fields = ", ".join(f"{c} binary" for c in blobs)
-    return stage(raw.select("shard", "ids", "n", "terms", "start", "doc", "tf").mapInArrow(run, f"shard long, ids array<{id_type}>, {fields}"), "index")
+    return stage(raw.select("shard", "ids", "n", "terms", "start", "doc", "tf").mapInArrow(run, f"shard long, ids array<{id_type}>, {fields}"), "index", group_rows=GROUP_SHARDS)
 
 
 def build(docs: DataFrame, *, id_column: str = "doc_id") -> Index:
@@ -203,12 +205,11 @@ def answers(index: Index, shards: DataFrame, block, tiers: int, k: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Block = block.value
-        place = {item: i for i, item in enumerate(own.items.tolist())}
         for batch in batches:
             for r in range(batch.num_rows):
                 get = lambda c, kind: np.frombuffer(batch.column(c)[r].as_py(), kind)  # noqa: B023, E731
                 ids, rank = batch.column("ids").slice(r, 1).flatten(), get("id_rank", np.int32)
-                todo = np.array(sorted(place[i] for i in batch.column("open")[r].as_py()), np.int64) if has_open else np.arange(len(own.items))
+                todo = np.flatnonzero(np.unpackbits(np.array(batch.column("open")[r].as_py(), "<i8").view(np.uint8), bitorder="little")) if has_open else np.arange(len(own.items))
                 step, told = max(1, CELLS // max(1, len(ids))), []
                 for at in range(0, len(todo), step):
                     some = todo[at : at + step]
@@ -232,6 +233,11 @@ def answers(index: Index, shards: DataFrame, block, tiers: int, k: int) -> DataF
     return stage(rows.mapInArrow(run, ANSWER.format(id=index.id_type)), "answers")
 
 
+def bits(places: str, n: int) -> Column:
+    """The set of numbers from 0 to n - 1 in a group's column, as whole numbers of 64 bits."""
+    return F.array(*[F.coalesce(F.bit_or(F.when(F.expr(f"{places} div 64 = {j}"), F.expr(f"shiftleft(1L, {places} % 64)"))), F.lit(0).cast("long")) for j in range(-(-n // 64))])
+
+
 def best(found: DataFrame, k: int) -> DataFrame:
     """(item, id, score, rank) of the k best documents of each item."""
     hits = found.select("item", F.explode(F.arrays_zip("ids", "scores")).alias("hit")).select("item", F.col("hit.ids").alias("id"), F.col("hit.scores").alias("score"))
@@ -251,12 +257,12 @@ def ranked(index: Index, own: Block, k: int) -> DataFrame:
         pool = got if settled is None else settled.unionAll(got)
         for r in best(pool, k).where(F.col("rank") == k).select("item", "score").collect():  # a row per item of the block
             own.threshold[place[r["item"]]] = r["score"]
-        bounds = F.broadcast(spark.createDataFrame([(i, max(1, int(own.threshold[p]))) for i, p in place.items()], "item long, threshold long"))
-        proven = got.join(bounds, "item").withColumn("settled", F.col("settled") | (F.col("gap") < F.col("threshold"))).drop("threshold").select(*got.columns)
-        done = proven.where("settled")
+        bounds = F.broadcast(spark.createDataFrame([(i, p, max(1, int(own.threshold[p]))) for i, p in place.items()], "item long, place int, threshold long"))
+        proven = got.join(bounds, "item").withColumn("settled", F.col("settled") | (F.col("gap") < F.col("threshold")))
+        done = proven.where("settled").select(*got.columns)
         settled = done if settled is None else settled.unionAll(done)
-        last = proven.where("not settled").groupBy("shard").agg(F.collect_list("item").alias("open"))  # items of one block
-        shards = index.shards.join(last, "shard")
+        last = proven.where("not settled").groupBy("shard").agg(bits("place", len(place)).alias("open"))
+        shards = index.shards.join(F.broadcast(last), "shard")  # a bit per item of the block and shard of 2 MB
     return best(settled, k)
 
 

@@ -40,11 +40,16 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there and survives executors."""
+def stage(df: DataFrame, label: str, partition_by: list[str] | None = None, group_rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it again: lineage ends there and survives executors.
+
+    Parquet's writer and reader hold a row group in memory, and look at its size after a hundred rows first: `group_rows` bounds the groups of tables whose rows are megabytes.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/rubrica-{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
+    if group_rows:
+        writer = writer.option("parquet.block.row.count.limit", group_rows)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path

@@ -5,9 +5,11 @@ import math
 import re
 from collections import Counter, defaultdict
 from fractions import Fraction
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -203,6 +205,22 @@ def test_lexical_on_hard_texts(spark, monkeypatch, least, shard_bytes, items_at_
     assert rows_of(got) == lexical_brute(docs, items)
 
 
+def test_lexical_index_is_read_in_small_groups(spark, monkeypatch):
+    """Rows of the index are megabytes: no row group holds many of them, and no tier shuffles them."""
+    monkeypatch.setattr(lexical, "SHARD_BYTES", 100)
+    monkeypatch.setattr(lexical, "LEAST", 1)
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} some more words of a text {'again ' * (i % 9)}") for i in range(200)], "doc_id long, text string").coalesce(1)
+    index = lexical.build(docs)
+    files = list(Path(index.shards.staged_at.removeprefix("file:")).glob("*.parquet"))
+    groups = [m.row_group(g).num_rows for m in (pq.ParquetFile(f).metadata for f in files) for g in range(m.num_row_groups)]
+    assert sum(groups) > 20 and max(groups) <= lexical.GROUP_SHARDS
+    told = []
+    monkeypatch.setattr(lexical, "answers", lambda index, shards, *rest, f=lexical.answers: told.append(shards) or f(index, shards, *rest))
+    assert lexical.search(index, spark.createDataFrame([(1, "w1 w2 again"), (2, "w3 text")], "item_id long, text string")).count() == 40
+    plans = [s._jdf.queryExecution().executedPlan().toString() for s in told[1:]]
+    assert len(plans) == lexical.TIERS - 1 and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)
+
+
 def test_lexical_on_nothing(spark):
     docs, items = spark.createDataFrame([(1, "a")], "doc_id long, text string"), spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert lexical.search(lexical.build(docs.limit(0)), items).isEmpty()
