@@ -6,6 +6,10 @@ A component of more than `FOLD_ROWS` photos (one that a third of all submissions
 is a duplicate, one that has no neighbour before it that may still be remembered is none. There neighbours meet through tables of the earliest photo of each content, hash, and
 hash within a directory, so the shared photo costs one row in each of them, and no group is gathered in one task.
 
+Where hashes are crowded (a threshold so wide that a hash has neighbours among random ones) components and pairs would grow with the square of the photos, while few photos are
+remembered, for each rules out its neighbours. There the scan goes by blocks of the order: one task scans the first photos, and all others that repeat what it remembers leave at once,
+so the next block holds photos that are still open. What photos repeat is looked up among the remembered ones alone.
+
 What earlier batches remember of a directory comes in as columns known_exact (a path) and known_near (path, distance), see operators/state.py; it precedes this batch.
 """
 
@@ -19,7 +23,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rubrica.functions.scalars import hamming, hash_bits, unequal_nibbles
@@ -63,22 +67,62 @@ def best_blocks(threshold: int, n: int, length: int = 16) -> list[list[tuple[int
     return blocks(threshold, min(range(threshold + 1, length + 1), key=cost), length)
 
 
+def distinct_hashes(images: DataFrame) -> DataFrame:
+    """(phash, bits) of the different hashes, staged, in as many files as a shuffle has partitions."""
+    n = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stage(images.where("phash is not null").select("phash").distinct().withColumn("bits", hash_bits(F.col("phash"))).repartition(n), "hashes")
+
+
+#: Neighbours that a hash has among random ones from which on hashes count as crowded; hashes that one broadcast holds.
+CROWDED, SLICE = 1.0, 100_000
+
+
+def neighbours(n: int, threshold: int, length: int = 16) -> float:
+    """How many of n random hashes are expected within the threshold of one."""
+    return n * sum(comb(length, d) * 15**d for d in range(threshold + 1)) / 16**length
+
+
+def apart(a: str, b: str) -> Column:
+    """Differing characters of two columns of hashes whose bits are bits_<column>."""
+    quick = unequal_nibbles(F.col(f"bits_{a}"), F.col(f"bits_{b}"))
+    return F.when(F.col(f"bits_{a}").isNotNull() & F.col(f"bits_{b}").isNotNull(), quick).otherwise(hamming(F.col(a), F.col(b)))
+
+
+def side(hashes: DataFrame, name: str) -> DataFrame:
+    return hashes.select(F.col("phash").alias(name), F.col("bits").alias(f"bits_{name}"))
+
+
+def near_to(hashes: DataFrame, few: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, distance) of each hash and its neighbours among a few others (phash, bits): every pair is compared, by bits where all have them."""
+    plain = hashes.where("bits is null").isEmpty()  # the other comparison is not compiled
+    distance = unequal_nibbles(F.col("bits_a"), F.col("bits_b")) if plain else apart("a", "b")
+    pairs = side(hashes, "a").join(F.broadcast(side(few, "b")), (distance <= threshold) & ((F.col("bits_a") != F.col("bits_b")) if plain else (F.col("a") != F.col("b"))))
+    return pairs.select("a", "b", distance.alias("distance"))
+
+
 def near_hashes(images: DataFrame, threshold: int) -> DataFrame:
-    """(a, b, distance), a < b: all pairs of different hashes within the threshold.
+    """(a, b, distance), a < b: all pairs of different hashes within the threshold."""
+    return near_among(distinct_hashes(images), threshold)
+
+
+def near_among(hashes: DataFrame, threshold: int, crowd: float = CROWDED) -> DataFrame:
+    """near_hashes() of hashes that distinct_hashes() staged.
 
     Hashes meet in an equi-join on choices of their pieces, which loses no pair; how many pieces follows from the number of
-    hashes. Beyond a threshold of 15 of 16 characters everything matches; that is refused.
+    hashes. Crowded ones would meet in more rows than there are pairs: all are compared, in slices. Beyond a threshold of 15 of 16 characters everything matches; that is refused.
     """
     if threshold > 15:
         raise ValueError("a threshold above 15 of 16 characters matches everything")
-    hashes = stage(images.where("phash is not null").select("phash").distinct().withColumn("bits", hash_bits(F.col("phash"))), "hashes")
-    chosen = best_blocks(threshold, hashes.count())
+    n = hashes.count()
+    if neighbours(n, threshold) >= crowd:
+        slices = max(1, -(-n // SLICE))
+        part = F.pmod(F.xxhash64("phash"), F.lit(slices))
+        return reduce(DataFrame.unionAll, [near_to(hashes, hashes.where(part == i), threshold).where("a < b") for i in range(slices)])
+    chosen = best_blocks(threshold, n)
     keys = [F.concat(F.lit(f"{i}:"), *[F.substring("phash", a, n) for a, n in spans]) for i, spans in enumerate(chosen)]
     cut = hashes.select("phash", "bits", F.explode(F.array(*keys)).alias("k"))
-    side = lambda x: cut.select("k", F.col("phash").alias(x), F.col("bits").alias(f"bits_{x}"))
-    quick = unequal_nibbles(F.col("bits_a"), F.col("bits_b"))
-    distance = F.when(F.col("bits_a").isNotNull() & F.col("bits_b").isNotNull(), quick).otherwise(hamming(F.col("a"), F.col("b")))
-    pairs = side("a").join(side("b"), "k").where("a < b").select("a", "b", distance.alias("distance"))
+    keyed = lambda x: cut.select("k", F.col("phash").alias(x), F.col("bits").alias(f"bits_{x}"))
+    pairs = keyed("a").join(keyed("b"), "k").where("a < b").select("a", "b", apart("a", "b").alias("distance"))
     return pairs.where(F.col("distance") <= threshold).distinct()
 
 
@@ -91,19 +135,22 @@ def near_pairs(images: DataFrame, threshold: int) -> DataFrame:
     return full.where("a_ord < b_ord or (a_ord = b_ord and a_pos < b_pos)").drop("a", "b")
 
 
-def tied(images: DataFrame, close: DataFrame) -> DataFrame:
+def tied(images: DataFrame, close: DataFrame | None) -> DataFrame:
     """The images that share bytes, hash and directory, or a near hash with another one, or are known from before: only they can be duplicates.
 
-    Each carries its place `at` (ord, pos) and `who`, what a message tells of it.
+    Without `close` every hash counts as near to another one. Each carries its place `at` (ord, pos) and `who`, what a message tells of it.
     """
     rows = images.where("sha256 is not null").withColumn("at", F.struct("ord", "pos")).withColumn("who", F.struct("submission", "path"))
     repeated = images.where("sha256 is not null").groupBy("sha256").count().where("count > 1").select("sha256")
+    known = F.col("known_exact").isNotNull() | F.col("known_near").isNotNull()
+    columns = ["submission", "ord", "pos", "key", "sha256", "phash", "at", "who", "known_exact", "known_near"]
+    if close is None:
+        return rows.join(repeated.withColumn("t1", F.lit(True)), "sha256", "left").where(F.col("t1") | F.col("phash").isNotNull() | known).select(*columns)
     same = images.where("sha256 is not null and phash is not null").groupBy("key", "phash").count().where("count > 1").select("key", "phash")
     near = close.select(F.col("a").alias("phash")).union(close.select("b")).distinct()
     mark = lambda df, name: df.withColumn(name, F.lit(True))
     marked = rows.join(mark(repeated, "t1"), "sha256", "left").join(mark(same, "t2"), ["key", "phash"], "left").join(mark(near, "t3"), "phash", "left")
-    known = F.col("known_exact").isNotNull() | F.col("known_near").isNotNull()
-    return marked.where(F.col("t1") | F.col("t2") | F.col("t3") | known).select("submission", "ord", "pos", "key", "sha256", "phash", "at", "who", "known_exact", "known_near")
+    return marked.where(F.col("t1") | F.col("t2") | F.col("t3") | known).select(*columns)
 
 
 def before(state: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -276,6 +323,60 @@ def folded(rows: DataFrame, threshold: int) -> DataFrame:
     return ordered.mapInPandas(run, f"submission {types['submission']}, ord {types['ord']}, {TOLD.format(pos=types['pos'])}")
 
 
+def seen_texts(threshold: int) -> Column:
+    """What is told of a photo whose earliest remembered neighbours are content_seen, hash_seen and place_seen."""
+    content = F.concat(F.lit("Image identical to submission "), F.col("content_seen.who.submission").cast("string"), F.lit(" (SHA256 match)"))
+    similar = lambda distance, path: F.concat(F.lit("Image similar to file in directory (pHash match (similarity score: "), F.format_string("%.1f", distance.cast("double")), F.lit(")): "), path)
+    place = F.coalesce(
+        F.concat(F.lit("Image identical to file in directory (SHA256 match): "), F.col("known_exact")), similar(F.col("known_near.distance"), F.col("known_near.path")),
+        similar(F.col("place_seen.distance"), F.col("place_seen.who.path")),
+    )
+    near = F.concat(
+        F.lit("Image similar to submission "), F.col("hash_seen.who.submission").cast("string"), F.lit(" (pHash distance: "), F.col("hash_seen.distance").cast("string"), F.lit(f", threshold: {threshold})")
+    )
+    return F.when(F.col("content_seen").isNotNull(), F.array(content)).otherwise(F.array_compact(F.array(place, near)))
+
+
+def unflagged(rows: DataFrame, hit: Column) -> DataFrame:
+    """The rows before the first hit of their submission."""
+    first = F.min(F.when(hit, F.col("pos"))).over(Window.partitionBy("submission", "ord"))
+    return rows.withColumn("first_hit", first).where("first_hit is null or pos < first_hit").drop("first_hit")
+
+
+def with_seen(rows: DataFrame, kept: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows with content_seen, hash_seen and place_seen: the earliest of the remembered photos `kept` that is before each; edges (a, b, distance) lead to hashes of kept ones."""
+    to = edges.select(F.col("a").alias("phash"), F.col("b").alias("other"), "distance")
+    loops = to.unionAll(kept.where("phash is not null").select("phash", F.col("phash").alias("other"), F.lit(0)).distinct())
+    state = kept.withColumn("kept", F.lit(True))
+    content, hashed = before(state, ["sha256"], "content"), nearest(before(state, ["phash"], "hash"), to, ["phash"], "hash")
+    placed = nearest(before(state, ["key", "phash"], "place"), loops, ["key", "phash"], "place")
+    seen = rows.join(content, "sha256", "left").join(hashed, "phash", "left").join(placed, ["key", "phash"], "left")
+    return seen.select(*rows.columns, *[F.when(F.col(f"{n}_seen.at") < F.col("at"), F.col(f"{n}_seen")).alias(f"{n}_seen") for n in ("content", "hash", "place")])
+
+
+def settled_in_blocks(rows: DataFrame, hashes: DataFrame, threshold: int, block_rows: int) -> DataFrame:
+    """(submission, ord, pos, texts) of the duplicates among rows, whose hashes are crowded.
+
+    A block is the first `block_rows` photos that may still be remembered (the last submission whole), scanned by one task; its remembered photos settle later ones in parallel.
+    """
+    known = F.col("known_exact").isNotNull() | F.col("known_near").isNotNull()
+    waiting, kept, edges = stage(unflagged(rows, known), "waiting"), [], []
+    while (end := waiting.select("ord").orderBy("ord").limit(block_rows).agg(F.max("ord")).first()[0]) is not None:
+        block = waiting.where(F.col("ord") <= F.lit(end))
+        hits = folded(block.withColumn("part", F.lit(0)), threshold).groupBy("submission", "ord").agg(F.min("pos").alias("first_hit"))
+        new = stage(remembered(block, hits), "kept")
+        near = stage(near_to(hashes, hashes.join(new.select("phash").distinct(), "phash", "left_semi"), threshold), "near")
+        seen = with_seen(waiting.where(F.col("ord") > F.lit(end)), new, near)
+        found = F.col("content_seen").isNotNull() | F.col("hash_seen").isNotNull() | F.col("place_seen").isNotNull()
+        rest = stage(unflagged(seen, found).select(*rows.columns), "waiting")
+        drop(waiting)
+        waiting, kept, edges = rest, [*kept, new], [*edges, near]
+    if not kept:
+        kept, edges = [rows.limit(0)], [hashes.limit(0).select(F.col("phash").alias("a"), F.col("phash").alias("b"), F.lit(0).alias("distance"))]
+    seen = with_seen(rows, reduce(DataFrame.unionAll, kept), reduce(DataFrame.unionAll, edges))
+    return seen.select("submission", "ord", "pos", seen_texts(threshold).alias("texts")).where(F.size("texts") > 0)
+
+
 def settled_in_rounds(rows: DataFrame, close: DataFrame, threshold: int) -> DataFrame:
     """(submission, ord, pos, texts) of the duplicates among rows, for components of any size."""
     edges = close.select(F.col("a").alias("phash"), F.col("b").alias("other"), "distance").union(close.select("b", "a", "distance"))
@@ -306,32 +407,26 @@ def settled_in_rounds(rows: DataFrame, close: DataFrame, threshold: int) -> Data
             break
         done = now.where("hit is null").isEmpty()
         old, state = now, now.drop("content_seen", "hash_seen", "place_seen")
-    content = F.concat(F.lit("Image identical to submission "), F.col("content_seen.who.submission").cast("string"), F.lit(" (SHA256 match)"))
-    similar = lambda distance, path: F.concat(F.lit("Image similar to file in directory (pHash match (similarity score: "), F.format_string("%.1f", distance.cast("double")), F.lit(")): "), path)
-    place = F.coalesce(
-        F.concat(F.lit("Image identical to file in directory (SHA256 match): "), F.col("known_exact")), similar(F.col("known_near.distance"), F.col("known_near.path")),
-        similar(F.col("place_seen.distance"), F.col("place_seen.who.path")),
-    )
-    near = F.concat(
-        F.lit("Image similar to submission "), F.col("hash_seen.who.submission").cast("string"), F.lit(" (pHash distance: "), F.col("hash_seen.distance").cast("string"), F.lit(f", threshold: {threshold})")
-    )
-    texts = F.when(F.col("content_seen").isNotNull(), F.array(content)).otherwise(F.array_compact(F.array(place, near)))
-    return now.where("hit").select("submission", "ord", "pos", texts.alias("texts"))
+    return now.where("hit").select("submission", "ord", "pos", seen_texts(threshold).alias("texts"))
 
 
 KNOWN = "struct<path:string,distance:int>"
 
 
-def greedy_messages(images: DataFrame, threshold: int, *, fold_rows: int = FOLD_ROWS, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def greedy_messages(images: DataFrame, threshold: int, *, fold_rows: int = FOLD_ROWS, local_edges: int = LOCAL_EDGES, crowd: float = CROWDED) -> DataFrame:
     """(submission, ord, first_hit, messages) of the submissions with duplicates: the place of the first, and what each of their photos repeats, in order of the scan."""
     absent = {"known_exact": F.lit(None).cast("string"), "known_near": F.lit(None).cast(KNOWN)}
     images = images.withColumns({k: v for k, v in absent.items() if k not in images.columns})
-    close = stage(near_hashes(images, threshold), "close")
-    rows = stage(in_components(stage(tied(images, close), "tied"), close, local_edges), "components")
-    told = folded(rows.where(F.col("size") <= fold_rows), threshold)
-    large = rows.where(F.col("size") > fold_rows).drop("part", "size")
-    if not large.isEmpty():
-        told = told.unionByName(settled_in_rounds(large, close, threshold))
+    hashes = distinct_hashes(images)
+    if neighbours(hashes.count(), threshold) >= crowd:
+        told = settled_in_blocks(stage(tied(images, None), "tied"), hashes, threshold, fold_rows)
+    else:
+        close = stage(near_among(hashes, threshold, crowd), "close")
+        rows = stage(in_components(stage(tied(images, close), "tied"), close, local_edges), "components")
+        told = folded(rows.where(F.col("size") <= fold_rows), threshold)
+        large = rows.where(F.col("size") > fold_rows).drop("part", "size")
+        if not large.isEmpty():
+            told = told.unionByName(settled_in_rounds(large, close, threshold))
     return told.groupBy("submission", "ord").agg(F.min("pos").alias("first_hit"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "texts"))), lambda x: x["texts"])).alias("messages"))
 
 

@@ -347,6 +347,32 @@ def test_greedy_duplicates_equal_the_scan(spark, seed, n, alphabet, contents, th
         assert {r["submission"]: r["flagged"] for r in duplicates.greedy(df, threshold).collect()} == {r[0]: r[0] in want for r in rows}
 
 
+@pytest.mark.parametrize("seed,n,alphabet,contents,threshold,block", [(1, 60, "ab", 40, 5, 7), (2, 60, "abc", 25, 5, 10**6), (3, 60, "ab", 400, 3, 1), (4, 60, "0123456789abcdef", 300, 11, 20), (6, 40, "abZ", 60, 5, 9)])
+def test_crowded_duplicates_equal_the_scan(spark, seed, n, alphabet, contents, threshold, block):
+    """By blocks: each block's remembered photos settle the photos behind it."""
+    rows = photo_rows(random.Random(seed), n, alphabet, contents)
+    schema = "submission long, ord long, pos int, key string, sha256 string, phash string, path string"
+    df = spark.createDataFrame([(s, s, pos, k, sha, h, p) for s, pos, k, sha, h, p in rows], schema)
+    got = {r["submission"]: r["messages"] for r in duplicates.greedy_messages(df, threshold, fold_rows=block, crowd=0).collect()}
+    assert got == scan(rows, threshold) and got
+    assert duplicates.greedy_messages(df.limit(0), threshold, crowd=0).isEmpty()
+
+
+def test_crowded_hashes_are_compared_without_pieces(spark, monkeypatch):
+    """At a threshold of 11 of 16 pieces are 4368 rows a hash, which outgrow the pairs; crowded hashes are compared all, in slices, and settled without their pairs."""
+    monkeypatch.setattr(duplicates, "SLICE", 300)
+    monkeypatch.setattr(duplicates, "best_blocks", lambda *_: pytest.fail("pieces of crowded hashes"))
+    rng = random.Random(3)
+    texts = [f"{rng.getrandbits(64):016x}" for _ in range(700)]
+    df = spark.createDataFrame([(i, i, 0, "k", f"s{i}", h, f"p{i}") for i, h in enumerate(texts)], "submission long, ord long, pos int, key string, sha256 string, phash string, path string")
+    apart = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
+    want = {(min(a, b), max(a, b), apart(a, b)) for i, a in enumerate(texts) for b in texts[:i] if apart(a, b) <= 11}
+    assert {tuple(r) for r in duplicates.near_hashes(df, 11).collect()} == want and len(want) > 300
+    monkeypatch.setattr(duplicates, "near_among", lambda *_: pytest.fail("pairs of crowded hashes"))
+    got = {r["submission"]: r["messages"] for r in duplicates.greedy_messages(df, 11, fold_rows=50).collect()}
+    assert got == scan([(i, 0, "k", f"s{i}", h, f"p{i}") for i, h in enumerate(texts)], 11)
+
+
 def test_greedy_duplicates_of_the_survey(spark):
     far = {"x": "0" * 16, "y": "5" * 16, "z": "9" * 16, "q": "f" * 16}
     rows = [(1, 0, "x"), (1, 1, "y"), (2, 0, "x"), (2, 1, "z"), (3, 0, "z"), (4, 0, "z"), (5, 0, "q"), (5, 1, "q")]
