@@ -442,7 +442,7 @@ def greedy(images: DataFrame, threshold: int) -> DataFrame:
     return images.select("submission", "ord").distinct().join(found, ["submission", "ord"], "left").select("submission", "ord", F.coalesce("flagged", F.lit(False)).alias("flagged"))
 
 
-def against_target(images: DataFrame, sha256: str, phash: str, threshold: int) -> DataFrame:
+def against_target(images: DataFrame, sha256: str | Column, phash: str | Column, threshold: int) -> DataFrame:
     """One target against all: 'exact', 'similar' or null."""
     d = hamming(F.col("phash"), F.lit(phash))
     return images.withColumn("match", F.when(F.col("sha256") == sha256, "exact").when(d <= threshold, "similar"))

@@ -59,8 +59,10 @@ def dup_near(d: DataFrame) -> DataFrame:
 
 @images("dup_target_scan", f", x AS (SELECT sha256 AS s, phash AS p FROM i WHERE file = {TARGET}) SELECT file, CASE WHEN sha256 = s THEN 'exact' WHEN hamming(phash, p) <= {NEAR} THEN 'similar' END AS match FROM i, x")
 def dup_target_scan(d: DataFrame) -> DataFrame:
-    t = target(d)
-    return duplicates.against_target(d, t["sha256"], t["phash"], NEAR).select("file", "match")
+    """The target is found within the query, which reads what both sides need once."""
+    t = d.where("phash is not null").agg(F.min(F.struct("file", "sha256", "phash")).alias("target")).where("target is not null")
+    both = d.select("file", "sha256", "phash").crossJoin(F.broadcast(t))
+    return duplicates.against_target(both, c("target.sha256"), c("target.phash"), NEAR).select("file", "match")
 
 
 @images("dup_greedy", "SELECT DISTINCT i.submission, i.ord, dups.id IS NOT NULL AS flagged FROM i LEFT JOIN dups ON dups.id = i.ord", GREEDY)

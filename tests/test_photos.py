@@ -244,3 +244,12 @@ def test_command_line_finds_copies_of_photos(spark, java, tmp_path):
     told = [r["Requirements Not Met"] for r in csv.DictReader(open(target, encoding="utf-8-sig"))]
     assert "similar" in told[1] and "identical" not in told[1]
     assert not any("Image similar" in t or "identical" in t for t in (told[0], told[2]))
+
+
+def test_the_target_scan_is_one_query(spark, monkeypatch):
+    """The target is no query of its own, which would shuffle all photos once more."""
+    from rubrica.plans.queries import photos
+
+    monkeypatch.setattr(photos, "target", lambda d: pytest.fail("a query of its own"))
+    rows = photos.QUERIES["dup_target_scan"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and "exact" in {r["match"] for r in rows}
