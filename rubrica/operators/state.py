@@ -48,10 +48,10 @@ class PhotoIndex:
     """Photos that directories remember, found by their bytes and by pieces of their hash.
 
     A photo has a row for its bytes, and one for every choice of pieces that a hash within the threshold must share one of; rows meet by equality alone,
-    which loses no near hash. clear() forgets what a directory, or all of them, remember so far.
+    which loses no near hash. The bytes' own hash is stored once, as the value of slot -1. clear() forgets what a directory, or all of them, remember so far.
     """
 
-    ROW = "slot int, value string, key string, sha256 string, phash string, path string, submission string, ord long, pos long"
+    ROW = "slot int, value string, key string, phash string, path string, submission string, ord long, pos long"
 
     def __init__(self, spark: SparkSession, folder: str, threshold: int = 5, buckets: int = 64) -> None:
         self.spark, self.threshold, self.cleared = spark, threshold, f"{folder.rstrip('/')}/cleared"

@@ -51,7 +51,7 @@ SELECT new.file, known_exact, near_path, near_distance FROM new LEFT JOIN same U
 )
 def directory_lookup(d: DataFrame) -> DataFrame:
     """What directories remember of the photos of even submissions, for those of odd ones."""
-    photos = stage(d, "photos")
+    photos = stage(d.drop("has_geotag"), "photos")
     index = PhotoIndex(photos.sparkSession, folder(photos.sparkSession, "directories"))
     index.add(0, photos.where(c("ord") % 2 == 0))
     found = index.lookup(1, photos.where(c("ord") % 2 == 1))

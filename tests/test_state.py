@@ -170,3 +170,13 @@ def test_command_line_keeps_state(spark, tmp_path):
     assert told(1, "two.csv") == first
     ledger = BudgetLedger(spark, str(tmp_path / "state" / "budgets"))
     assert {r.id: r.used for r in ledger.summary(2).collect()} == {"9": 5}
+
+
+def test_the_photo_index_stores_bytes_once(spark, tmp_path):
+    """The hash of a photo's bytes is the value of its slot -1, and found there; it is no column of all its rows besides."""
+    index = PhotoIndex(spark, str(tmp_path / "photos"), 5, buckets=4)
+    rows = spark.createDataFrame([(1, 1, 0, "k", "s1", "0" * 16, "p1"), (2, 2, 0, "k", "s2", None, "p2")], "submission long, ord long, pos int, key string, sha256 string, phash string, path string")
+    index.add(0, rows)
+    stored = index.log.before(1)
+    assert "sha256" not in stored.columns and sorted(r["value"] for r in stored.where("slot = -1").collect()) == ["s1", "s2"]
+    assert sorted(r["known_exact"] for r in index.lookup(1, rows).collect()) == ["p1", "p2"]
