@@ -96,6 +96,7 @@ def scored(df: DataFrame, config: EngineConfig = EngineConfig(), extra: list[rul
     df has the columns of mapped(), has_pdf, pdf_empty, pdf_expert, n_images, the three answers, and may have duplicate_messages,
     has_geotag and the three *_granted. `extra` are rules of the caller's own, with ords from 18 on.
     """
+    df.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")  # the JVM never compiles larger methods, into which this chain would go
     c = F.col
     have = lambda name, default: c(name) if name in df.columns else default
     granted = {n: have(f"{n}_granted", F.lit(True)) for n in ("theme", "pdf", "image")}

@@ -358,6 +358,13 @@ def test_crowded_duplicates_equal_the_scan(spark, seed, n, alphabet, contents, t
     assert duplicates.greedy_messages(df.limit(0), threshold, crowd=0).isEmpty()
 
 
+def test_scoring_keeps_methods_that_the_jvm_compiles(spark):
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    df = bind.standard(spark, SF).withColumns({"has_pdf": F.lit(True), "pdf_empty": F.lit(False), "pdf_expert": F.lit(False)})
+    pipeline.scored(df)
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
 def test_crowded_hashes_are_compared_without_pieces(spark, monkeypatch):
     """At a threshold of 11 of 16 pieces are 4368 rows a hash, which outgrow the pairs; crowded hashes are compared all, in slices, and settled without their pairs."""
     monkeypatch.setattr(duplicates, "SLICE", 300)
