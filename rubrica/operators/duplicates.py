@@ -127,12 +127,16 @@ def near_among(hashes: DataFrame, threshold: int, crowd: float = CROWDED) -> Dat
 
 
 def near_pairs(images: DataFrame, threshold: int) -> DataFrame:
-    """(a_ord, a_pos, b_ord, b_pos, distance) of images with different hashes within the threshold, a before b."""
-    close = near_hashes(images, threshold)
-    both = close.union(close.select("b", "a", "distance"))
-    side = lambda x: images.select(F.col("ord").alias(f"{x}_ord"), F.col("pos").alias(f"{x}_pos"), F.col("submission").alias(f"{x}_submission"), F.col("phash").alias(x))
-    full = both.join(side("a"), "a").join(side("b"), "b")
-    return full.where("a_ord < b_ord or (a_ord = b_ord and a_pos < b_pos)").drop("a", "b")
+    """(a_ord, a_pos, a_submission, b_ord, b_pos, b_submission, distance) of images with different hashes within the threshold, a before b.
+
+    A pair of hashes comes once, and the images that hold them are put in order when they have met: half the rows of hashes that meet from both sides.
+    """
+    columns = ["ord", "pos", "submission"]
+    side = lambda x, hash_: images.select(F.col("phash").alias(hash_), *[F.col(c).alias(f"{x}_{c}") for c in columns])
+    met = near_hashes(images, threshold).join(side("x", "a"), "a").join(side("y", "b"), "b")
+    x, y = (F.struct(f"{n}_ord", f"{n}_pos") for n in "xy")
+    first = lambda c, one, other: F.when(x < y, F.col(f"{one}_{c}")).otherwise(F.col(f"{other}_{c}"))
+    return met.where(x != y).select(*[first(c, "x", "y").alias(f"a_{c}") for c in columns], *[first(c, "y", "x").alias(f"b_{c}") for c in columns], "distance")
 
 
 def tied(images: DataFrame, close: DataFrame | None) -> DataFrame:

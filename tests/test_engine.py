@@ -380,6 +380,23 @@ def test_crowded_hashes_are_compared_without_pieces(spark, monkeypatch):
     assert got == scan([(i, 0, "k", f"s{i}", h, f"p{i}") for i, h in enumerate(texts)], 11)
 
 
+def test_a_pair_of_near_hashes_meets_once(spark, monkeypatch):
+    """Each pair of hashes is looked up and sent to its photos once, not from both sides."""
+    rng = random.Random(5)
+    texts = [f"{rng.getrandbits(64):016x}" for _ in range(60)]
+    rows = [(i, 1000 - i // 2, i % 2, f"{texts[rng.randrange(60)]}") for i in range(150)]
+    df = spark.createDataFrame(rows, "submission long, ord long, pos int, phash string")
+    asked, near = [], duplicates.near_hashes
+    monkeypatch.setattr(duplicates, "near_hashes", lambda *a: asked.append(near(*a)) or asked[-1])
+    pairs = duplicates.near_pairs(df, 11)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == asked[0]._jdf.queryExecution().optimizedPlan().toString().count("Join") + 2 and "Union" not in plan
+    apart = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
+    want = {(*a[1:3], a[0], *b[1:3], b[0], apart(a[3], b[3])) for a in rows for b in rows if a[1:3] < b[1:3] and a[3] != b[3] and apart(a[3], b[3]) <= 11}
+    got = [tuple(r) for r in pairs.select("a_ord", "a_pos", "a_submission", "b_ord", "b_pos", "b_submission", "distance").collect()]
+    assert set(got) == want and len(got) == len(want) > 20
+
+
 def test_greedy_duplicates_of_the_survey(spark):
     far = {"x": "0" * 16, "y": "5" * 16, "z": "9" * 16, "q": "f" * 16}
     rows = [(1, 0, "x"), (1, 1, "y"), (2, 0, "x"), (2, 1, "z"), (3, 0, "z"), (4, 0, "z"), (5, 0, "q"), (5, 1, "q")]
