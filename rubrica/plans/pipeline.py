@@ -50,9 +50,8 @@ def with_duplicates(df: DataFrame, images: DataFrame, ord_: str, threshold: int,
     """df with duplicate_messages, what its photos repeat; null for none. An index knows earlier batches, and remembers this one."""
     if index:
         images = stage(index.lookup(batch, images), "looked-up")
-    found = duplicates.greedy_messages(images, threshold)
+    found = stage(duplicates.greedy_messages(images, threshold), "found")  # else the plan of scoring holds that of the scan too
     if index:
-        found = stage(found, "found")
         index.add(batch, duplicates.remembered(images, found))
     return df.join(found.select(F.col("ord").alias(ord_), F.col("messages").alias("duplicate_messages")), ord_, "left")
 

@@ -397,6 +397,17 @@ def test_a_pair_of_near_hashes_meets_once(spark, monkeypatch):
     assert set(got) == want and len(got) == len(want) > 20
 
 
+def test_scoring_does_not_plan_the_scan_again(spark):
+    """What photos repeat is a staged table where it is joined: one join, without the scan's own, and nothing of it in Python."""
+    df = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    rows = [(1, 1, 0, "k", "x", "0" * 16, "p"), (2, 2, 0, "k", "x", "5" * 16, "q"), (3, 3, 0, "k", "z", "9" * 16, "r")]
+    images = spark.createDataFrame(rows, "submission long, ord long, pos int, key string, sha256 string, phash string, path string")
+    out = pipeline.with_duplicates(df, images, "id", 5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "MapInPandas" not in plan and "parquet" in plan
+    assert {r["id"]: r["duplicate_messages"] for r in out.collect()} == {1: None, 2: ["Image identical to submission 1 (SHA256 match)"], 3: None}
+
+
 def test_greedy_duplicates_of_the_survey(spark):
     far = {"x": "0" * 16, "y": "5" * 16, "z": "9" * 16, "q": "f" * 16}
     rows = [(1, 0, "x"), (1, 1, "y"), (2, 0, "x"), (2, 1, "z"), (3, 0, "z"), (4, 0, "z"), (5, 0, "q"), (5, 1, "q")]
