@@ -543,6 +543,11 @@ def inputs(spark):
     return spark.createDataFrame([], df.schema)
 
 
+def test_orders_are_not_broadcast_by_the_size_of_their_files(spark):
+    """Files of millions of orders may be as small as these."""
+    assert "BroadcastHashJoin" not in bind.submissions(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scoring_is_a_projection(spark):
     df = pipeline.scored(inputs(spark)).select("score", "unmet")
     plan = df._jdf.queryExecution().executedPlan().toString()
