@@ -84,8 +84,9 @@ def file_of(path):
 
 def standard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mapped rows with their id, answers and number of photos whose file exists."""
-    df = mapped(submissions(spark, sf_dir), EngineConfig())
-    carried = {n: F.col(f"raw.{n}") for n in ("id", "report_id", "theme_answer", "pdf_answer", "image_answer")}
+    rows = submissions(spark, sf_dir)
+    df = mapped(rows.withColumn("row_id", F.col("id")), EngineConfig(), keep=("row_id",)).withColumnRenamed("row_id", "id")  # a plain column, by which the rows already lie
+    carried = {n: F.col(f"raw.{n}") for n in ("report_id", "theme_answer", "pdf_answer", "image_answer")}
     return df.withColumns({**carried, "n_images": F.size(F.filter(split_paths(F.col("m_image_paths")), lambda p: file_of(p) % 23 != 5))})
 
 
@@ -107,6 +108,6 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Everything that scoring takes, duplicates too."""
-    df = with_reports(standard(spark, sf_dir), spark, sf_dir)
-    return pipeline.with_duplicates(df, stage(images(spark, sf_dir), "photos"), "id", NEAR)
+    """Everything that scoring takes, duplicates too; they come first, while the rows still lie by their id."""
+    df = pipeline.with_duplicates(standard(spark, sf_dir), stage(images(spark, sf_dir), "photos"), "id", NEAR)
+    return with_reports(df, spark, sf_dir)

@@ -56,6 +56,15 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None, grou
     return out
 
 
+#: Rows of a staged table that one broadcast may hold.
+BROADCAST_ROWS = 50_000
+
+
+def bounded(table: DataFrame) -> DataFrame:
+    """A staged table, which no join broadcasts if it has many rows: Spark goes by the size of files, which tells little of what they hold once read."""
+    return table.hint("merge") if table.count() > BROADCAST_ROWS else table
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that stage() wrote, once nothing reads them any more."""
     for table in tables:
