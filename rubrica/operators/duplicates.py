@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rubrica.functions.scalars import hamming, hash_bits, unequal_nibbles
-from rubrica.plans.staging import drop, stage
+from rubrica.plans.staging import drop, numbered, stage
 
 
 def first_holder(images: DataFrame, by: list[str]) -> DataFrame:
@@ -129,16 +129,100 @@ def near_among(hashes: DataFrame, threshold: int, crowd: float = CROWDED) -> Dat
 def near_pairs(images: DataFrame, threshold: int) -> DataFrame:
     """(a_ord, a_pos, a_submission, b_ord, b_pos, b_submission, distance) of images with different hashes within the threshold, a before b.
 
-    A pair of hashes comes once, and the images that hold them are put in order when they have met: half the rows of hashes that meet from both sides.
+    A pair of hashes comes once, and the images that hold them are put in order when they have met: half the rows of hashes that meet from both sides. Images without a submission
+    give pairs without it. Pairs of crowded hashes grow with the square of the images, so they are neither shuffled nor staged: they come out of blocks of images that meet.
     """
-    columns = ["ord", "pos", "submission"]
-    side = lambda x, hash_: images.select(F.col("phash").alias(hash_), *[F.col(c).alias(f"{x}_{c}") for c in columns])
-    met = near_hashes(images, threshold).join(side("x", "a"), "a").join(side("y", "b"), "b")
+    columns = [c for c in ("ord", "pos", "submission") if c in images.columns]
+    hashed = images.where("phash is not null").select("phash", *columns)
+    size = hashed.agg(F.count("*").alias("images"), F.count_distinct("phash").alias("hashes")).first()
+    if threshold <= 15 and neighbours(size["hashes"], threshold) >= CROWDED:
+        met = met_in_blocks(hashed, columns, size["images"], threshold)
+    else:
+        side = lambda x, hash_: hashed.select(F.col("phash").alias(hash_), *[F.col(c).alias(f"{x}_{c}") for c in columns])
+        met = near_hashes(images, threshold).join(side("x", "a"), "a").join(side("y", "b"), "b")
     x, y = (F.struct(f"{n}_ord", f"{n}_pos") for n in "xy")
     first = lambda c, one, other: F.when(x < y, F.col(f"{one}_{c}")).otherwise(F.col(f"{other}_{c}"))
     return met.where(x != y).select(*[first(c, "x", "y").alias(f"a_{c}") for c in columns], *[first(c, "y", "x").alias(f"b_{c}") for c in columns], "distance")
 
 
+# --- blocks of images ---
+
+#: Images of a block, blocks that one task meets with as many others at most, comparisons that one step makes, pairs of images that leave Python at once.
+BLOCK, BLOCKS, STEP, BATCH = 10_000, 8, 1 << 18, 1 << 17
+
+
+def met_in_blocks(hashed: DataFrame, columns: list[str], n: int, threshold: int) -> DataFrame:
+    """(x_<column>, y_<column>, distance) of all pairs of n images whose hashes differ and are within the threshold, each from one side.
+
+    Images in the order of their hashes are cut into blocks, a hash that many share into several, and blocks of hashes of one length meet in a Cartesian product, whose tasks read some blocks
+    of both sides: what is shuffled and staged grows with the images, what a task holds does not. Of two blocks either one is x, by turns.
+    """
+    placed = numbered(hashed, [F.length("phash"), "phash"], "at")
+    cut = placed.groupBy(F.floor(F.col("at") / BLOCK).alias("block"), F.length("phash").alias("length")).agg(F.collect_list(F.struct("phash", *columns)).alias("images"))
+    count = -(-n // BLOCK)
+    dealt = stage(cut, "blocks", group_rows=BLOCKS).repartitionByRange(-(-count // min(BLOCKS, max(1, count // 8))), "block")
+    side = lambda x: dealt.select(*[F.col(c).alias(f"{x}_{c}") for c in dealt.columns])
+    even = (F.col("x_block") + F.col("y_block")) % 2 == 0
+    turn = (F.col("x_block") == F.col("y_block")) | F.when(even, F.col("x_block") < F.col("y_block")).otherwise(F.col("x_block") > F.col("y_block"))
+    pairs = side("x").join(side("y").hint("shuffle_replicate_nl"), (F.col("x_length") == F.col("y_length")) & turn)
+    met = pairs.select((F.col("x_block") == F.col("y_block")).alias("same"), "x_images", "y_images")
+    fields = [f"{x}_{c} {hashed.schema[c].dataType.simpleString()}" for x in "xy" for c in columns]
+    return met.mapInArrow(lambda batches: meetings(batches, columns, threshold), ", ".join([*fields, "distance int"]))
+
+
+class Block:
+    """The different hashes of a block as rows of characters, and its images in the order of their hashes."""
+
+    def __init__(self, images: pa.StructArray, columns: list[str]) -> None:
+        hashes = images.field("phash").dictionary_encode()
+        at = hashes.indices.to_numpy()
+        order = pa.array(np.argsort(at, kind="stable"))
+        self.columns = [images.field(c).take(order) for c in columns]
+        self.count = np.bincount(at, minlength=len(hashes.dictionary))
+        self.start = np.cumsum(self.count) - self.count
+        self.codes = np.frombuffer("".join(hashes.dictionary.to_pylist()).encode("utf-32-le"), np.uint32).reshape(len(self.count), -1)
+        if self.codes.size and self.codes.max() < 256:
+            self.codes = self.codes.astype(np.uint8)
+
+
+def close_hashes(x: Block, y: Block, same: bool, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of the hashes of two blocks that differ and are within the threshold; within one block, i < j. A bounded number of comparisons at a time."""
+    length, n = x.codes.shape[1], len(y.count)
+    across = np.ascontiguousarray(y.codes.T)
+    kind = np.uint8 if length < 256 else np.int64
+    rows = max(1, STEP // n)
+    for start in range(0, len(x.count), rows):
+        some = x.codes[start : start + rows]
+        equal, one = np.zeros((len(some), n), kind), np.empty((len(some), n), bool)
+        for k in range(length):
+            np.equal(some[:, k, None], across[k], out=one)
+            equal += one
+        i, j = np.nonzero((equal >= max(0, length - threshold)) & (equal < length))
+        apart = length - equal[i, j].astype(np.int32)
+        i += start
+        ahead = i < j if same else slice(None)
+        yield i[ahead], j[ahead], apart[ahead]
+
+
+def meetings(batches: Iterator[pa.RecordBatch], columns: list[str], threshold: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of images of blocks that meet."""
+    names = [*[f"{x}_{c}" for x in "xy" for c in columns], "distance"]
+    for batch in batches:
+        for same, *images in zip(*batch.columns, strict=True):
+            x, y = (Block(one.values, columns) for one in images)
+            for i, j, apart in close_hashes(x, y, same.as_py(), threshold):
+                pairs = x.count[i] * y.count[j]
+                ends = np.cumsum(pairs)
+                for start in range(0, int(ends[-1]) if len(ends) else 0, BATCH):
+                    stop = min(start + BATCH, int(ends[-1]))
+                    low, high = np.searchsorted(ends, [start, stop - 1], "right") + [0, 1]
+                    spread = np.minimum(ends[low:high], stop) - np.maximum(ends[low:high] - pairs[low:high], start)
+                    of = np.repeat(np.arange(low, high), spread)
+                    u, v = np.divmod(np.arange(start, stop) - (ends - pairs)[of], y.count[j[of]])
+                    at_x, at_y = pa.array(x.start[i[of]] + u), pa.array(y.start[j[of]] + v)
+                    yield pa.RecordBatch.from_arrays([*[c.take(at_x) for c in x.columns], *[c.take(at_y) for c in y.columns], pa.array(apart[of])], names)
+
+
 def tied(images: DataFrame, close: DataFrame | None) -> DataFrame:
     """The images that share bytes, hash and directory, or a near hash with another one, or are known from before: only they can be duplicates.
 

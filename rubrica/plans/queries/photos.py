@@ -54,7 +54,8 @@ PAIRS = f"pairs AS (SELECT a.ord AS a_ord, a.pos AS a_pos, b.ord AS b_ord, b.pos
 
 @images("dup_near", f", {PAIRS} SELECT * FROM pairs")
 def dup_near(d: DataFrame) -> DataFrame:
-    return duplicates.near_pairs(stage(d, "photos"), NEAR).select("a_ord", "a_pos", "b_ord", "b_pos", "distance")
+    """Only photos with a hash are staged, by what the pairs tell of them."""
+    return duplicates.near_pairs(stage(d.where("phash is not null").select("ord", "pos", "phash"), "photos"), NEAR).select("a_ord", "a_pos", "b_ord", "b_pos", "distance")
 
 
 @images("dup_target_scan", f", x AS (SELECT sha256 AS s, phash AS p FROM i WHERE file = {TARGET}) SELECT file, CASE WHEN sha256 = s THEN 'exact' WHEN hamming(phash, p) <= {NEAR} THEN 'similar' END AS match FROM i, x")

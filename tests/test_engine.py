@@ -397,6 +397,28 @@ def test_a_pair_of_near_hashes_meets_once(spark, monkeypatch):
     assert set(got) == want and len(got) == len(want) > 20
 
 
+def test_pairs_of_crowded_hashes_are_not_shuffled(spark, monkeypatch):
+    """They grow with the square of the photos, and so would the disk: photos meet in blocks, and nothing is dealt out behind that. A hash that many share lies in several blocks."""
+    for name, value in (("BLOCK", 40), ("BLOCKS", 2), ("STEP", 300), ("BATCH", 50)):
+        monkeypatch.setattr(duplicates, name, value, raising=False)
+    rng = random.Random(7)
+    texts = [f"{rng.getrandbits(64):016x}" for _ in range(500)]
+    some = [texts[0]] * 90 + [texts[0][:-2] + "zz"] * 45 + ["Z" * 16, "Z" * 15 + "\u0416", "", "", "0", "1", texts[1][:-1], texts[2][:-1], texts[2][:-2] + "\U0001f600", texts[1][:-1] + "\u0416", None]
+    rows = [(f"s{i}", 1000 - i // 2, i % 2, h) for i, h in enumerate([*texts, *some])]
+    df = spark.createDataFrame(rows, "submission string, ord long, pos int, phash string")
+    pairs = duplicates.near_pairs(df, 11)
+    plan = pairs._jdf.queryExecution().executedPlan().toString().splitlines()
+    joins = [i for i, line in enumerate(plan) if "Join" in line or "CartesianProduct" in line]
+    assert len(joins) == 1 and not any("Exchange" in line for line in plan[: joins[0]])
+    near = lambda a, b: a is not None and b is not None and a != b and len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) <= 11
+    apart = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
+    want = {(*a[1:3], a[0], *b[1:3], b[0], apart(a[3], b[3])) for a in rows for b in rows if a[1:3] < b[1:3] and near(a[3], b[3])}
+    got = [tuple(r) for r in pairs.collect()]
+    assert set(got) == want and len(got) == len(want) > 90 * 45
+    bare = duplicates.near_pairs(df.drop("submission"), 11)
+    assert bare.columns == ["a_ord", "a_pos", "b_ord", "b_pos", "distance"] and {tuple(r) for r in bare.collect()} == {(*r[:2], *r[3:5], r[6]) for r in want}
+
+
 def test_scoring_does_not_plan_the_scan_again(spark):
     """What photos repeat is a staged table where it is joined: one join, without the scan's own, and nothing of it in Python."""
     df = spark.createDataFrame([(1,), (2,), (3,)], "id long")
